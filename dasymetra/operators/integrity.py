@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dasymetra.plans.common import cut_lineage
+
 STATES = ("missing", "deleted", "late")
 
 
@@ -64,7 +66,7 @@ def orphan_references(parents: DataFrame, key: tuple[Column, ...], valid_from: C
     doubtful = doubtful.select(*parts, "has_parent", "first")
 
     null_key = child.filter(F.greatest(*[F.col(n).isNull() for n in parts]))
-    asked = child.join(doubtful, parts)  # a key with a null part joins nothing
+    asked = cut_lineage(child.join(doubtful, parts))  # few rows, used four times; a key with a null part joins nothing
     plain = asked.filter(~F.col("has_parent")).withColumn("state", F.lit("missing"))
     plain = plain.unionByName(asked.filter(F.col("has_parent") & (F.col("at") < F.col("first"))).withColumn("state", F.lit("late")))
     columns = ["tab_name", "rec_id", "period", "state"]
@@ -72,8 +74,9 @@ def orphan_references(parents: DataFrame, key: tuple[Column, ...], valid_from: C
 
     # the rest have a parent that began by their time: deleted, unless one of those still lasts
     started = asked.filter(F.col("has_parent") & (F.col("at") >= F.col("first"))).select(*parts, "at", "tab_name", "rec_id", "period", F.lit(None).cast("bigint").alias("until"))
-    lasting = parent.join(doubtful.filter("has_parent").select(*parts), parts, "left_semi").select(
-        *parts, "at", F.lit(None).cast("string").alias("tab_name"), F.lit(None).cast("bigint").alias("rec_id"), F.lit(None).cast("string").alias("period"), "until")
+    none = F.lit(None).cast("string")
+    lasting = parent.join(started.select(*parts).distinct(), parts, "left_semi").select(
+        *parts, "at", none.alias("tab_name"), none.cast("bigint").alias("rec_id"), none.alias("period"), "until")
     deleted = _ended(lasting, started, parts)
     return found.unionByName(deleted.select(*columns)).distinct()
 
