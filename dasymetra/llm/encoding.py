@@ -365,4 +365,5 @@ def repair(records: DataFrame, model: Model, place: str, key: str, text: str, le
 def fit_to(records: DataFrame, place: str, text: str, rounds: int = 5) -> Model:
     """Fit to the texts of all records; equal texts of a place collapse before the shuffle."""
     names = records.filter(F.length(f"`{text}`") > 0).groupBy(F.col(f"`{place}`").cast("string").alias("place"), F.col(f"`{text}`").cast("string").alias("text")).agg(F.count(F.lit(1)).alias("n"))
-    return fit(cut_lineage(names), rounds)
+    # far fewer rows than records, but each costs much: spread them over all cores
+    return fit(cut_lineage(names.repartition(4 * records.sparkSession.sparkContext.defaultParallelism, "place", "text")), rounds)

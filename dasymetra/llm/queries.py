@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dasymetra.llm import bpe, encoding, mixing
+from dasymetra.llm import bpe, encoding, mixing, residue
 from dasymetra.plans.common import cut_lineage, table
 
 TOKENIZER = "byte_bpe_50k"
@@ -61,5 +61,25 @@ def p7_shares(spark, sf_dir):
     return mixing.shares(sizes, targets, mixing.mix(sizes, targets))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_repaired, p3_report, p6_ids, p6_token_counts, p7_mixture, p7_shares)}
+def _judged(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return residue.find(docs, residue.fit(docs), keep=["doc_id", "source"])
+
+
+def p8_found(spark, sf_dir):
+    return _judged(spark, sf_dir).filter(F.size("residue") > 0).select("doc_id")
+
+
+def p8_clean(spark, sf_dir):
+    """The documents that stay."""
+    return _judged(spark, sf_dir).filter(F.size("residue") == 0).select("doc_id")
+
+
+def p8_report(spark, sf_dir):
+    """Documents with residue by source and kind, and the mean share of their text that it covers."""
+    hit = _judged(spark, sf_dir).filter(F.size("residue") > 0)
+    return hit.groupBy("source", F.array_join("residue", "+").alias("kind")).agg(F.count(F.lit(1)).alias("n_documents"), F.round(F.avg("residue_share"), 4).alias("mean_share"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_repaired, p3_report, p6_ids, p6_token_counts, p7_mixture, p7_shares, p8_found, p8_clean, p8_report)}
 ORACLES: dict[str, str] = {}

@@ -1,0 +1,234 @@
+"""Seed texts of the residue models: what templates, servers and browsers commonly leave in a corpus."""
+
+#: Filler that stands in for text to come.
+FILLER = """
+Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua
+Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat
+Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur
+Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum
+Curabitur pretium tincidunt lacus, nulla gravida orci a odio, nullam varius, turpis et commodo pharetra
+Pellentesque habitant morbi tristique senectus et netus et malesuada fames ac turpis egestas
+Vestibulum tortor quam, feugiat vitae, ultricies eget, tempor sit amet, ante, donec eu libero sit amet quam egestas semper
+Aenean ultricies mi vitae est, mauris placerat eleifend leo, quisque sit amet est et sapien ullamcorper pharetra
+Integer in mauris eu nibh euismod gravida, duis ac tellus et risus vulputate vehicula, sodales ligula in libero
+Praesent dapibus, neque id cursus faucibus, tortor neque egestas augue, eu vulputate magna eros eu erat, pretor tempus
+Sample paragraph, replace before release
+Sample text goes here
+Placeholder sentence number 0
+Your headline goes here
+Your text here
+Write a short description of this section
+Type something here
+Test test test 0
+Test test test one two
+TODO: translate this segment
+Texto de exemplo, trocar antes de publicar
+Frase provisória número 0
+Seu título aqui
+Escreva aqui uma breve descrição
+Teste teste teste
+TODO: traduzir este trecho
+Texto de ejemplo, sustituir antes de publicar
+Frase provisional número 0
+Su título aquí
+Escriba aquí una breve descripción
+Prueba prueba prueba
+Pendiente: traducir este segmento
+Texte d'exemple, à remplacer avant parution
+Phrase provisoire numéro 0
+Votre titre ici
+Saisissez ici une courte description
+Essai essai essai
+À faire : traduire ce segment
+Beispieltext, vor Druck ersetzen
+Blindtext Nummer 0
+Hier steht Ihre Überschrift
+Geben Sie hier eine kurze Beschreibung ein
+Test Test Test eins zwei
+TODO: diesen Abschnitt übersetzen
+サンプルテキストです。公開前に差し替えてください
+ここに見出しが入ります
+ここに短い説明を入力してください
+テスト テスト テスト
+仮の文章です。その0
+ダミーテキスト
+TODO: この部分を翻訳する
+""".strip().splitlines()
+
+#: Messages of failing or refusing servers and programs, and notices that a browser or scripts are needed.
+NOTICE = """
+404 Not Found
+Error 404: page not found
+We could not find that page
+The page you requested does not exist
+This page no longer exists
+500 - Internal Server Error
+HTTP 503 Service Unavailable
+502 Bad Gateway
+Service unavailable
+Access denied (403)
+403 Forbidden
+Too many requests
+Something went wrong on our side
+An error has occurred
+Your session has timed out
+Your session has expired
+Database connection failed
+Error establishing a database connection
+Contact the site administrator
+Please try again in a few minutes
+Go back to the start page
+The address may have changed
+Reference id: 0a0b0c0d0e
+Reference id: h
+JavaScript is switched off in your browser
+This page needs JavaScript
+Please turn on JavaScript and cookies
+Please enable JavaScript to continue
+Scripts are blocked
+Your browser is not supported
+Checking your browser before you continue
+Enable it to see the content
+Reload once it is allowed
+Press the button if you are not a robot
+Traceback (most recent call last): File "lorem_0.py", line 0, in render KeyError
+Traceback (most recent call last): File "main.py", line 0, in <module> ValueError
+Exception in thread "main" java.lang.NullPointerException at app.ipsum.Handler0.run(Handler.java:0)
+Fatal error: call to undefined function show_amet() in /srv/app/view_0.php on line 0
+Warning: mysql_fetch(): bad handle in dolor/0.inc:0
+panic: nil map write [lorem] goroutine 0 exit status 0
+Segmentation fault (core dumped)
+404 - Não encontrado
+Erro 404: página não encontrada
+Não achamos a página pedida
+Esta página não existe mais
+Erro interno do servidor (500)
+Serviço indisponível no momento
+Acesso negado (403)
+Muitas requisições
+Algo deu errado
+Ocorreu um erro
+Sua sessão expirou
+Falha na conexão com o banco de dados
+Fale com o administrador do site
+Tente de novo em alguns minutos
+Voltar à página inicial
+O endereço pode ter mudado
+Código de referência: h
+O JavaScript está desligado no seu navegador
+Esta página precisa de JavaScript
+Ative o JavaScript e os cookies
+Os scripts estão bloqueados
+Seu navegador não é compatível
+Verificando o seu navegador
+Ative-o para ver o conteúdo
+Recarregue depois de permitir
+Aperte o botão se não for um robô
+404 - No encontrado
+Error 404: página no encontrada
+No hallamos la página pedida
+Esta página ya no existe
+Error interno del servidor (500)
+Servicio no disponible
+Acceso denegado (403)
+Demasiadas solicitudes
+Algo salió mal
+Ha ocurrido un error
+Su sesión ha caducado
+Fallo de conexión con la base de datos
+Contacte con el administrador
+Inténtelo de nuevo en unos minutos
+Volver al inicio
+La dirección puede haber cambiado
+Código de referencia: h
+JavaScript está desactivado en su navegador
+Esta página necesita JavaScript
+Active JavaScript y las cookies
+Los scripts están bloqueados
+Su navegador no es compatible
+Comprobando su navegador
+Actívelo para ver el contenido
+Recargue tras permitirlo
+Pulse el botón si no es un robot
+404 - Introuvable
+Erreur 404 : page introuvable
+Cette page n'existe plus
+Erreur interne du serveur (500)
+Service indisponible
+Accès refusé (403)
+Trop de requêtes
+Une erreur est survenue
+Votre session a expiré
+Échec de la connexion à la base de données
+Contactez l'administrateur du site
+Réessayez dans quelques minutes
+Retour à l'accueil
+L'adresse a peut-être changé
+Référence : h
+JavaScript est désactivé dans votre navigateur
+Cette page nécessite JavaScript
+Activez JavaScript et les cookies
+Les scripts sont bloqués
+Votre navigateur n'est pas pris en charge
+Vérification de votre navigateur
+Activez-le pour voir le contenu
+Rechargez ensuite la page
+Cliquez si vous n'êtes pas un robot
+404 - Nicht gefunden
+Fehler 404: Seite nicht gefunden
+Diese Seite gibt es nicht mehr
+Interner Serverfehler (500)
+Dienst nicht verfügbar
+Zugriff verweigert (403)
+Zu viele Anfragen
+Es ist ein Fehler aufgetreten
+Ihre Sitzung ist abgelaufen
+Datenbankverbindung fehlgeschlagen
+Wenden Sie sich an den Administrator
+Bitte in einigen Minuten erneut versuchen
+Zurück zur Startseite
+Die Adresse hat sich vielleicht geändert
+Vorgangsnummer: h
+JavaScript ist in Ihrem Browser abgeschaltet
+Diese Seite benötigt JavaScript
+Bitte JavaScript und Cookies einschalten
+Skripte sind blockiert
+Ihr Browser wird nicht unterstützt
+Ihr Browser wird geprüft
+Schalten Sie es ein, um den Inhalt zu sehen
+Danach neu laden
+Klicken Sie, wenn Sie kein Roboter sind
+エラー404：ページが見つかりません
+お探しのページはありません
+サーバー内部エラー（500）
+サービスは現在利用できません
+アクセスが拒否されました（403）
+リクエストが多すぎます
+問題が発生しました
+セッションの有効期限が切れました
+データベースに接続できませんでした
+サイト管理者に連絡してください
+数分後にもう一度お試しください
+トップページに戻る
+アドレスが変更された可能性があります
+参照番号：h
+ブラウザのJavaScriptが無効になっています
+このページにはJavaScriptが必要です
+JavaScriptとCookieを有効にしてください
+スクリプトがブロックされています
+お使いのブラウザには対応していません
+ブラウザを確認しています
+内容を表示するには有効にしてください
+許可した後に再読み込みしてください
+ロボットでない場合はボタンを押してください
+""".strip().splitlines()
+
+#: Marks that open and close the name of a field in a template.
+BRACKETS = (
+    ("{{", "}}"), ("{{ ", " }}"), ("{{{", "}}}"), ("{", "}"), ("${", "}"), ("#{", "}"), ("<%= ", " %>"), ("{% ", " %}"), ("<", ">"), ("<<", ">>"),
+    ("[", "]"), ("[[", "]]"), ("((", "))"), ("%(", ")s"), ("%", "%"), ("$", "$"), ("~", "~"), ("__", "__"), ("@@", "@@"), ("&&", "&&"),
+)
+#: Marks that stand for a value on their own.
+ALONE = ("%s", "%d", "%1$s", "$1", "{}", "{{}}", "{0}", "{0:name}", "____", "???", "XX/XX/XXXX", "#REF!", "#N/A", "#VALUE!", "#NAME?", "undefined", "NaN", "TBD", "N/A", "[object Object]", "(null)", "null")
+#: Words that make a mark of their own where they stand alone.
+MARKER_WORDS = ("undefined", "nan", "tbd", "null", "insert", "inserir", "insertar", "upper", "lower", "xx", "xxxx", "sic", "todo")
