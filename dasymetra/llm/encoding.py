@@ -28,6 +28,8 @@ LOST = "�"
 #: Character n-grams are counted in two rows of hashed buckets, the lesser of which counts: the size of the model, whatever the corpus.
 BUCKETS = 1 << 19
 ORDER = 5
+#: Log probabilities that a chain garbled a token which it could have garbled, and that it left it alone.
+TAKEN, LEFT = math.log(0.8), math.log(0.2)
 
 
 def _read(raw: bytes, encoding: str) -> str | None:
@@ -140,7 +142,7 @@ class Model:
     def __init__(self, counts: np.ndarray, priors: dict[tuple[str, str], float], rare: float = 1e-6, weight: float = 0.5):
         self.counts, self.priors, self.rare, self.weight = counts, priors, rare, weight
         self.scores: dict[str, float] = {}
-        self.undone: dict[tuple[str, str], list[str]] = {}
+        self.undone: dict[str, dict[str, tuple[float, str]]] = {}
 
     def prior(self, where: str, chain: str) -> float:
         return math.log(max(self.rare, self.priors.get((where, chain), 0.0)))
@@ -168,12 +170,18 @@ class Model:
             self.scores[token] = known
         return known
 
-    def options(self, chain: Chain, token: str) -> list[str]:
-        known = self.undone.get((chain.name, token))
+    def undoings(self, token: str, all_chains: list[Chain]) -> dict[str, tuple[float, str]]:
+        """For each chain that could have garbled the token: the log probability of the likeliest reading under it, and that reading."""
+        known = self.undone.get(token)
         if known is None:
-            if len(self.undone) > 500_000:
+            if len(self.undone) > 100_000:
                 self.undone.clear()
-            known = self.undone[chain.name, token] = [] if token.isascii() else chain.options(token)
+            known = {}
+            for chain in () if token.isascii() else all_chains:
+                if options := chain.options(token):
+                    # a chain mostly takes the whole text; what it could have taken and did not is less likely
+                    known[chain.name] = max([(self.score(token) + LEFT, token)] + [(self.score(o) + TAKEN - math.log(len(options)), o) for o in options])
+            self.undone[token] = known
         return known
 
     def judge(self, where: str, text: str, all_chains: list[Chain]) -> list[tuple[str, str, float]]:
@@ -182,22 +190,16 @@ class Model:
         plain = [self.score(t) for t in tokens]
         readings = [(CLEAN, text, self.prior(where, CLEAN) + sum(plain))]
         if not text.isascii():
-            for chain in all_chains:
-                total, words, changed = self.prior(where, chain.name), [], False
-                for token, own in zip(tokens, plain):
-                    options = self.options(chain, token)
-                    if options:
-                        # a chain mostly takes the whole text; what it could have taken and did not is less likely
-                        own, best = max([(own + math.log(0.2), token)] + [(self.score(o) + math.log(0.8 / len(options)), o) for o in options])
-                        changed |= best != token
-                        token = best
-                    total += own
-                    words.append(token)
-                if changed:
-                    readings.append((chain.name, " ".join(words), total))
+            undone = [self.undoings(t, all_chains) for t in tokens]
+            for chain in {c for u in undone for c in u}:
+                taken = [u.get(chain, (own, t)) for u, own, t in zip(undone, plain, tokens)]
+                was = " ".join(t for _, t in taken)
+                if was != text:
+                    readings.append((chain, was, self.prior(where, chain) + sum(x for x, _ in taken)))
         top = max(r[2] for r in readings)
         weights = [math.exp(r[2] - top) for r in readings]
-        return [(c, t, w / sum(weights)) for (c, t, _), w in zip(readings, weights)]
+        whole = sum(weights)
+        return [(c, t, w / whole) for (c, t, _), w in zip(readings, weights)]
 
 
 def surely_garbled(text: str) -> bool:
@@ -211,10 +213,26 @@ def _looks_plain(text: str) -> bool:
 
 
 def _sums(batches, work):
-    """Run ``work(batch, counts, chances)`` over all batches and give the partition's sums as one batch."""
-    counts, chances = np.zeros(2 * BUCKETS), Counter()
+    """Run ``work(batch, tokens, chances)``, which adds weights of tokens and of (place, chain), over all batches, and give the partition's sums as one batch."""
+    tokens, chances = Counter(), Counter()
+    counts = np.zeros(2 * BUCKETS)
+
+    def spill():
+        for token, weight in tokens.items():
+            for g in _buckets("\x02"):
+                counts[g] += weight
+            for grams in token_grams(token + " "):
+                counts[0] += weight
+                for g, h in grams:
+                    counts[g] += weight
+                    counts[h] += weight
+        tokens.clear()
+
     for batch in batches:
-        work(batch, counts, chances)
+        work(batch, tokens, chances)
+        if len(tokens) > 500_000:
+            spill()
+    spill()
     buckets = np.flatnonzero(counts)
     names = list(chances)
     yield pa.RecordBatch.from_arrays(
@@ -241,23 +259,17 @@ def fit(names: DataFrame, rounds: int = 5) -> Model:
         def run(batches):
             now = None if shared is None else Model(*shared.value)
 
-            def add(counts, text, weight):
+            def add(tokens, text, weight):
                 for token in text.split(" "):
-                    for g in _buckets("\x02"):
-                        counts[g] += weight
-                    for grams in token_grams(token + " "):
-                        counts[0] += weight
-                        for g, h in grams:
-                            counts[g] += weight
-                            counts[h] += weight
-
-            def work(batch, counts, chances):
+                    tokens[token] += weight
+
+            def work(batch, tokens, chances):
                 for where, text, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                     weight = float(n)
                     if now is None:
                         clean = _looks_plain(text)
                         if clean:
-                            add(counts, text, weight)
+                            add(tokens, text, weight)
                         chances[where, CLEAN] += n if clean else 0
                         for c in all_chains:
                             chances[where, c.name] += 0 if clean else n / len(all_chains)
@@ -267,10 +279,10 @@ def fit(names: DataFrame, rounds: int = 5) -> Model:
                         continue
                     for chain, _, p in readings:
                         chances[where, chain] += n * p
-                    add(counts, text, weight * readings[0][2])
+                    add(tokens, text, weight * readings[0][2])
                     best = max(readings[1:], key=lambda r: r[2], default=None)
                     if best is not None:
-                        add(counts, best[1], weight * (1 - readings[0][2]))
+                        add(tokens, best[1], weight * (1 - readings[0][2]))
 
             yield from _sums(batches, work)
 
