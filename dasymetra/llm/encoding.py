@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
@@ -84,6 +85,7 @@ def _latin(c: str) -> bool:
     return c.isascii() or (c.isalpha() and unicodedata.name(c, "").startswith("LATIN "))
 
 
+@functools.lru_cache(1)
 def chains() -> list[Chain]:
     """All chains: UTF-8 read in a single-byte encoding, once or twice over, and one single-byte encoding read as another.
 
@@ -251,13 +253,12 @@ def fit(names: DataFrame, rounds: int = 5) -> Model:
     buckets and one number for each place and chain, and the driver gathers no more than that.
     """
     spark = names.sparkSession
-    all_chains = chains()
     model: Model | None = None
     for _ in range(rounds):
         shared = None if model is None else spark.sparkContext.broadcast((model.counts, model.priors))
 
         def run(batches):
-            now = None if shared is None else Model(*shared.value)
+            now, all_chains = None if shared is None else Model(*shared.value), chains()
 
             def add(tokens, text, weight):
                 for token in text.split(" "):
@@ -322,60 +323,57 @@ def _fill(model: Model, text: str) -> str:
     return " ".join(out)
 
 
-def repair(records: DataFrame, model: Model, place: str, key: str, text: str, least: float = 0.5) -> DataFrame:
-    """(place, rec_key, text, chain, posterior, restored) of each record whose text is garbled.
+def _verdict(model: Model, where: str, text: str, least: float) -> tuple[str, float, str | None] | None:
+    readings = model.judge(where, text, chains())
+    sure = surely_garbled(text)
+    garbled = 1 - readings[0][2]
+    if garbled < least and not sure:
+        return None
+    by_text = Counter()
+    for _, t, p in readings[1:]:
+        by_text[t] += p
+    restored = by_text.most_common(1)[0][0] if by_text else text
+    chain = max((r for r in readings[1:] if r[1] == restored), key=lambda r: r[2], default=("lost",))[0]
+    if LOST in restored:
+        restored, chain = max((_fill(model, t) for t in (restored, text)), key=lambda t: sum(map(model.score, t.split(" ")))), "lost"
+    return chain, 1.0 if sure else garbled, restored if restored != text and not surely_garbled(restored) else None
+
+
+def distinct_names(records: DataFrame, place: str, text: str) -> DataFrame:
+    """(place, text, n): each text once per place, written once; equal texts collapse before the shuffle. Null and empty texts are left out."""
+    names = records.filter(F.length(f"`{text}`") > 0).groupBy(F.col(f"`{place}`").cast("string").alias("place"), F.col(f"`{text}`").cast("string").alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    # far fewer rows than records, but each costs much: spread them over all cores
+    return cut_lineage(names.repartition(4 * records.sparkSession.sparkContext.defaultParallelism, "place", "text"))
 
-    A record counts as garbled if its readings through some chain together have a posterior of ``least`` or
+
+def garbled_names(names: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """(place, text, chain, posterior, restored) of the garbled texts among ``names``, each judged once.
+
+    A text counts as garbled if its readings through some chain together have a posterior of ``least`` or
     more, or if it holds a replacement or control character. restored is the likeliest reading, and for lost
-    characters the likeliest letters; null where nothing better than the text itself is found. Null and
-    empty texts are never garbled; repeated rows are judged alike and all returned; texts of any length
-    are judged whole. No shuffle: each distinct text of a batch is judged once, where the batch lies.
+    characters the likeliest letters; null where nothing better than the text itself is found.
     """
-    shared = records.sparkSession.sparkContext.broadcast((model.counts, model.priors))
-    all_chains = chains()
-
-    def judge(now: Model, where: str, text: str):
-        readings = now.judge(where, text, all_chains)
-        sure = surely_garbled(text)
-        garbled = 1 - readings[0][2]
-        if garbled < least and not sure:
-            return None
-        by_text = Counter()
-        for _, t, p in readings[1:]:
-            by_text[t] += p
-        restored = by_text.most_common(1)[0][0] if by_text else text
-        chain = max((r for r in readings[1:] if r[1] == restored), key=lambda r: r[2], default=("lost",))[0]
-        if LOST in restored:
-            restored, chain = max((_fill(now, t) for t in (restored, text)), key=lambda t: sum(map(now.score, t.split(" ")))), "lost"
-        return chain, 1.0 if sure else garbled, restored if restored != text and not surely_garbled(restored) else None
+    shared = names.sparkSession.sparkContext.broadcast((model.counts, model.priors))
 
     def run(batches):
         now = Model(*shared.value)
-        known: dict[tuple[str, str], tuple | None] = {}
         for batch in batches:
-            keep, judged = [], []
-            for i, pair in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-                if not pair[1] or pair[1].isascii():
-                    continue
-                if pair not in known:
-                    if len(known) > 200_000:
-                        known.clear()
-                    known[pair] = judge(now, *pair)
-                if known[pair] is not None:
-                    keep.append(i)
-                    judged.append(known[pair])
-            kept = batch.take(pa.array(keep, pa.int64()))
-            columns = list(zip(*judged)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.string())],
-                names=["place", "rec_key", "text", "chain", "posterior", "restored"])
+            out = [(w, t, *v) for w, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if not t.isascii() and (v := _verdict(now, w, t, least))]
+            columns = list(zip(*out)) or [()] * 5
+            kinds = (pa.string(), pa.string(), pa.string(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["place", "text", "chain", "posterior", "restored"])
 
-    rows = records.select(F.col(f"`{place}`").cast("string").alias("place"), F.col(f"`{key}`").cast("string").alias("rec_key"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "place string, rec_key string, text string, chain string, posterior double, restored string")
+    return names.select("place", "text").mapInArrow(run, "place string, text string, chain string, posterior double, restored string")
 
 
-def fit_to(records: DataFrame, place: str, text: str, rounds: int = 5) -> Model:
-    """Fit to the texts of all records; equal texts of a place collapse before the shuffle."""
-    names = records.filter(F.length(f"`{text}`") > 0).groupBy(F.col(f"`{place}`").cast("string").alias("place"), F.col(f"`{text}`").cast("string").alias("text")).agg(F.count(F.lit(1)).alias("n"))
-    # far fewer rows than records, but each costs much: spread them over all cores
-    return fit(cut_lineage(names.repartition(4 * records.sparkSession.sparkContext.defaultParallelism, "place", "text")), rounds)
+def repair(records: DataFrame, place: str, key: str, text: str, rounds: int = 5) -> DataFrame:
+    """(place, rec_key, text, chain, posterior, restored) of each record whose text is garbled.
+
+    Fits the model to all texts, judges each distinct text once and joins the garbled ones, few as they are,
+    back to the records. Null and empty texts are never garbled; repeated rows are all returned; texts of
+    any length are judged whole; an empty table gives an empty result.
+    """
+    names = distinct_names(records, place, text)
+    garbled = garbled_names(names, fit(names, rounds))
+    rows = records.select(F.col(f"`{place}`").cast("string").alias("place"), F.col(f"`{key}`").cast("string").alias("rec_key"), F.col(f"`{text}`").cast("string").alias("text"))
+    return rows.join(garbled, ["place", "text"]).select("place", "rec_key", "text", "chain", "posterior", "restored")

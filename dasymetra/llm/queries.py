@@ -19,8 +19,7 @@ def _repaired(spark, sf_dir):
     for tab, key, name in NAME_FIELDS:
         rows = table(spark, sf_dir, tab).select(F.lit(tab).alias("tab_name"), F.col(key).cast("string").alias("rec_key"), F.col(name).alias("name"))
         names = rows if names is None else names.unionByName(rows)
-    model = encoding.fit_to(names, "tab_name", "name")
-    return encoding.repair(names, model, "tab_name", "rec_key", "name")
+    return encoding.repair(names, "tab_name", "rec_key", "name")
 
 
 def p3_found(spark, sf_dir):
