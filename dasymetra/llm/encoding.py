@@ -145,6 +145,8 @@ class Model:
         self.counts, self.priors, self.rare, self.weight = counts, priors, rare, weight
         self.scores: dict[str, float] = {}
         self.undone: dict[str, dict[str, tuple[float, str]]] = {}
+        self.letters: list[str] | None = None
+        self.filled: dict[str, str] = {}
 
     def prior(self, where: str, chain: str) -> float:
         return math.log(max(self.rare, self.priors.get((where, chain), 0.0)))
@@ -306,9 +308,17 @@ def _fill(model: Model, text: str) -> str:
 
     A lost character after Ã may stand for the rest of one letter: that reading is tried as well.
     """
-    letters = [c for c in REPERTOIRE if c.isalpha() and c not in "ªº"]
+    if model.letters is None:
+        model.letters = [c for c in REPERTOIRE if c.isalpha() and c not in "ªº" and c == c.lower() and min(model.counts[list(_buckets(c))]) >= 1]
+    letters = model.letters
     out = []
     for token in text.split(" "):
+        if LOST not in token:
+            out.append(token)
+            continue
+        if token in model.filled:
+            out.append(model.filled[token])
+            continue
         upper = token.upper() == token
         marks = [c.upper() if upper and len(c.upper()) == 1 else c.lower() for c in letters]
         done = []
@@ -320,6 +330,7 @@ def _fill(model: Model, text: str) -> str:
                 beam = sorted(grown, key=lambda t: (model.score(t) if LOST not in t else model.prefix(t[: t.index(LOST)])), reverse=True)[:20]
             done += beam[:1]
         out.append(max(done, key=model.score))
+        model.filled[token] = out[-1]
     return " ".join(out)
 
 
@@ -342,8 +353,8 @@ def _verdict(model: Model, where: str, text: str, least: float) -> tuple[str, fl
 def distinct_names(records: DataFrame, place: str, text: str) -> DataFrame:
     """(place, text, n): each text once per place, written once; equal texts collapse before the shuffle. Null and empty texts are left out."""
     names = records.filter(F.length(f"`{text}`") > 0).groupBy(F.col(f"`{place}`").cast("string").alias("place"), F.col(f"`{text}`").cast("string").alias("text")).agg(F.count(F.lit(1)).alias("n"))
-    # far fewer rows than records, but each costs much: spread them over all cores
-    return cut_lineage(names.repartition(4 * records.sparkSession.sparkContext.defaultParallelism, "place", "text"))
+    # far fewer rows than records, but each costs much: once over all cores, as each task scores its words anew
+    return cut_lineage(names.repartition(records.sparkSession.sparkContext.defaultParallelism, "place", "text"))
 
 
 def garbled_names(names: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
