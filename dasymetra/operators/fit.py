@@ -154,7 +154,7 @@ def fit_problems(od: DataFrame, population: DataFrame, voters: DataFrame, contro
     rows = rows.unionByName(voters.select("problem_id", F.lit("s").alias("kind"), F.col("source_id").cast(s).alias("a"), F.col("bracket").cast(s).alias("b"), F.col("voters").cast(d).alias("x")))
     settings = asdict(control)
 
-    def solve(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         part = {k: g for k, g in frame.groupby("kind")}
         if set(part) != {"t", "p", "s"}:
             return pd.DataFrame(columns=["problem_id", "zone_id", "bracket", "alpha", "epochs", "deviance", "converged"])
