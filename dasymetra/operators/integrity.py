@@ -65,7 +65,7 @@ def orphan_references(parents: DataFrame, key: tuple[Column, ...], valid_from: C
     doubtful = groups.filter(F.col("earliest").isNotNull() & (~F.col("has_parent") | (F.col("first") > F.col("earliest")) | (F.col("ends") < far)))
     doubtful = doubtful.select(*parts, "has_parent", "first")
 
-    null_key = child.filter(F.greatest(*[F.col(n).isNull() for n in parts]))
+    null_key = child.filter(F.greatest(F.lit(False), *[F.col(n).isNull() for n in parts]))
     asked = cut_lineage(child.join(doubtful, parts))  # few rows, used four times; a key with a null part joins nothing
     plain = asked.filter(~F.col("has_parent")).withColumn("state", F.lit("missing"))
     plain = plain.unionByName(asked.filter(F.col("has_parent") & (F.col("at") < F.col("first"))).withColumn("state", F.lit("late")))

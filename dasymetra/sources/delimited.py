@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from dasymetra.plans.common import free_name
 
+csv.field_size_limit(2**31 - 1)  # fields of any length
 _DECIMAL = re.compile(r"-?[0-9]+(?:\.[0-9]+)?")
 
 
@@ -137,16 +138,12 @@ def parse_lines(lines: DataFrame, layouts: dict[str, Layout] = FEEDS, line: str
         F.col(f"`{feed}`").cast("string").alias("feed"), F.col(f"`{line}`").cast("string").alias("line"))
 
     def parse(batches):
-        limit = csv.field_size_limit(2**31 - 1)
-        try:
-            for batch in batches:
-                judged = [check_line(text, layouts.get(name)) for name, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([x[0] for x in judged], pa.list_(pa.string())),
-                     pa.array([x[1] for x in judged], pa.string()), pa.array([x[2] for x in judged], pa.string())],
-                    names=["kept", "fields", "reason", "at_field"])
-        finally:
-            csv.field_size_limit(limit)
+        for batch in batches:
+            judged = [check_line(text, layouts.get(name)) for name, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([x[0] for x in judged], pa.list_(pa.string())),
+                 pa.array([x[1] for x in judged], pa.string()), pa.array([x[2] for x in judged], pa.string())],
+                names=["kept", "fields", "reason", "at_field"])
 
     text = T.StringType()
     schema = T.StructType([packed.schema["kept"], T.StructField("fields", T.ArrayType(text)), T.StructField("reason", text), T.StructField("at_field", text)])
