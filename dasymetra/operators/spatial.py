@@ -53,8 +53,9 @@ def morans_i(lag: DataFrame) -> DataFrame:
 
 
 def quadrants(lag: DataFrame) -> DataFrame:
-    """(zone_id, local_i, quadrant): local statistic and the signs of z and its lag."""
-    q = F.when((F.col("z") >= 0) & (F.col("lag") >= 0), "HH").when((F.col("z") < 0) & (F.col("lag") < 0), "LL").when(F.col("z") >= 0, "HL").otherwise("LH")
+    """(zone_id, local_i, quadrant): local statistic and the signs of z and its lag; what rounding leaves of a zero counts as zero."""
+    z, l = F.round("z", 12), F.round("lag", 12)
+    q = F.when((z >= 0) & (l >= 0), "HH").when((z < 0) & (l < 0), "LL").when(z >= 0, "HL").otherwise("LH")
     return lag.select("zone_id", (F.col("z") * F.col("lag")).alias("local_i"), q.alias("quadrant"))
 
 

@@ -333,12 +333,12 @@ def alpha_quantiles(s, d):
 
 
 def _income(s, d):
-    return table(s, d, "customer").groupBy(F.col("c_nationkey").alias("zone_id")).agg(F.round(F.avg("c_acctbal"), 2).alias("income"))
+    return table(s, d, "customer").groupBy(F.col("c_nationkey").alias("zone_id")).agg(F.avg("c_acctbal").alias("income"))
 
 
-INCOME = "income AS (SELECT c_nationkey AS zone_id, round(avg(c_acctbal), 2) AS income FROM customer GROUP BY ALL)"
-TOTALS = "tot AS (SELECT zone_id, round(sum(fitted), 3) AS y FROM fit GROUP BY ALL)"
-_totals = lambda s, d: px.fitted(s, d).groupBy("zone_id").agg(F.round(F.sum("fitted"), 3).alias("y"))
+INCOME = "income AS (SELECT c_nationkey AS zone_id, avg(c_acctbal) AS income FROM customer GROUP BY ALL)"
+TOTALS = "tot AS (SELECT zone_id, sum(fitted) AS y FROM fit GROUP BY ALL)"
+_totals = lambda s, d: px.fitted(s, d).groupBy("zone_id").agg(F.sum("fitted").alias("y"))
 
 
 @query(sql("""SELECT round(corr(income, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, count(*) AS n FROM (
@@ -480,7 +480,7 @@ def morans_i(s, d):
     return sp.morans_i(_lag(s, d)).select(F.round("moran_i", 6).alias("moran_i"), "n")
 
 
-@query(sql("SELECT zone_id, round(z * lag, 6) + 0.0 AS local_i, CASE WHEN z >= 0 AND lag >= 0 THEN 'HH' WHEN z < 0 AND lag < 0 THEN 'LL' WHEN z >= 0 THEN 'HL' ELSE 'LH' END AS quadrant FROM lg", LAG))
+@query(sql("SELECT zone_id, round(z * lag, 6) + 0.0 AS local_i, CASE WHEN round(z, 12) >= 0 AND round(lag, 12) >= 0 THEN 'HH' WHEN round(z, 12) < 0 AND round(lag, 12) < 0 THEN 'LL' WHEN round(z, 12) >= 0 THEN 'HL' ELSE 'LH' END AS quadrant FROM lg", LAG))
 def lisa_quadrants(s, d):
     return sp.quadrants(_lag(s, d)).select("zone_id", (F.round("local_i", 6) + 0.0).alias("local_i"), "quadrant")
 
