@@ -77,6 +77,7 @@ class Stream:
     def __init__(self, texts: list[str]):
         lengths = np.array([len(t) for t in texts], dtype=np.int64)
         raw = np.frombuffer(("\n" * ORDER).join(["", *texts]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        self.many = raw >= 0x2E80  # kana and ideographs, of which one says as much as several letters
         self.end = np.cumsum(lengths + ORDER)
         self.start = self.end - lengths
         edges = np.zeros(len(raw) + 1, np.int8)
@@ -151,7 +152,7 @@ def placeholder_in(text: str) -> str | None:
 class Settings:
     """width, ratio: length and least mean log likelihood ratio of a window; coverage, evidence: least covered share and summed ratio of a piece of residue.
 
-    floor: least that one character's ratio counts. shape_*: the windows on marks, whose prose model always looks back one character. first_*: the stricter values of the first round, whose prose model looks back one character only.
+    floor: least that one character's ratio counts. shape_*: the windows on marks, whose prose model always looks back one character. first_*: the stricter values of the first round, whose prose model looks back one character, or none in scripts of many characters.
     """
 
     width: int = 14
@@ -162,6 +163,7 @@ class Settings:
     first_coverage: float = 0.8
     first_order: int = 2
     shape_width: int = 3
+    shape_order: int = 2
     shape_ratio: float = 0.1
     floor: float = -3.0
 
@@ -175,7 +177,7 @@ def seed_counts() -> dict[str, np.ndarray]:
     out = {k: SEED_WEIGHT * Stream([p for s in v for p in pieces(s)]).count() for k, v in text.items()}
     inner = ("a", "a_a", "a.a", "A", "a a", "insert a here", "inserir a", "a.a | upper", "0", "0:a")
     marks = [f"{b}{w}{e}" for b, e in BRACKETS for w in inner] + 6 * list(ALONE)  # as often as those in brackets
-    around = (" a {} a ", " {} a ", " a {}. ", " a {}, a ", " “{} a ", " a ({}) ", "{} a a ", " a, {} a ", " a, {}. ", " a; {} a ")
+    around = (" a {} a ", " {} a ", " a {}. ", " a {}, a ", " “{} a ", " a ({}) ", "{} a a ", " a, {} a ", " a, {}. ", " a; {} a ", " a {}? ", " „{} a ", " «{} a ", "a、{}a", "a「{}a")
     out["placeholder"] = SEED_WEIGHT * Stream([shape(a.format(m)) for m in marks for a in around]).count()
     return out
 
@@ -201,6 +203,8 @@ def judge(texts: list[str | None], models: Models, s: Settings):
     stream = Stream(flat)
     if flat:
         prose = stream.log_probability(models.prose, order)
+        if models.first:
+            prose = np.where(stream.many, stream.log_probability(models.prose, 1), prose)
         for k, name in enumerate(("filler", "notice")):
             ratio = np.maximum(stream.log_probability(models.residue[name]) - prose, s.floor)
             share, gain = covered(stream, ratio, s.width, s.first_ratio if models.first else s.ratio)
@@ -209,7 +213,7 @@ def judge(texts: list[str | None], models: Models, s: Settings):
     shapes = Stream([shape(t) if t else "" for t in texts])
     marked: list[str | None] = [None] * len(texts)
     if len(shapes.inside):
-        ratio = shapes.log_probability(models.residue["placeholder"]) - shapes.log_probability(models.shape_prose, s.first_order)
+        ratio = shapes.log_probability(models.residue["placeholder"]) - shapes.log_probability(models.shape_prose, s.shape_order)
         # a text with placeholders is otherwise prose: each mark is drawn from either model
         ratio = np.log(0.5 + 0.5 * np.exp(np.minimum(ratio, 50.0)))
         share, _ = covered(shapes, ratio, s.shape_width, s.shape_ratio)
@@ -257,8 +261,8 @@ def _recount(docs: DataFrame, models: Models | None, s: Settings) -> Models:
 def fit(docs: DataFrame, text: str = "text", rounds: int = 2, settings: Settings = Settings()) -> Models:
     """Fit the prose models to all texts and the residue models to seeds and what is found.
 
-    The corpus itself holds residue, so its first model, which looks back one character only, serves to find
-    the surest of it; each later round counts prose anew without what the last found. A task returns at
+    The corpus itself holds residue, so its first model, which looks back one character at most, serves to
+    find the surest of it; each later round counts prose anew without what the last found. A task returns at
     most one number for each bucket, and the driver gathers no more than that.
     """
     texts = docs.select(F.col(f"`{text}`").cast("string").alias("text")).filter(F.length("text") > 0)
