@@ -152,7 +152,7 @@ def placeholder_in(text: str) -> str | None:
 class Settings:
     """width, ratio: length and least mean log likelihood ratio of a window; coverage, evidence: least covered share and summed ratio of a piece of residue.
 
-    floor: least that one character's ratio counts. shape_*: the windows on marks, whose prose model always looks back one character. first_*: the stricter values of the first round, whose prose model looks back one character, or none in scripts of many characters.
+    floor: least that one character's ratio counts. shape_*: the windows on marks, whose prose model always looks back one character. first_*: the stricter values of the first round, whose prose model looks back one character, or none in scripts of many characters; first_coverage is for filler and for notices.
     """
 
     width: int = 14
@@ -160,7 +160,7 @@ class Settings:
     coverage: float = 0.6
     evidence: float = 8.0
     first_ratio: float = 0.7
-    first_coverage: float = 0.8
+    first_coverage: tuple[float, float] = (0.65, 0.85)
     first_order: int = 2
     shape_width: int = 3
     shape_order: int = 2
@@ -208,7 +208,7 @@ def judge(texts: list[str | None], models: Models, s: Settings):
         for k, name in enumerate(("filler", "notice")):
             ratio = np.maximum(stream.log_probability(models.residue[name]) - prose, s.floor)
             share, gain = covered(stream, ratio, s.width, s.first_ratio if models.first else s.ratio)
-            found = (share >= (s.first_coverage if models.first else s.coverage)) & (gain >= s.evidence) & (gain > best)
+            found = (share >= (s.first_coverage[k] if models.first else s.coverage)) & (gain >= s.evidence) & (gain > best)
             kind[found], best[found] = k, gain[found]
     shapes = Stream([shape(t) if t else "" for t in texts])
     marked: list[str | None] = [None] * len(texts)
