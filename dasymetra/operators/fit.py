@@ -84,15 +84,30 @@ def loss_and_gradient(alpha, phi, mask, c, pop, barrier, entropy):
     return loss, deviance, grad, float(np.exp(h.mean()))
 
 
+def _prepared(pop: np.ndarray, source_totals: np.ndarray) -> np.ndarray:
+    """Which brackets both sides hold at least one half of."""
+    return (pop.sum(axis=0) >= 0.5) & (source_totals >= 0.5)
+
+
 def fit_arrays(t: np.ndarray, pop: np.ndarray, src: np.ndarray, control: Control):
     """(alpha, history, converged). t: (zone, source) minutes with NaN for unreachable; pop: (zone, bracket); src: (source, bracket)."""
     mask = np.isfinite(t)
-    phi = np.where(mask, np.log(np.where(mask, t, 0.0) + control.offset) if control.kernel == "power" else t, 0.0)
-    active = (pop.sum(axis=0) >= 0.5) & (src.sum(axis=0) >= 0.5)
+    phi = np.where(mask, _phi(np.where(mask, t, 0.0), control), 0.0)
+    active = _prepared(pop, src.sum(axis=0))
+    c, p = src[:, active].T.astype(float), pop[:, active].astype(float)
+    return _descend(pop, active, control, lambda alpha, entropy: loss_and_gradient(alpha, phi, mask, c, p, control.barrier, entropy), len(src))
+
+
+def _phi(t: np.ndarray, control: Control) -> np.ndarray:
+    return np.log(t + control.offset) if control.kernel == "power" else t
+
+
+def _descend(pop: np.ndarray, active: np.ndarray, control: Control, evaluate, n_sources: int):
+    """Adam with restarts on what ``evaluate(alpha, entropy)`` gives: loss, deviance, gradient and effective sources."""
     alpha = np.ones_like(pop, dtype=float)
     if not active.any():
         return alpha, [], True
-    c, p = src[:, active].T.astype(float), pop[:, active].astype(float)
+    p = pop[:, active]
     lowest = control.lowest
     start = max(control.alpha_init - lowest, 1e-3)
     rng = np.random.default_rng(control.seed + len(pop) * 7919 + int(active.sum()) * 104729)
@@ -104,7 +119,7 @@ def fit_arrays(t: np.ndarray, pop: np.ndarray, src: np.ndarray, control: Control
     cycle_start, cycle_length, peak = 0, 500, control.rate
     for epoch in range(1, control.max_epochs + 1):
         a = lowest + np.logaddexp(0, theta)
-        loss, deviance, grad, sources = loss_and_gradient(a, phi, mask, c, p, control.barrier, entropy)
+        loss, deviance, grad, sources = evaluate(a, entropy)
         if not np.isfinite(loss):
             break
         g = grad / (1 + np.exp(-theta))
@@ -125,7 +140,7 @@ def fit_arrays(t: np.ndarray, pop: np.ndarray, src: np.ndarray, control: Control
         if control.target_sources is not None:
             smooth = sources if smooth is None else 0.95 * smooth + 0.05 * sources
             gap = np.log(smooth) - np.log(control.target_sources)
-            entropy = float(np.clip(entropy + len(c.T) * gap / 100, 0.01, 1000.0))
+            entropy = float(np.clip(entropy + n_sources * gap / 100, 0.01, 1000.0))
         if epoch > least_epochs:
             before = history[-1 - control.patience][1]
             calm = calm + 1 if norm <= 1e-4 * max(1.0, abs(loss)) else 0
@@ -167,3 +182,106 @@ def fit_problems(od: DataFrame, population: DataFrame, voters: DataFrame, contro
 
     kind = od.schema["problem_id"].dataType.simpleString()
     return rows.groupBy("problem_id").applyInPandas(solve, f"problem_id {kind}, zone_id string, bracket string, alpha double, epochs int, deviance double, converged boolean")
+
+
+#: Numbers of zones times brackets of a problem spread over sources: alpha and its gradient pass through the driver.
+MOST_ALPHAS = 20_000_000
+
+
+def fit_large(od: DataFrame, population: DataFrame, voters: DataFrame, control: Control = Control(), partitions: int | None = None) -> tuple[DataFrame, list[tuple], bool]:
+    """(alpha table, history, converged) of one problem too large for a task: the same fit, spread over sources.
+
+    A source's weights are normalised over zones, so whole sources are dealt out to partitions, once, and kept
+    as blocks. An epoch is two jobs: alpha goes out and fitted sums by zone come back, then what the loss
+    changes with those goes out and the gradient comes back, both added up in a tree. Only arrays of
+    zones times brackets, checked against MOST_ALPHAS, reach the driver. A lost block is built again from od.
+    """
+    spark = od.sparkSession
+    people = population.groupBy("zone_id", "bracket").agg(F.sum("pop").alias("pop"))
+    if people.count() > MOST_ALPHAS:
+        raise ValueError(f"more than {MOST_ALPHAS} zones times brackets")
+    reach = od.filter(F.col("minutes").isNotNull()).select("zone_id").distinct()
+    table = people.join(reach, "zone_id", "left_semi").toPandas()
+    pop = table.pivot_table(index="zone_id", columns="bracket", values="pop", aggfunc="sum").fillna(0.0).sort_index()
+    names = list(pop.columns)
+    totals = {r.bracket: r.v for r in voters.groupBy("bracket").agg(F.sum("voters").alias("v")).collect()}
+    active = _prepared(pop.to_numpy(float), np.array([float(totals.get(b) or 0.0) for b in names]))
+    used = [b for b, on in zip(names, active) if on]
+    zones = spark.sparkContext.broadcast({z: i for i, z in enumerate(pop.index)})
+    kept, shape = control, (len(pop), len(used))
+    held = voters.filter(F.col("bracket").isin(*used)).groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("bracket", F.col("voters").cast("double")))).alias("c"))
+    pairs = od.filter(F.col("minutes").isNotNull()).select("source_id", "zone_id", F.col("minutes").cast("double").alias("t"))
+    n_sources = held.count()
+    by_source = pairs.groupBy("source_id").agg(F.collect_list("zone_id").alias("z"), F.collect_list("t").alias("t")).join(held, "source_id")
+    by_source = by_source.repartition(partitions or spark.sparkContext.defaultParallelism, "source_id")
+
+    def block(rows):
+        place, columns, shares = zones.value, [], []
+        for r in rows:
+            t = np.full(shape[0], np.nan)
+            t[[place[z] for z in r.z]] = r.t
+            columns.append(t)
+            shares.append([r.c.get(b) or 0.0 for b in used])
+        if columns:
+            t, c = np.array(columns).T, np.array(shares).T
+            mask = np.isfinite(t)
+            yield np.where(mask, _phi(np.where(mask, t, 0.0), kept), 0.0), mask, c
+
+    blocks = by_source.rdd.mapPartitions(block).persist()
+    p = pop.to_numpy(float)[:, active]
+    const = 2 * np.where(p > 0, p * np.log(np.maximum(p, 1e-300)) - p, 0.0).sum()
+
+    def aggregate(w, c):
+        share = c / np.maximum(c.sum(axis=0), 1e-30)
+        return share, np.einsum("bij,bj->ij", w, share)
+
+    def evaluate(alpha, entropy):
+        sent = spark.sparkContext.broadcast(alpha)
+
+        def sums(b):
+            w, v = forward(sent.value, *b)
+            _, agg = aggregate(w, b[2])
+            return np.column_stack([v, agg.sum(axis=1), (agg * np.log(np.maximum(agg, 1e-300))).sum(axis=1)])
+
+        out = blocks.map(sums).treeReduce(np.add)
+        v, rows, q = out[:, :-2], out[:, -2], out[:, -1]
+        f, reached = np.maximum(v, 1e-30), np.maximum(v.sum(axis=1), 1e-30)
+        h = np.where(rows > 0, np.log(np.maximum(rows, 1e-300)) - q / np.maximum(rows, 1e-300), 0.0)
+        deviance = 2 * (f - p * np.log(f)).sum() + const
+        loss = deviance - kept.barrier * np.log(reached).sum() + entropy * h.sum()
+        change = spark.sparkContext.broadcast((2 * (1 - p / f) - (kept.barrier / reached)[:, None], rows, h))
+
+        def gradient(b):
+            phi, mask, c = b
+            dv, rows, h = change.value
+            w, _ = forward(sent.value, *b)
+            dw = dv.T[:, :, None] * c[:, None, :]
+            if entropy:
+                share, agg = aggregate(w, c)
+                part = np.where(rows[:, None] > 0, agg / np.maximum(rows[:, None], 1e-300), 0.0)
+                dw = dw + (-entropy * (np.log(np.maximum(part, 1e-300)) + h[:, None]) / np.maximum(rows[:, None], 1e-300))[None] * share[:, None, :]
+            mean = (w * dw).sum(axis=1, keepdims=True)
+            return -(np.where(mask, phi, 0.0) * w * (dw - mean)).sum(axis=2).T
+
+        grad = blocks.map(gradient).treeReduce(np.add)
+        sent.unpersist()
+        change.unpersist()
+        return loss, deviance, grad, float(np.exp(h.mean()))
+
+    try:
+        alpha, history, converged = _descend(pop.to_numpy(float), active, control, evaluate, n_sources)
+    finally:
+        blocks.unpersist()
+    out = pd.DataFrame(alpha, index=pop.index, columns=names).rename_axis(index="zone_id", columns="bracket").stack().rename("alpha").reset_index()
+    return spark.createDataFrame(out), history, converged
+
+
+def fit_one(od: DataFrame, population: DataFrame, voters: DataFrame, control: Control = Control()) -> DataFrame:
+    """(zone_id, bracket, alpha) of one problem: in one task if it has at most MOST_ELEMENTS, else spread over sources."""
+    n = lambda df, c: df.select(F.count_distinct(c)).first()[0]
+    if n(od, "zone_id") * n(od, "source_id") * n(population, "bracket") > MOST_ELEMENTS:
+        return fit_large(od, population, voters, control)[0]
+    one = lambda df: df.withColumn("problem_id", F.lit(0))
+    out = fit_problems(one(od), one(population), one(voters), control)
+    kinds = {c: population.schema[c].dataType for c in ("zone_id", "bracket")}
+    return out.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()], "alpha")

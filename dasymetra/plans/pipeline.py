@@ -17,6 +17,7 @@ from dasymetra.operators import od as times
 from dasymetra.operators import result as res
 from dasymetra.operators import votes as vt
 from dasymetra.operators import weights as wt
+from dasymetra.plans.common import cut_lineage
 
 NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -71,7 +72,7 @@ def interpolate(zones: DataFrame, sources: DataFrame, od: DataFrame, calibration
     named after the zones' column. variables: source columns, by default all numeric ones that calibrate
     nothing, or else those that do. Zones below ``min_population`` in all brackets together are left out;
     zones that nothing reaches come back with null values. Given ``weights``, nothing is fitted; given
-    alpha, it is used; else it is fitted in one task as one problem. A source none of whose pairs has a time loses its values; ``meta`` counts those.
+    alpha, it is used; else it is fitted, in one task or, if it is too large for that, spread over sources. A source none of whose pairs has a time loses its values; ``meta`` counts those.
     """
     if missing := [z for z, _ in calibration if z not in zones.columns] + [c for _, c in calibration if c not in sources.columns]:
         raise ValueError(f"calibration columns missing: {', '.join(missing)}")
@@ -91,10 +92,8 @@ def interpolate(zones: DataFrame, sources: DataFrame, od: DataFrame, calibration
     fitted_alpha = None
     if weights is None:
         if alpha is None:
-            one = lambda df: df.withColumn("problem_id", F.lit(0))
-            out = ft.fit_problems(one(od), one(population), one(voters), control)
-            fitted_alpha = out.select(F.col("zone_id").cast(zones.schema["zone_id"].dataType).alias("zone_id"), "bracket", "alpha")
-            fitted_alpha = fitted_alpha.persist()  # a fit is not repeated for every table that needs it
+            # a fit is not repeated for every table that needs it
+            fitted_alpha = cut_lineage(ft.fit_one(od, population, voters, control))
         elif isinstance(alpha, DataFrame):
             fitted_alpha = alpha
         else:

@@ -126,3 +126,19 @@ def test_problems_are_fitted_apart(spark):
     assert len(out) == 2 * 6 * 3 and all(r.alpha >= 1 and r.epochs == 60 and not r.converged for r in out)
     expected = ft.fit_arrays(t, pop, src, ft.Control(max_epochs=60))[0]
     assert {(r.zone_id, r.bracket): round(r.alpha, 6) for r in out if r.problem_id == 2} == {(str(i), str(b)): round(float(expected[i, b]), 6) for i in range(6) for b in range(3)}
+
+
+@pytest.mark.parametrize("settings", [{}, {"entropy": 0.5}, {"kernel": "exponential", "alpha_init": 0.2}])
+def test_the_spread_fit_is_the_same_fit(spark, settings):
+    t, pop, src = _problem(2, 7, 5)
+    src[:, 1] = 0
+    rows = lambda a: [(i, j, None if np.isnan(x) else float(x)) for i, r in enumerate(a) for j, x in enumerate(r)]
+    od = spark.createDataFrame(rows(t), "zone_id int, source_id int, minutes double")
+    population = spark.createDataFrame(rows(pop), "zone_id int, bracket int, pop double")
+    voters = spark.createDataFrame(rows(src), "source_id int, bracket int, voters double")
+    control = ft.Control(max_epochs=8, **settings)
+    table, history, _ = ft.fit_large(od, population, voters, control, partitions=3)
+    expected, known, _ = ft.fit_arrays(t, pop, src, control)
+    assert [h[1] for h in history] == pytest.approx([h[1] for h in known])
+    got = {(r.zone_id, r.bracket): r.alpha for r in table.collect()}
+    assert got == pytest.approx({(i, b): expected[i, b] for i in range(7) for b in range(3)})
