@@ -22,13 +22,14 @@ SEED_WEIGHT = 3.0
 
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _TAGS = re.compile(r"</?(?:p|br|b|i|u|em|strong|div|span|h[1-6]|ul|ol|li|tr|td|table)\b[^<>]*>", re.I)
-_HEX = re.compile(r"\b(?=[0-9a-f]*[0-9])[0-9a-f]{6,}\b")
+_HEX = re.compile(r"\b(?=[a-f]{0,9}[0-9])[0-9a-f]{6,}\b")
 _DIGITS = re.compile(r"[0-9]+")
 _SPACE = re.compile(r"\s+")
 #: Where a text is cut into the pieces whose coverage counts.
 _CUT = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|\s*[|;]\s*|(?<=[:：])\s+|\s[–—]\s|\n+")
 _NUMBERING = re.compile(r"^(?:\[0\]|[0/.-]+|/\S+)\s+")
 _WORD = re.compile(r"[^\W\d_]+")
+_MARKED = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(MARKER_WORDS)})(?![^\W\d_])", re.I)
 _MARKERS = {w: chr(0xE000 + n) for n, w in enumerate(MARKER_WORDS)}
 _KEPT_TAGS = r"(?!/?(?:p|br|b|i|u|a|em|strong|div|span|h[1-6]|ul|ol|li|tr|td|th|table|img|sub|sup)\b)"
 #: What an unfilled placeholder looks like in full.
@@ -43,8 +44,11 @@ _PRICE = re.compile(r"(?:paid|cost|for|worth|pagou|pagó|payé|zahlte|custou)\s+
 
 def plain(text: str) -> str:
     """Text as the models read it: lower case, numbers and hexadecimal ids as one sign, markup and invisible characters left out."""
-    text = _TAGS.sub("\n", _INVISIBLE.sub("", text)).lower()
-    return _DIGITS.sub("0", _HEX.sub("h", text))
+    text = _INVISIBLE.sub("", text)
+    if "<" in text:
+        text = _TAGS.sub("\n", text)
+    text = text.lower()
+    return _DIGITS.sub("0", _HEX.sub("h", text)) if _DIGITS.search(text) else text
 
 
 def pieces(text: str) -> list[str]:
@@ -55,8 +59,14 @@ def pieces(text: str) -> list[str]:
 
 def shape(text: str) -> str:
     """Marks without their words: each word becomes one letter, unless it is a marker, and each number one digit."""
-    text = _SPACE.sub(" ", _TAGS.sub(" ", _INVISIBLE.sub("", text)))
-    return " " + _DIGITS.sub("0", _WORD.sub(lambda m: _MARKERS.get(m.group().lower(), "a"), text)) + " "
+    text = _INVISIBLE.sub("", text)
+    if "<" in text:
+        text = _TAGS.sub(" ", text)
+    if _MARKED.search(text):
+        text = _WORD.sub(lambda m: _MARKERS.get(m.group().lower(), "a"), text)
+    else:
+        text = _WORD.sub("a", text)
+    return " " + _SPACE.sub(" ", _DIGITS.sub("0", text)) + " "
 
 
 @dataclass
