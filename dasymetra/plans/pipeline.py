@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -149,3 +150,34 @@ def prepare_sources(profile: DataFrame, votes: DataFrame, places: DataFrame, fal
     rows = ages.join(by_ballot, keys, "left").join(turnout, keys, "left").join(where, keys[:2], "left")
     numbers_ = [*buckets, *[f"CAND_{b}" for b in ballots], "QT_COMPARECIMENTO"]
     return vt.rolled_up(rows, numbers_).withColumnRenamed("id", "source_id"), vt.candidate_dictionary(chosen, F.lit(None).cast("string"))
+
+
+#: What a kind of result consists of, by the names of its columns (fixed values).
+KINDS = {"candidates": "(^|_)CAND_", "parties": "(^|_)PARTY_", "turnout": "^QT_", "demographics": "^(GENERO|EDUC)_"}
+
+
+def resolve_town(crosswalk: DataFrame, wanted: str, uf: str | None = None):
+    """The row (code_ibge, code_tse, uf, nome) of a town given by either code or by name, marks, case and spaces aside; none, or several, are errors that tell which."""
+    w = str(wanted).strip()
+    hit = F.col("code_ibge") == w if w.isdigit() and len(w) == 7 else F.col("code_tse") == w.zfill(5) if w.isdigit() else text.name_key(F.col("nome")) == text.name_key(F.lit(w))
+    found = crosswalk.filter(hit if uf is None else hit & (F.upper(F.trim("uf")) == uf.strip().upper())).orderBy("code_ibge").limit(20).collect()
+    if not found:
+        raise KeyError(f"no town is called {wanted!r}")
+    if len(found) > 1:
+        raise KeyError(f"{wanted!r} may be any of {', '.join(f'{r.nome} ({r.uf}, {r.code_ibge})' for r in found)}; give a state or a code")
+    return found[0]
+
+
+def columns_by_kind(columns: list[str], kinds: list[str]) -> list[str]:
+    """Columns of the given kinds, each once, in the order of the kinds."""
+    if unknown := [k for k in kinds if k not in KINDS]:
+        raise ValueError(f"unknown kinds: {', '.join(unknown)}; known: {', '.join(KINDS)}")
+    return list(dict.fromkeys(c for k in kinds for c in columns if re.search(KINDS[k], c)))
+
+
+def interpolate_town(wanted: str, crosswalk: DataFrame, zones: DataFrame, sources: DataFrame, od: DataFrame, calibration: list[tuple[str, str]], kinds: list[str] = ("candidates",), uf: str | None = None, **settings) -> res.Interpolation:
+    """Interpolate one town of staged tables: zones by code_muni, sources by cod_mun_tse, variables by kind. The filters reach the scans; other settings are those of ``interpolate``."""
+    town = resolve_town(crosswalk, wanted, uf)
+    mine = sources.filter(text.padded(F.col("cod_mun_tse")) == town.code_tse)
+    out = interpolate(zones.filter(F.col("code_muni") == town.code_ibge), mine, od, calibration, columns_by_kind(sources.columns, list(kinds)), **settings)
+    return replace(out, meta={**out.meta, "town": town.asDict(), "kinds": list(kinds)})

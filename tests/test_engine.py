@@ -186,3 +186,18 @@ def test_stream_adds_up_to_the_batch(spark, tmp_path):
     last = spark.read.parquet(str(tmp_path / "out")).groupBy("zone_id").agg(F.max_by("value", "batch").alias("value"))
     batch = incremental.zone_totals(arrivals, weights)
     assert {r.zone_id: r.value for r in last.collect()} == pytest.approx({r.zone_id: r.value for r in batch.collect()})
+
+
+def test_one_town(spark):
+    towns = spark.createDataFrame([("1234567", "00123", "SC", " São Itó "), ("7654321", "00456", "PR", "SAO ITO"), ("1111111", "00789", "SC", None)], "code_ibge string, code_tse string, uf string, nome string")
+    assert pipeline.resolve_town(towns, "são itó", "sc").code_tse == "00123" and pipeline.resolve_town(towns, "123").code_ibge == "1234567" and pipeline.resolve_town(towns, "7654321").uf == "PR"
+    for bad in ("sao ito", "nowhere"):
+        with pytest.raises(KeyError):
+            pipeline.resolve_town(towns, bad)
+    assert pipeline.columns_by_kind(["QT_APTOS", "CAND_1", "A_CAND_2", "PARTY_X", "v"], ["turnout", "candidates", "turnout"]) == ["QT_APTOS", "CAND_1", "A_CAND_2"]
+    with pytest.raises(ValueError):
+        pipeline.columns_by_kind([], ["weather"])
+    zones, sources, od = _setting(spark)
+    zones, sources = zones.withColumn("code_muni", F.lit("1234567")), sources.withColumn("cod_mun_tse", F.when(F.col("pid") == "s1", "123").otherwise("456"))
+    out = pipeline.interpolate_town("123", towns, zones, sources, od, [("pop_a", "v_a")], zone_id="id", source_id="pid", alpha=1.0)
+    assert out.values.agg(F.sum("value")).first()[0] == pytest.approx(10) and out.meta["town"]["uf"] == "SC" and out.meta["variables"] == ["CAND_13"]
