@@ -432,10 +432,10 @@ def dominant_top19_other(s, d):
 
 @query(sql("SELECT zone_id, CAST(row_number() OVER (ORDER BY lat, zone_id) AS INTEGER) AS place, source_id, minutes FROM (SELECT od.*, dense_rank() OVER (ORDER BY zone_id) AS x, CAST(floor(zone_id / 5) AS DOUBLE) + 0.5 AS lat FROM od WHERE source_id = 1)", OD))
 def heatmap_order(s, d):
-    """Tiles of one source's column, zones in order of the latitude of their centre."""
+    """Tiles of all zones and sources, zones in order of the latitude of their centre."""
     order = px.unit_squares(s, d).select("zone_id", sp.centroid(F.col("ring"))["y"].alias("lat"))
     place = times.ranked(order.withColumn("one", F.lit(1)), ["one"], [F.col("lat"), F.col("zone_id")], "place").select("zone_id", "place")
-    return px.od(s, d).filter("source_id = 1").join(F.broadcast(place), "zone_id").select("zone_id", "place", "source_id", "minutes")
+    return px.od(s, d).join(F.broadcast(place), "zone_id").select("zone_id", "place", "source_id", "minutes")
 
 
 @query(sql("""SELECT source_id, round(sum(w), 6) AS total, count(*) FILTER (rank = 1) AS n_dominant, round(sum(w * minutes) / sum(w), 4) AS mean_minutes, round(sum(w) / sum(sum(w)) OVER (), 6) AS share
