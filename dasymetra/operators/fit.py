@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 class Control:
     """Settings of a fit. alpha_min None: 1 for the power kernel, 0 for the exponential one. target_sources sets the entropy weight by dual ascent."""
 
-    max_epochs: int = 2000
+    max_epochs: int = 50_000
     rate: float = 0.05
     tol: float = 1e-6
     patience: int = 50
@@ -45,6 +45,7 @@ class Control:
 
 #: Numbers of zones times sources times brackets that one problem may have in a single task.
 MOST_ELEMENTS = 50_000_000
+HISTORY = ["epoch", "loss", "deviance", "gradient", "sources", "entropy", "converged"]
 
 
 def forward(alpha: np.ndarray, phi: np.ndarray, mask: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,8 +58,11 @@ def forward(alpha: np.ndarray, phi: np.ndarray, mask: np.ndarray, c: np.ndarray)
     return w, np.einsum("bij,bj->ib", w, c)
 
 
-def loss_and_gradient(alpha, phi, mask, c, pop, barrier, entropy):
-    """(loss, deviance, gradient by alpha, effective sources): the gradient is exact, the entropy's share included."""
+def loss_and_gradient(alpha, phi, mask, c, pop, barrier, entropy, pull=None):
+    """(loss, deviance, gradient by alpha, effective sources): the gradient is exact, the entropy's share included.
+
+    pull: (strength, target) of a quadratic penalty on the mean entropy's distance from the target.
+    """
     w, v = forward(alpha, phi, mask, c)
     f = np.maximum(v, 1e-30)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -75,8 +79,9 @@ def loss_and_gradient(alpha, phi, mask, c, pop, barrier, entropy):
     p = np.divide(agg, sums, out=np.zeros_like(agg), where=sums > 0)
     logp = np.log(np.maximum(p, 1e-300))
     h = -(p * logp).sum(axis=1)
+    penalty, entropy = _entropy_penalty(h, entropy, pull)
+    loss += penalty
     if entropy:
-        loss += entropy * h.sum()
         dagg = np.divide(-entropy * (logp + h[:, None]), sums, out=np.zeros_like(agg), where=sums > 0)
         dw = dw + dagg[None] * share[:, None, :]
     mean = (w * dw).sum(axis=1, keepdims=True)
@@ -84,6 +89,15 @@ def loss_and_gradient(alpha, phi, mask, c, pop, barrier, entropy):
     return loss, deviance, grad, float(np.exp(h.mean()))
 
 
+def _entropy_penalty(h: np.ndarray, entropy: float, pull) -> tuple[float, float]:
+    """What entropies by zone add to the loss, and the weight of each in the gradient."""
+    if pull is None:
+        return entropy * h.sum(), entropy
+    strength, target = pull
+    gap = h.mean() - target
+    return entropy * h.sum() + strength / 2 * len(h) * gap * gap, entropy + strength * gap
+
+
 def _prepared(pop: np.ndarray, source_totals: np.ndarray) -> np.ndarray:
     """Which brackets both sides hold at least one half of."""
     return (pop.sum(axis=0) >= 0.5) & (source_totals >= 0.5)
@@ -95,7 +109,7 @@ def fit_arrays(t: np.ndarray, pop: np.ndarray, src: np.ndarray, control: Control
     phi = np.where(mask, _phi(np.where(mask, t, 0.0), control), 0.0)
     active = _prepared(pop, src.sum(axis=0))
     c, p = src[:, active].T.astype(float), pop[:, active].astype(float)
-    return _descend(pop, active, control, lambda alpha, entropy: loss_and_gradient(alpha, phi, mask, c, p, control.barrier, entropy), len(src))
+    return _descend(pop, active, control, lambda alpha, entropy, pull: loss_and_gradient(alpha, phi, mask, c, p, control.barrier, entropy, pull), len(src))
 
 
 def _phi(t: np.ndarray, control: Control) -> np.ndarray:
@@ -103,60 +117,94 @@ def _phi(t: np.ndarray, control: Control) -> np.ndarray:
 
 
 def _descend(pop: np.ndarray, active: np.ndarray, control: Control, evaluate, n_sources: int):
-    """Adam with restarts on what ``evaluate(alpha, entropy)`` gives: loss, deviance, gradient and effective sources."""
+    """Adam on what ``evaluate(alpha, entropy, pull)`` gives: loss, deviance, gradient and effective sources.
+
+    Without target_sources the rate falls in cycles and restarts, and the epoch of least loss is the result. With it
+    the rate is constant, the entropy weight follows an augmented Lagrangian, and the result is the last epoch if the
+    fit converged, else the one of least deviance near the target. Converged: ten epochs with a relative gradient
+    below 1e-4, or no change over ``patience`` epochs once the rate is below a tenth of the first; both only while
+    the loss, the entropy weight and the trend of the deviance are steady.
+    """
     alpha = np.ones_like(pop, dtype=float)
     if not active.any():
         return alpha, [], True
     p = pop[:, active]
-    lowest = control.lowest
+    lowest, target = control.lowest, control.target_sources
     start = max(control.alpha_init - lowest, 1e-3)
     rng = np.random.default_rng(control.seed + len(pop) * 7919 + int(active.sum()) * 104729)
     theta = np.log(np.expm1(start)) + rng.normal(0, 0.1, p.shape)
     m, v, step = np.zeros_like(theta), np.zeros_like(theta), 0
-    entropy, smooth, history = control.entropy, None, []
-    best, best_loss, converged, calm = None, np.inf, False, 0
-    least_epochs = max(3 * control.patience, 500)
+    adaptive = target is not None
+    pull = (n_sources, np.log(target)) if adaptive else None
+    entropy = control.entropy if control.entropy > 0 or not adaptive else n_sources / target
+    smooth, history, weights, a = None, [], [], None
+    best, best_value, converged, calm = None, np.inf, False, 0
+    least_epochs, back = max(3 * control.patience, 500), control.patience
     cycle_start, cycle_length, peak = 0, 500, control.rate
+    steady = lambda now, before: abs(before) > 1e-10 and abs(now - before) / abs(before) < np.sqrt(control.tol)
     for epoch in range(1, control.max_epochs + 1):
-        a = lowest + np.logaddexp(0, theta)
-        loss, deviance, grad, sources = evaluate(a, entropy)
+        tried = lowest + np.logaddexp(0, theta)
+        loss, deviance, grad, sources = evaluate(tried, entropy, pull)
         if not np.isfinite(loss):
             break
+        a = tried
         g = grad / (1 + np.exp(-theta))
         norm = float(np.sqrt((g * g).sum()))
-        near = control.target_sources is None or abs(sources - control.target_sources) <= 0.05 * control.target_sources
-        if near and loss < best_loss:
-            best, best_loss = a, loss
+        near = not adaptive or abs(sources - target) < 0.2 * target
+        value = deviance if adaptive else loss
+        if near and value < best_value:
+            best, best_value = a, value
         history.append((epoch, float(loss), float(deviance), norm, sources, float(entropy)))
         if norm > 1:
             g = g / norm
-        if epoch - 1 >= cycle_start + cycle_length:
-            cycle_start, cycle_length, peak = cycle_start + cycle_length, cycle_length * 2, peak * 0.7
-            m, v, step = np.zeros_like(theta), np.zeros_like(theta), 0
-        rate = peak * (0.01 + 0.99 * 0.5 * (1 + np.cos(np.pi * (epoch - 1 - cycle_start) / cycle_length)))
+        rate = control.rate if adaptive else _rate(peak, epoch - 1 - cycle_start, cycle_length)
         step += 1
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        if control.target_sources is not None:
+        if adaptive:
             smooth = sources if smooth is None else 0.95 * smooth + 0.05 * sources
-            gap = np.log(smooth) - np.log(control.target_sources)
-            entropy = float(np.clip(entropy + n_sources * gap / 100, 0.01, 1000.0))
-        if epoch > least_epochs:
-            before = history[-1 - control.patience][1]
-            calm = calm + 1 if norm <= 1e-4 * max(1.0, abs(loss)) else 0
-            if near and (calm >= 10 or abs(loss - before) <= control.tol * max(1.0, abs(before))):
-                converged = True
-                break
-    alpha[:, active] = best if best is not None else lowest + np.logaddexp(0, theta)
+            entropy = float(np.clip(entropy + n_sources / cycle_length * (np.log(sources) - np.log(target)), 0.01, 1000.0))
+        elif epoch >= cycle_start + cycle_length:
+            cycle_start, cycle_length, peak, calm = cycle_start + cycle_length, cycle_length * 2, peak * 0.7, 0
+            m, v, step = np.zeros_like(theta), np.zeros_like(theta), 0
+        weights.append(entropy)
+        if epoch < least_epochs or epoch <= back:
+            continue
+        before = history[-1 - back]
+        off = abs(smooth - target) / target if adaptive else 0.0
+        gates = steady(loss, before[1]) and (not adaptive or (steady(entropy, weights[-1 - back]) and _falling(history)))
+        calm = calm + 1 if gates and off < 0.05 and norm / (1 + np.sqrt((theta * theta).sum())) < 1e-4 else 0
+        fine = adaptive or _rate(peak, epoch - cycle_start, cycle_length) < 0.1 * control.rate
+        then, now = (before[2], deviance) if adaptive else (before[1], loss)
+        still = abs(then) > 1e-10 and abs(then - now) / abs(then) < control.tol
+        if calm >= 10 or (gates and fine and off < 0.2 and still):
+            converged = True
+            break
+    if (adaptive and converged) or best is None:
+        best = a if a is not None else lowest + np.logaddexp(0, theta)
+    alpha[:, active] = best
     alpha[~np.isfinite(alpha)] = 1.0
     return alpha, history, converged
 
 
-def fit_problems(od: DataFrame, population: DataFrame, voters: DataFrame, control: Control = Control()) -> DataFrame:
+def _rate(peak: float, done: int, length: int) -> float:
+    return peak * (0.01 + 0.99 * 0.5 * (1 + np.cos(np.pi * done / length)))
+
+
+def _falling(history: list[tuple]) -> bool:
+    """Whether the mean deviance of the last 100 epochs is not above that of 400 epochs before."""
+    if len(history) <= 500:
+        return True
+    mean = lambda rows: sum(r[2] for r in rows) / len(rows)
+    return mean(history[-100:]) <= 1.01 * mean(history[-500:-400])
+
+
+def fit_problems(od: DataFrame, population: DataFrame, voters: DataFrame, control: Control = Control(), trace: bool = False) -> DataFrame:
     """(problem_id, zone_id, bracket, alpha, epochs, deviance, converged): each problem fitted in a task of its own, all problems at once.
 
     od, population and voters carry problem_id besides their keys. Zones without a reachable source have no alpha.
-    A problem of more than MOST_ELEMENTS is an error that names it, before any task runs out of memory.
+    A problem of more than MOST_ELEMENTS is an error that names it, before any task runs out of memory. With ``trace``
+    rows of HISTORY follow, one per epoch, without a zone.
     """
     counts = lambda df, c: df.groupBy("problem_id").agg(F.count_distinct(c).alias(c))
     sizes = counts(od, "zone_id").join(counts(od, "source_id"), "problem_id").join(counts(population, "bracket"), "problem_id")
@@ -168,20 +216,33 @@ def fit_problems(od: DataFrame, population: DataFrame, voters: DataFrame, contro
     rows = rows.unionByName(population.select("problem_id", F.lit("p").alias("kind"), F.col("zone_id").cast(s).alias("a"), F.col("bracket").cast(s).alias("b"), F.col("pop").cast(d).alias("x")))
     rows = rows.unionByName(voters.select("problem_id", F.lit("s").alias("kind"), F.col("source_id").cast(s).alias("a"), F.col("bracket").cast(s).alias("b"), F.col("voters").cast(d).alias("x")))
     settings = asdict(control)
+    kind = od.schema["problem_id"].dataType.simpleString()
+    fields = f"problem_id {kind}, zone_id string, bracket string, alpha double, epochs int, deviance double, converged boolean"
+    if trace:
+        fields += ", epoch int, loss double, gradient double, sources double, entropy double"
+    names = [f.split()[0] for f in fields.split(", ")]
 
     def solve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         part = {k: g for k, g in frame.groupby("kind")}
         if set(part) != {"t", "p", "s"}:
-            return pd.DataFrame(columns=["problem_id", "zone_id", "bracket", "alpha", "epochs", "deviance", "converged"])
+            return pd.DataFrame(columns=names)
         t = part["t"].pivot_table(index="a", columns="b", values="x", aggfunc="first")
         pop = part["p"].pivot_table(index="a", columns="b", values="x", aggfunc="sum").reindex(t.index).fillna(0.0)
         src = part["s"].pivot_table(index="a", columns="b", values="x", aggfunc="sum").reindex(index=t.columns, columns=pop.columns).fillna(0.0)
         alpha, history, converged = fit_arrays(t.to_numpy(float), pop.to_numpy(float), src.to_numpy(float), Control(**settings))
         out = pd.DataFrame(alpha, index=t.index, columns=pop.columns).rename_axis(index="zone_id", columns="bracket").stack().rename("alpha").reset_index()
-        return out.assign(problem_id=key[0], epochs=len(history), deviance=history[-1][2] if history else 0.0, converged=converged)[["problem_id", "zone_id", "bracket", "alpha", "epochs", "deviance", "converged"]]
+        out = out.assign(problem_id=key[0], epochs=len(history), deviance=history[-1][2] if history else 0.0, converged=converged)
+        if trace:
+            out = pd.concat([out, _history(history, converged).assign(problem_id=key[0])]) if history else out
+        return out.reindex(columns=names)
 
-    kind = od.schema["problem_id"].dataType.simpleString()
-    return rows.groupBy("problem_id").applyInPandas(solve, f"problem_id {kind}, zone_id string, bracket string, alpha double, epochs int, deviance double, converged boolean")
+    return rows.groupBy("problem_id").applyInPandas(solve, fields)
+
+
+def _history(history: list[tuple], converged: bool) -> pd.DataFrame:
+    """One row per epoch; converged only in the last, if the fit did."""
+    out = pd.DataFrame(history, columns=HISTORY[:-1])
+    return out.assign(converged=(out["epoch"] == len(history)) & converged)
 
 
 #: Numbers of zones times brackets of a problem spread over sources: alpha and its gradient pass through the driver.
@@ -235,7 +296,7 @@ def fit_large(od: DataFrame, population: DataFrame, voters: DataFrame, control:
         share = c / np.maximum(c.sum(axis=0), 1e-30)
         return share, np.einsum("bij,bj->ij", w, share)
 
-    def evaluate(alpha, entropy):
+    def evaluate(alpha, entropy, pull):
         sent = spark.sparkContext.broadcast(alpha)
 
         def sums(b):
@@ -248,7 +309,8 @@ def fit_large(od: DataFrame, population: DataFrame, voters: DataFrame, control:
         f, reached = np.maximum(v, 1e-30), np.maximum(v.sum(axis=1), 1e-30)
         h = np.where(rows > 0, np.log(np.maximum(rows, 1e-300)) - q / np.maximum(rows, 1e-300), 0.0)
         deviance = 2 * (f - p * np.log(f)).sum() + const
-        loss = deviance - kept.barrier * np.log(reached).sum() + entropy * h.sum()
+        penalty, entropy = _entropy_penalty(h, entropy, pull)
+        loss = deviance - kept.barrier * np.log(reached).sum() + penalty
         change = spark.sparkContext.broadcast((2 * (1 - p / f) - (kept.barrier / reached)[:, None], rows, h))
 
         def gradient(b):
@@ -276,12 +338,17 @@ def fit_large(od: DataFrame, population: DataFrame, voters: DataFrame, control:
     return spark.createDataFrame(out), history, converged
 
 
-def fit_one(od: DataFrame, population: DataFrame, voters: DataFrame, control: Control = Control()) -> DataFrame:
-    """(zone_id, bracket, alpha) of one problem: in one task if it has at most MOST_ELEMENTS, else spread over sources."""
+def fit_one(od: DataFrame, population: DataFrame, voters: DataFrame, control: Control = Control(), keep=lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """(zone_id, bracket, alpha) of one problem and its HISTORY: in one task if it has at most MOST_ELEMENTS, else spread over sources.
+
+    Both come from one table, which ``keep`` may hold on to, so that the fit is not repeated.
+    """
     n = lambda df, c: df.select(F.count_distinct(c)).first()[0]
     if n(od, "zone_id") * n(od, "source_id") * n(population, "bracket") > MOST_ELEMENTS:
-        return fit_large(od, population, voters, control)[0]
+        alpha, history, converged = fit_large(od, population, voters, control)
+        kinds = "epoch int, loss double, deviance double, gradient double, sources double, entropy double, converged boolean"
+        return keep(alpha), od.sparkSession.createDataFrame(_history(history, converged), kinds)
     one = lambda df: df.withColumn("problem_id", F.lit(0))
-    out = fit_problems(one(od), one(population), one(voters), control)
+    out = keep(fit_problems(one(od), one(population), one(voters), control, trace=True))
     kinds = {c: population.schema[c].dataType for c in ("zone_id", "bracket")}
-    return out.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()], "alpha")
+    return out.filter("epoch IS NULL").select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()], "alpha"), out.filter("epoch IS NOT NULL").select(*HISTORY)

@@ -16,7 +16,7 @@ QUANTITIES = ("absolute", "pct_tract", "pct_muni", "pct_valid", "pct_eligible",
 
 @dataclass
 class Interpolation:
-    """The tables of one interpolation, all long: zones' values, weights, alpha, fitted brackets and the dictionary of variables."""
+    """The tables of one interpolation, all long: zones' values, weights, alpha, fitted brackets, the dictionary of variables and the fit by epoch."""
 
     values: DataFrame
     weights: DataFrame
@@ -24,6 +24,7 @@ class Interpolation:
     alpha: DataFrame | None = None
     dictionary: DataFrame | None = None
     meta: dict[str, Any] = field(default_factory=dict)
+    history: DataFrame | None = None
 
 
 def quantity(value: Column, kind: str, turnout: Column | None = None, blank: Column | None = None, null: Column | None = None, eligible: Column | None = None, km2: Column | None = None) -> Column:

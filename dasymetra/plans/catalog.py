@@ -555,12 +555,12 @@ def _problems(s, d):
 
 @query()
 def fit_alpha(s, d):
-    return ft.fit_problems(*_problems(s, d), ft.Control(max_epochs=600)).select("problem_id", "zone_id", "bracket", r4("alpha"), "epochs", "converged")
+    return ft.fit_problems(*_problems(s, d), ft.Control()).select("problem_id", "zone_id", "bracket", r4("alpha"), "epochs", "converged")
 
 
 @query()
 def fit_target_eff_src(s, d):
-    return ft.fit_problems(*_problems(s, d), ft.Control(max_epochs=600, target_sources=4.0)).select("problem_id", "zone_id", "bracket", r4("alpha"), "epochs", "converged")
+    return ft.fit_problems(*_problems(s, d), ft.Control(target_sources=4.0)).select("problem_id", "zone_id", "bracket", r4("alpha"), "epochs", "converged")
 
 
 @query(sql("SELECT 'minutes' AS table_name, count(*) - count(minutes) AS n_null, count(*) FILTER (isnan(minutes)) AS n_nan, count(*) FILTER (minutes < 0) AS n_negative FROM od", OD))

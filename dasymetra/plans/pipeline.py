@@ -90,11 +90,11 @@ def interpolate(zones: DataFrame, sources: DataFrame, od: DataFrame, calibration
         variables = numeric_columns(sources, ["source_id", *names]) or list(names)
     values = long(sources, "source_id", variables, "variable", "value")
     brackets = wt.active_brackets(population, voters)
-    fitted_alpha = None
+    fitted_alpha = history = None
     if weights is None:
         if alpha is None:
             # a fit is not repeated for every table that needs it
-            fitted_alpha = cut_lineage(ft.fit_one(od, population, voters, control))
+            fitted_alpha, history = ft.fit_one(od, population, voters, control, cut_lineage)
         elif isinstance(alpha, DataFrame):
             fitted_alpha = alpha
         else:
@@ -105,7 +105,7 @@ def interpolate(zones: DataFrame, sources: DataFrame, od: DataFrame, calibration
     else:
         fit = weights.join(voters, "source_id").groupBy("zone_id", "bracket").agg(F.sum(F.col("w") * F.col("voters")).alias("fitted"))
     meta = {"calibration": [list(c) for c in calibration], "variables": variables, "kernel": control.kernel, "offset": control.offset}
-    return res.Interpolation(wt.interpolated(weights, values, zones), weights, fit, fitted_alpha, dictionary, meta)
+    return res.Interpolation(wt.interpolated(weights, values, zones), weights, fit, fitted_alpha, dictionary, meta, history)
 
 
 def reinterpolate(result: res.Interpolation, sources: DataFrame, variables: list[str], source_id: str = "source_id") -> res.Interpolation:
@@ -129,7 +129,7 @@ def classes(result: res.Interpolation, wanted: str, method: str | list[float] =
 def diagnose(result: res.Interpolation, population: DataFrame, voters: DataFrame, od: DataFrame) -> DataFrame:
     if result.alpha is None:
         raise ValueError("an interpolation with given weights has no alpha to judge")
-    return dg.checks(result.fitted, population, voters, od, result.alpha)
+    return dg.checks(result.fitted, population, voters, od, result.alpha, result.history)
 
 
 def prepare_sources(profile: DataFrame, votes: DataFrame, places: DataFrame, fallback: DataFrame | None, ballots: list[str], buckets: list[str], numbers: list[str] = (), names: list[str] = ()) -> tuple[DataFrame, DataFrame]:

@@ -3,9 +3,12 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__
+from dasymetra.operators import fit as ft
+from dasymetra.plans import pipeline
 
 FOLDER = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -27,3 +30,54 @@ def test_heatmap_has_every_zone_and_source(spark):
     rows = _rows(spark, "heatmap_order", "zone_id", "place", "source_id", "minutes")
     assert rows == _sql("""WITH p AS (SELECT n_nationkey AS zone_id, CAST(row_number() OVER (ORDER BY n_nationkey // 5, n_nationkey) AS INTEGER) AS place FROM nation)
       SELECT zone_id, place, s_suppkey, CASE WHEN (zone_id * 31 + s_suppkey * 17) % 11 > 0 THEN CAST(abs(zone_id - s_nationkey) * 3 + s_suppkey % 7 + 1 AS DOUBLE) END FROM p, supplier""")
+
+
+def _course(control, evaluate):
+    """Converged and number of epochs of a fit of one zone and bracket in which evaluate(epoch) gives loss, deviance, gradient and sources."""
+    seen = []
+
+    def next_one(alpha, *_):
+        seen.append(1)
+        loss, deviance, gradient, sources = evaluate(len(seen))
+        return loss, deviance, np.full_like(alpha, gradient * (-1) ** len(seen)), sources
+
+    _, history, converged = ft._descend(np.ones((1, 1)), np.array([True]), control, next_one, 5)
+    return converged, len(history)
+
+
+def test_a_gradient_is_judged_by_theta_and_the_window_only_at_low_rates():
+    assert ft.Control().max_epochs == 50_000
+    assert _course(ft.Control(max_epochs=700), lambda e: (50_000.0, 50_000.0, 4.0, 1.0)) == (False, 700)
+    converged, epochs = _course(ft.Control(max_epochs=3000), lambda e: (50_000.0, 50_000.0, 4.0, 1.0))
+    assert converged and 1200 < epochs < 1500
+    assert _course(ft.Control(max_epochs=700), lambda e: (5.0, 5.0, 1e-9, 1.0)) == (True, 509)
+
+
+@pytest.mark.parametrize("evaluate, expected", [
+    (lambda e: (50.0, 50.0, 1e-9, 4.0), True),
+    (lambda e: (50.0, 50.0, 1e-9, 4.1), False),
+    (lambda e: (50.0, 50.0 * 1.0002**e, 1e-9, 4.0), False),
+    (lambda e: (50.0 * 1.001**e, 50.0, 1e-9, 4.0), False),
+])
+def test_a_target_needs_a_steady_loss_weight_and_deviance(evaluate, expected):
+    assert _course(ft.Control(max_epochs=650, target_sources=4.0, entropy=1.0), evaluate)[0] is expected
+
+
+def test_the_gradient_of_the_pull_agrees_with_differences():
+    r = np.random.default_rng(5)
+    t, pop, src = r.uniform(1, 30, (6, 4)), r.uniform(20, 80, (6, 3)), r.uniform(50, 150, (4, 3))
+    a, loss = r.uniform(1, 3, pop.shape), lambda x: ft.loss_and_gradient(x, np.log(t + 1), t > 0, src.T, pop, 1.0, 0.4, (4, np.log(2.0)))
+    gradient, e = loss(a)[2], np.zeros_like(a)
+    e[2, 1] = 1e-5
+    assert abs((loss(a + e)[0] - loss(a - e)[0]) / 2e-5 - gradient[2, 1]) < 1e-5
+
+
+def test_an_interpolation_keeps_the_course_of_its_fit(spark):
+    zones = spark.createDataFrame([(1, 30.0), (2, 50.0), (3, 20.0)], "zone_id int, pop double")
+    sources = spark.createDataFrame([(1, 60.0, 5.0), (2, 40.0, 7.0)], "source_id int, v double, x double")
+    od = spark.createDataFrame([(z, s, float(3 * abs(z - s) + 1)) for z in (1, 2, 3) for s in (1, 2)], "zone_id int, source_id int, minutes double")
+    out = pipeline.interpolate(zones, sources, od, [("pop", "v")], control=ft.Control(max_epochs=30))
+    assert [r.epoch for r in out.history.orderBy("epoch").collect()] == list(range(1, 31)) and not out.history.filter("converged").count()
+    population, voters = zones.selectExpr("zone_id", "'pop' bracket", "pop"), sources.selectExpr("source_id", "'pop' bracket", "v voters")
+    checks = {r["check"]: r.status for r in pipeline.diagnose(out, population, voters, od).collect()}
+    assert checks["convergence"] == "warn"
