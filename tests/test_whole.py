@@ -1,12 +1,15 @@
 """Queries that once left out part of their input, against SQL over all of it; the operators behind them against brute force."""
 
+import itertools
 import os
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from dasymetra.functions import breaks as brk
 from dasymetra.operators import fit as ft
 from dasymetra.plans import pipeline
 
@@ -81,3 +84,27 @@ def test_an_interpolation_keeps_the_course_of_its_fit(spark):
     population, voters = zones.selectExpr("zone_id", "'pop' bracket", "pop"), sources.selectExpr("source_id", "'pop' bracket", "v voters")
     checks = {r["check"]: r.status for r in pipeline.diagnose(out, population, voters, od).collect()}
     assert checks["convergence"] == "warn"
+
+
+def test_natural_breaks_are_the_least_of_all_groupings():
+    r = np.random.default_rng(7)
+    for n in (1, 2, 3, 4, 9):
+        x = sorted({float(v) for v in r.integers(0, 60, 8)})
+        counts = r.integers(1, 9, len(x)).tolist()
+        within = lambda a, b: float(np.cov(x[a:b], fweights=counts[a:b], bias=True)) * sum(counts[a:b]) if b - a > 1 else 0.0
+        groups = [(0, *c, len(x)) for c in itertools.combinations(range(1, len(x)), min(n, len(x)) - 1)]
+        loss = {tuple(sorted({x[0], *[x[e - 1] for e in g[1:]]})): sum(within(a, b) for a, b in zip(g, g[1:])) for g in groups}
+        assert loss[tuple(brk.natural(x, n, counts))] == pytest.approx(min(loss.values()))
+
+
+def test_breaks_weigh_values_and_lose_no_small_group(spark):
+    few = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 10, 11, 12, 50)], "v double")
+    assert brk.breaks(few, "v", "jenks", 3) == [1, 3, 12, 50]
+    many = spark.range(50_000).select((F.col("id") / 50_000).alias("v")).union(spark.createDataFrame([(500.0,)] * 3 + [(1000.0,)] * 4, "v double"))
+    assert brk.breaks(many, "v", "jenks", 3) == [0.0, pytest.approx(49_999 / 50_000), 500.0, 1000.0]
+
+
+def test_too_many_distinct_values_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(brk, "JENKS_VALUES", 5)
+    with pytest.raises(ValueError, match="distinct"):
+        brk.breaks(spark.range(6).select(F.col("id").cast("double").alias("v")), "v", "jenks", 3)
