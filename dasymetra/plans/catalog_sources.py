@@ -372,7 +372,7 @@ def election_date_fallback(s, d):
 @query("""SELECT code_ibge, array_to_string(list_transform(string_split_regex(lower(trim(nome)), '\\s+'), lambda w: CASE WHEN w IN ('de', 'da', 'do', 'das', 'dos', 'e') THEN w ELSE upper(substr(w, 1, 1)) || substr(w, 2) END), ' ') AS name
   FROM muni_crosswalk WHERE regexp_full_match(nome, '[A-Za-zÀ-ÿ ]*')""")
 def title_case(s, d):
-    return table(s, d, "muni_crosswalk").filter(F.col("nome").rlike("^[A-Za-zÀ-ÿ ]*$")).select("code_ibge", text.title_case(F.col("nome")).alias("name"))
+    return table(s, d, "muni_crosswalk").select("code_ibge", text.title_case(F.col("nome")).alias("name"))
 
 
 @query("""SELECT DISTINCT column_name, CASE WHEN regexp_matches(column_name, '(^|_)CAND_[0-9]+$') THEN 'candidate' WHEN regexp_matches(column_name, '(^|_)PARTY_.+$') THEN 'party' WHEN column_name LIKE 'QT\\_%' ESCAPE '\\' THEN 'turnout'

@@ -2,6 +2,7 @@
 
 import itertools
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -108,3 +109,17 @@ def test_too_many_distinct_values_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(brk, "JENKS_VALUES", 5)
     with pytest.raises(ValueError, match="distinct"):
         brk.breaks(spark.range(6).select(F.col("id").cast("double").alias("v")), "v", "jenks", 3)
+
+
+def _title(name):
+    words = re.split(r"[ \t\n\x0b\f\r]+", name.strip(" ").lower())
+    return " ".join(w if w in ("de", "da", "do", "das", "dos", "e") else w[:1].upper() + w[1:] for w in words)
+
+
+@tables
+def test_title_case_takes_every_name(spark):
+    names = dict(_sql("SELECT code_ibge, nome FROM muni_crosswalk"))
+    rows = _rows(spark, "title_case", "code_ibge", "name")
+    assert len(rows) == _sql("SELECT count(*) FROM muni_crosswalk")[0][0]
+    assert dict(rows) == {k: None if v is None else _title(v) for k, v in names.items()}
+    assert "Aruçaba D'oeste" in dict(rows).values()
