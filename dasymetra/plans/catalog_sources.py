@@ -227,13 +227,13 @@ def candidate_pivot(s, d):
 
 
 MULTI = [f"{o}_CAND_{b}" for o in ("A", "R") for b in BALLOTS]
+EVERY_OFFICE = [f"{o}_CAND_{b}" for o in ("A", "N", "R") for b in BALLOTS]
 
 
 @query(sql(_pivot_sql("section", "office || '_CAND_' || CAST(ballot AS VARCHAR)", "votes", MULTI, "(SELECT * FROM votes WHERE office IN ('A', 'R'))"), VOTES))
 def candidate_pivot_multi_office(s, d):
     """Several offices in one pivot over the rows of all, in place of one outer join for each."""
-    rows = px.votes(s, d).filter("office IN ('A', 'R')")
-    return vt.wide(rows, ["section"], F.concat("office", F.lit("_CAND_"), F.col("ballot").cast("string")), F.col("votes"), MULTI)
+    return vt.wide(px.votes(s, d), ["section"], F.concat("office", F.lit("_CAND_"), F.col("ballot").cast("string")), F.col("votes"), EVERY_OFFICE)
 
 
 @query(sql(_pivot_sql("section", "replace(upper(party), '#', '_')", "votes", BRANDS, "(SELECT * FROM votes WHERE ballot NOT IN (95, 96))", "PARTY_"), VOTES))

@@ -123,3 +123,12 @@ def test_title_case_takes_every_name(spark):
     assert len(rows) == _sql("SELECT count(*) FROM muni_crosswalk")[0][0]
     assert dict(rows) == {k: None if v is None else _title(v) for k, v in names.items()}
     assert "Aruçaba D'oeste" in dict(rows).values()
+
+
+@tables
+def test_multi_office_pivot_holds_every_vote(spark):
+    rows = __spark_entry__.queries()["candidate_pivot_multi_office"](spark, FOLDER).collect()
+    got = {(r.section, c): v for r in rows for c, v in r.asDict().items() if c != "section" and v}
+    expected = _sql("""SELECT l_suppkey, l_returnflag || '_CAND_' || (l_partkey % 97), CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS v FROM lineitem
+      JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL HAVING v <> 0""")
+    assert got == {(s, c): v for s, c, v in expected} and any(c.startswith("N_") for _, c in got)
