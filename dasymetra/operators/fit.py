@@ -265,6 +265,7 @@ def fit_large(od: DataFrame, population: DataFrame, voters: DataFrame, control:
     table = people.join(reach, "zone_id", "left_semi").toPandas()
     pop = table.pivot_table(index="zone_id", columns="bracket", values="pop", aggfunc="sum").fillna(0.0).sort_index()
     names = list(pop.columns)
+    voters = voters.join(od.filter(F.col("minutes").isNotNull()).select("source_id").distinct(), "source_id", "left_semi")
     totals = {r.bracket: r.v for r in voters.groupBy("bracket").agg(F.sum("voters").alias("v")).collect()}
     active = _prepared(pop.to_numpy(float), np.array([float(totals.get(b) or 0.0) for b in names]))
     used = [b for b, on in zip(names, active) if on]
@@ -272,8 +273,8 @@ def fit_large(od: DataFrame, population: DataFrame, voters: DataFrame, control:
     kept, shape = control, (len(pop), len(used))
     held = voters.filter(F.col("bracket").isin(*used)).groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("bracket", F.col("voters").cast("double")))).alias("c"))
     pairs = od.filter(F.col("minutes").isNotNull()).select("source_id", "zone_id", F.col("minutes").cast("double").alias("t"))
-    n_sources = held.count()
-    by_source = pairs.groupBy("source_id").agg(F.collect_list("zone_id").alias("z"), F.collect_list("t").alias("t")).join(held, "source_id")
+    n_sources = pairs.select("source_id").distinct().count()
+    by_source = pairs.groupBy("source_id").agg(F.collect_list("zone_id").alias("z"), F.collect_list("t").alias("t")).join(held, "source_id", "left")
     by_source = by_source.repartition(partitions or spark.sparkContext.defaultParallelism, "source_id")
 
     def block(rows):
@@ -282,7 +283,7 @@ def fit_large(od: DataFrame, population: DataFrame, voters: DataFrame, control:
             t = np.full(shape[0], np.nan)
             t[[place[z] for z in r.z]] = r.t
             columns.append(t)
-            shares.append([r.c.get(b) or 0.0 for b in used])
+            shares.append([(r.c or {}).get(b) or 0.0 for b in used])
         if columns:
             t, c = np.array(columns).T, np.array(shares).T
             mask = np.isfinite(t)

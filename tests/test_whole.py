@@ -132,3 +132,19 @@ def test_multi_office_pivot_holds_every_vote(spark):
     expected = _sql("""SELECT l_suppkey, l_returnflag || '_CAND_' || (l_partkey % 97), CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS v FROM lineitem
       JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL HAVING v <> 0""")
     assert got == {(s, c): v for s, c, v in expected} and any(c.startswith("N_") for _, c in got)
+
+
+def test_the_spread_fit_leaves_out_sources_that_nothing_reaches(spark):
+    r = np.random.default_rng(2)
+    t, pop, src = r.uniform(1, 30, (7, 6)), r.uniform(20, 80, (7, 3)), r.uniform(50, 150, (6, 3))
+    t[:, 4:], src[:4, 2], src[3] = np.nan, 0, 0
+    rows = lambda a: [(i, j, None if np.isnan(x) else float(x)) for i, row in enumerate(a) for j, x in enumerate(row)]
+    od = spark.createDataFrame(rows(t), "zone_id int, source_id int, minutes double")
+    population = spark.createDataFrame(rows(pop), "zone_id int, bracket int, pop double")
+    voters = spark.createDataFrame(rows(src), "source_id int, bracket int, voters double")
+    control = ft.Control(max_epochs=6, target_sources=2.0)
+    table, history, _ = ft.fit_large(od, population, voters, control, partitions=2)
+    known, course, _ = ft.fit_arrays(t[:, :4], pop, src[:4], control)
+    assert np.array(history) == pytest.approx(np.array(course))
+    got = {(r.zone_id, r.bracket): r.alpha for r in table.collect()}
+    assert got == pytest.approx({(i, b): known[i, b] for i in range(7) for b in range(3)})
