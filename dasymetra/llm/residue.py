@@ -34,10 +34,10 @@ _MARKERS = {w: chr(0xE000 + n) for n, w in enumerate(MARKER_WORDS)}
 _KEPT_TAGS = r"(?!/?(?:p|br|b|i|u|a|em|strong|div|span|h[1-6]|ul|ol|li|tr|td|th|table|img|sub|sup)\b)"
 #: What an unfilled placeholder looks like in full.
 PLACEHOLDER = re.compile(
-    r"\{\{[^{}]*\}\}|[$#]\{\w[\w.]{0,40}\}|\{\s?[^\W\d][\w .|]{0,40}\s?\}|\{\d{0,2}(?::[^\W\d]\w{0,40})?\}|<%.{0,60}?%>|\{%.{0,60}?%\}|<<[^<>]{1,40}>>|<" + _KEPT_TAGS + r"/?[^\W\d][\w .-]{0,40}>"
-    r"|\[\[[^\[\]]{0,40}\]\]|\[(?!(?:sic|\W*|nota|risos|risas|aplausos|music|laughter|applause)\])[^\W\d][^\[\]]{0,40}\]|\(\([^()]{1,40}\)\)|\(null\)"
-    r"|%\([^()]{1,40}\)[a-zA-Z]?|(?<![\d%])%(?:\w{2,40}%|(?:\d+\$)?[sdif](?!\w))|(?<![\d ]\d)(?<!\w)\$(?:[^\W\d]\w{0,40}\$|[1-9](?![\d.,]\d)(?!\d))"
-    r"|(?<!\w)~\w{1,40}~(?!\w)|(?<![^\W_])__\w*?_*__(?!\w)|@@\w{1,40}@@|&&\w{1,40}&&|\bXX[/.-]XX[/.-]XX(?:XX)?\b|(?<!\w)\?{3,}"
+    r"\{\{[^{}]*\}\}|[$#]\{\w[\w.]*\}|\{\s?[^\W\d][\w .|]*\s?\}|\{\d{0,2}(?::[^\W\d]\w*)?\}|<%(?:(?!<%|%>)[\s\S])*%>|\{%(?:(?!\{%|%\})[\s\S])*%\}|<<[^<>]+>>|<" + _KEPT_TAGS + r"/?[^\W\d][\w .-]*>"
+    r"|\[\[[^\[\]]*\]\]|\[(?!(?:sic|\W*|nota|risos|risas|aplausos|music|laughter|applause)\])[^\W\d][^\[\]]*\]|\(\([^()]+\)\)|\(null\)"
+    r"|%\([^()]+\)[a-zA-Z]?|(?<![\d%])%(?:\w{2,}%|(?:\d+\$)?[sdif](?!\w))|(?<![\d ]\d)(?<!\w)\$(?:[^\W\d]\w*\$|[1-9](?![\d.,]\d)(?!\d))"
+    r"|(?<!\w)~\w+~(?!\w)|(?<![^\W_])__\w*?_*__(?!\w)|@@\w+@@|&&\w+&&|\bXX[/.-]XX[/.-]XX(?:XX)?\b|(?<!\w)\?{3,}"
     r"|#(?:REF!|N/A|VALUE!|NAME\?|DIV/0!|NULL!)|(?<![\w/])(?:undefined|nan|tbd|n/a|null(?!\s+(?:and|votes?|ballots?|map|und|stimmen|oder)\b))(?![\w/])", re.I)
 _PRICE = re.compile(r"(?:paid|cost|for|worth|pagou|pagó|payé|zahlte|custou)\s+$", re.I)
 

@@ -1,0 +1,14 @@
+import pytest
+
+from dasymetra.llm import residue
+
+NAME = "Insert the full legal name of the contracting party here, as it stands in the register"
+PLAIN = NAME.replace(",", "")
+
+
+@pytest.mark.parametrize("text", [
+    f"[{NAME}]", f"[[{NAME}]]", f"(({NAME}))", f"<<{NAME}>>", f"<{PLAIN}>", f"{{{PLAIN}}}", "${" + "a" * 90 + "}", "%" + "A" * 90 + "%",
+    f"<% {NAME}\n %>", f"{{% {NAME}\n %}}", "@@" + "A" * 90 + "@@", "~" + "a" * 90 + "~",
+])
+def test_a_placeholder_may_be_long(text):
+    assert residue.PLACEHOLDER.search(f"Signed by {text} today").group() == text
