@@ -2,283 +2,478 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dasymetra.llm.residue_seeds import ALONE, BRACKETS, FILLER, MARKER_WORDS, NOTICE
-from dasymetra.plans.common import free_name
+from dasymetra.plans.common import cut_lineage, free_name
 
 ORDER = 5
-#: Buckets of the hashed character n-grams of one model: its size, whatever the corpus.
-BUCKETS = 1 << 21
+#: Buckets of the hashed character n-grams of pieces, and of those of shapes: the size of a model, whatever the corpus.
+BUCKETS, SHAPES = 1 << 21, 1 << 18
 SEED_WEIGHT = 3.0
+#: Characters that are judged at a time, which bounds a task's memory; a longer text is judged in blocks.
+BLOCK = 1_000_000
+CLASSES = ("filler", "notice")
 
-_INVISIBLE = re.compile("[­​-‏⁠﻿]")
-_TAGS = re.compile(r"</?(?:p|br|b|i|u|em|strong|div|span|h[1-6]|ul|ol|li|tr|td|table)\b[^<>]*>", re.I)
-_HEX = re.compile(r"\b(?=[a-f]{0,9}[0-9])[0-9a-f]{6,}\b")
-_DIGITS = re.compile(r"[0-9]+")
-_SPACE = re.compile(r"\s+")
-#: Where a text is cut into the pieces whose coverage counts.
-_CUT = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|\s*[|;]\s*|(?<=[:：])\s+|\s[–—]\s|\n+")
-_NUMBERING = re.compile(r"^(?:\[0\]|[0/.-]+|/\S+)\s+")
-_WORD = re.compile(r"[^\W\d_]+")
-_MARKED = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(MARKER_WORDS)})(?![^\W\d_])", re.I)
-_MARKERS = {w: chr(0xE000 + n) for n, w in enumerate(MARKER_WORDS)}
-_KEPT_TAGS = r"(?!/?(?:p|br|b|i|u|a|em|strong|div|span|h[1-6]|ul|ol|li|tr|td|th|table|img|sub|sup)\b)"
-#: What an unfilled placeholder looks like in full.
-PLACEHOLDER = re.compile(
-    r"\{\{[^{}]*\}\}|[$#]\{\w[\w.]*\}|\{\s?[^\W\d][\w .|]*\s?\}|\{\d{0,2}(?::[^\W\d]\w*)?\}|<%(?:(?!<%|%>)[\s\S])*%>|\{%(?:(?!\{%|%\})[\s\S])*%\}|<<[^<>]+>>|<" + _KEPT_TAGS + r"/?[^\W\d][\w .-]*>"
-    r"|\[\[[^\[\]]*\]\]|\[(?!(?:sic|\W*|nota|risos|risas|aplausos|music|laughter|applause)\])[^\W\d][^\[\]]*\]|\(\([^()]+\)\)|\(null\)"
-    r"|%\([^()]+\)[a-zA-Z]?|(?<![\d%])%(?:\w{2,}%|(?:\d+\$)?[sdif](?!\w))|(?<![\d ]\d)(?<!\w)\$(?:[^\W\d]\w*\$|[1-9](?![\d.,]\d)(?!\d))"
-    r"|(?<!\w)~\w+~(?!\w)|(?<![^\W_])__\w*?_*__(?!\w)|@@\w+@@|&&\w+&&|\bXX[/.-]XX[/.-]XX(?:XX)?\b|(?<!\w)\?{3,}"
-    r"|#(?:REF!|N/A|VALUE!|NAME\?|DIV/0!|NULL!)|(?<![\w/])(?:undefined|nan|tbd|n/a|null(?!\s+(?:and|votes?|ballots?|map|und|stimmen|oder)\b))(?![\w/])", re.I)
-_PRICE = re.compile(r"(?:paid|cost|for|worth|pagou|pagó|payé|zahlte|custou)\s+$", re.I)
-
-
-def plain(text: str) -> str:
-    """Text as the models read it: lower case, numbers and hexadecimal ids as one sign, markup and invisible characters left out."""
-    text = _INVISIBLE.sub("", text)
-    if "<" in text:
-        text = _TAGS.sub("\n", text)
-    text = text.lower()
-    return _DIGITS.sub("0", _HEX.sub("h", text)) if _DIGITS.search(text) else text
-
-
-def pieces(text: str) -> list[str]:
-    """The pieces of a text, mostly sentences, each with single spaces."""
-    out = [_NUMBERING.sub("", _SPACE.sub(" ", p).strip()) for p in _CUT.split(plain(text))]
-    return [p for p in out if p]
-
-
-def shape(text: str) -> str:
-    """Marks without their words: each word becomes one letter, unless it is a marker, and each number one digit."""
-    text = _INVISIBLE.sub("", text)
-    if "<" in text:
-        text = _TAGS.sub(" ", text)
-    if _MARKED.search(text):
-        text = _WORD.sub(lambda m: _MARKERS.get(m.group().lower(), "a"), text)
-    else:
-        text = _WORD.sub("a", text)
-    return " " + _SPACE.sub(" ", _DIGITS.sub("0", text)) + " "
+_TAGS = re.compile(r"</?(?:p|br|b|i|u|em|strong|div|span|h[1-6]|ul|ol|li|tr|td|table)\b[^<>\0]*>", re.I)
+#: Signs that stand for the markers of residue_seeds, and for words beside one, in shapes.
+MARKER, BESIDE, BESIDES = 0xE000, 0xE100, 4096
+_NAME = f"[aAT09_{chr(MARKER)}-{chr(BESIDE + BESIDES)}]"
+_ALONE_SIGNS = "".join(chr(MARKER + MARKER_WORDS.index(w)) for w in ("undefined", "nan", "tbd", "null"))
+_XX = f"[{chr(MARKER + MARKER_WORDS.index('xx'))}{chr(MARKER + MARKER_WORDS.index('xxxx'))}]"
+#: The forms of unfilled placeholders in shapes: a name between marks, or a mark alone. Whether one is a placeholder, the model decides.
+FORM = re.compile(
+    rf"\{{\{{[^{{}}]*\}}\}}|[$#]\{{{_NAME}[^{{}} ]*\}}|\{{[^{{}}]*\}}|<%(?:(?!<%|%>).)*%>|\{{%(?:(?!\{{%|%\}}).)*%\}}|<<[^<>]+>>|</?{_NAME}[^<>]*>|\[\[[^\[\]]*\]\]|\[{_NAME}[^\[\]]*\]|\(\([^()]+\)\)|\([{_ALONE_SIGNS}]\)"
+    rf"|%\([^()]+\)[aT]?|%{_NAME}+%|%(?:[09]\$)?[aT]|\${_NAME}+\$|\$0|~{_NAME}+~|__{_NAME}*__|__+|@@{_NAME}+@@|&&{_NAME}+&&|{_XX}([/.-]){_XX}\1{_XX}|\?{{3,}}|#A(?:/A|[!?]|/0!)|(?<![aAT])[Ta]/[Ta](?![aAT])"
+    rf"|[{_ALONE_SIGNS}](?:[{chr(BESIDE)}-{chr(BESIDE + BESIDES)}])?")
 
+LETTER, DIGIT, SPACE, INVISIBLE = 1, 2, 3, 4
+_HIDDEN = {0xAD, 0xFEFF, *range(0x200B, 0x2010), *range(0x2060, 0x2065)}
 
-@dataclass
-class Counts:
-    """Hashed counts of n-grams, and the number of characters counted."""
 
-    values: np.ndarray
-    total: float
+@functools.lru_cache(1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower case, kind and whether it is upper case of each character up to U+FFFF; those beyond are letters as they are."""
+    chars = [chr(c) for c in range(0x10000)]
+    lower = np.array([ord(x) if len(x := c.lower()) == 1 else ord(c) for c in chars], np.uint32)
+    kind = np.array([INVISIBLE if i in _HIDDEN else DIGIT if "0" <= c <= "9" else LETTER if c.isalpha() else SPACE if c.isspace() else 0 for i, c in enumerate(chars)], np.uint8)
+    return lower, kind, np.array([c.isupper() for c in chars])
 
 
-def counts_of(values: np.ndarray) -> Counts:
-    return Counts(values.astype(np.float32), max(1.0, float(values.sum()) / ORDER))
+def _before(a: np.ndarray, first=False) -> np.ndarray:
+    return np.concatenate([[first], a[:-1]]) if len(a) else a
 
 
-class Stream:
-    """Texts laid end to end as character codes, each led by enough separators that no context crosses over."""
+def _after(a: np.ndarray, last=False) -> np.ndarray:
+    return np.concatenate([a[1:], [last]]) if len(a) else a
+
+
+def _is(codes: np.ndarray, chars: str) -> np.ndarray:
+    out = codes == ord(chars[0])
+    for c in chars[1:]:
+        out |= codes == ord(c)
+    return out
+
+
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True."""
+    edge = np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+class Laid:
+    """Texts end to end as character codes, each followed by a zero, without markup and invisible characters."""
 
     def __init__(self, texts: list[str]):
-        lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        raw = np.frombuffer(("\n" * ORDER).join(["", *texts]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        joined = "\0".join([t.replace("\0", " ") if "\0" in t else t for t in texts] + [""])
+        if "<" in joined:
+            joined = _TAGS.sub("\n", joined)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        lower, kinds, upper = _tables()
+        small = np.minimum(codes, 0xFFFF)
+        kind = np.where(codes > 0xFFFF, LETTER, kinds[small]).astype(np.uint8)
+        if (hidden := kind == INVISIBLE).any():
+            codes, small, kind = codes[~hidden], small[~hidden], kind[~hidden]
+        self.codes, self.kind, self.upper = codes, kind, upper[small]
+        self.low = np.where(codes > 0xFFFF, codes, lower[small]).astype(np.uint32)
+        self.n = len(texts)
+
+    def pieces(self) -> tuple[Stream, np.ndarray]:
+        """The pieces of all texts, mostly sentences, as the models read them, and the text that each is from.
+
+        In lower case, each number one sign, each hexadecimal id one sign, spaces single; what numbers a piece or leads it as a path is left out.
+        """
+        c, kind = self.low.copy(), self.kind
+        digit = kind == DIGIT
+        drop = digit & _before(digit)
+        c[digit] = ord("0")
+        start, end = _runs(digit | (kind == LETTER) | (self.codes == ord("_")))
+        long = end - start >= 6
+        start, end = start[long], end[long]
+        hexes = np.concatenate([[0], np.cumsum(digit | ((self.low >= ord("a")) & (self.low <= ord("f"))))])
+        digits = np.concatenate([[0], np.cumsum(digit)])
+        some = digits[end] - digits[start]
+        at = (hexes[end] - hexes[start] == end - start) & (some > 0) & (some < end - start)
+        for a, b in zip(start[at], end[at]):
+            c[a], drop[a : b] = ord("h"), True
+            drop[a] = False
+        space = kind == SPACE
+        line = self.codes == 10
+        c[space] = ord(" ")
+        # a run of spaces keeps its first, and is a line break if it holds one
+        s, e = _runs(space)
+        lines = np.concatenate([[0], np.cumsum(line)])
+        c[s[lines[e] > lines[s]]] = 10
+        drop |= space & _before(space)
+        c = c[~drop]
+        gap = (c == ord(" ")) | (c == 10)
+        dash = _is(c, "–—") & _before(gap) & _after(gap)
+        cut = _is(c, "|;\n\0") | dash
+        stop = ((_is(c, ".!?…:：")) & _after(gap)) | _is(c, "。！？")
+        first = _before(cut | stop, True)
+        blank = (c == ord(" ")) & (first | _after(cut, True) | _before(first & (c == ord(" "))) | _before(cut, True))
+        owner = np.cumsum(c == 0)
+        number = np.cumsum(first)
+        kept = ~cut & ~blank
+        c, number, owner = c[kept], number[kept], owner[kept]
+        if not len(c):
+            return Stream(c, np.empty(0, np.int64), np.empty(0, np.int64)), owner
+        start = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+        end = np.concatenate([start[1:], [len(c)]])
+        gaps = np.concatenate([np.flatnonzero(c == ord(" ")), [len(c)]])
+        gap = gaps[np.searchsorted(gaps, start)]
+        other = np.concatenate([[0], np.cumsum(~_is(c, "0/.-[]"))])
+        led = (gap < end) & ((other[np.minimum(gap, len(c))] == other[start]) | (c[start] == ord("/")))
+        owner = owner[start]
+        return Stream(c, np.where(led, gap + 1, start), end), owner
+
+    def shapes(self) -> Stream:
+        """One shape per text: marks without their words. A word is one letter that tells its case, unless it is a marker; a number is one digit, another if it is longer."""
+        # a space before and behind each text, which runs together with its own
+        zero = np.flatnonzero(self.codes == 0)
+        led = np.concatenate([[0], zero[:-1] + 1]) if len(zero) else zero
+        c, kind, upper, low = (np.insert(a, np.concatenate([led, zero]), x) for a, x in ((self.codes, ord(" ")), (self.kind, SPACE), (self.upper, False), (self.low, ord(" "))))
+        c[kind == SPACE] = ord(" ")
+        drop = np.zeros(len(c), bool)
+        for k in (LETTER, DIGIT, SPACE):
+            mask = kind == k
+            drop |= mask & _before(mask)
+        s, e = _runs(kind == DIGIT)
+        c[s] = np.where(e - s == 1, ord("0"), ord("9"))
+        s, e = _runs(kind == LETTER)
+        if len(s):
+            ups = np.concatenate([[0], np.cumsum(upper)])
+            up, size = ups[e] - ups[s], e - s
+            word = np.where((up == size) & (size > 1), ord("A"), np.where(upper[s] & (up == 1), ord("T"), ord("a")))
+            hashes = np.zeros(len(s), np.uint64)
+            for i in range(_LONGEST):
+                hashes = np.where(size > i, hashes * np.uint64(1_000_003) + low[np.minimum(s + i, len(c) - 1)].astype(np.uint64) + np.uint64(1), hashes)
+            keys, signs = _markers()
+            found = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            marker = (keys[found] == hashes) & (size <= _LONGEST)
+            # what stands behind a marker tells whether it is one: that word keeps a sign of its own
+            alone = marker & _is(signs[found], _ALONE_SIGNS)
+            # programs write null or NULL; Null begins a sentence
+            marker &= ~(alone & upper[s] & (up == 1) & (size > 1))
+            alone &= marker
+            beside = _before(alone & (_after(s, -1) == e + 1)) & (kind[np.maximum(s - 1, 0)] == SPACE)
+            c[s] = np.where(marker, signs[found], np.where(beside, BESIDE + (hashes % np.uint64(BESIDES)).astype(np.int64), word))
+            drop[s[beside] - 1] = True
+        c = c[~drop]
+        zero = np.flatnonzero(c == 0)
+        return Stream(c, np.concatenate([[0], zero[:-1] + 1]) if len(zero) else zero, zero, SHAPES)
+
+
+_LONGEST = max(map(len, MARKER_WORDS))
+
+
+@functools.lru_cache(1)
+def _markers() -> tuple[np.ndarray, np.ndarray]:
+    hashes = []
+    for w in MARKER_WORDS:
+        h = 0
+        for c in w:
+            h = (h * 1_000_003 + ord(c) + 1) % (1 << 64)
+        hashes.append(h)
+    order = np.argsort(np.array(hashes, np.uint64))
+    return np.array(hashes, np.uint64)[order], (MARKER + order).astype(np.uint32)
+
+
+class Stream:
+    """Spans of character codes end to end, each led by enough separators that no context crosses over, with the buckets of the n-grams that end at each place."""
+
+    def __init__(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int = BUCKETS):
+        length = end - start
+        total, n = int(length.sum()), len(start)
+        self.codes, self.spans = codes, (start, end)
+        self.end = np.cumsum(length + ORDER)
+        self.start = self.end - length
+        self.owner = np.repeat(np.arange(n), length)
+        self.place = np.arange(total) + ORDER * (self.owner + 1)
+        raw = np.full(total + ORDER * n, 10, np.uint64)
+        self.source = np.arange(total) - np.repeat(np.cumsum(length) - length, length) + np.repeat(start, length)
+        raw[self.place] = codes[self.source]
         self.many = raw >= 0x2E80  # kana and ideographs, of which one says as much as several letters
-        self.end = np.cumsum(lengths + ORDER)
-        self.start = self.end - lengths
-        edges = np.zeros(len(raw) + 1, np.int8)
-        np.add.at(edges, self.start, 1)
-        np.add.at(edges, self.end, -1)
-        self.inside = np.cumsum(edges)[:-1] > 0
-        self.grams = []
+        self.size, self.buckets, self.grams = len(raw), buckets, []
         h = np.zeros(len(raw), np.uint64)
-        for n in range(ORDER):
+        for _ in range(ORDER):
             # the n-gram that ends at each place, from the shorter one that ends just before it
             h = np.concatenate([np.zeros(1, np.uint64), h[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + raw + np.uint64(0x632BE59BD9B4E019)
             mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            self.grams.append(((mixed ^ (mixed >> np.uint64(32))) % np.uint64(BUCKETS)).astype(np.int64))
-
-    def count(self, weights: np.ndarray | None = None, into: np.ndarray | None = None) -> np.ndarray:
-        """Counts of the n-grams that end inside texts and of the contexts before the first character, added to ``into``; weights: one per text."""
-        total = np.zeros(BUCKETS) if into is None else into
-        each = np.zeros(len(self.inside))
-        # the character before a text is the separator: its n-grams are the contexts of the first character
-        length = self.end - self.start + 1
-        place = np.repeat(self.start - 1 - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum()) if len(length) else np.empty(0, np.int64)
-        each[place] = 1.0 if weights is None else np.repeat(weights, length)
+            self.grams.append(((mixed ^ (mixed >> np.uint64(32))) & np.uint64(buckets - 1)).astype(np.int32))
+
+    def text(self, k: int) -> str:
+        start, end = self.spans
+        return self.codes[start[k] : end[k]].tobytes().decode("utf-32-le", "surrogatepass")
+
+    def count(self, into: np.ndarray, weights: np.ndarray | None = None) -> None:
+        """Add the n-grams that end inside spans, and the contexts before the first character, to ``into``; weights: one per span."""
+        if not len(self.start):
+            return
+        each = np.zeros(self.size)
+        # the character before a span is the separator: its n-grams are the contexts of the first character
+        each[self.start - 1] = 1.0 if weights is None else weights
+        each[self.place] = 1.0 if weights is None else weights[self.owner]
+        held = np.flatnonzero(each)
         for g in self.grams:
-            np.add.at(total, g, each)
-        return total
-
-    def log_probability(self, counts: Counts, order: int = ORDER) -> np.ndarray:
-        """Log probability of each character given those before it, each longer context interpolated with the shorter."""
-        p = np.full(len(self.inside), 1 / 20_000)
-        before = None
-        for n, g in enumerate(self.grams[:order]):
-            have = counts.values[g].astype(np.float64)
-            context = counts.total if n == 0 else np.concatenate([[0.0], before[:-1]])
+            if len(held) * 8 > self.buckets:
+                into += np.bincount(g, each, self.buckets)
+            else:
+                np.add.at(into, g[held], each[held])
+
+    def log_probabilities(self, table: np.ndarray, totals: np.ndarray, orders: list[np.ndarray | int]) -> np.ndarray:
+        """(character, model) log probability of each character given those before it, each longer context interpolated with the shorter.
+
+        table: (bucket, model) counts. orders: for each model how many characters an n-gram may have, one number or one for each character.
+        """
+        p = np.full((len(self.place), table.shape[1]), 1 / 20_000, np.float32)
+        orders = np.stack([np.broadcast_to(o, len(self.place)) for o in orders], axis=1) if any(not np.isscalar(o) or o < ORDER for o in orders) else None
+        context = np.broadcast_to(totals.astype(np.float32), p.shape)
+        for n, g in enumerate(self.grams):
+            have = table[g[self.place]]
             # an unseen character costs a context at most a factor of 33, whatever the context's count
             shorter = 1.0 + 0.03 * context
-            p = (np.minimum(have, context) + shorter * p) / (context + shorter)
-            before = have
+            now = (np.minimum(have, context) + shorter * p) / (context + shorter)
+            p = now if orders is None else np.where(orders > n, now, p)
+            if n + 1 < ORDER:
+                context = table[g[self.place - 1]]
         return np.log(p)
 
 
-def covered(stream: Stream, ratio: np.ndarray, width: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each text, the share of its characters inside windows whose mean log likelihood ratio is ``least`` or more, and the sum of the ratios there.
+def covered(stream: Stream, ratio: np.ndarray, width: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each span, the share of its characters inside windows whose mean log likelihood ratio is ``least`` or more, and the sum of the ratios there; and for each character whether it is inside one.
 
-    Windows are ``width`` characters long, shorter only where a text is.
+    Windows are ``width`` characters long, shorter only where a span is.
     """
-    size = len(ratio)
-    sums = np.concatenate([[0.0], np.cumsum(np.where(stream.inside, ratio, 0.0))])
-    place = np.flatnonzero(stream.inside)
-    owner = np.repeat(np.arange(len(stream.start)), stream.end - stream.start)
-    stop = np.minimum(place + width, stream.end[owner])
-    first = np.maximum(stop - width, stream.start[owner])
-    hot = (sums[stop] - sums[first]) >= least * (stop - first)
-    marks = np.zeros(size + 1, np.int64)
-    np.add.at(marks, first[hot], 1)
-    np.add.at(marks, stop[hot], -1)
-    inside = (np.cumsum(marks)[:-1] > 0).astype(np.float64)
-    total = np.concatenate([[0.0], np.cumsum(inside)])
+    length = stream.end - stream.start
+    last = np.cumsum(length)
+    first = last - length
+    sums = np.concatenate([[0.0], np.cumsum(ratio, dtype=np.float64)])
+    place = np.arange(len(ratio))
+    stop = np.minimum(place + width, last[stream.owner])
+    begin = np.maximum(stop - width, first[stream.owner])
+    hot = (sums[stop] - sums[begin]) >= least * (stop - begin)
+    marks = np.bincount(begin[hot], minlength=len(ratio) + 1) - np.bincount(stop[hot], minlength=len(ratio) + 1)
+    inside = np.cumsum(marks)[:-1] > 0
+    total = np.concatenate([[0], np.cumsum(inside)])
     gain = np.concatenate([[0.0], np.cumsum(inside * ratio)])
-    length = np.maximum(1, stream.end - stream.start)
-    return (total[stream.end] - total[stream.start]) / length, gain[stream.end] - gain[stream.start]
-
-
-def placeholder_in(text: str) -> str | None:
-    """The first unfilled placeholder of a text, by its full form."""
-    for m in PLACEHOLDER.finditer(_INVISIBLE.sub("", text)):
-        if not (m.group().startswith("$") and _PRICE.search(text[: m.start()])):
-            return m.group()
-    return None
+    return (total[last] - total[first]) / np.maximum(1, length), gain[last] - gain[first], inside
 
 
 @dataclass(frozen=True)
 class Settings:
     """width, ratio: length and least mean log likelihood ratio of a window; coverage, evidence: least covered share and summed ratio of a piece of residue.
 
-    floor: least that one character's ratio counts. shape_*: the windows on marks, whose prose model always looks back one character. first_*: the stricter values of the first round, whose prose model looks back one character, or none in scripts of many characters; first_coverage is for filler and for notices.
+    floor: least that one character's ratio counts. beside: the same two for a piece beside a surer one, from which the models learn. shape_*: the windows on marks, and the least sum of ratios of a
+    placeholder; pair: how much likelier a word that prose has seen beside a marker is there than any. first_*: the stricter values of the first round, whose prose model looks back one character, or none in scripts of many characters; first_coverage is for filler and for notices. pool: what
+    the first two are multiplied by for a text to be looked at again in later rounds.
     """
 
     width: int = 14
     ratio: float = 0.5
     coverage: float = 0.6
     evidence: float = 8.0
+    beside: tuple[float, float] = (0.5, 4.0)
     first_ratio: float = 0.7
     first_coverage: tuple[float, float] = (0.65, 0.85)
     first_order: int = 2
+    pool: float = 0.5
     shape_width: int = 3
-    shape_order: int = 2
     shape_ratio: float = 0.1
+    shape_evidence: float = 1.0
+    shape_floor: float = -6.0
+    pair: float = 20.0
     floor: float = -3.0
 
 
-CLASSES = ("filler", "notice", "placeholder")
+@dataclass
+class Models:
+    """Counts by bucket of prose, filler and notice, and of the shapes of prose and placeholders, each with its number of characters. first: whether prose still holds all texts."""
+
+    text: np.ndarray
+    shape: np.ndarray
+    first: bool
 
+    def __post_init__(self):
+        self.totals = [np.maximum(1.0, t.sum(axis=0, dtype=np.float64) / ORDER) for t in (self.text, self.shape)]
 
-def seed_counts() -> dict[str, np.ndarray]:
-    """Counts of the residue classes from the seeds alone; placeholders are made from marks by rule."""
-    text = {"filler": FILLER, "notice": NOTICE}
-    out = {k: SEED_WEIGHT * Stream([p for s in v for p in pieces(s)]).count() for k, v in text.items()}
-    inner = ("a", "a_a", "a.a", "A", "a a", "insert a here", "inserir a", "a.a | upper", "0", "0:a")
-    marks = [f"{b}{w}{e}" for b, e in BRACKETS for w in inner] + 6 * list(ALONE)  # as often as those in brackets
-    around = (" a {} a ", " {} a ", " a {}. ", " a {}, a ", " “{} a ", " a ({}) ", "{} a a ", " a, {} a ", " a, {}. ", " a; {} a ", " a {}? ", " „{} a ", " «{} a ", "a、{}a", "a「{}a")
-    out["placeholder"] = SEED_WEIGHT * Stream([shape(a.format(m)) for m in marks for a in around]).count()
-    return out
 
+def _seeded(texts: list[str], shape: bool) -> np.ndarray:
+    laid = Laid(texts)
+    out = np.zeros(SHAPES if shape else BUCKETS)
+    (laid.shapes() if shape else laid.pieces()[0]).count(out)
+    return SEED_WEIGHT * out
 
-@dataclass
-class Models:
-    """prose and shape_prose: counts over the corpus; residue: counts per class. order: how far the prose models may look back."""
 
-    prose: Counts
-    shape_prose: Counts
-    residue: dict[str, Counts]
-    first: bool
+@functools.lru_cache(1)
+def seed_counts() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of filler, notices and placeholders from the seeds alone; placeholders are made from marks by rule."""
+    inner = ("aa", "aa_aa", "aa.aa", "AA", "AA_AA", "Aa", "aa aa", "Aa aa", "insert aa here", "INSERT AA HERE", "insert AA_AA here", "insert aa_aa here", "inserir aa", "inserir AA", "inserir aa_aa", "aa.aa | upper", "0", "0:aa", "0:AA")
+    marks = [f"{b}{w}{e}" for b, e in BRACKETS for w in inner] + 20 * list(ALONE)  # as often as those in brackets
+    around = [" aa {} aa ", " {} aa ", " aa {}. ", " aa {}, aa ", " “{} aa ", " aa ({}) ", "{} aa aa ", " aa, {} aa ", " aa, {}. ", " aa; {} aa ", " aa {}? ", " „{} aa ", " «{} aa ", "aa、{}aa", "aa「{}aa"]
+    around += [" Aa {} aa ", " {} Aa ", " Aa {}, Aa ", " Aa, {} aa ", " aa {}; aa ", " {}; aa ", "{}, aa ", " aa {}: aa ", " 99 {} aa "]
+    return _seeded(FILLER, False), _seeded(NOTICE, False), _seeded([a.format(m) for m in marks for a in around], True)
 
 
-def judge(texts: list[str | None], models: Models, s: Settings):
-    """(pieces of all texts, owner of each, class of each or None, placeholder of each text or None, stream of pieces, stream of shapes)."""
-    cut = [pieces(t) if t else [] for t in texts]
-    flat = [p for c in cut for p in c]
-    owner = np.repeat(np.arange(len(texts)), [len(c) for c in cut])
-    order = s.first_order if models.first else ORDER
-    kind = np.full(len(flat), -1)
-    best = np.full(len(flat), -np.inf)
-    stream = Stream(flat)
-    if flat:
-        prose = stream.log_probability(models.prose, order)
+@dataclass
+class Verdict:
+    """Of a batch: its pieces with their text and class (-1: none), how sure a doubtful one is, and the shapes with whether a placeholder is in them."""
+
+    stream: Stream
+    owner: np.ndarray
+    kind: np.ndarray
+    pool: np.ndarray
+    beside: np.ndarray
+    shapes: Stream
+    marked: np.ndarray
+
+
+def judge(texts: list[str], models: Models, s: Settings) -> Verdict:
+    laid = Laid(texts)
+    stream, owner = laid.pieces()
+    n = len(stream.start)
+    kind, best = np.full(n, -1), np.full(n, -np.inf)
+    doubt, beside = np.zeros(n, bool), np.full(n, -1)
+    if n:
+        order = ORDER
         if models.first:
-            prose = np.where(stream.many, stream.log_probability(models.prose, 1), prose)
-        for k, name in enumerate(("filler", "notice")):
-            ratio = np.maximum(stream.log_probability(models.residue[name]) - prose, s.floor)
-            share, gain = covered(stream, ratio, s.width, s.first_ratio if models.first else s.ratio)
-            found = (share >= (s.first_coverage[k] if models.first else s.coverage)) & (gain >= s.evidence) & (gain > best)
+            order = np.where(stream.many[stream.place], 1, s.first_order)
+        logs = stream.log_probabilities(models.text, models.totals[0], [order, ORDER, ORDER])
+        for k in range(len(CLASSES)):
+            ratio = np.maximum(logs[:, k + 1] - logs[:, 0], s.floor)
+            least, cover = (s.first_ratio, s.first_coverage[k]) if models.first else (s.ratio, s.coverage)
+            share, gain, _ = covered(stream, ratio, s.width, least)
+            found = (share >= cover) & (gain >= s.evidence) & (gain > best)
             kind[found], best[found] = k, gain[found]
-    shapes = Stream([shape(t) if t else "" for t in texts])
-    marked: list[str | None] = [None] * len(texts)
-    if len(shapes.inside):
-        ratio = shapes.log_probability(models.residue["placeholder"]) - shapes.log_probability(models.shape_prose, s.shape_order)
+            doubt |= (share >= cover * s.pool) & (gain >= s.evidence * s.pool)
+            beside[(kind < 0) & (share >= s.beside[0]) & (gain >= s.beside[1])] = k
+    shapes = laid.shapes()
+    marked = np.zeros(len(texts), bool)
+    if shapes.place.size:
+        logs = shapes.log_probabilities(models.shape, models.totals[1], [s.first_order if models.first else ORDER, ORDER])
+        ratio = np.maximum(logs[:, 1] - logs[:, 0], s.shape_floor)
+        # a word beside a marker may be any: it counts only if prose knows the pair from elsewhere
+        at = np.flatnonzero((shapes.codes[shapes.source] >= BESIDE) & (shapes.codes[shapes.source] < BESIDE + BESIDES))
+        if len(at):
+            pair, marker = (models.shape[shapes.grams[n][shapes.place[at] - 1 + n], 0] for n in (1, 0))
+            known = np.maximum(pair - 2, 0) / np.maximum(marker, 1)
+            ratio[at] = -np.log(1 + s.pair * np.minimum(known, 1.0))
         # a text with placeholders is otherwise prose: each mark is drawn from either model
-        ratio = np.log(0.5 + 0.5 * np.exp(np.minimum(ratio, 50.0)))
-        share, _ = covered(shapes, ratio, s.shape_width, s.shape_ratio)
+        share, _, _ = covered(shapes, np.log(0.5 + 0.5 * np.exp(np.minimum(ratio, 50.0))), s.shape_width, s.shape_ratio)
+        sums = np.concatenate([[0.0], np.cumsum(ratio, dtype=np.float64)])
+        first = np.cumsum(shapes.end - shapes.start) - (shapes.end - shapes.start)
         for i in np.flatnonzero(share > 0):
-            marked[i] = placeholder_in(texts[i])
-    return flat, owner, kind, marked, stream, shapes
-
-
-def _recount(docs: DataFrame, models: Models | None, s: Settings) -> Models:
-    """Counts of the corpus: all of it at first, later without what the last models take for residue, which joins the seeds of its class."""
-    shared = None if models is None else docs.sparkSession.sparkContext.broadcast(models)
-    names = ("prose", "shape_prose", "filler", "notice")
+            marked[i] = any(sums[first[i] + m.end()] - sums[first[i] + m.start()] >= s.shape_evidence for m in FORM.finditer(shapes.text(i)))
+    return Verdict(stream, owner, kind, doubt, beside, shapes, marked)
+
+
+def _blocks(texts: list[str | None]):
+    """(places, texts) of about BLOCK characters, empty ones left out; a longer text comes in several parts, cut at spaces where it has any."""
+    places, part, size = [], [], 0
+    for i, t in enumerate(texts):
+        at = 0
+        while t and at < len(t):
+            stop = min(len(t), at + BLOCK)
+            if stop < len(t) and (gap := t.rfind(" ", at + BLOCK // 2, stop)) > 0:
+                stop = gap + 1
+            places.append(i)
+            part.append(t[at:stop])
+            size += stop - at
+            at = stop
+            if size >= BLOCK:
+                yield np.array(places), part
+                places, part, size = [], [], 0
+    if part:
+        yield np.array(places), part
+
+
+def _sums(docs: DataFrame, work, names: list[str]) -> dict[str, np.ndarray]:
+    """Counts by bucket that ``work(texts, sums)`` adds up over all documents.
+
+    Tasks are as many as cores, whatever the number of files, and a task returns at most one number for each bucket; the driver gathers no more than that.
+    """
+    size = {n: SHAPES if n.startswith("shape") else BUCKETS for n in names}
+    offset = dict(zip(names, np.cumsum([0, *[size[n] for n in names]]).tolist()))
 
     def run(batches):
-        sums = {n: np.zeros(BUCKETS) for n in names}
+        sums = {n: np.zeros(size[n]) for n in names}
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for at in range(0, len(texts), 2_000):
-                part = texts[at : at + 2_000]
-                if shared is None:
-                    Stream([p for t in part if t for p in pieces(t)]).count(into=sums["prose"])
-                    Stream([shape(t) for t in part if t]).count(into=sums["shape_prose"])
-                    continue
-                _, _, kind, marked, stream, shapes = judge(part, shared.value, s)
-                stream.count((kind < 0).astype(float), sums["prose"])
-                for k, n in enumerate(("filler", "notice")):
-                    if (kind == k).any():
-                        stream.count((kind == k).astype(float), sums[n])
-                shapes.count(np.array([m is None for m in marked], dtype=float), sums["shape_prose"])
-        for k, n in enumerate(names):
+            for _, part in _blocks(batch.column(0).to_pylist()):
+                work(part, sums)
+        for n in names:
             at = np.flatnonzero(sums[n])
             for a in range(0, len(at), 200_000):
                 part = at[a : a + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part + k * BUCKETS, pa.int64()), pa.array(sums[n][part], pa.float64())], names=["bucket", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(part + offset[n], pa.int64()), pa.array(sums[n][part], pa.float64())], names=["bucket", "n"])
 
-    got = docs.mapInArrow(run, "bucket bigint, n double").groupBy("bucket").agg(F.sum("n").cast("float").alias("n")).toArrow()
-    values = np.zeros(len(names) * BUCKETS)
+    few = docs.coalesce(docs.sparkSession.sparkContext.defaultParallelism)
+    got = few.mapInArrow(run, "bucket bigint, n double").groupBy("bucket").agg(F.sum("n").cast("float").alias("n")).toArrow()
+    values = np.zeros(sum(size.values()))
     values[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    parts = dict(zip(names, values.reshape(len(names), BUCKETS)))
+    return {n: values[offset[n] : offset[n] + size[n]] for n in names}
+
+
+def _models(prose: np.ndarray, shape: np.ndarray, filler, notice, marks, first: bool) -> Models:
     seeds = seed_counts()
-    residue = {c: counts_of(seeds[c] + parts.get(c, 0.0)) for c in CLASSES}
-    return Models(counts_of(parts["prose"]), counts_of(parts["shape_prose"]), residue, models is None)
+    text = np.stack([np.maximum(prose, 0), seeds[0] + filler, seeds[1] + notice], axis=1)
+    return Models(np.ascontiguousarray(text, np.float32), np.ascontiguousarray(np.stack([np.maximum(shape, 0), seeds[2] + marks], axis=1), np.float32), first)
 
 
-def fit(docs: DataFrame, text: str = "text", rounds: int = 2, settings: Settings = Settings()) -> Models:
+def fit(docs: DataFrame, text: str = "text", rounds: int = 5, settings: Settings = Settings()) -> Models:
     """Fit the prose models to all texts and the residue models to seeds and what is found.
 
-    The corpus itself holds residue, so its first model, which looks back one character at most, serves to
-    find the surest of it; each later round counts prose anew without what the last found. A task returns at
-    most one number for each bucket, and the driver gathers no more than that.
+    One pass counts the n-grams of all texts. The corpus itself holds residue, so the first prose model, which looks back
+    one character at most, serves to find the surest of it, and with thresholds multiplied by ``settings.pool`` all that
+    may be residue; those texts are kept and looked at again in each round: what the last models take for residue
+    joins the seeds of its class, a doubtful piece beside a sure one too, and is taken from the counts of prose.
     """
     texts = docs.select(F.col(f"`{text}`").cast("string").alias("text")).filter(F.length("text") > 0)
-    models = _recount(texts, None, settings)
+    spark = docs.sparkSession
+
+    def everything(part, sums):
+        laid = Laid(part)
+        laid.pieces()[0].count(sums["prose"])
+        laid.shapes().count(sums["shape"])
+
+    whole = _sums(texts, everything, ["prose", "shape"])
+    models = _models(whole["prose"], whole["shape"], 0.0, 0.0, 0.0, True)
+    shared = spark.sparkContext.broadcast(models)
+
+    def doubtful(batches):
+        for batch in batches:
+            kept = np.zeros(batch.num_rows, bool)
+            for places, part in _blocks(batch.column(0).to_pylist()):
+                v = judge(part, shared.value, settings)
+                kept[places[v.owner[v.pool]]] = True
+                kept[places[v.marked]] = True
+            if kept.any():
+                yield batch.filter(pa.array(kept))
+
+    pool = cut_lineage(texts.mapInArrow(doubtful, "text string"))
     for _ in range(rounds):
-        models = _recount(texts, models, settings)
+        shared = spark.sparkContext.broadcast(models)
+
+        def learn(part, sums, shared=shared):
+            v = judge(part, shared.value, settings)
+            for k, name in enumerate(CLASSES):
+                sure = np.zeros(len(part), bool)
+                sure[v.owner[v.kind == k]] = True
+                take = (v.kind == k) | ((v.beside == k) & sure[v.owner])
+                if take.any():
+                    v.stream.count(sums[name], take.astype(float))
+            if v.marked.any():
+                v.shapes.count(sums["shape"], v.marked.astype(float))
+
+        found = _sums(pool, learn, [*CLASSES, "shape"])
+        models = _models(whole["prose"] - found["filler"] - found["notice"], whole["shape"] - found["shape"], found["filler"], found["notice"], 0.0, False)
     return models
 
 
@@ -286,7 +481,7 @@ def find(docs: DataFrame, models: Models, text: str = "text", keep: list[str] |
     """The kept columns of every document, and ``residue``: the classes found, an empty list for a clean one; ``residue_share``: the share of its characters in pieces of residue.
 
     A document has filler or notice if a piece of it is covered by windows in which that class is likelier
-    than prose; a placeholder if the marks of a window are and a full placeholder stands there. Null, empty
+    than prose; a placeholder if the marks of a window are and a full placeholder stands in the text. Null, empty
     and blank texts are clean, with share 0; repeated rows are judged alike; texts of any length are judged
     whole. A kept column of the same name pushes the new one to a trailing underscore. No shuffle.
     """
@@ -297,22 +492,20 @@ def find(docs: DataFrame, models: Models, text: str = "text", keep: list[str] |
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                part = batch.slice(at, 2_000)
-                texts = part.column(1).to_pylist()
-                flat, owner, kind, marked, _, _ = judge(texts, shared.value, settings)
-                length = np.array([len(p) for p in flat], dtype=float)
-                whole = np.bincount(owner, length, len(texts)) if len(flat) else np.zeros(len(texts))
-                inside = np.bincount(owner, length * (kind >= 0), len(texts)) if len(flat) else np.zeros(len(texts))
-                found: list[list[str]] = [[] for _ in texts]
-                for k, name in enumerate(("filler", "notice")):
-                    for i in np.unique(owner[kind == k]):
-                        found[i].append(name)
-                for i, m in enumerate(marked):
-                    if m is not None:
-                        found[i].append("placeholder")
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(found, pa.list_(pa.string())), pa.array(inside / np.maximum(whole, 1), pa.float64())], names=["kept", "residue", "share"])
+            n = batch.num_rows
+            has = np.zeros((n, len(CLASSES) + 1), bool)
+            whole, inside = np.zeros(n), np.zeros(n)
+            for places, part in _blocks(batch.column(1).to_pylist()):
+                v = judge(part, shared.value, settings)
+                length = v.stream.end - v.stream.start
+                owner = places[v.owner] if len(v.owner) else v.owner
+                whole += np.bincount(owner, length, n)
+                inside += np.bincount(owner, length * (v.kind >= 0), n)
+                for k in range(len(CLASSES)):
+                    has[owner[v.kind == k], k] = True
+                has[places[v.marked], -1] = True
+            found = [[c for c, on in zip((*CLASSES, "placeholder"), row) if on] if row.any() else [] for row in has]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string())), pa.array(inside / np.maximum(whole, 1), pa.float64())], names=["kept", "residue", "share"])
 
     schema = T.StructType([packed.schema["kept"], T.StructField("residue", T.ArrayType(T.StringType())), T.StructField("share", T.DoubleType())])
     out = packed.mapInArrow(run, schema)

@@ -3,14 +3,16 @@ import random
 import numpy as np
 import pytest
 
-from dasymetra.llm.residue import Stream, counts_of, find, fit, pieces, placeholder_in, plain
-from dasymetra.llm.residue_seeds import NOTICE
+from dasymetra.llm import residue
+from dasymetra.llm.residue import Laid, find, fit, judge
+from dasymetra.llm.residue_seeds import FILLER, NOTICE
 
 SUBJECTS = ["The clerk", "The old ferryman", "A câmara municipal", "O vigia noturno", "La jueza", "Le greffier", "Der Gemeinderat"]
 ACTS = ["counted the empty chairs", "drew a new boundary line", "contou as cadeiras vazias", "perdeu a chave do arquivo", "leyó el acta", "a pesé chaque sac", "las das Protokoll laut vor"]
 TIMES = ["at noon", "after the storm", "no fim da noite", "en la estación seca", "avant l'aube", "am Markttag"]
 TALK = ["Her course in {} teaches JavaScript to {} pupils.", "The clerk noted that page 404 of the ledger in {} was not found after {} days.", "Access to the hall in {} was denied to {} late voters.", "He wrote [sic] beside {} and paid ${}0 for it.", "The set {{1, 2, 3}} of boxes from {} was opened by {}.", "Turnout in {} fell by {}% there."]
-BAD = ["404 Not Found", "Please turn on JavaScript and cookies. Reload once it is allowed.", "Sua sessão expirou.", "Lorem ipsum dolor sit amet consectetur adipiscing elit", "Your headline goes here.", "Teste teste teste", "Exception in thread \"main\" java.lang.NullPointerException at app.x.Handler7.run(Handler.java:75)", "ERRO INTERNO DO SERVIDOR (500)", "お探しのページはありません。"]
+BAD = ["404 Not Found", "Please switch JavaScript back on. Then reload this page.", "Sua sessão expirou.", "Lorem ipsum donec quam felis ultricies nec pellentesque", "Your headline goes here.", "Texto provisório, inserir o seu texto depois", "Exception in thread \"main\" java.lang.NullPointerException at app.x.Handler7.run(Handler.java:75)", "ERRO INTERNO DO SERVIDOR (500)", "お探しのページはありません。"]
+NAME = "Insert the full legal name of the contracting party here, as it stands in the register"
 MARKS = ["{{ name }}", "%(city)s", "<nome>", "[[DATE]]", "${total}", "__count__", "[insert date here]", "???", "XX/XX/XXXX", "undefined", "#N/A", "{}", "%s"]
 
 
@@ -32,45 +34,68 @@ def judged(spark):
         rows.append((i, text if isinstance(text, str) else text[0], "x"))
     rows += [(9001, None, "x"), (9002, "", None), (9003, "  ", "x"), (9004, "<p>The clerk counted the empty chairs at noon.</p>", "x"), rows[0]]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, residue string").cache()
-    out = find(docs, fit(docs), keep=["doc_id", "residue"])
+    models = fit(docs)
+    out = find(docs, models, keep=["doc_id", "residue"])
     assert out.columns == ["doc_id", "residue", "residue_", "residue_share"]
-    return {r.doc_id: r for r in out.collect()}, truth
+    return {r.doc_id: r for r in out.collect()}, truth, models
 
 
 def test_residue_is_found_and_talk_about_it_is_not(judged):
-    out, truth = judged
+    out, truth, _ = judged
     found = {i for i, r in out.items() if r.residue_}
     assert len(found & truth) >= 0.97 * len(truth)
     assert len(found - truth) <= 0.02 * len(truth)
 
 
 def test_empty_texts_are_clean(judged):
-    out, _ = judged
+    out, _, _ = judged
     assert all(out[i].residue_ == [] and out[i].residue_share == 0 for i in (9001, 9002, 9003, 9004))
 
 
+def test_no_phrase_of_these_tests_is_a_seed():
+    seeds = [s.lower() for s in (*FILLER, *NOTICE)]
+    assert not [b for b in BAD if any(s in b.lower() or b.lower() in s for s in seeds)]
+
+
 def test_counts_and_probabilities():
-    s = Stream(["abc", "", "abd"])
-    counts = s.count()
-    assert np.array_equal(counts, Stream(["abc"]).count() + Stream(["abd"]).count() + Stream([""]).count())
-    assert np.array_equal(s.count(np.array([1.0, 1.0, 0.0])), Stream(["abc"]).count() + Stream([""]).count())
-    p = s.log_probability(counts_of(counts))
-    assert (p <= 0).all() and p[s.start[0] + 1] > p[s.start[0] + 2]
-    assert len(Stream([]).inside) == len(Stream([]).count(into=np.zeros(1 << 21)).nonzero()[0]) == 0
+    count = lambda texts, weights=None: (out := np.zeros(residue.BUCKETS), Laid(texts).pieces()[0].count(out, weights))[0]
+    assert np.array_equal(count(["abc", "", "abd"]), count(["abc"]) + count(["abd"]))
+    assert np.array_equal(count(["abc", "abd"], np.array([1.0, 0.0])), count(["abc"]))
+    table = np.stack([count(["abc", "abd"]), count(["xyz"])], axis=1).astype(np.float32)
+    logs = Laid(["abc"]).pieces()[0].log_probabilities(table, np.array([6.0, 3.0]), [5, 5])
+    assert logs.shape == (3, 2) and (logs <= 0).all() and (logs[:, 0] > logs[:, 1]).all() and logs[1, 0] > logs[2, 0]
+    assert not count([""]).any() and len(Laid([""]).pieces()[0].place) == 0
 
 
-@pytest.mark.parametrize("text, is_one", [(f"a {m} b", True) for m in MARKS] + [
-    ("null sat down", True), ("a [USER] b", True), ("a <<QTD>> b", True), ("~date~", True), ("%1$s x", True), ("<%= x %>", True), ("$1 said", True), ("{0:place}", True),
-    ("a [sic] b", False), ("<p>x</p>", False), ("<3 cm>", False), ("12% de abstenção", False), ("12 % and", False), ("paid $50 for it", False), ("paid $5 for it", False), ("{1, 2, 3}", False), ("[2023] x", False),
-    ("null votes rose", False), ("what?!", False), ("a_b", False), ("R&D", False), ("(page 12)", False), ("Annan", False)])
-def test_full_forms_of_placeholders(text, is_one):
-    assert (placeholder_in(text) is not None) == is_one
+@pytest.mark.parametrize("text, is_one", [(f"The clerk saw {m} after the storm in Itózal.", True) for m in MARKS] + [
+    ("null perdeu a chave do arquivo at noon.", True), ("A jueza saw [USER] at noon.", True), ("The clerk counted <<QTD>> chairs.", True), ("Das las ~date~ protokoll.", True), ("%1$s drew a new line.", True),
+    ("<%= x %> drew a new line.", True), ("The hall in {0:place} was full.", True), (f"Signed by [{NAME}] today.", True), (f"Signed by [[{NAME}]] today.", True), (f"Signed by <<{NAME}>> today.", True),
+    (f"Signed by <% {NAME} %> today.", True), ("Signed by @@" + "A" * 90 + "@@ today.", True),
+    ("He wrote [sic] beside Itózal and paid $60 for it.", False), ("<p>The clerk counted</p>", False), ("Turnout in Itózal fell by 12% there.", False), ("The set {1, 2, 3} of boxes from Itózal was opened by 9.", False),
+    ("Who was it?!", False), ("(page 12)", False), ("Annan drew a new line.", False)])
+def test_placeholders_by_the_model(judged, text, is_one):
+    assert judge([text], judged[2], residue.Settings()).marked.tolist() == [is_one]
 
 
 def test_pieces():
-    assert plain("Ref 9f2c7a1b0e 12 <p>X</p>") == "ref h 0 \nx\n"
-    assert pieces("A b. C d!\n[2020] Portal X | E f") == ["a b.", "c d!", "portal x", "e f"]
-    assert pieces(" ") == [] and len(NOTICE) > 100
+    def pieces(*texts):
+        stream, owner = Laid(list(texts)).pieces()
+        return [(int(o), stream.text(k)) for k, o in enumerate(owner)]
+
+    assert pieces("Ref 9f2c7a1b0e 12 <p>X</p>") == [(0, "ref h 0"), (0, "x")]
+    assert pieces("A b. C d!\n[2020] Portal X | E f", "", "  g") == [(0, "a b."), (0, "c d!"), (0, "portal x"), (0, "e f"), (2, "g")]
+    assert pieces("a \0 b – c", "") == [(0, "a b"), (0, "c")]
+    assert pieces(" ") == [] and pieces() == [] and pieces("/a/b c", "x\u200by") == [(0, "c"), (1, "xy")]
+
+
+def test_a_long_text_is_judged_in_blocks_and_whole():
+    text = "word " * 500_000
+    parts = list(residue._blocks([None, "a", text, "b"]))
+    whole = {}
+    for places, part in parts:
+        for i, t in zip(places.tolist(), part):
+            whole[i] = whole.get(i, "") + t
+    assert whole == {1: "a", 2: text, 3: "b"} and all(sum(map(len, part)) <= 2 * residue.BLOCK for _, part in parts)
 
 
 def test_empty_table_and_a_very_long_text(spark):
