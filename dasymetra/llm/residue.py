@@ -306,6 +306,17 @@ class Models:
         self.totals = [np.maximum(1.0, t.sum(axis=0, dtype=np.float64) / ORDER) for t in (self.text, self.shape)]
 
 
+    def packed(self) -> tuple[list[bytes], bool]:
+        """Compressed, as the models travel: most buckets of a small corpus are empty."""
+        return [pa.compress(np.ascontiguousarray(t.T).tobytes(), "zstd", asbytes=True) for t in (self.text, self.shape)], self.first
+
+    @staticmethod
+    def unpacked(packed: tuple[list[bytes], bool]) -> Models:
+        shapes = ((len(CLASSES) + 1, BUCKETS), (2, SHAPES))
+        tables = [np.frombuffer(pa.decompress(b, 4 * n * size, "zstd", asbytes=True), np.float32).reshape(n, size) for b, (n, size) in zip(packed[0], shapes)]
+        return Models(*[np.ascontiguousarray(t.T) for t in tables], packed[1])
+
+
 def _seeded(texts: list[str], shape: bool) -> np.ndarray:
     laid = Laid(texts)
     out = np.zeros(SHAPES if shape else BUCKETS)
@@ -395,8 +406,8 @@ def _blocks(texts: list[str | None]):
         yield np.array(places), part
 
 
-def _sums(docs: DataFrame, work, names: list[str]) -> dict[str, np.ndarray]:
-    """Counts by bucket that ``work(texts, sums)`` adds up over all documents.
+def _sums(docs: DataFrame, work, names: list[str], sent=None) -> dict[str, np.ndarray]:
+    """Counts by bucket that ``work(texts, sums, models)`` adds up over all documents; sent: the models, packed and broadcast.
 
     Tasks are as many as cores, whatever the number of files, and a task returns at most one number for each bucket; the driver gathers no more than that.
     """
@@ -404,10 +415,12 @@ def _sums(docs: DataFrame, work, names: list[str]) -> dict[str, np.ndarray]:
     offset = dict(zip(names, np.cumsum([0, *[size[n] for n in names]]).tolist()))
 
     def run(batches):
-        sums = {n: np.zeros(size[n]) for n in names}
+        sums, models = {n: np.zeros(size[n]) for n in names}, None
         for batch in batches:
+            if models is None and sent is not None:
+                models = Models.unpacked(sent.value)
             for _, part in _blocks(batch.column(0).to_pylist()):
-                work(part, sums)
+                work(part, sums, models)
         for n in names:
             at = np.flatnonzero(sums[n])
             for a in range(0, len(at), 200_000):
@@ -438,31 +451,33 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = 5, settings: Settings
     texts = docs.select(F.col(f"`{text}`").cast("string").alias("text")).filter(F.length("text") > 0)
     spark = docs.sparkSession
 
-    def everything(part, sums):
+    def everything(part, sums, _):
         laid = Laid(part)
         laid.pieces()[0].count(sums["prose"])
         laid.shapes().count(sums["shape"])
 
     whole = _sums(texts, everything, ["prose", "shape"])
     models = _models(whole["prose"], whole["shape"], 0.0, 0.0, 0.0, True)
-    shared = spark.sparkContext.broadcast(models)
+    shared = spark.sparkContext.broadcast(models.packed())
 
     def doubtful(batches):
+        now = Models.unpacked(shared.value)
         for batch in batches:
             kept = np.zeros(batch.num_rows, bool)
             for places, part in _blocks(batch.column(0).to_pylist()):
-                v = judge(part, shared.value, settings)
+                v = judge(part, now, settings)
                 kept[places[v.owner[v.pool]]] = True
                 kept[places[v.marked]] = True
             if kept.any():
                 yield batch.filter(pa.array(kept))
 
     pool = cut_lineage(texts.mapInArrow(doubtful, "text string"))
+    shared.destroy()
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(models)
+        sent = spark.sparkContext.broadcast(models.packed())
 
-        def learn(part, sums, shared=shared):
-            v = judge(part, shared.value, settings)
+        def learn(part, sums, now):
+            v = judge(part, now, settings)
             for k, name in enumerate(CLASSES):
                 sure = np.zeros(len(part), bool)
                 sure[v.owner[v.kind == k]] = True
@@ -472,7 +487,8 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = 5, settings: Settings
             if v.marked.any():
                 v.shapes.count(sums["shape"], v.marked.astype(float))
 
-        found = _sums(pool, learn, [*CLASSES, "shape"])
+        found = _sums(pool, learn, [*CLASSES, "shape"], sent)
+        sent.destroy()
         models = _models(whole["prose"] - found["filler"] - found["notice"], whole["shape"] - found["shape"], found["filler"], found["notice"], 0.0, False)
     return models
 
@@ -488,15 +504,16 @@ def find(docs: DataFrame, models: Models, text: str = "text", keep: list[str] |
     keep = list(docs.columns if keep is None else keep)
     names = [free_name(keep, "residue"), free_name(keep, "residue_share")]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{text}`").cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared = docs.sparkSession.sparkContext.broadcast(models.packed())
 
     def run(batches):
+        now = Models.unpacked(shared.value)
         for batch in batches:
             n = batch.num_rows
             has = np.zeros((n, len(CLASSES) + 1), bool)
             whole, inside = np.zeros(n), np.zeros(n)
             for places, part in _blocks(batch.column(1).to_pylist()):
-                v = judge(part, shared.value, settings)
+                v = judge(part, now, settings)
                 length = v.stream.end - v.stream.start
                 owner = places[v.owner] if len(v.owner) else v.owner
                 whole += np.bincount(owner, length, n)
