@@ -20,7 +20,7 @@ ORDER = 5
 BUCKETS, SHAPES = 1 << 21, 1 << 18
 SEED_WEIGHT = 3.0
 #: Characters that are judged at a time, which bounds a task's memory; a longer text is judged in blocks.
-BLOCK = 1_000_000
+BLOCK = 250_000
 CLASSES = ("filler", "notice")
 
 _TAGS = re.compile(r"</?(?:p|br|b|i|u|em|strong|div|span|h[1-6]|ul|ol|li|tr|td|table)\b[^<>\0]*>", re.I)
@@ -214,38 +214,45 @@ class Stream:
         start, end = self.spans
         return self.codes[start[k] : end[k]].tobytes().decode("utf-32-le", "surrogatepass")
 
-    def count(self, into: np.ndarray, weights: np.ndarray | None = None) -> None:
-        """Add the n-grams that end inside spans, and the contexts before the first character, to ``into``; weights: one per span."""
+    def count(self, into: np.ndarray, chosen: np.ndarray | None = None) -> None:
+        """Add the n-grams that end inside spans, and the contexts before the first character, to ``into``; chosen: of which spans, all if None."""
         if not len(self.start):
             return
-        each = np.zeros(self.size)
         # the character before a span is the separator: its n-grams are the contexts of the first character
-        each[self.start - 1] = 1.0 if weights is None else weights
-        each[self.place] = 1.0 if weights is None else weights[self.owner]
-        held = np.flatnonzero(each)
-        for g in self.grams:
-            if len(held) * 8 > self.buckets:
-                into += np.bincount(g, each, self.buckets)
-            else:
-                np.add.at(into, g[held], each[held])
+        first, place = self.start - 1, self.place
+        if chosen is not None:
+            first, place = first[chosen], place[chosen[self.owner]]
+        at = np.concatenate([first, place])
+        grams = np.concatenate([g[at] for g in self.grams])
+        if len(grams) * 4 > self.buckets:
+            into += np.bincount(grams, minlength=self.buckets)
+        else:
+            np.add.at(into, grams, 1.0)
 
     def log_probabilities(self, table: np.ndarray, totals: np.ndarray, orders: list[np.ndarray | int]) -> np.ndarray:
         """(character, model) log probability of each character given those before it, each longer context interpolated with the shorter.
 
-        table: (bucket, model) counts. orders: for each model how many characters an n-gram may have, one number or one for each character.
+        table: (bucket, 2 or 4 models) counts. orders: for each model how many characters an n-gram may have, one number or one for each character.
         """
-        p = np.full((len(self.place), table.shape[1]), 1 / 20_000, np.float32)
-        orders = np.stack([np.broadcast_to(o, len(self.place)) for o in orders], axis=1) if any(not np.isscalar(o) or o < ORDER for o in orders) else None
-        context = np.broadcast_to(totals.astype(np.float32), p.shape)
+        models = table.shape[1]
+        rows = table.view({2: np.float64, 4: np.complex128}[models])[:, 0]  # the numbers of a bucket are fetched as one
+        p = np.full((self.size, models), 1 / 20_000, np.float32)
+        limits = None
+        if any(not np.isscalar(o) or o < ORDER for o in orders):
+            limits = np.full((self.size, models), ORDER)
+            for k, o in enumerate(orders):
+                limits[self.place, k] = o
+        context = np.broadcast_to(np.array(totals, np.float32), p.shape)
         for n, g in enumerate(self.grams):
-            have = table[g[self.place]]
+            have = rows[g].view(np.float32).reshape(self.size, models)
             # an unseen character costs a context at most a factor of 33, whatever the context's count
-            shorter = 1.0 + 0.03 * context
+            shorter = np.float32(0.03) * context + np.float32(1)
             now = (np.minimum(have, context) + shorter * p) / (context + shorter)
-            p = now if orders is None else np.where(orders > n, now, p)
-            if n + 1 < ORDER:
-                context = table[g[self.place - 1]]
-        return np.log(p)
+            p = now if limits is None else np.where(limits > n, now, p)
+            # what stands before each character
+            context = np.empty_like(have)
+            context[0], context[1:] = 0, have[:-1]
+        return np.log(p[self.place])
 
 
 def covered(stream: Stream, ratio: np.ndarray, width: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -296,7 +303,7 @@ class Settings:
 
 @dataclass
 class Models:
-    """Counts by bucket of prose, filler and notice, and of the shapes of prose and placeholders, each with its number of characters. first: whether prose still holds all texts."""
+    """Counts by bucket of prose, filler and notice (and a column of zeros), and of the shapes of prose and placeholders, each with its number of characters. first: whether prose still holds all texts."""
 
     text: np.ndarray
     shape: np.ndarray
@@ -312,7 +319,7 @@ class Models:
 
     @staticmethod
     def unpacked(packed: tuple[list[bytes], bool]) -> Models:
-        shapes = ((len(CLASSES) + 1, BUCKETS), (2, SHAPES))
+        shapes = ((4, BUCKETS), (2, SHAPES))
         tables = [np.frombuffer(pa.decompress(b, 4 * n * size, "zstd", asbytes=True), np.float32).reshape(n, size) for b, (n, size) in zip(packed[0], shapes)]
         return Models(*[np.ascontiguousarray(t.T) for t in tables], packed[1])
 
@@ -357,7 +364,7 @@ def judge(texts: list[str], models: Models, s: Settings) -> Verdict:
         order = ORDER
         if models.first:
             order = np.where(stream.many[stream.place], 1, s.first_order)
-        logs = stream.log_probabilities(models.text, models.totals[0], [order, ORDER, ORDER])
+        logs = stream.log_probabilities(models.text, models.totals[0], [order, ORDER, ORDER, ORDER])
         for k in range(len(CLASSES)):
             ratio = np.maximum(logs[:, k + 1] - logs[:, 0], s.floor)
             least, cover = (s.first_ratio, s.first_coverage[k]) if models.first else (s.ratio, s.coverage)
@@ -386,20 +393,20 @@ def judge(texts: list[str], models: Models, s: Settings) -> Verdict:
     return Verdict(stream, owner, kind, doubt, beside, shapes, marked)
 
 
-def _blocks(texts: list[str | None]):
-    """(places, texts) of about BLOCK characters, empty ones left out; a longer text comes in several parts, cut at spaces where it has any."""
+def _blocks(texts: list[str | None], most: int = BLOCK):
+    """(places, texts) of about ``most`` characters, empty ones left out; a longer text comes in several parts, cut at spaces where it has any."""
     places, part, size = [], [], 0
     for i, t in enumerate(texts):
         at = 0
         while t and at < len(t):
-            stop = min(len(t), at + BLOCK)
-            if stop < len(t) and (gap := t.rfind(" ", at + BLOCK // 2, stop)) > 0:
+            stop = min(len(t), at + most)
+            if stop < len(t) and (gap := t.rfind(" ", at + most // 2, stop)) > 0:
                 stop = gap + 1
             places.append(i)
             part.append(t[at:stop])
             size += stop - at
             at = stop
-            if size >= BLOCK:
+            if size >= most:
                 yield np.array(places), part
                 places, part, size = [], [], 0
     if part:
@@ -419,7 +426,7 @@ def _sums(docs: DataFrame, work, names: list[str], sent=None) -> dict[str, np.nd
         for batch in batches:
             if models is None and sent is not None:
                 models = Models.unpacked(sent.value)
-            for _, part in _blocks(batch.column(0).to_pylist()):
+            for _, part in _blocks(batch.column(0).to_pylist(), BLOCK if models else 4 * BLOCK):
                 work(part, sums, models)
         for n in names:
             at = np.flatnonzero(sums[n])
@@ -436,7 +443,7 @@ def _sums(docs: DataFrame, work, names: list[str], sent=None) -> dict[str, np.nd
 
 def _models(prose: np.ndarray, shape: np.ndarray, filler, notice, marks, first: bool) -> Models:
     seeds = seed_counts()
-    text = np.stack([np.maximum(prose, 0), seeds[0] + filler, seeds[1] + notice], axis=1)
+    text = np.stack([np.maximum(prose, 0), seeds[0] + filler, seeds[1] + notice, np.zeros(BUCKETS)], axis=1)
     return Models(np.ascontiguousarray(text, np.float32), np.ascontiguousarray(np.stack([np.maximum(shape, 0), seeds[2] + marks], axis=1), np.float32), first)
 
 
@@ -483,9 +490,9 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = 5, settings: Settings
                 sure[v.owner[v.kind == k]] = True
                 take = (v.kind == k) | ((v.beside == k) & sure[v.owner])
                 if take.any():
-                    v.stream.count(sums[name], take.astype(float))
+                    v.stream.count(sums[name], take)
             if v.marked.any():
-                v.shapes.count(sums["shape"], v.marked.astype(float))
+                v.shapes.count(sums["shape"], v.marked)
 
         found = _sums(pool, learn, [*CLASSES, "shape"], sent)
         sent.destroy()
