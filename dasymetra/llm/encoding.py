@@ -16,7 +16,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dasymetra.plans.common import cut_lineage
+from dasymetra.plans.common import cut_lineage, salted_join
 
 #: Single-byte encodings with which text may have been read by mistake (fixed values).
 READ_AS = ("latin_1", "cp1252", "cp1250", "cp1251", "cp437", "cp850", "cp866", "koi8_r", "mac_roman")
@@ -25,10 +25,19 @@ WRITTEN_IN = ("cp1252", "cp850", "mac_roman")
 #: Characters beyond ASCII that names are expected to hold.
 REPERTOIRE = "".join(chr(c) for c in range(0xA1, 0x100)) + "–—‘’“”…€ŒœŠšŽžŸ"
 CLEAN = "clean"
-LOST = "�"
+LOST_CHAIN = "lost"
+#: What stands for a letter that was lost: the replacement character, control characters beyond ASCII, and a question mark inside a word. In readings a wildcard takes its place.
+LOST = re.compile("[\ufffd\x80-\x9f]|(?<=[^\\W\\d_])[?](?=[^\\W\\d_])")
+WILD = "\x01"
+#: One letter may be lost for each sign, for each two, or for each with a letter before it that begins many garbled forms.
+WAYS = (LOST, re.compile("[\ufffd\x80-\x9f]{2}|" + LOST.pattern), re.compile("[ÃãÂâ][\ufffd\x80-\x9f]|" + LOST.pattern))
 #: Character n-grams are counted in two rows of hashed buckets, the lesser of which counts: the size of the model, whatever the corpus.
 BUCKETS = 1 << 19
 ORDER = 5
+#: Letters that a wildcard may be.
+LETTERS = 30
+#: Readings of tokens that a worker remembers, and prefixes that the search for lost letters goes on with: as many as two letters can make.
+MOST_TOKENS, BEAM = 200_000, 2_500
 #: Log probabilities that a chain garbled a token which it could have garbled, and that it left it alone.
 TAKEN, LEFT = math.log(0.8), math.log(0.2)
 
@@ -117,274 +126,306 @@ def chains() -> list[Chain]:
     return out
 
 
-def _fold(token: str) -> str:
-    folded = token.lower()
-    return folded if len(folded) == len(token) else token
-
-
-def _buckets(gram: str) -> tuple[int, int]:
-    """The gram's bucket in either row."""
-    h = zlib.crc32(gram.encode("utf-8", "surrogatepass"))
-    return 1 + h % (BUCKETS - 1), BUCKETS + (h * 0x9E3779B97F4A7C15 >> 21) % BUCKETS
+@functools.lru_cache(MOST_TOKENS)
+def forms(token: str) -> tuple[tuple[str, tuple[str, ...]], ...]:
+    """(chain, readings) of each chain that may have garbled the token; it does not depend on the model, so a worker keeps it from round to round."""
+    out = []
+    if not token.isascii():
+        for chain in chains():
+            if options := chain.options(token):
+                out.append((chain.name, tuple(dict.fromkeys(LOST.sub(WILD, o) for o in options))))
+    if LOST.search(token):
+        out.append((LOST_CHAIN, tuple(dict.fromkeys(w.sub(WILD, token) for w in WAYS))))
+    return tuple(out)
 
 
-def token_grams(token: str) -> list[list[tuple[int, int]]]:
-    """For each character of the folded token: the buckets of its n-grams, shortest first. Bucket 0 is all characters."""
-    text = "\x02" + _fold(token)
-    return [[_buckets(text[max(0, i - n) : i + 1]) for n in range(min(ORDER - 1, i) + 1)] for i in range(1, len(text))]
+@functools.lru_cache(1)
+def _bases() -> np.ndarray:
+    """Probability of a character that was never seen: small beyond ASCII and smaller beyond Latin letters."""
+    return np.array([1e-3 if c < 0x80 else 1e-5 if _latin(chr(c)) else 1e-7 for c in range(0x10000)])
+
+
+class Grams:
+    """Folded strings end to end, each between a start sign and a space, with the buckets of the n-grams that end at each character."""
+
+    def __init__(self, strings: list[str], end: bool = True):
+        folded = [x if len(x := s.lower()) == len(s) else s for s in strings]
+        text = "".join("\x02" + s + " " if end else "\x02" + s for s in folded)
+        self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        length = np.array([len(s) + (2 if end else 1) for s in folded])
+        self.start = np.cumsum(length) - length
+        self.owner = np.repeat(np.arange(len(strings)), length)
+        at = np.arange(len(self.codes))
+        self.wild = self.codes == ord(WILD)
+        first = self.start[self.owner]
+        behind = np.maximum.accumulate(np.where(self.wild, at + 1, 0)) if self.wild.any() else 0
+        #: how many characters before each may count as its context: no start sign or wildcard is crossed
+        self.reach = at - np.maximum(first, behind)
+        self.reach[self.wild] = -1
+        self.first = at == first
+        self.rows = []
+        h = np.zeros(len(at), np.uint64)
+        for _ in range(ORDER):
+            h = np.concatenate([np.zeros(1, np.uint64), h[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + self.codes + np.uint64(0x632BE59BD9B4E019)
+            mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            self.rows.append(((mixed >> np.uint64(40)) % np.uint64(BUCKETS), np.uint64(BUCKETS) + (mixed >> np.uint64(8)) % np.uint64(BUCKETS)))
+
+    def count(self, into: np.ndarray, weights: np.ndarray) -> None:
+        """Add each string's weight to its n-grams; the last of ``into`` is the number of characters."""
+        each = weights[self.owner]
+        for n, pair in enumerate(self.rows):
+            at = np.flatnonzero((self.reach >= n) & ((n == 0) | ~self.first))
+            for g in pair:
+                np.add.at(into, g[at], each[at])
+        into[-1] += each[~self.first & ~self.wild].sum()
+
+    def scores(self, counts: np.ndarray, weight: float) -> np.ndarray:
+        """Log probability of each string: a character's given up to four before it backs off to shorter contexts."""
+        p = _bases()[np.minimum(self.codes, 0xFFFF)]
+        context = np.full(len(p), counts[-1])
+        for n, (a, b) in enumerate(self.rows):
+            have = np.minimum(counts[a], counts[b])
+            p = np.where(self.reach >= n, (np.minimum(have, context) + weight * p) / (context + weight), p)
+            context = np.concatenate([[0.0], have[:-1]])
+        p[self.wild] = 1 / LETTERS
+        p[self.first] = 1.0
+        return np.add.reduceat(np.log(p), self.start) if len(self.start) else np.empty(0)
 
 
 class Model:
-    """Hashed character n-grams of what names look like, and how likely each chain is in each field.
-
-    A character's probability given up to four before it backs off to shorter contexts, in the end to a
-    constant that is small beyond ASCII and smaller beyond Latin letters.
-    """
+    """Hashed character n-grams of what names look like, and how likely each chain is in each field of each source."""
 
-    def __init__(self, counts: np.ndarray, priors: dict[tuple[str, str], float], rare: float = 1e-6, weight: float = 0.5):
+    def __init__(self, counts: np.ndarray, priors: dict[tuple[str, str, str], float], rare: float = 1e-6, weight: float = 0.5):
         self.counts, self.priors, self.rare, self.weight = counts, priors, rare, weight
-        self.scores: dict[str, float] = {}
-        self.undone: dict[str, dict[str, tuple[float, str]]] = {}
+        self.known: dict[str, float] = {}
         self.letters: list[str] | None = None
-        self.filled: dict[str, str] = {}
-
-    def prior(self, where: str, chain: str) -> float:
-        return math.log(max(self.rare, self.priors.get((where, chain), 0.0)))
-
-    def score(self, token: str) -> float:
-        """Log probability of a token with its start and end."""
-        return self.prefix(token + " ")
-
-    def prefix(self, token: str) -> float:
-        """Log probability that a token starts like this."""
-        known = self.scores.get(token)
-        if known is None:
-            if len(self.scores) > 200_000:
-                self.scores.clear()
-            counts, weight, known, before = self.counts, self.weight, 0.0, None
-            start = float(min(counts[list(_buckets("\x02"))]))
-            for grams, char in zip(token_grams(token), _fold(token)):
-                p = 1e-3 if char.isascii() else 1e-5 if _latin(char) else 1e-7
-                have = [min(float(counts[g]), float(counts[h])) for g, h in grams]
-                for n, count in enumerate(have):
-                    context = float(counts[0]) if n == 0 else start if before is None else before[n - 1]
-                    p = (min(count, context) + weight * p) / (context + weight)
-                before = have
-                known += math.log(p)
-            self.scores[token] = known
-        return known
-
-    def undoings(self, token: str, all_chains: list[Chain]) -> dict[str, tuple[float, str]]:
-        """For each chain that could have garbled the token: the log probability of the likeliest reading under it, and that reading."""
-        known = self.undone.get(token)
-        if known is None:
-            if len(self.undone) > 100_000:
-                self.undone.clear()
-            known = {}
-            for chain in () if token.isascii() else all_chains:
-                if options := chain.options(token):
-                    # a chain mostly takes the whole text; what it could have taken and did not is less likely
-                    known[chain.name] = max([(self.score(token) + LEFT, token)] + [(self.score(o) + TAKEN - math.log(len(options)), o) for o in options])
-            self.undone[token] = known
-        return known
-
-    def judge(self, where: str, text: str, all_chains: list[Chain]) -> list[tuple[str, str, float]]:
-        """(chain, what the text was, posterior) of every reading of a text; the clean reading comes first."""
-        tokens = text.split(" ")
-        plain = [self.score(t) for t in tokens]
-        readings = [(CLEAN, text, self.prior(where, CLEAN) + sum(plain))]
-        if not text.isascii():
-            undone = [self.undoings(t, all_chains) for t in tokens]
-            for chain in {c for u in undone for c in u}:
-                taken = [u.get(chain, (own, t)) for u, own, t in zip(undone, plain, tokens)]
-                was = " ".join(t for _, t in taken)
-                if was != text:
-                    readings.append((chain, was, self.prior(where, chain) + sum(x for x, _ in taken)))
-        top = max(r[2] for r in readings)
-        weights = [math.exp(r[2] - top) for r in readings]
-        whole = sum(weights)
-        return [(c, t, w / whole) for (c, t, _), w in zip(readings, weights)]
 
+    def prior(self, place: str, source: str, chain: str) -> float:
+        return math.log(max(self.rare, self.priors.get((place, source, chain), 0.0)))
+
+    def scores(self, strings, end: bool = True) -> np.ndarray:
+        strings = list(strings)
+        out = np.empty(len(strings))
+        for at in range(0, len(strings), 20_000):
+            part = strings[at : at + 20_000]
+            out[at : at + len(part)] = Grams(part, end).scores(self.counts, self.weight)
+        return out
+
+    def readings(self, texts: list[str]) -> list[list[tuple[str, str, float]]]:
+        """(chain, what the text was, log likelihood) of every reading of each text; the clean reading comes first. A text that no chain can have garbled has that one alone, of likelihood 1."""
+        split = [t.split(" ") for t in texts]
+        taken = [any(map(forms, tokens)) for tokens in split]
+        wanted = {t for tokens, some in zip(split, taken) if some for t in tokens}
+        wanted |= {o for t in wanted for _, options in forms(t) for o in options}
+        new = [w for w in wanted if w not in self.known]
+        if len(self.known) + len(new) > MOST_TOKENS:
+            self.known, new = {}, list(wanted)
+        self.known.update(zip(new, self.scores(new).tolist()))
+        known, best, out = self.known, {}, []
+        for text, tokens, some in zip(texts, split, taken):
+            if not some:
+                out.append([(CLEAN, text, 0.0)])
+                continue
+            for t in tokens:
+                if t not in best:
+                    # a chain mostly takes the whole text; what it could have taken and did not is less likely. Letters may be lost besides
+                    ways = dict(forms(t))
+                    take = lambda c: [(known[o] + TAKEN - math.log(len(ways[c])), o) for o in ways.get(c, ())]
+                    alone = max([(known[t], t), *take(LOST_CHAIN)])
+                    best[t] = {c: max([(alone[0] + LEFT, alone[1]), *take(c)]) for c in ways} | {None: alone}
+            plain = [known[t] for t in tokens]
+            here = [(CLEAN, text, sum(plain))]
+            for chain in sorted({c for t in tokens for c in best[t] if c is not None}):
+                ways = [best[t].get(chain, best[t][None]) for t in tokens]
+                was = " ".join(w for _, w in ways)
+                if was != text:
+                    here.append((chain, was, sum(x for x, _ in ways)))
+            out.append(here)
+        return out
 
-def surely_garbled(text: str) -> bool:
-    """Whether the text holds what no name holds: the replacement character, or control characters beyond ASCII."""
-    return any(c == LOST or "\x80" <= c <= "\x9f" for c in text)
+    def posteriors(self, place: str, source: str, readings: list[tuple[str, str, float]]) -> list[float]:
+        if len(readings) == 1:
+            return [1.0]
+        logs = [self.prior(place, source, c) + x for c, _, x in readings]
+        top = max(logs)
+        weights = [math.exp(x - top) for x in logs]
+        whole = sum(weights)
+        return [w / whole for w in weights]
+
+    def filled(self, text: str) -> str:
+        """The text with the likeliest letter for each wildcard, one token at a time; exact for up to two in a token, by a beam over prefixes beyond."""
+        if self.letters is None:
+            marks = [c for c in REPERTOIRE if c.isalpha() and c not in "ªº" and c == c.lower()]
+            grams = Grams(marks, False)
+            at = np.flatnonzero(~grams.first)
+            self.letters = [c for c, n in zip(marks, np.minimum(*[self.counts[g[at]] for g in grams.rows[0]])) if n >= 1]
+        out = []
+        for token in text.split(" "):
+            if WILD in token:
+                upper = token.upper() == token
+                marks = [c.upper() if upper and len(c.upper()) == 1 else c for c in self.letters]
+                beam = [token]
+                while WILD in beam[0]:
+                    grown = sorted({t.replace(WILD, c, 1) for t in beam for c in marks})
+                    last = WILD not in grown[0]
+                    order = self.scores(grown if last else [t[: t.index(WILD)] for t in grown], last)
+                    beam = [grown[k] for k in np.argsort(-order, kind="stable")[: 1 if last else BEAM]]
+                    if not beam:
+                        beam = [token.replace(WILD, "\ufffd")]
+                token = beam[0]
+            out.append(token)
+        return " ".join(out)
 
 
 def _looks_plain(text: str) -> bool:
-    """ASCII and letters of Latin-1 alone: what the first round takes as clean."""
-    return all(c.isascii() or (c <= "ÿ" and _latin(c)) for c in text)
+    """ASCII and letters of Latin-1 alone, and no sign of a lost letter: what the first round takes as clean."""
+    return not LOST.search(text) and all(c.isascii() or (c <= "ÿ" and _latin(c)) for c in text)
 
 
 def _sums(batches, work):
-    """Run ``work(batch, tokens, chances)``, which adds weights of tokens and of (place, chain), over all batches, and give the partition's sums as one batch."""
+    """Run ``work(batch, tokens, chances)``, which adds weights of tokens and of (place, source, chain), over all batches, and give the partition's sums as one batch."""
     tokens, chances = Counter(), Counter()
-    counts = np.zeros(2 * BUCKETS)
+    counts = np.zeros(2 * BUCKETS + 1)
 
     def spill():
-        for token, weight in tokens.items():
-            for g in _buckets("\x02"):
-                counts[g] += weight
-            for grams in token_grams(token + " "):
-                counts[0] += weight
-                for g, h in grams:
-                    counts[g] += weight
-                    counts[h] += weight
+        if tokens:
+            Grams(list(tokens)).count(counts, np.array(list(tokens.values())))
         tokens.clear()
 
     for batch in batches:
         work(batch, tokens, chances)
-        if len(tokens) > 500_000:
+        if len(tokens) > 100_000:
             spill()
     spill()
     buckets = np.flatnonzero(counts)
     names = list(chances)
+    column = lambda k: pa.array([*[None] * len(buckets), *[n[k] for n in names]], pa.string())
     yield pa.RecordBatch.from_arrays(
-        [pa.array([*buckets.tolist(), *[-1] * len(names)], pa.int64()), pa.array([*[None] * len(buckets), *[n[0] for n in names]], pa.string()),
-         pa.array([*[None] * len(buckets), *[n[1] for n in names]], pa.string()), pa.array([*counts[buckets].tolist(), *[chances[n] for n in names]], pa.float64())],
-        names=["bucket", "place", "chain", "weight"])
+        [pa.array([*buckets.tolist(), *[-1] * len(names)], pa.int64()), column(0), column(1), column(2), pa.array([*counts[buckets].tolist(), *[chances[n] for n in names]], pa.float64())],
+        names=["bucket", "place", "source", "chain", "weight"])
 
 
-def fit(names: DataFrame, rounds: int = 5) -> Model:
+def fit(names: DataFrame, rounds: int = 8, settled: float = 1e-3) -> Model:
     """Fit the model to all names by expectation-maximisation.
 
-    names: (place, text, n), each text once per place and materialised, as each round reads it. The first
+    names: (place, source, text, n), each text once per place and source and materialised, as each round reads it. The first
     round takes as clean what is made of ASCII and letters of Latin-1. Each later round weighs the
     readings of a text by their posterior under the last model, adds the n-grams of the clean reading and of
-    the likeliest restored one, and counts the chains of each place. What a task returns is at most the
-    buckets and one number for each place and chain, and the driver gathers no more than that.
+    the likeliest restored one, and counts the chains of each place and source; it is the last one once no prior
+    moves by more than ``settled``. What a task returns is at most the
+    buckets and one number for each place, source and chain, and the driver gathers no more than that.
     """
     spark = names.sparkSession
     model: Model | None = None
     for _ in range(rounds):
         shared = None if model is None else spark.sparkContext.broadcast((model.counts, model.priors))
 
-        def run(batches):
-            now, all_chains = None if shared is None else Model(*shared.value), chains()
+        def run(batches, shared=shared):
+            now, every = None if shared is None else Model(*shared.value), [c.name for c in chains()] + [LOST_CHAIN]
 
             def add(tokens, text, weight):
                 for token in text.split(" "):
                     tokens[token] += weight
 
             def work(batch, tokens, chances):
-                for where, text, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                    weight = float(n)
-                    if now is None:
-                        clean = _looks_plain(text)
+                place, source, text, n = (batch.column(k).to_pylist() for k in range(4))
+                readings = [None] * len(text) if now is None else now.readings(text)
+                for where, of, t, k, here in zip(place, source, text, n, readings):
+                    if here is None:
+                        clean = _looks_plain(t)
                         if clean:
-                            add(tokens, text, weight)
-                        chances[where, CLEAN] += n if clean else 0
-                        for c in all_chains:
-                            chances[where, c.name] += 0 if clean else n / len(all_chains)
-                        continue
-                    readings = now.judge(where, text, all_chains)
-                    if LOST in text:
+                            add(tokens, t, float(k))
+                        chances[where, of, CLEAN] += k if clean else 0
+                        for c in () if clean else every:
+                            chances[where, of, c] += k / len(every)
                         continue
-                    for chain, _, p in readings:
-                        chances[where, chain] += n * p
-                    add(tokens, text, weight * readings[0][2])
-                    best = max(readings[1:], key=lambda r: r[2], default=None)
-                    if best is not None:
-                        add(tokens, best[1], weight * (1 - readings[0][2]))
+                    chance = now.posteriors(where, of, here)
+                    for (chain, _, _), p in zip(here, chance):
+                        chances[where, of, chain] += k * p
+                    add(tokens, t, k * chance[0])
+                    if len(here) > 1:
+                        best = max(range(1, len(here)), key=chance.__getitem__)
+                        add(tokens, here[best][1], k * (1 - chance[0]))
 
             yield from _sums(batches, work)
 
-        sums = names.select("place", "text", "n").mapInArrow(run, "bucket bigint, place string, chain string, weight double")
-        got = sums.groupBy("bucket", "place", "chain").agg(F.sum("weight").alias("weight")).toArrow()
+        sums = names.select("place", "source", "text", "n").mapInArrow(run, "bucket bigint, place string, source string, chain string, weight double")
+        got = sums.groupBy("bucket", "place", "source", "chain").agg(F.sum("weight").alias("weight")).toArrow()
+        if shared is not None:
+            shared.destroy()
         bucket, weight = got.column("bucket").to_numpy(), got.column("weight").to_numpy()
-        counts = np.zeros(2 * BUCKETS)
+        counts = np.zeros(2 * BUCKETS + 1)
         counts[bucket[bucket >= 0]] = weight[bucket >= 0]
         named = got.filter(pa.compute.less(got.column("bucket"), 0)).to_pylist()
-        chances = {(r["place"], r["chain"]): r["weight"] for r in named}
+        chances = {(r["place"], r["source"], r["chain"]): r["weight"] for r in named}
         total = Counter()
-        for (w, _), x in chances.items():
-            total[w] += x
-        model = Model(counts, {k: (x + 0.01) / (total[k[0]] + 1) for k, x in chances.items()})
+        for k, x in chances.items():
+            total[k[:2]] += x
+        before = {} if model is None else model.priors
+        model = Model(counts, {k: (x + 0.01) / (total[k[:2]] + 1) for k, x in chances.items()})
+        if before and max((abs(x - before.get(k, 0.0)) for k, x in model.priors.items()), default=0.0) < settled:
+            break
     return model
 
 
-def _fill(model: Model, text: str) -> str:
-    """Put the likeliest letter for each lost character, one token at a time, by a beam over its prefixes.
-
-    A lost character after Ã may stand for the rest of one letter: that reading is tried as well.
-    """
-    if model.letters is None:
-        model.letters = [c for c in REPERTOIRE if c.isalpha() and c not in "ªº" and c == c.lower() and min(model.counts[list(_buckets(c))]) >= 1]
-    letters = model.letters
-    out = []
-    for token in text.split(" "):
-        if LOST not in token:
-            out.append(token)
-            continue
-        if token in model.filled:
-            out.append(model.filled[token])
-            continue
-        upper = token.upper() == token
-        marks = [c.upper() if upper and len(c.upper()) == 1 else c.lower() for c in letters]
-        done = []
-        for start in {token, re.sub("[Ãã]" + LOST, LOST, token)}:
-            beam = [start]
-            while any(LOST in t for t in beam):
-                grown = {t.replace(LOST, c, 1) for t in beam for c in marks}
-                # judged up to the next lost character
-                beam = sorted(grown, key=lambda t: (model.score(t) if LOST not in t else model.prefix(t[: t.index(LOST)])), reverse=True)[:20]
-            done += beam[:1]
-        out.append(max(done, key=model.score))
-        model.filled[token] = out[-1]
-    return " ".join(out)
-
-
-def _verdict(model: Model, where: str, text: str, least: float) -> tuple[str, float, str | None] | None:
-    readings = model.judge(where, text, chains())
-    sure = surely_garbled(text)
-    garbled = 1 - readings[0][2]
-    if garbled < least and not sure:
+def _verdict(model: Model, place: str, source: str, text: str, readings: list[tuple[str, str, float]], least: float) -> tuple[str, float, str | None] | None:
+    chance = model.posteriors(place, source, readings)
+    if len(readings) == 1 or 1 - chance[0] < least:
         return None
     by_text = Counter()
-    for _, t, p in readings[1:]:
+    for (_, t, _), p in zip(readings[1:], chance[1:]):
         by_text[t] += p
-    restored = by_text.most_common(1)[0][0] if by_text else text
-    chain = max((r for r in readings[1:] if r[1] == restored), key=lambda r: r[2], default=("lost",))[0]
-    if LOST in restored:
-        restored, chain = max((_fill(model, t) for t in (restored, text)), key=lambda t: sum(map(model.score, t.split(" ")))), "lost"
-    return chain, 1.0 if sure else garbled, restored if restored != text and not surely_garbled(restored) else None
+    restored = by_text.most_common(1)[0][0]
+    chain = max((p, c) for (c, t, _), p in zip(readings[1:], chance[1:]) if t == restored)[1]
+    if WILD in restored or LOST.search(restored):
+        ways = {w.sub(WILD, t.replace(WILD, "\ufffd")) for t in (restored, text) for w in WAYS}
+        ways = sorted({model.filled(w) for w in ways if WILD in w})
+        restored, chain = ways[int(np.argmax([model.scores(w.split(" ")).sum() for w in ways]))], LOST_CHAIN
+    return chain, 1 - chance[0], restored if restored != text and not re.search("[\ufffd\x80-\x9f]", restored) else None
+
+
+def distinct_names(records: DataFrame, place: str, text: str, source: str | None = None) -> DataFrame:
+    """(place, source, text, n): each text once per place and source, written once; equal texts collapse before the shuffle. Null and empty texts are left out, a null place or source counts as an empty one."""
+    names = _keyed(records, place, source, text).filter(F.length("text") > 0).groupBy("place", "source", "text").agg(F.count(F.lit(1)).alias("n"))
+    # far fewer rows than records, but each costs much: once over all cores, one text's rows side by side
+    return cut_lineage(names.repartition(records.sparkSession.sparkContext.defaultParallelism, "text").sortWithinPartitions("text"))
 
 
-def distinct_names(records: DataFrame, place: str, text: str) -> DataFrame:
-    """(place, text, n): each text once per place, written once; equal texts collapse before the shuffle. Null and empty texts are left out."""
-    names = records.filter(F.length(f"`{text}`") > 0).groupBy(F.col(f"`{place}`").cast("string").alias("place"), F.col(f"`{text}`").cast("string").alias("text")).agg(F.count(F.lit(1)).alias("n"))
-    # far fewer rows than records, but each costs much: once over all cores, as each task scores its words anew
-    return cut_lineage(names.repartition(records.sparkSession.sparkContext.defaultParallelism, "place", "text"))
+def _keyed(records: DataFrame, place: str, source: str | None, text: str, *more) -> DataFrame:
+    name = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    return records.select(name(place).alias("place"), F.lit("").alias("source") if source is None else name(source).alias("source"), F.col(f"`{text}`").cast("string").alias("text"), *more)
 
 
 def garbled_names(names: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """(place, text, chain, posterior, restored) of the garbled texts among ``names``, each judged once.
+    """(place, source, text, n, chain, posterior, restored) of the garbled texts among ``names``, each judged once.
 
     A text counts as garbled if its readings through some chain together have a posterior of ``least`` or
-    more, or if it holds a replacement or control character. restored is the likeliest reading, and for lost
-    characters the likeliest letters; null where nothing better than the text itself is found.
+    more; the loss of letters is a chain like others. restored is the likeliest reading, with the likeliest
+    letters in place of lost ones; null where nothing better than the text itself is found.
     """
     shared = names.sparkSession.sparkContext.broadcast((model.counts, model.priors))
 
     def run(batches):
         now = Model(*shared.value)
         for batch in batches:
-            out = [(w, t, *v) for w, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if not t.isascii() and (v := _verdict(now, w, t, least))]
-            columns = list(zip(*out)) or [()] * 5
-            kinds = (pa.string(), pa.string(), pa.string(), pa.float64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["place", "text", "chain", "posterior", "restored"])
+            place, source, text, n = (batch.column(k).to_pylist() for k in range(4))
+            out = [(w, s, t, k, *v) for w, s, t, k, here in zip(place, source, text, n, now.readings(text)) if (v := _verdict(now, w, s, t, here, least))]
+            columns = list(zip(*out)) or [()] * 7
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["place", "source", "text", "n", "chain", "posterior", "restored"])
 
-    return names.select("place", "text").mapInArrow(run, "place string, text string, chain string, posterior double, restored string")
+    return names.select("place", "source", "text", "n").mapInArrow(run, "place string, source string, text string, n bigint, chain string, posterior double, restored string")
 
 
-def repair(records: DataFrame, place: str, key: str, text: str, rounds: int = 5) -> DataFrame:
-    """(place, rec_key, text, chain, posterior, restored) of each record whose text is garbled.
+def repair(records: DataFrame, place: str, key: str, text: str, source: str | None = None, rounds: int = 8) -> DataFrame:
+    """(place, source, rec_key, text, chain, posterior, restored) of each record whose text is garbled.
 
-    Fits the model to all texts, judges each distinct text once and joins the garbled ones, few as they are,
-    back to the records. Null and empty texts are never garbled; repeated rows are all returned; texts of
+    place: the field that a text is from; source: the delivery. Fits the model to all texts, judges each distinct text once and joins the
+    garbled ones, few as they are, back to the records, those of very frequent texts split. Null and empty texts are never garbled; repeated rows are all returned; texts of
     any length are judged whole; an empty table gives an empty result.
     """
-    names = distinct_names(records, place, text)
-    garbled = garbled_names(names, fit(names, rounds))
-    rows = records.select(F.col(f"`{place}`").cast("string").alias("place"), F.col(f"`{key}`").cast("string").alias("rec_key"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.join(garbled, ["place", "text"]).select("place", "rec_key", "text", "chain", "posterior", "restored")
+    names = distinct_names(records, place, text, source)
+    garbled = cut_lineage(garbled_names(names, fit(names, rounds)))
+    rows = _keyed(records, place, source, text, F.col(f"`{key}`").cast("string").alias("rec_key"))
+    on = ["place", "source", "text"]
+    return salted_join(rows, garbled.drop("n"), on, 200_000, garbled.select(*on, "n")).select(*on[:2], "rec_key", "text", "chain", "posterior", "restored")

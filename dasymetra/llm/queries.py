@@ -10,16 +10,17 @@ from dasymetra.plans.common import cut_lineage, table
 TOKENIZER = "byte_bpe_50k"
 
 
-#: The name fields in which garbled text is looked for: table, key, name.
-NAME_FIELDS = (("merged", "row_id", "nm_municipio"), ("dictionary", "dict_id", "candidate_name"), ("muni_crosswalk", "code_ibge", "nome"))
+#: The name fields in which garbled text is looked for: table, key, name, and what tells one delivery from another.
+NAME_FIELDS = (("merged", "row_id", "nm_municipio", "ano_eleicao"), ("dictionary", "dict_id", "candidate_name", "ano_eleicao"), ("muni_crosswalk", "code_ibge", "nome", None))
 
 
 def _repaired(spark, sf_dir):
     names = None
-    for tab, key, name in NAME_FIELDS:
-        rows = table(spark, sf_dir, tab).select(F.lit(tab).alias("tab_name"), F.col(key).cast("string").alias("rec_key"), F.col(name).alias("name"))
+    for tab, key, name, delivery in NAME_FIELDS:
+        of = F.lit(None).cast("string") if delivery is None else F.col(delivery).cast("string")
+        rows = table(spark, sf_dir, tab).select(F.lit(tab).alias("tab_name"), F.col(key).cast("string").alias("rec_key"), F.col(name).alias("name"), of.alias("delivery"))
         names = rows if names is None else names.unionByName(rows)
-    return encoding.repair(names, "tab_name", "rec_key", "name")
+    return encoding.repair(names, "tab_name", "rec_key", "name", "delivery")
 
 
 def p3_found(spark, sf_dir):

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from dasymetra.llm.encoding import Chain, chains, repair, surely_garbled
+from dasymetra.llm.encoding import LOST, WILD, Chain, Grams, Model, chains, distinct_names, fit, forms, garbled_names, repair
 
 WORDS = "SÃO JOSÉ CONCEIÇÃO ÁGUA PARAÍSO ESTAÇÃO RIBEIRÃO CÓRREGO LAGOA VILA NOVA PORTO ITÓPOLIS ÍNDIOS BULHÕES ANTÔNIO JURÊ CATÃ DOURO MIRIM".split()
 
@@ -43,6 +44,34 @@ def test_garbled_names_are_found_and_clean_ones_are_not(judged):
     found = {r.rec_key for r in out}
     assert len(found & truth.keys()) >= 0.99 * len(truth)
     assert len(found - truth.keys()) <= 0.01 * len(truth)
+    assert min(r.posterior for r in out) >= 0.5
+
+
+def test_lost_letters_are_found_by_posterior_alone(spark):
+    rows = [(str(i), "a", w) for i, w in enumerate(["JOSÉ", "CONCEIÇÃO", "PARAÍSO", "ÁGUA"] * 300)] + [("x1", "a", "CONCEI��O"), ("x2", "a", "PARA?SO"), ("x3", "a", "JOS\x89"), ("x4", "a", "ÁGUA?"), ("x5", "a", "Ã�GUA")]
+    table = spark.createDataFrame(rows, "key string, place string, name string")
+    names = distinct_names(table, "place", "name")
+    model = fit(names)
+    out = {r.text: r for r in garbled_names(names, model).collect()}
+    assert {t: r.restored for t, r in out.items()} == {"CONCEI��O": "CONCEIÇÃO", "PARA?SO": "PARAÍSO", "JOS\x89": "JOSÉ", "Ã�GUA": "ÁGUA"}
+    for t, r in out.items():
+        here = model.readings([t])[0]
+        assert r.posterior == 1 - model.posteriors("a", "", here)[0] >= 0.5 and forms(t.split(" ")[0])
+
+
+def test_two_lost_letters_are_filled_exactly():
+    model = Model(np.zeros(2 * (1 << 19) + 1), {})
+    Grams(["conceição", "paraíso", "índios"]).count(model.counts, np.ones(3))
+    token = f"concei{WILD}{WILD}o"
+    best = max((token.replace(WILD, a, 1).replace(WILD, b, 1) for a in "çãíé" for b in "çãíé"), key=lambda t: model.scores([t])[0])
+    assert model.filled(token) == best == "conceição"
+
+
+def test_source_and_place_have_priors_of_their_own(spark):
+    rows = [(str(i), "a", "good", w) for i, w in enumerate(["JOSÉ", "SÃO", "ÁGUA"] * 200)] + [("b" + str(i), "a", "bad", CASES["cp1252"](w)) for i, w in enumerate(["JOSÉ", "SÃO", "ÁGUA"] * 20)]
+    table = spark.createDataFrame(rows, "key string, place string, source string, name string")
+    out = repair(table, "place", "key", "name", "source").collect()
+    assert {r.source for r in out} == {"bad"} and len(out) == 60
 
 
 def test_names_are_restored(judged):
@@ -61,7 +90,7 @@ def test_every_chain_undoes_what_it_does():
 
 
 def test_sure_signs_and_empty_tables(spark):
-    assert surely_garbled("S�O") and surely_garbled("Ã\x83") and not surely_garbled("SÃO – 2ª")
+    assert LOST.search("S�O") and LOST.search("Ã\x83") and LOST.search("S?O") and not LOST.search("SÃO – 2ª?")
     assert repair(spark.createDataFrame([], "key string, place string, name string"), "place", "key", "name").count() == 0
     long = "SÃO JOSÉ " * 20_000
     rows = [("1", "a", long), ("2", "a", CASES["cp1252"](long))]
