@@ -35,18 +35,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def salted_join(many: DataFrame, few: DataFrame, on: list[str], rows_per_salt: int) -> DataFrame:
-    """Inner equi-join in which no task meets a key with more than about ``rows_per_salt`` rows of ``many``.
+#: Keys of which a salted join may send to all executors at most.
+MOST_HOT = 100_000
 
-    Keys with more rows are counted with map-side aggregation; their rows on ``many`` are spread over salts
-    by a hash of the row, and their rows on ``few`` repeated once per salt. All other keys have one salt,
-    so ``few`` is not repeated for them. The hot keys are sent to all executors: there are at most
-    rows(many) / rows_per_salt of them. Null keys match nothing.
+
+def salted_join(many: DataFrame, few: DataFrame, on: list[str], rows_per_salt: int, counts: DataFrame | None = None) -> DataFrame:
+    """Inner equi-join in which no task meets a key with more than about ``rows_per_salt`` rows of ``many``, or one MOST_HOT-th of all.
+
+    Keys with more rows are counted with map-side aggregation, unless ``counts`` (on, n) gives the rows of the keys that
+    matter; their rows on ``many`` are spread over salts by a hash of the row, and their rows on ``few`` repeated once per salt. All other keys have one salt,
+    so ``few`` is not repeated for them. The hot keys are sent to all executors: fewer than MOST_HOT, whatever
+    the data, as each holds more than one MOST_HOT-th of the counted rows. Null keys match nothing.
     """
     columns = [*many.columns, *few.columns]
     salt, top = free_name(columns, "_salt"), free_name(columns, "_salts")
-    hot = F.broadcast(
-        many.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / rows_per_salt).cast("int").alias(top)).filter(F.col(top) > 1))
+    counts = many.groupBy(*on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    each = F.greatest(F.lit(rows_per_salt), F.ceil(F.col("_all") / MOST_HOT))
+    total = counts.agg(F.sum("n").alias("_all"))
+    hot = counts.crossJoin(F.broadcast(total)).select(*on, F.ceil(F.col("n") / each).cast("int").alias(top)).filter(F.col(top) > 1)
+    hot = F.broadcast(hot)
     spread = F.pmod(F.xxhash64(*many.columns), F.coalesce(F.col(top), F.lit(1))).cast("int")
     left = many.join(hot, on, "left").withColumn(salt, spread).drop(top)
     right = few.join(hot, on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(top), F.lit(1)) - 1))).drop(top)
