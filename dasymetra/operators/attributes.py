@@ -54,7 +54,7 @@ def as_date(t: Column) -> Column:
 
 
 def typed(value: Column, kind: str) -> Column:
-    """The value of a usable text. Whole numbers beyond 38 digits become null though the cell counts as filled."""
+    """The value of a usable text; null for a whole number beyond 38 digits, which no column type holds."""
     t = F.trim(value)
     if kind == "int":
         return F.regexp_replace(t, r"\.", "").try_cast("decimal(38,0)")
@@ -91,12 +91,37 @@ def resolve(rows: DataFrame, entity: str, attribute: str, value: str, at: str, a
 def widen(resolved: DataFrame, attributes: list[Attribute], entity: str = "entity") -> DataFrame:
     """One row per entity with a typed column per attribute and the map ``failures`` of the texts that could not be read.
 
-    An attribute called like the entity or ``failures`` gets a trailing underscore.
+    A text of the right form whose value no column holds (a whole number beyond 38 digits) stays in ``failures`` too,
+    so that no value is lost. An attribute called like the entity or ``failures`` gets a trailing underscore.
     """
     columns = [F.col("entity").alias(entity)]
+    beyond = []
+    for a, name in zip(attributes, column_names(attributes, entity)):
+        text = F.element_at("values", a.name)
+        columns.append(typed(text, a.kind).alias(name))
+        if a.kind == "int":
+            beyond.append(F.when(text.isNotNull() & typed(text, a.kind).isNull(), F.struct(F.lit(a.name).alias("name"), text.alias("v"))))
+    failures = F.col("failures")
+    if beyond:
+        # most rows have none, and the map is not built anew for those
+        long = F.exists(F.map_values("values"), lambda v: F.length(v) > 38)
+        failures = F.when(long, F.map_concat("failures", F.map_from_entries(F.filter(F.array(*beyond), lambda e: e.isNotNull())))).otherwise(failures)
+    return resolved.select(*columns, failures.alias("failures"))
+
+
+def column_names(attributes: list[Attribute], entity: str = "entity") -> list[str]:
+    """The column of each attribute in the wide table."""
     taken = [entity, "failures"]
     for a in attributes:
-        name = free_name(taken, a.name)
-        taken.append(name)
-        columns.append(typed(F.element_at("values", a.name), a.kind).alias(name))
-    return resolved.select(*columns, "failures")
+        taken.append(free_name(taken, a.name))
+    return taken[2:]
+
+
+def filled_cells(wide: DataFrame, attributes: list[Attribute], entity: str = "entity") -> DataFrame:
+    """(entity, attr_name) of the filled cells of a wide table: its typed columns that are not null, and the values of the right form that no column holds."""
+    named = zip(attributes, column_names(attributes, entity))
+    cells = F.array(*[F.when(F.col(f"`{c}`").isNotNull(), F.lit(a.name)) for a, c in named])
+    whole = [a.name for a in attributes if a.kind == "int"]
+    beyond = F.map_filter("failures", lambda k, v: k.isin(*whole) & usable(v, "int")) if whole else F.create_map().cast("map<string,string>")
+    names = F.when(F.size("failures") > 0, F.concat(cells, F.map_keys(beyond))).otherwise(cells)
+    return wide.select(F.col(f"`{entity}`"), F.explode(F.filter(names, lambda n: n.isNotNull())).alias("attr_name"))

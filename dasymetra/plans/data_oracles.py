@@ -81,6 +81,19 @@ _CELLS = f"""
         ELSE v <> '' END, false) AS ok
       FROM last)"""
 
+#: The rows of attr_defs, which are fixed, by type.
+_ATTRIBUTES = {
+    "int": [f"cand_{n}" for n in (11, 1107, 11070, 14, 17, 21, 21345, 26, 2601, 32, 3233, 38, 41, 41200, 47, 4720, 53, 5312, 53999, 58, 62, 62021, 74, 7404, 81, 81818, 95, 96)]
+    + ["genero_feminino", "genero_masculino", "qt_abstencoes", "qt_aptos", "qt_comparecimento", "qt_urnas", "votantes_18_19", "votantes_20", "votantes_21_24", "votantes_25_29"],
+    "decimal": ["area_sala_m2", "pct_biometria"], "boolean": ["in_acessivel", "in_secao_agregada"], "date": ["dt_instalacao", "dt_vistoria"], "string": ["ds_observacao", "nm_local"],
+}
+_READ = {
+    "int": "try_cast(replace(v, '.', '') AS DECIMAL(38,0))", "decimal": "try_cast(replace(v, ',', '.') AS DOUBLE)", "boolean": "lower(v) IN ('s', 'sim', 'true', '1', 'yes')", "string": "v",
+    "date": """CASE WHEN length(v) = 8 THEN try_cast(substr(v, 1, 4) || '-' || substr(v, 5, 2) || '-' || substr(v, 7, 2) AS DATE) WHEN substr(v, 5, 1) = '-' THEN try_cast(v AS DATE)
+      ELSE try_cast(substr(v, 7, 4) || '-' || substr(v, 4, 2) || '-' || substr(v, 1, 2) AS DATE) END""",
+}
+_WIDE = ", ".join(f"max(CASE WHEN ok AND attr_name = '{n}' THEN {_READ[k]} END) AS {n}" for k, names in _ATTRIBUTES.items() for n in names)
+
 _USABLE = "lat IS NOT NULL AND long IS NOT NULL AND lat <> -1 AND long <> -1 AND loc_id IS NOT NULL"
 
 ORACLES = {
@@ -112,6 +125,12 @@ ORACLES = {
     "p4_found": f"WITH {_ORPHANS} SELECT DISTINCT tab_name, rec_id, state FROM orphans",
     "p4_report": f"WITH {_ORPHANS} SELECT 'locais_votacao' AS parent_table, tab_name, period, state, count(*) AS n_rows FROM orphans GROUP BY ALL",
     "p5_found": f"WITH {_CELLS} SELECT ent_id, attr_name FROM cells WHERE ok",
+    "p5_wide": f"""WITH {_CELLS}, raw AS (
+          SELECT s.ent_id, d.attr_name, arg_max_null(s.attr_value, s.loaded_at) AS attr_value
+          FROM secao_attrs s JOIN attr_defs d ON {_PLAIN.format("s.attr_name")} = {_PLAIN.format("d.attr_name")} WHERE s.ent_id IS NOT NULL GROUP BY ALL)
+        SELECT ent_id, {_WIDE}, 
+          '{{' || coalesce(string_agg(CAST(to_json(attr_name) AS VARCHAR) || ':' || coalesce(CAST(to_json(attr_value) AS VARCHAR), 'null'), ',' ORDER BY attr_name) FILTER (NOT ok), '') || '}}' AS failures
+        FROM cells JOIN raw USING (ent_id, attr_name) GROUP BY ent_id""",
     "p5_failures": f"""WITH {_CELLS}, latest AS (
           SELECT s.ent_id, d.attr_name, arg_max_null(s.attr_value, s.loaded_at) AS attr_value
           FROM secao_attrs s JOIN attr_defs d ON {_PLAIN.format("s.attr_name")} = {_PLAIN.format("d.attr_name")} WHERE s.ent_id IS NOT NULL GROUP BY ALL)

@@ -105,14 +105,15 @@ def _resolved(spark, sf_dir, attributes):
 
 
 def p5_found(spark, sf_dir):
-    """The filled cells, read back from the map of each section that the wide table is projected from."""
-    out = _resolved(spark, sf_dir, _definitions(spark, sf_dir))
-    return out.select(F.col("entity").alias("ent_id"), F.explode(F.map_keys("values")).alias("attr_name"))
+    """The filled cells of the wide table, read from its typed columns."""
+    attributes = _definitions(spark, sf_dir)
+    return attr.filled_cells(attr.widen(_resolved(spark, sf_dir, attributes), attributes, "ent_id"), attributes, "ent_id")
 
 
 def p5_wide(spark, sf_dir):
     attributes = _with_ballots(spark, sf_dir)
-    return attr.widen(_resolved(spark, sf_dir, attributes), attributes, "ent_id").withColumn("failures", F.to_json("failures"))
+    wide = attr.widen(_resolved(spark, sf_dir, attributes), attributes, "ent_id")
+    return wide.withColumn("failures", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("failures")))))
 
 
 def p5_failures(spark, sf_dir):

@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from dasymetra.operators.attributes import Attribute, as_date, resolve, usable, widen
+from dasymetra.operators.attributes import Attribute, as_date, filled_cells, resolve, usable, widen
 
 DEFS = [Attribute("qt_a", "int"), Attribute("pct", "decimal"), Attribute("ok_in", "boolean"), Attribute("dt", "date"), Attribute("failures", "string")]
 T1, T2 = datetime.datetime(2020, 1, 1), datetime.datetime(2020, 1, 2)
@@ -39,3 +39,15 @@ def test_latest_row_counts_alone(spark):
     assert wide[2].dt == datetime.date(2020, 2, 1) and wide[2].failures_ == "x" and wide[2].ok_in is None and wide[2].failures == {"ok_in": None}
     empty = widen(resolve(table.limit(0), "ent", "name", "value", "at", DEFS), DEFS, "ent")
     assert empty.count() == 0 and empty.columns == ["ent", "qt_a", "pct", "ok_in", "dt", "failures_", "failures"]
+
+
+def test_values_that_no_column_holds_are_kept(spark):
+    rows = [(1, "qt_a", "9" * 45, T1), (1, "pct", "x", T1), (2, "qt_a", "0" * 30 + "9" * 20, T1), (2, "dt", "2020-02-30", T1), (3, "QT-A", "1." + ".".join(["000"] * 14), T1), (4, "pct", "1", T1)]
+    resolved = resolve(spark.createDataFrame(rows, "ent bigint, name string, value string, at timestamp"), "ent", "name", "value", "at", DEFS)
+    wide = widen(resolved, DEFS, "ent")
+    out = {r.ent: r for r in wide.collect()}
+    assert out[1].qt_a is None and out[1].failures == {"qt_a": "9" * 45, "pct": "x"}
+    assert out[2].qt_a == int("9" * 20) and out[2].failures == {"dt": "2020-02-30"}
+    assert out[3].qt_a is None and out[3].failures == {"qt_a": rows[4][2]} and out[4].failures == {}
+    assert {(r.ent, r.attr_name) for r in filled_cells(wide, DEFS, "ent").collect()} == {(1, "qt_a"), (2, "qt_a"), (3, "qt_a"), (4, "pct")}
+    assert filled_cells(wide.limit(0), DEFS, "ent").count() == 0
