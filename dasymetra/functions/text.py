@@ -13,19 +13,29 @@ PARTICLES = ("de", "da", "do", "das", "dos", "e")
 #: Office codes and their names.
 OFFICES = {1: "presidente", 3: "governador", 5: "senador", 6: "deputado_federal", 7: "deputado_estadual", 8: "deputado_distrital", 11: "prefeito", 13: "vereador"}
 
-#: The label of an age group in a voter profile, and the bucket it belongs to.
+#: The label of an age group in a voter profile, and the bucket it belongs to. Younger and older groups have none.
 AGE_BUCKETS = {
-    "16 anos": "votantes_16", "17 anos": "votantes_17", "18 anos": "votantes_18_20", "19 anos": "votantes_18_20", "20 anos": "votantes_18_20",
-    "21 a 24 anos": "votantes_21_24", "25 a 29 anos": "votantes_25_29", "30 a 34 anos": "votantes_30_34", "35 a 39 anos": "votantes_35_39",
-    "40 a 44 anos": "votantes_40_44", "45 a 49 anos": "votantes_45_49", "50 a 54 anos": "votantes_50_54",
+    "18 anos": "votantes_18_19", "19 anos": "votantes_18_19", "20 anos": "votantes_20", "21 a 24 anos": "votantes_21_24", "25 a 29 anos": "votantes_25_29",
+    "30 a 34 anos": "votantes_30_34", "35 a 39 anos": "votantes_35_39", "40 a 44 anos": "votantes_40_44", "45 a 49 anos": "votantes_45_49",
+    "50 a 54 anos": "votantes_50_54", "55 a 59 anos": "votantes_55_59", "60 a 64 anos": "votantes_60_64", "65 a 69 anos": "votantes_65_69",
 }
 
-#: The region of each federative unit.
-REGIONS = {
-    "norte": ("AC", "AM", "AP", "PA", "RO", "RR", "TO"), "nordeste": ("AL", "BA", "CE", "MA", "PB", "PE", "PI", "RN", "SE"),
-    "centro-oeste": ("DF", "GO", "MS", "MT"), "sudeste": ("ES", "MG", "RJ", "SP"), "sul": ("PR", "RS", "SC"),
+#: The region of each federative unit and its name in addresses of road extracts.
+EXTRACTS = {
+    "AC": ("north", "acre"), "AM": ("north", "amazonas"), "AP": ("north", "amapa"), "PA": ("north", "para"), "RO": ("north", "rondonia"), "RR": ("north", "roraima"), "TO": ("north", "tocantins"),
+    "AL": ("northeast", "alagoas"), "BA": ("northeast", "bahia"), "CE": ("northeast", "ceara"), "MA": ("northeast", "maranhao"), "PB": ("northeast", "paraiba"),
+    "PE": ("northeast", "pernambuco"), "PI": ("northeast", "piaui"), "RN": ("northeast", "rio-grande-do-norte"), "SE": ("northeast", "sergipe"),
+    "DF": ("central-west", "distrito-federal"), "GO": ("central-west", "goias"), "MS": ("central-west", "mato-grosso-do-sul"), "MT": ("central-west", "mato-grosso"),
+    "ES": ("southeast", "espirito-santo"), "MG": ("southeast", "minas-gerais"), "RJ": ("southeast", "rio-de-janeiro"), "SP": ("southeast", "sao-paulo"),
+    "PR": ("south", "parana"), "RS": ("south", "rio-grande-do-sul"), "SC": ("south", "santa-catarina"),
 }
 
+#: Schooling, by the words that the label must hold in order, each tried after those above it.
+SCHOOLING = (
+    ("ANALFABETO", "ANALFABETO"), ("LE E ESCREVE", "LE_ESCREVE"), ("FUNDAMENTAL.+INCOMPLETO", "FUND_INCOMP"), ("FUNDAMENTAL.+COMPLETO", "FUND_COMP"), ("MEDIO.+INCOMPLETO", "MEDIO_INCOMP"),
+    ("MEDIO.+COMPLETO", "MEDIO_COMP"), ("SUPERIOR.+INCOMPLETO", "SUP_INCOMP"), ("SUPERIOR.+COMPLETO", "SUP_COMP"), ("NAO.+INFORMADO", "NAO_INFORMADO"),
+)
+
 
 def plain(c: Column) -> Column:
     """Marks on letters left out; anything else stays."""
@@ -73,15 +83,17 @@ def gender(label: Column) -> Column:
 
 
 def literacy(label: Column) -> Column:
-    return F.when(F.upper(F.trim(label)).startswith("ANALFABETO"), "nalf").otherwise("alf")
+    """nalf where the label says illiterate anywhere, else alf, also for a null."""
+    return F.when(F.upper(F.trim(label)).contains("ANALFABETO"), "nalf").otherwise("alf")
 
 
 def education(label: Column) -> Column:
-    """One name for each level: incomplete is tested before complete, and labels of no level are made into names."""
+    """One name for each level; a label of none becomes a name, each sign in it an underscore."""
     t = name_key(label)
-    level = F.when(t.contains("FUNDAMENTAL"), "FUND").when(t.contains("MEDIO"), "MEDIO").when(t.contains("SUPERIOR"), "SUP")
-    state = F.when(t.contains("INCOMPLETO"), "_INC").when(t.contains("COMPLETO"), "_COMP").otherwise("")
-    return F.when(level.isNotNull(), F.concat(level, state)).otherwise(F.regexp_replace(t, "[^A-Z0-9]+", "_"))
+    out = F.when(t.isNull(), None)
+    for pattern, level in SCHOOLING:
+        out = out.when(t.rlike(pattern), level)
+    return out.otherwise(F.regexp_replace(t, "[^A-Z0-9]", "_"))
 
 
 def office_label(code: Column) -> Column:
@@ -99,8 +111,11 @@ def office_code(name: str | int) -> int:
     return by_name[name.lower()]
 
 
-def region(uf: Column) -> Column:
-    return lookup(F.upper(F.trim(uf)), {u: r for r, us in REGIONS.items() for u in us})
+def extract(uf: Column) -> Column:
+    """(region, state) of a federative unit as road extracts call them; null for none of them."""
+    code = F.upper(F.trim(uf))
+    parts = [lookup(code, {u: e[k] for u, e in EXTRACTS.items()}) for k in (0, 1)]
+    return F.when(parts[0].isNotNull(), F.struct(parts[0].alias("region"), parts[1].alias("state")))
 
 
 def bracket_label(c: Column) -> Column:

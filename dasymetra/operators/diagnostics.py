@@ -6,50 +6,71 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dasymetra.operators.weights import row_entropy
+from dasymetra.plans.common import cut_lineage
 
 
-def _check(name: str, row: DataFrame, value: Column, status: Column, detail: Column) -> DataFrame:
-    return row.select(F.lit(name).alias("check"), status.alias("status"), detail.alias("detail"), value.cast("double").alias("value"))
-
-
-def _grade(value: Column, warn: float, fail: float | None = None) -> Column:
-    """pass, warn above one limit, fail above the other; equality passes, and nothing to judge is a skip."""
-    out = F.when(value.isNull(), "skip")
-    if fail is not None:
-        out = out.when(value > fail, "fail")
-    return out.when(value > warn, "warn").otherwise("pass")
+#: The checks in order, each with the value above which it warns and above which it fails.
+CHECKS = (
+    ("convergence", 0.0, None), ("alpha_distribution", 5.0, None), ("residual_rmse", None, None), ("residual_bias", 0.1, None), ("population_voter_gap", 5.0, 20.0), ("unreachable_pairs", 1.0, 10.0),
+    ("alpha_variation", None, None), ("implied_turnout", 5.0, None), ("representative_points", 50.0, None),
+)
 
 
 def checks(fit: DataFrame, population: DataFrame, voters: DataFrame, od: DataFrame, alpha: DataFrame, history: DataFrame | None = None, clusters: DataFrame | None = None, alpha_limit: float = 15.0) -> DataFrame:
-    """(check, status, detail, value): one row for each of nine checks, each a single aggregate."""
+    """(check, status, detail, value): one row for each of nine checks; nothing to judge is a skip, equality with a limit passes.
+
+    convergence: 1 if the fit ended without it (history: epoch, converged). alpha_distribution: per cent of zones whose median alpha is above the
+    limit. residual_rmse. residual_bias: greatest mean residual of a bracket, judged as a share of the rmse. population_voter_gap: per cent of the greater total.
+    unreachable_pairs: per cent. alpha_variation: deviation over mean of the zones' medians, too low below 0.1, skipped below three zones. implied_turnout: per cent of
+    zones above 110 %. representative_points: per cent of clusters without roads (clusters: has_roads).
+    Each table is read once and brought down to one row, the fit by zone and by bracket in one aggregation.
+    """
     both = population.join(fit, ["zone_id", "bracket"], "left").withColumn("r", F.col("fitted") - F.col("pop"))
-    text = lambda *c: F.format_string(*c)
-    high = alpha.agg((100 * F.avg((F.col("alpha") > alpha_limit).cast("double"))).alias("v"))
-    rmse = both.agg(F.sqrt(F.avg(F.col("r") * F.col("r"))).alias("v"))
-    bias = both.groupBy("bracket").agg(F.abs(F.avg("r")).alias("b")).agg(F.max("b").alias("b")).join(rmse, how="cross").select((F.col("b") / F.nullif("v", F.lit(0.0))).alias("v"))
-    gap = population.agg(F.sum("pop").alias("p")).join(voters.agg(F.sum("voters").alias("c")), how="cross").select((100 * F.abs(F.col("p") - F.col("c")) / F.nullif("p", F.lit(0))).alias("v"))
-    lost = od.agg((100 * F.avg(F.col("minutes").isNull().cast("double"))).alias("v"))
-    spread = alpha.groupBy("zone_id").agg(F.avg("alpha").alias("a")).agg((F.stddev_samp("a") / F.nullif(F.avg("a"), F.lit(0.0))).alias("v"))
-    rates = both.groupBy("zone_id").agg(F.sum("fitted").alias("f"), F.sum("pop").alias("p")).agg((100 * F.avg((F.col("f") / F.nullif("p", F.lit(0)) > 1.1).cast("double"))).alias("v"))
-    v = F.col("v")
-    nothing = population.sparkSession.createDataFrame([(None,)], "v double")
-    converged = nothing if history is None else history.agg(F.max(F.struct("epoch", (~F.col("converged")).cast("double").alias("x")))["x"].alias("v"))
-    no_roads = nothing if clusters is None else clusters.agg((100 * F.avg((~F.col("has_roads")).cast("double"))).alias("v"))
-    rows = [
-        _check("convergence", converged, v, _grade(v, 0), F.lit("1 if the fit ended without convergence")),
-        _check("alpha_distribution", high, v, _grade(v, 5), text("%.1f %% above the limit", v)),
-        _check("residual_rmse", rmse, v, F.when(v.isNull(), "skip").otherwise("pass"), text("%.4f", v)),
-        _check("residual_bias", bias, v, _grade(v, 0.1), text("greatest mean residual is %.4f of the rmse", v)),
-        _check("population_voter_gap", gap, v, _grade(v, 5, 20), text("%.1f %%", v)),
-        _check("unreachable_pairs", lost, v, _grade(v, 1, 10), text("%.1f %%", v)),
-        _check("alpha_variation", spread, v, F.when(v.isNull(), "skip").when(v < 0.1, "warn").otherwise("pass"), text("%.4f", v)),
-        _check("implied_turnout", rates, v, _grade(v, 5), text("%.1f %% of zones above 110 %%", v)),
-        _check("representative_points", no_roads, v, _grade(v, 50), F.lit("clusters without roads, in per cent")),
+    r = F.col("r")
+    sides = both.groupingSets([["zone_id"], ["bracket"]], "zone_id", "bracket").agg(
+        F.grouping("bracket").alias("by_zone"), F.sum(r * r).alias("rr"), F.abs(F.avg(r)).alias("b"), F.count(r).alias("n"), F.sum("fitted").alias("f"), F.sum("pop").alias("p"))
+    zone, bracket = F.col("by_zone") == 1, F.col("by_zone") == 0
+    rate = F.when(zone & (F.col("p") > 0), (F.col("f") / F.col("p") > 1.1).cast("double"))
+    parts = [
+        sides.agg(F.sqrt(F.sum(F.when(bracket, F.col("rr"))) / F.nullif(F.sum(F.when(bracket, F.col("n"))), F.lit(0))).alias("rmse"), F.max(F.when(bracket, F.col("b"))).alias("bias"),
+                  F.sum(F.when(bracket, F.col("p"))).alias("p"), (100 * F.avg(rate)).alias("over")),
+        voters.agg(F.sum("voters").alias("c")),
+        od.agg((100 * F.avg(F.col("minutes").isNull().cast("double"))).alias("lost")),
+        alpha.groupBy("zone_id").agg(F.median("alpha").alias("a")).agg(
+            (100 * F.avg((F.col("a") > alpha_limit).cast("double"))).alias("high"), F.median("a").alias("mid"),
+            F.when(F.count("a") >= 3, F.coalesce(F.stddev_samp("a") / F.nullif(F.avg("a"), F.lit(0.0)), F.lit(0.0))).alias("spread")),
     ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    if history is not None:
+        parts.append(history.agg(F.max(F.struct("epoch", (~F.col("converged")).cast("double").alias("x")))["x"].alias("stopped")))
+    if clusters is not None:
+        parts.append(clusters.agg((100 * F.avg((~F.col("has_roads")).cast("double"))).alias("bare"), F.count(F.lit(1)).alias("n_clusters")))
+    one = parts[0]
+    for part in parts[1:]:
+        one = one.crossJoin(F.broadcast(part))  # of one row each
+    most = F.greatest(F.coalesce("p", F.lit(0)), F.coalesce("c", F.lit(0)))
+    gap = F.when(most > 0, 100 * F.abs(F.coalesce("p", F.lit(0)) - F.coalesce("c", F.lit(0))) / most).otherwise(0.0)
+    none = F.lit(None).cast("double")
+    share = F.coalesce(F.col("bias") / F.nullif("rmse", F.lit(0.0)), F.when(F.col("rmse") == 0, F.lit(0.0)))
+    values = {
+        "convergence": (none if history is None else F.col("stopped"), None, F.lit("1 if the fit ended without convergence")), "alpha_distribution": (F.col("high"), None, F.format_string("median %.2f, %.1f %% of zones above the limit", F.col("mid"), F.col("high"))),
+        "residual_rmse": (F.col("rmse"), None, F.format_string("%.4f", F.col("rmse"))), "residual_bias": (F.col("bias"), share, F.format_string("greatest mean residual is %.4f, %.1f %% of the rmse", F.col("bias"), 100 * share)),
+        "population_voter_gap": (gap, None, F.format_string("%.0f persons, %.0f voters, %.1f %% apart", F.col("p").cast("double"), F.col("c").cast("double"), gap)), "unreachable_pairs": (F.col("lost"), None, F.format_string("%.1f %% of pairs", F.col("lost"))),
+        "alpha_variation": (F.col("spread"), None, F.format_string("variation of the median alpha is %.3f", F.col("spread"))), "implied_turnout": (F.col("over"), None, F.format_string("%.1f %% of zones above 110 %%", F.col("over"))),
+        "representative_points": (none if clusters is None else F.col("bare"), None, F.lit("no clusters") if clusters is None else F.format_string("%d clusters, %.0f %% of them without roads", F.col("n_clusters"), F.col("bare"))),
+    }
+    rows = []
+    for name, warn, fail in CHECKS:
+        value, judged, detail = values[name]
+        judged = value if judged is None else judged
+        status = F.when(judged.isNull(), "skip")
+        if name == "alpha_variation":
+            status = status.when(judged < 0.1, "warn")
+        if fail is not None:
+            status = status.when(judged > fail, "fail")
+        if warn is not None:
+            status = status.when(judged > warn, "warn")
+        rows.append(F.struct(F.lit(name).alias("check"), status.otherwise("pass").alias("status"), detail.alias("detail"), value.cast("double").alias("value")))
+    return one.select(F.inline(F.array(*rows)))
 
 
 def weight_summary(weights: DataFrame, od: DataFrame) -> DataFrame:
@@ -84,6 +105,46 @@ def source_summary(weights: DataFrame, od: DataFrame) -> DataFrame:
     return out.join(F.broadcast(out.agg(F.sum("total").alias("all"))), how="cross").withColumn("share", F.col("total") / F.col("all")).drop("all")
 
 
+def json_row(*keys: str, **values: Column) -> Column:
+    """A row as JSON: the given columns and values in order, numbers already written with fixed decimals as text, missing values as null."""
+    fields = [F.col(k).alias(k) for k in keys] + [v.alias(k) for k, v in values.items()]
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
+def top_zones(weights: DataFrame, od: DataFrame, k: int = 10) -> DataFrame:
+    """(source_id, rank, zone_id, w, minutes): of each source the ``k`` zones that it reaches with most weight, ties to the lower zone."""
+    order = Window.partitionBy("source_id").orderBy(F.desc("w"), "zone_id")
+    return weights.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).join(od, ["zone_id", "source_id"], "left").select("source_id", "rank", "zone_id", "w", "minutes")
+
+
+def best_epoch(history: DataFrame) -> DataFrame:
+    """(epoch, loss) of least loss, the first among equals."""
+    return history.agg(F.min(F.struct("loss", "epoch")).alias("b")).select("b.epoch", "b.loss")
+
+
+def min_ranks(values: DataFrame, value: str, name: str = "rank") -> DataFrame:
+    """Rows with the rank of their value, the greatest first, ties with the least rank; nulls have none. Ranks are found over distinct values, see ``running``."""
+    values = cut_lineage(values)  # joined back by value, so worked out once
+    counts = values.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    below = running(counts, [F.desc(value)], "_n", "_before").select(value, (F.col("_before") + 1).cast("int").alias(name))
+    return values.join(below, value, "left")
+
+
+def running(rows: DataFrame, order: list[Column], amount: str, name: str) -> DataFrame:
+    """Rows with the sum of ``amount`` over all rows before them in an order without ties.
+
+    Two levels: rows are split into ranges of the order, each summed by itself; the sums of the ranges before, one number for
+    each range, are added. No task sorts more than its range.
+    """
+    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    split = rows.repartitionByRange(int(parts), *order).withColumn("_part", F.spark_partition_id())
+    split = split.withColumn("_in", F.coalesce(F.sum(amount).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    split = cut_lineage(split)  # the sampled bounds of the ranges must not be drawn twice
+    whole = split.groupBy("_part").agg(F.sum(amount).alias("_sum"))
+    before = whole.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    return split.join(F.broadcast(before), "_part").withColumn(name, F.col("_in") + F.col("_ahead")).drop("_part", "_in", "_ahead")
+
+
 def frequent_or_other(rows: DataFrame, c: str, k: int = 19) -> DataFrame:
     """(c, n): the k most frequent values, ties by value, and the rest as Other."""
     counts = rows.groupBy(F.col(c).cast("string").alias(c)).agg(F.count(F.lit(1)).alias("n"))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dasymetra.operators.diagnostics import running
+from dasymetra.plans.common import cut_lineage
+
 
 def signed_area(ring: Column) -> Column:
     """Shoelace area of a ring of (x, y) points, closed or not; positive against the clock."""
@@ -97,13 +100,13 @@ def permutation_p(lag: DataFrame, rounds: int = 999, seed: int = 1, alpha: float
 
 
 def correlations(pairs: DataFrame, x: str, y: str) -> DataFrame:
-    """(pearson, spearman, n): the second from mean ranks, found on distinct values so that only their counts are put in order."""
-    known = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    """(pearson, spearman, n): the second from mean ranks, found on distinct values, whose counts are summed range by range."""
+    # written once: a sum of doubles worked out anew may differ in its last place and no longer meet its rank
+    known = cut_lineage(pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y))
 
     def ranks(c: str) -> DataFrame:
         counts = known.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        below = F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return counts.select(c, (below + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
+        return running(counts, [F.col(c)], "n", "below").select(c, (F.col("below") + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
 
     both = known.join(ranks(x), x).join(ranks(y), y)
     return both.agg(F.corr(x, y).alias("pearson"), F.corr(f"rank_{x}", f"rank_{y}").alias("spearman"), F.count(F.lit(1)).alias("n"))
@@ -148,10 +151,13 @@ def best_cells(labelled: DataFrame) -> DataFrame:
     return best.select("zone_id", "b.patch", "b.patch_pop", "b.cell.cx", "b.cell.cy")
 
 
+#: Roads that are always part of a town's network, and those that mostly are.
+TIERS = (("primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link", "residential", "living_street"), ("unclassified", "service"))
+
+
 def road_tier(highway: Column) -> Column:
-    """1 for roads that carry through traffic, 2 for local ones, 3 for the rest (fixed values)."""
-    first = ("motorway", "trunk", "primary", "secondary", "tertiary", "motorway_link", "trunk_link", "primary_link")
-    return F.when(highway.isin(*first), 1).when(highway.isin("residential", "unclassified"), 2).otherwise(3)
+    """1 for roads that are always connected, 2 for those that mostly are, 3 for any other."""
+    return F.when(highway.isin(*TIERS[0]), 1).when(highway.isin(*TIERS[1]), 2).otherwise(3)
 
 
 def clipped_share(ring: np.ndarray, box: tuple[float, float, float, float]) -> float:

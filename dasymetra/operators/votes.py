@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dasymetra.functions.text import name_key
+from dasymetra.operators.diagnostics import running
 
 BLANK, NULL = "95", "96"
 DICTIONARY = ("column", "type", "cargo", "ballot_number", "candidate_name", "party")
@@ -32,10 +33,18 @@ def parties(votes: DataFrame, wanted: list[str], party: str = "party") -> DataFr
     return votes.filter(F.upper(F.trim(party)).isin(*[w.strip().upper() for w in wanted]))
 
 
-def party_key(party: Column | None, ballot: Column) -> Column:
-    """The party's abbreviation as a column name, or the first two digits of the ballot."""
-    digits = F.substring(ballot.cast("string"), 1, 2)
-    return digits if party is None else F.coalesce(F.nullif(F.regexp_replace(F.upper(F.trim(party)), "[^A-Z0-9]+", "_"), F.lit("")), digits)
+def with_party_key(votes: DataFrame, party: str = "party", ballot: str = "ballot", name: str = "party_key") -> DataFrame:
+    """Votes with the name of their party's column: the abbreviation in capitals, white space as an underscore, NA where it is null.
+
+    Where no vote of the table has an abbreviation, the first two digits of the ballot stand for it: that is
+    settled for the whole table by one aggregate, of which one row goes to all tasks.
+    """
+    digits = F.substring(F.col(ballot).cast("string"), 1, 2)
+    if party not in votes.columns:
+        return votes.withColumn(name, digits)
+    label = F.coalesce(F.regexp_replace(F.upper(F.trim(party)), r"\s+", "_"), F.lit("NA"))
+    some = votes.agg(F.coalesce(F.max(F.trim(party) != ""), F.lit(False)).alias("_some"))
+    return votes.crossJoin(F.broadcast(some)).withColumn(name, F.when(F.col("_some"), label).otherwise(digits)).drop("_some")
 
 
 def no_blanks(votes: DataFrame, ballot: str = "ballot") -> DataFrame:
@@ -66,18 +75,19 @@ def with_fallback(primary: DataFrame, fallback: DataFrame, keys: list[str]) -> D
 
 
 def rolled_up(rows: DataFrame, values: list[str]) -> DataFrame:
-    """(id, lat, lon, sums): sections at one position summed, nulls as 0; ids count positions in order of lat and lon, those without any last and then left out.
+    """(id, lat, lon, sums): sections at one position summed, nulls as 0; ids count positions in order of lat and lon, those without any left out.
 
-    The order is taken over positions, which are few, after the rows have been summed.
+    Ids are counted range by range over the positions, after the rows have been summed, so that no task orders all of them.
     """
-    places = rows.groupBy("lat", "lon").agg(*[F.sum(F.coalesce(v, F.lit(0))).alias(v) for v in values])
-    order = Window.orderBy(F.asc_nulls_last("lat"), F.asc_nulls_last("lon"))
-    return places.withColumn("id", F.row_number().over(order)).filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    known = rows.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    places = known.groupBy("lat", "lon").agg(*[F.sum(F.coalesce(v, F.lit(0))).alias(v) for v in values]).withColumn("_one", F.lit(1))
+    return running(places, [F.col("lat"), F.col("lon")], "_one", "_before").withColumn("id", (F.col("_before") + 1).cast("int")).drop("_one", "_before")
 
 
 def candidate_dictionary(votes: DataFrame, cargo: Column, prefix: str = "") -> DataFrame:
     """Dictionary rows of ballots: the least non-blank name and party of each; blank and null votes have fixed names."""
     filled = lambda c: F.min(F.when(F.trim(c) != "", F.trim(c)))
+    # fixed values: the names of votes for no one
     out = votes.groupBy(F.col("ballot").cast("string").alias("ballot_number")).agg(filled("name").alias("n"), filled("party").alias("p"))
     special = F.col("ballot_number").isin(BLANK, NULL)
     name = F.when(F.col("ballot_number") == BLANK, "Votos em Branco").when(F.col("ballot_number") == NULL, "Votos Nulos").otherwise(F.col("n"))
@@ -86,9 +96,8 @@ def candidate_dictionary(votes: DataFrame, cargo: Column, prefix: str = "") -> D
 
 
 def party_dictionary(votes: DataFrame, cargo: Column) -> DataFrame:
-    key = party_key(F.col("party"), F.col("ballot"))
     null = F.lit(None).cast("string")
-    return no_blanks(votes).select(key.alias("party")).distinct().select(
+    return with_party_key(no_blanks(votes), name="_key").select(F.col("_key").alias("party")).distinct().select(
         F.concat(F.lit("PARTY_"), "party").alias("column"), F.lit("party").alias("type"), cargo.alias("cargo"), null.alias("ballot_number"), null.alias("candidate_name"), "party")
 
 
@@ -100,8 +109,3 @@ def column_parts(c: Column) -> list[Column]:
         c.rlike("^(GENERO|EDUC)_"), "demographics").when(c.rlike("^(votantes|vot|pop)_"), "calibration").otherwise("other")
     cargo = F.lower(F.nullif(F.regexp_extract(c, "^([A-Z_]+?)_(?:CAND|PARTY)_", 1), F.lit("")))
     return [kind.alias("type"), ballot.alias("ballot_number"), party.alias("party"), cargo.alias("cargo")]
-
-
-def calibration_pairs(rows: DataFrame, keys: list[str], mapping: DataFrame) -> DataFrame:
-    """(keys, bracket, value): fine brackets folded into those that both sides share, by a table (fine, bracket, factor); fine brackets without a row count nothing."""
-    return rows.join(F.broadcast(mapping), "fine").groupBy(*keys, "bracket").agg(F.sum(F.col("value") * F.col("factor")).alias("value"))

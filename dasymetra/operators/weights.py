@@ -21,18 +21,60 @@ def log_kernel(minutes: Column, alpha: Column, kernel: str = "power", offset: fl
     raise ValueError("kernel must be power or exponential")
 
 
-def check_od(od: DataFrame, kernel: str, offset: float) -> None:
-    """Eager check of the whole table in one pass: infinite, NaN or negative minutes, or an offset that leaves no logarithm."""
-    if offset < 0 or offset != offset or offset == float("inf"):
+def with_offset(od: DataFrame, offset: float) -> DataFrame:
+    """Travel times with the offset added; pairs without a time stay so."""
+    if not 0 <= offset < float("inf"):
         raise ValueError("offset must be finite and not negative")
+    return od.withColumn("minutes", F.col("minutes") + F.lit(float(offset)))
+
+
+def faults(od: DataFrame, kernel: str = "power", offset: float = 1.0) -> DataFrame:
+    """(n, n_null, n_nan, n_infinite, n_negative, n_bad): one row that counts the pairs whose minutes are missing or wrong; bad is what the kernel cannot take."""
     t = F.col("minutes")
     bad = (t < 0) | F.isnan(t) | (t == float("inf"))
     if kernel == "power":
         bad |= t + offset <= 0
-    if n := od.select(F.count_if(bad).alias("n")).first().n:
+    return od.agg(F.count(F.lit(1)).alias("n"), F.count_if(t.isNull()).alias("n_null"), F.count_if(F.isnan(t)).alias("n_nan"), F.count_if(t == float("inf")).alias("n_infinite"), F.count_if(t < 0).alias("n_negative"), F.count_if(bad).alias("n_bad"))
+
+
+def check_od(od: DataFrame, kernel: str, offset: float) -> None:
+    """Eager check of the whole table in one pass: infinite, NaN or negative minutes, or an offset that leaves no logarithm."""
+    if offset < 0 or offset != offset or offset == float("inf"):
+        raise ValueError("offset must be finite and not negative")
+    if n := faults(od, kernel, offset).first().n_bad:
         raise ValueError(f"{n} pairs have minutes that the {kernel} kernel cannot take")
 
 
+def populated(population: DataFrame, least: float) -> DataFrame:
+    """(zone_id, pop) of zones that hold at least ``least`` in all brackets together."""
+    return population.groupBy("zone_id").agg(F.sum("pop").alias("pop")).filter(F.col("pop") >= least)
+
+
+def row_targets(population: DataFrame, n_sources: DataFrame) -> DataFrame:
+    """(zone_id, target): the number of sources shared out by population. n_sources: one row (n)."""
+    zones = population.groupBy("zone_id").agg(F.sum("pop").alias("p"))
+    total = zones.agg(F.sum("p").alias("all")).crossJoin(F.broadcast(n_sources))
+    return zones.crossJoin(F.broadcast(total)).select("zone_id", (F.col("p") / F.nullif("all", F.lit(0)) * F.col("n")).alias("target"))
+
+
+def uniform_fit(population: DataFrame, voters: DataFrame) -> DataFrame:
+    """(zone_id, bracket, fitted): each bracket's voters shared out equally over the zones."""
+    n = population.agg(F.count_distinct("zone_id").alias("n"))
+    each = voters.groupBy("bracket").agg(F.sum("voters").alias("v")).crossJoin(F.broadcast(n)).select("bracket", (F.col("v") / F.nullif("n", F.lit(0))).alias("fitted"))
+    return population.join(F.broadcast(each), "bracket").select("zone_id", "bracket", "fitted")
+
+
+def compared(fits: list[tuple[str, DataFrame]], population: DataFrame) -> DataFrame:
+    """(model, rmse, deviance) of several fits (zone_id, bracket, fitted) against the population."""
+    out = None
+    for name, fit in fits:
+        both = population.join(fit, ["zone_id", "bracket"])
+        r = F.col("fitted") - F.col("pop")
+        row = both.agg(F.sqrt(F.avg(r * r)).alias("rmse"), poisson_deviance(F.col("fitted"), F.col("pop")).alias("deviance")).select(F.lit(name).alias("model"), "rmse", "deviance")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def active_brackets(population: DataFrame, voters: DataFrame) -> DataFrame:
     """(bracket, c_total): brackets in which both sides hold at least one half."""
     p = population.groupBy("bracket").agg(F.sum("pop").alias("p")).filter(F.col("p") >= LEAST_SUM)
@@ -40,10 +82,17 @@ def active_brackets(population: DataFrame, voters: DataFrame) -> DataFrame:
 
 
 def normalised(pairs: DataFrame, by: list[str], log_k: Column) -> DataFrame:
-    """Pairs with w = exp(log_k) shared within ``by`` so that it sums to 1: the maximum is taken out first, so nothing underflows. One shuffle."""
-    group = Window.partitionBy(*by)
-    shifted = pairs.withColumn("lk", log_k).withColumn("e", F.exp(F.col("lk") - F.max("lk").over(group)))
-    return shifted.withColumn("w", F.col("e") / F.sum("e").over(group)).drop("lk", "e")
+    """Pairs with w = exp(log_k) shared within ``by`` so that it sums to 1: the maximum is taken out first, so nothing underflows.
+
+    The greatest exponent and the sum scaled by it are one aggregate each task combines before its shuffle, so that a source with very many pairs is one row per
+    task; they are joined back to the pairs.
+    """
+    pairs = pairs.withColumn("lk", log_k)
+    # log of the sum, by a maximum that is exact and a sum that is taken against it
+    top = pairs.groupBy(*by).agg(F.max("lk").alias("top"))
+    shifted = pairs.join(top, by).withColumn("e", F.exp(F.col("lk") - F.col("top"))).drop("lk", "top")
+    total = shifted.groupBy(*by).agg(F.sum("e").alias("total"))
+    return shifted.join(total, by).withColumn("w", F.col("e") / F.col("total")).drop("e", "total")
 
 
 def bracket_weights(od: DataFrame, alpha: DataFrame | float, brackets: DataFrame, kernel: str = "power", offset: float = 1.0) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dasymetra.functions import breaks as brk
 from dasymetra.functions import text
 from dasymetra.operators import diagnostics as dg
 from dasymetra.operators import fit as ft
+from dasymetra.operators import geometry as geo
 from dasymetra.operators import od as times
 from dasymetra.operators import proximity
 from dasymetra.operators import result as res
@@ -110,7 +110,7 @@ def unreachable_zone_reinsert(s, d):
 
 @query(sql("SELECT zone_id, CAST(sum(pop) AS BIGINT) AS pop FROM pop GROUP BY ALL HAVING sum(pop) >= 60", POP))
 def min_pop_filter(s, d):
-    return px.population(s, d).groupBy("zone_id").agg(F.sum("pop").alias("pop")).filter("pop >= 60")
+    return wt.populated(px.population(s, d), 60)
 
 
 @query(sql("SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(minutes) AS BIGINT) AS n_known, sum(minutes) AS minutes FROM od", OD))
@@ -140,9 +140,23 @@ def nearest_source_baseline(s, d):
 
 @query(sql("SELECT bracket, round(sum(pow(f - pop, 2)), 2) AS sse FROM (SELECT bracket, sum(voters) / (SELECT count(*) FROM nation) AS f FROM src GROUP BY 1) JOIN pop USING (bracket) GROUP BY ALL", SRC, POP))
 def uniform_baseline(s, d):
-    share = px.zones(s, d).agg(F.count(F.lit(1)).alias("n"))
-    f = px.voters(s, d).groupBy("bracket").agg(F.sum("voters").alias("v")).join(F.broadcast(share), how="cross").select("bracket", (F.col("v") / F.col("n")).alias("f"))
-    return px.population(s, d).join(F.broadcast(f), "bracket").groupBy("bracket").agg(F.round(F.sum(F.pow(F.col("f") - F.col("pop"), 2)), 2).alias("sse"))
+    both = wt.uniform_fit(px.population(s, d), px.voters(s, d)).join(px.population(s, d), ["zone_id", "bracket"])
+    return both.groupBy("bracket").agg(F.round(F.sum(F.pow(F.col("fitted") - F.col("pop"), 2)), 2).alias("sse"))
+
+
+@query(sql("""SELECT model, round(sqrt(avg(pow(fitted - pop, 2))), 4) AS rmse, round(2 * sum(fitted - pop * ln(greatest(fitted, 1e-30))) + 2 * sum(CASE WHEN pop > 0 THEN pop * ln(pop) ELSE 0 END - pop), 3) AS deviance FROM (
+  SELECT 'idw' AS model, zone_id, bracket, fitted FROM fit UNION ALL
+  SELECT 'uniform', zone_id, bracket, v / (SELECT count(DISTINCT zone_id) FROM pop) FROM pop JOIN (SELECT bracket, sum(voters) AS v FROM src GROUP BY 1) USING (bracket) UNION ALL
+  SELECT 'nearest', zone_id, bracket, sum(voters * share) FROM (SELECT zone_id, source_id, 1.0 / count(*) OVER (PARTITION BY source_id) AS share FROM (
+    SELECT zone_id, arg_min(source_id, minutes * 1000000 + source_id) AS source_id FROM od WHERE minutes IS NOT NULL GROUP BY 1)) JOIN src USING (source_id) GROUP BY ALL) JOIN pop USING (zone_id, bracket) GROUP BY ALL""", OD, SRC, W, FIT, POP))
+def baselines(s, d):
+    """The fit against equal shares and against the nearest source of each zone, by error and deviance."""
+    pop, voters = px.population(s, d), px.voters(s, d)
+    near = times.nearest(px.od(s, d))
+    share = near.join(near.groupBy("source_id").agg((1 / F.count(F.lit(1))).alias("share")), "source_id")
+    nearest = share.join(voters, "source_id").groupBy("zone_id", "bracket").agg(F.sum(F.col("voters") * F.col("share")).alias("fitted"))
+    out = wt.compared([("idw", px.fitted(s, d)), ("uniform", wt.uniform_fit(pop, voters)), ("nearest", nearest)], pop)
+    return out.select("model", r4("rmse"), F.round("deviance", 3).alias("deviance"))
 
 
 @query(sql("""SELECT source_id, round(sqrt(avg(pow(t.fitted - w * voters - t.pop, 2))), 4) AS rmse FROM (SELECT zone_id, bracket, fitted, pop FROM fit JOIN pop USING (zone_id, bracket)) t
@@ -157,10 +171,8 @@ def loo_rmse(s, d):
 
 @query(sql("SELECT zone_id, round(sum(pop) / sum(sum(pop)) OVER () * (SELECT count(*) FROM supplier), 6) AS target FROM pop GROUP BY ALL", POP))
 def row_targets(s, d):
-    m = px.sources(s, d).agg(F.count(F.lit(1)).alias("m"))
-    pop = px.population(s, d)
-    total = pop.agg(F.sum("pop").alias("all")).join(m, how="cross")
-    return pop.groupBy("zone_id").agg(F.sum("pop").alias("p")).join(F.broadcast(total), how="cross").select("zone_id", F.round(F.col("p") / F.col("all") * F.col("m"), 6).alias("target"))
+    out = wt.row_targets(px.population(s, d), px.sources(s, d).agg(F.count(F.lit(1)).alias("n")))
+    return out.select("zone_id", F.round("target", 6).alias("target"))
 
 
 DEV = "CASE WHEN pop > 0 THEN pop * ln(pop) ELSE 0 END"
@@ -201,7 +213,7 @@ HISTORY = "hist AS (SELECT CAST(epoch AS BIGINT) AS epoch, 1000 / epoch + 5 * si
 
 @query(sql("SELECT arg_min(epoch, loss) AS epoch, round(min(loss), 6) AS loss FROM hist", HISTORY))
 def history_best_epoch(s, d):
-    return _history(s).agg(F.min_by("epoch", "loss").alias("epoch"), F.round(F.min("loss"), 6).alias("loss"))
+    return dg.best_epoch(_history(s)).select("epoch", F.round("loss", 6).alias("loss"))
 
 
 @query(sql("""SELECT epoch, round(before, 6) AS before, round(avg(loss) OVER (ORDER BY epoch ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS mean_100, round(abs(loss - before) / abs(before), 6) AS change
@@ -229,8 +241,8 @@ FORMS = {
 
 def _quantity(kind):
     def run(s, d):
-        q = res.quantity(F.col("v"), kind, F.col("turnout"), F.col("blank"), F.col("null_votes"), F.col("eligible"), F.col("zone_id") % 4 * 1.5)
-        return _zone_values(s, d).select("zone_id", F.round(q.cast("double"), 4).alias("q"))
+        more = {"turnout": F.col("turnout"), "blank": F.col("blank"), "null": F.col("null_votes"), "eligible": F.col("eligible"), "km2": F.col("zone_id") % 4 * 1.5}
+        return res.with_quantity(_zone_values(s, d), "v", kind, "q", **more).select("zone_id", F.round(F.col("q").cast("double"), 4).alias("q"))
 
     run.__name__ = f"quantity_{kind}"
     return run
@@ -309,17 +321,24 @@ def turnout_by_bracket(s, d):
     return out.select("bracket", *[F.round(c, 6).alias(c) for c in ("mean", "median", "max", "above_1")])
 
 
-@query(sql("""SELECT * FROM (
-  SELECT 'alpha_distribution' AS check, round(100 * avg(CASE WHEN alpha > 15 THEN 1.0 ELSE 0.0 END), 4) AS value FROM alpha
+@query(sql("""SELECT "check", value, CASE WHEN value IS NULL THEN 'skip' WHEN "check" = 'alpha_variation' AND value < 0.1 THEN 'warn' WHEN "check" IN ('population_voter_gap') AND value > 20 OR "check" = 'unreachable_pairs' AND value > 10 THEN 'fail'
+    WHEN "check" IN ('alpha_distribution', 'population_voter_gap', 'implied_turnout') AND value > 5 OR "check" = 'unreachable_pairs' AND value > 1 OR "check" = 'convergence' AND value > 0 OR "check" = 'representative_points' AND value > 50
+    OR "check" = 'residual_bias' AND value / (SELECT sqrt(avg(r * r)) FROM res) > 0.1 THEN 'warn' ELSE 'pass' END AS status FROM (
+  SELECT 'alpha_distribution' AS "check", round(100 * avg(CASE WHEN a > 2 THEN 1.0 ELSE 0.0 END), 4) AS value FROM zone_alpha
   UNION ALL SELECT 'residual_rmse', round(sqrt(avg(r * r)), 4) FROM res
-  UNION ALL SELECT 'residual_bias', round((SELECT max(abs(m)) FROM (SELECT avg(r) AS m FROM res GROUP BY bracket)) / sqrt(avg(r * r)), 4) FROM res
-  UNION ALL SELECT 'population_voter_gap', round(100 * abs((SELECT sum(pop) FROM pop) - sum(voters)) / (SELECT sum(pop) FROM pop), 4) FROM src
+  UNION ALL SELECT 'residual_bias', round(max(abs(m)), 4) FROM (SELECT avg(r) AS m FROM res GROUP BY bracket)
+  UNION ALL SELECT 'population_voter_gap', round(100 * abs(p - c) / greatest(p, c), 4) FROM (SELECT sum(pop) AS p FROM pop), (SELECT sum(voters) AS c FROM src)
   UNION ALL SELECT 'unreachable_pairs', round(100 * avg(CASE WHEN minutes IS NULL THEN 1.0 ELSE 0.0 END), 4) FROM od
-  UNION ALL SELECT 'alpha_variation', round(stddev_samp(a) / avg(a), 4) FROM (SELECT avg(alpha) AS a FROM alpha GROUP BY zone_id)
-  UNION ALL SELECT 'implied_turnout', round(100 * avg(CASE WHEN f / p > 1.1 THEN 1.0 ELSE 0.0 END), 4) FROM (SELECT sum(fitted) AS f, sum(pop) AS p FROM pop JOIN fit USING (zone_id, bracket) GROUP BY zone_id)
-  UNION ALL SELECT 'convergence', NULL UNION ALL SELECT 'representative_points', NULL)""", OD, SRC, W, FIT, POP, ALPHA, RES))
+  UNION ALL SELECT 'alpha_variation', round(stddev_samp(a) / avg(a), 4) FROM zone_alpha
+  UNION ALL SELECT 'implied_turnout', round(100 * avg(CASE WHEN f / p > 1.1 THEN 1.0 ELSE 0.0 END), 4) FROM (SELECT sum(fitted) AS f, sum(pop) AS p FROM pop LEFT JOIN fit USING (zone_id, bracket) GROUP BY zone_id)
+  UNION ALL SELECT 'convergence', 0.0
+  UNION ALL SELECT 'representative_points', round(100 * avg(CASE WHEN n_nationkey % 4 = 0 THEN 0.0 ELSE 1.0 END), 4) FROM nation)""", OD, SRC, W, FIT, POP, ALPHA, RES, "zone_alpha AS (SELECT zone_id, median(alpha) AS a FROM alpha GROUP BY 1)"))
 def diagnostics_checks(s, d):
-    return dg.checks(px.fitted(s, d), px.population(s, d), px.voters(s, d), px.od(s, d), px.alpha(s, d)).select("check", r4("value"))
+    """All nine checks, with a history whose last epoch converged and clusters of which one zone in four has roads."""
+    history = _history(s).select("epoch", (F.col("epoch") == 1000).alias("converged"))
+    clusters = px.zones(s, d).select("zone_id", (F.col("zone_id") % 4 == 0).alias("has_roads"))
+    out = dg.checks(px.fitted(s, d), px.population(s, d), px.voters(s, d), px.od(s, d), px.alpha(s, d), history, clusters, 2.0)
+    return out.select("check", r4("value"), "status")
 
 
 @query(sql("SELECT variable, round(sum(value), 3) AS total, round(avg(value), 4) AS mean, round(min(value), 4) AS least, round(max(value), 4) AS most FROM (SELECT zone_id, variable, sum(w * value) AS value FROM w JOIN vals USING (source_id) GROUP BY ALL) GROUP BY ALL", OD, W, VALUES))
@@ -421,7 +440,7 @@ def cumulative_top5(s, d):
 @query("SELECT n_nationkey AS zone_id, CAST(CASE WHEN v IS NOT NULL THEN rank() OVER (PARTITION BY v IS NULL ORDER BY v DESC) END AS INTEGER) AS rank FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 7 > 0 THEN n_nationkey % 5 END AS v FROM nation)")
 def rank_min_ties(s, d):
     v = F.when(F.col("zone_id") % 7 > 0, F.col("zone_id") % 5)
-    return px.zones(s, d).withColumn("v", v).select("zone_id", F.when(F.col("v").isNotNull(), F.rank().over(Window.partitionBy(F.col("v").isNull()).orderBy(F.desc("v")))).alias("rank"))
+    return dg.min_ranks(px.zones(s, d).withColumn("v", v), "v").select("zone_id", "rank")
 
 
 @query("""WITH c AS (SELECT CAST(l_suppkey % 53 AS VARCHAR) AS dominant, count(*) AS n FROM lineitem GROUP BY ALL), t AS (SELECT dominant FROM c ORDER BY n DESC, dominant LIMIT 19)
@@ -430,12 +449,12 @@ def dominant_top19_other(s, d):
     return dg.frequent_or_other(table(s, d, "lineitem").select((F.col("l_suppkey") % 53).alias("dominant")), "dominant")
 
 
-@query(sql("SELECT zone_id, CAST(row_number() OVER (ORDER BY lat, zone_id) AS INTEGER) AS place, source_id, minutes FROM (SELECT od.*, dense_rank() OVER (ORDER BY zone_id) AS x, CAST(floor(zone_id / 5) AS DOUBLE) + 0.5 AS lat FROM od WHERE source_id = 1)", OD))
+@query(sql("SELECT zone_id, place, source_id, minutes FROM od JOIN places USING (zone_id)", OD, "places AS (SELECT n_nationkey AS zone_id, CAST(row_number() OVER (ORDER BY n_nationkey // 5, n_nationkey) AS INTEGER) AS place FROM nation)"))
 def heatmap_order(s, d):
     """Tiles of all zones and sources, zones in order of the latitude of their centre."""
-    order = px.unit_squares(s, d).select("zone_id", sp.centroid(F.col("ring"))["y"].alias("lat"))
-    place = times.ranked(order.withColumn("one", F.lit(1)), ["one"], [F.col("lat"), F.col("zone_id")], "place").select("zone_id", "place")
-    return px.od(s, d).join(F.broadcast(place), "zone_id").select("zone_id", "place", "source_id", "minutes")
+    order = px.unit_squares(s, d).select("zone_id", sp.centroid(F.col("ring"))["y"].alias("lat"), F.lit(1).alias("one"))
+    place = dg.running(order, [F.col("lat"), F.col("zone_id")], "one", "before").select("zone_id", (F.col("before") + 1).cast("int").alias("place"))
+    return px.od(s, d).join(place, "zone_id").select("zone_id", "place", "source_id", "minutes")
 
 
 @query(sql("""SELECT source_id, round(sum(w), 6) AS total, count(*) FILTER (rank = 1) AS n_dominant, round(sum(w * minutes) / sum(w), 4) AS mean_minutes, round(sum(w) / sum(sum(w)) OVER (), 6) AS share
@@ -450,10 +469,35 @@ def default_catchment(s, d):
     return wt.row_entropy(px.source_weights(s, d)).orderBy(F.desc(F.round("entropy", 9)), "zone_id").limit(1).select("zone_id")
 
 
-@query()
+@query(sql("""SELECT zone_id, '{"source_id":' || source_id || ',"w":"' || printf('%.6f', w) || '","minutes":' || CASE WHEN minutes IS NULL THEN 'null' ELSE '"' || printf('%.1f', minutes) || '"' END || ',"rank":' || rank || '}' AS json
+  FROM ranked JOIN od USING (zone_id, source_id) WHERE w > 0 AND rank <= 3""", OD, W, WR, RANKED))
 def connections_json(s, d):
     rows = dg.connections(_rounded_weights(s, d), 0.0, 3).join(px.od(s, d), ["zone_id", "source_id"])
-    return rows.select("zone_id", F.to_json(F.struct("source_id", F.round("w", 6).alias("w"), "minutes", "rank")).alias("json"))
+    return rows.select("zone_id", dg.json_row("source_id", w=F.format_string("%.6f", "w"), minutes=F.when(F.col("minutes").isNotNull(), F.format_string("%.1f", "minutes")), rank=F.col("rank")).alias("json"))
+
+
+@query(sql("SELECT source_id, rank, zone_id, round(w, 6) AS w, minutes FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source_id ORDER BY w DESC, zone_id) AS INTEGER) AS rank FROM wr) JOIN od USING (zone_id, source_id) WHERE rank <= 10", OD, W, WR))
+def station_top_zones(s, d):
+    return dg.top_zones(_rounded_weights(s, d), px.od(s, d)).select("source_id", "rank", "zone_id", F.round("w", 6).alias("w"), "minutes")
+
+
+SPREAD = "q AS (SELECT bracket, count(alpha) AS n, quantile_cont(alpha, [0, 0.25, 0.5, 0.75, 1]) AS q FROM alpha GROUP BY 1)"
+
+
+@query(sql("""SELECT bracket, any_value(n) AS n, any_value(q[1]) AS q0, any_value(q[2]) AS q25, any_value(q[3]) AS q50, any_value(q[4]) AS q75, any_value(q[5]) AS q100, min(alpha) FILTER (ok) AS low, max(alpha) FILTER (ok) AS high,
+  count(*) FILTER (NOT ok) AS n_outside FROM (SELECT *, alpha BETWEEN q[2] - 1.5 * (q[4] - q[2]) AND q[4] + 1.5 * (q[4] - q[2]) AS ok FROM alpha JOIN q USING (bracket)) GROUP BY bracket""", POP, ALPHA, SPREAD))
+def alpha_spread(s, d):
+    """What the box plot of alpha by bracket shows."""
+    return times.spread(px.alpha(s, d), F.col("alpha"), ["bracket"])
+
+
+@query("""WITH v AS (SELECT CAST(c_nationkey AS DOUBLE) AS v FROM customer), s AS (SELECT count(*) AS n, min(v) AS lo, max(v) AS hi, 0.9 * least(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34) * pow(count(*), -0.2) AS h FROM v),
+  p AS (SELECT lo - 3 * h + i / 49.0 * (hi - lo + 6 * h) AS x, h, n FROM s, range(0, 50) t(i))
+  SELECT round(x, 6) AS x, round(sum(c * exp(-pow((x - v) / h, 2) / 2)) / any_value(n * h * sqrt(2 * pi())), 6) AS density FROM p, (SELECT v, count(*) AS c FROM v GROUP BY 1) GROUP BY x""")
+def value_density(s, d):
+    """A density curve over values that repeat, each in a bin of its own."""
+    out = times.density(table(s, d, "customer"), F.col("c_nationkey"), 50)
+    return out.select(F.round("x", 6).alias("x"), F.round("density", 6).alias("density"))
 
 
 # spatial statistics on the grid of unit squares
@@ -496,9 +540,14 @@ def rep_point_centroid(s, d):
     return px.unit_squares(s, d).select("zone_id", F.round(c["x"], 6).alias("x"), F.round(c["y"], 6).alias("y"), F.round(F.abs(sp.signed_area(F.col("ring"))), 6).alias("area"))
 
 
-@query("SELECT p_type AS highway, CAST(CASE WHEN p_type IN ('motorway', 'primary') THEN 1 WHEN p_type IN ('residential', 'unclassified') THEN 2 ELSE 3 END AS INTEGER) AS tier, count(*) AS n FROM part GROUP BY ALL")
+ROADS = ["motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link", "residential", "living_street", "unclassified", "service", "track", "path", "footway"]
+
+
+@query(f"""SELECT highway, CAST(CASE WHEN highway IN ('primary', 'primary_link', 'secondary', 'secondary_link', 'tertiary', 'tertiary_link', 'residential', 'living_street') THEN 1 WHEN highway IN ('unclassified', 'service') THEN 2 ELSE 3 END AS INTEGER) AS tier,
+  count(*) AS n FROM (SELECT ({ROADS})[p_partkey % 17 + 1] AS highway FROM part) GROUP BY ALL""")
 def road_tier(s, d):
-    return table(s, d, "part").groupBy(F.col("p_type").alias("highway")).agg(F.count(F.lit(1)).alias("n")).select("highway", sp.road_tier(F.col("highway")).alias("tier"), "n")
+    highway = F.element_at(F.array(*[F.lit(r) for r in ROADS]), (F.col("p_partkey") % len(ROADS) + 1).cast("int"))
+    return table(s, d, "part").groupBy(highway.alias("highway")).agg(F.count(F.lit(1)).alias("n")).select("highway", sp.road_tier(F.col("highway")).alias("tier"), "n")
 
 
 def _cells(s, d):
@@ -508,18 +557,95 @@ def _cells(s, d):
     return cells.groupBy("zone_id", "cx", "cy").agg(F.count(F.lit(1)).cast("double").alias("pop"))
 
 
-@query()
+CELLS = "cells AS (SELECT c_nationkey AS zone_id, c_custkey % 20 AS cx, c_custkey // 20 % 20 AS cy, CAST(count(*) AS DOUBLE) AS pop FROM customer GROUP BY ALL)"
+def _whole_patches(sql_text):
+    """The recursive parts go first: every pair of cells that reach each other, and the least of them."""
+    closure = """WITH RECURSIVE cells AS (SELECT c_nationkey AS zone_id, c_custkey % 20 AS cx, c_custkey // 20 % 20 AS cy, CAST(count(*) AS DOUBLE) AS pop FROM customer GROUP BY ALL),
+  reach AS (SELECT zone_id, cx, cy, cy * 20 + cx AS root FROM cells UNION SELECT c.zone_id, c.cx, c.cy, r.root FROM reach r JOIN cells c ON c.zone_id = r.zone_id AND abs(c.cx - r.cx) <= 1 AND abs(c.cy - r.cy) <= 1),
+  labelled AS (SELECT zone_id, cx, cy, CAST(dense_rank() OVER (PARTITION BY zone_id ORDER BY min(root)) AS INTEGER) AS patch FROM reach GROUP BY zone_id, cx, cy) """
+    return closure + sql_text
+
+
+@query(_whole_patches("SELECT zone_id, CAST(cx AS INTEGER) AS cx, CAST(cy AS INTEGER) AS cy, pop, patch FROM labelled JOIN cells USING (zone_id, cx, cy)"))
 def patch_label(s, d):
     return sp.patches(_cells(s, d))
 
 
-CELLS = "cells AS (SELECT c_nationkey AS zone_id, c_custkey % 20 AS cx, c_custkey // 20 % 20 AS cy, CAST(count(*) AS DOUBLE) AS pop FROM customer GROUP BY ALL)"
+@query(_whole_patches("""SELECT zone_id, patch, total AS patch_pop, CAST(cx AS INTEGER) AS cx, CAST(cy AS INTEGER) AS cy FROM (
+  SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY total DESC, patch, pop DESC, cy, cx) AS n FROM (SELECT *, sum(pop) OVER (PARTITION BY zone_id, patch) AS total FROM labelled JOIN cells USING (zone_id, cx, cy))) WHERE n = 1"""))
+def best_patch(s, d):
+    return sp.best_cells(sp.patches(_cells(s, d)))
 
 
-@query(sql("""SELECT zone_id, CAST(patch AS INTEGER) AS patch, total AS patch_pop, CAST(cx AS INTEGER) AS cx, CAST(cy AS INTEGER) AS cy FROM (
-  SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY total DESC, patch, pop DESC, cy, cx) AS n FROM (SELECT *, cx // 5 AS patch, sum(pop) OVER (PARTITION BY zone_id, cx // 5) AS total FROM cells)) WHERE n = 1""", CELLS))
-def best_patch(s, d):
-    return sp.best_cells(_cells(s, d).withColumn("patch", F.floor(F.col("cx") / 5).cast("int")))
+STEP = 0.001
+
+
+def _placed_cells(s, d):
+    return _cells(s, d).withColumns({"x": F.col("zone_id") + F.col("cx") * STEP, "y": F.col("cy") * STEP})
+
+
+def _road_segments(s, d):
+    """Of each zone but every fourth a road along a row of cells and one along a column, each of a tier."""
+    z = F.col("zone_id")
+    east = px.zones(s, d).filter(z % 4 > 0).select("zone_id", (z % 3 + 1).cast("int").alias("tier"), (z - 0.01).alias("x1"), (z % 20 * STEP).alias("y1"), (z + 0.03).alias("x2"), (z % 20 * STEP).alias("y2"))
+    x = z + z * 7 % 20 * STEP
+    north = px.zones(s, d).filter(z % 4 > 0).select("zone_id", ((z + 1) % 3 + 1).cast("int").alias("tier"), x.alias("x1"), F.lit(-0.01).alias("y1"), x.alias("x2"), F.lit(0.03).alias("y2"))
+    return east.unionByName(north)
+
+
+@query(_whole_patches("""SELECT zone_id, patch, total AS patch_pop, n_patches, CAST(cx AS INTEGER) AS cx, CAST(cy AS INTEGER) AS cy, pop, tier IS NOT NULL AS near_road, CAST(tier AS INTEGER) AS tier FROM (
+  SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY total DESC, patch, coalesce(tier, 9), pop DESC, cy, cx) AS n FROM (
+    SELECT *, sum(pop) OVER (PARTITION BY zone_id, patch) AS total, max(patch) OVER (PARTITION BY zone_id) AS n_patches,
+      CASE WHEN zone_id % 4 > 0 THEN least(CASE WHEN abs(cy - zone_id % 20) <= 1 THEN zone_id % 3 + 1 END, CASE WHEN abs(cx - zone_id * 7 % 20) <= 1 THEN (zone_id + 1) % 3 + 1 END) END AS tier
+    FROM labelled JOIN cells USING (zone_id, cx, cy))) WHERE n = 1"""))
+def rep_point_weighted(s, d):
+    """The cell that stands for each zone: of the most populous patch, near a road of the best tier, the most populous. Cells are 111 m apart and roads reach 200 m."""
+    cells = _placed_cells(s, d)
+    out = geo.weighted_points(sp.patches(cells), geo.near_roads(cells, _road_segments(s, d)))
+    return out.select("zone_id", "patch", "patch_pop", "n_patches", "cx", "cy", "pop", "near_road", "tier")
+
+
+_EDGES = """edges AS (SELECT code_tract, unnest(list_transform(range(1, len(r) + 1), lambda i: {'a': r[i], 'b': r[CASE WHEN i = len(r) THEN 1 ELSE i + 1 END]})) AS e FROM (SELECT code_tract, unnest(rings) AS r FROM tracts_sf)),
+  ends AS (SELECT DISTINCT code_tract, e.a.y AS y FROM edges),
+  lev AS (SELECT code_tract, (max(y) FILTER (y <= m) + min(y) FILTER (y > m)) / 2 AS y FROM (SELECT *, (min(y) OVER (PARTITION BY code_tract) + max(y) OVER (PARTITION BY code_tract)) / 2 AS m FROM ends) GROUP BY 1),
+  hits AS (SELECT code_tract, lev.y, (e.b.x - e.a.x) * (lev.y - e.a.y) / (e.b.y - e.a.y) + e.a.x AS x FROM edges JOIN lev USING (code_tract) WHERE (e.a.y > lev.y) <> (e.b.y > lev.y)),
+  stretch AS (SELECT *, row_number() OVER (PARTITION BY code_tract ORDER BY x) AS n, lead(x) OVER (PARTITION BY code_tract ORDER BY x) AS x2 FROM hits)"""
+
+
+@query(sql("SELECT code_tract, round((x + x2) / 2, 6) AS x, round(y, 6) AS y FROM (SELECT *, row_number() OVER (PARTITION BY code_tract ORDER BY x2 - x DESC, x) AS best FROM stretch WHERE n % 2 = 1) WHERE best = 1", _EDGES))
+def rep_point_surface(s, d):
+    """A point inside every tract: the middle of the widest stretch inside along its middle level."""
+    out = geo.representative_points(table(s, d, "tracts_sf"), "point_on_surface", key="code_tract")
+    return out.select("code_tract", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+def _lines(s, d):
+    """A line of two segments for each supplier, somewhere over the grid of unit squares."""
+    k = F.col("s_suppkey")
+    at = lambda a, b: F.struct((k * a % 611 / 100.0 - 0.5003).alias("x"), (k * b % 617 / 100.0 - 0.5007).alias("y"))
+    return table(s, d, "supplier").select(k.alias("line_id"), F.array(at(7, 11), at(13, 17), at(19, 23)).alias("points"))
+
+
+@query("""WITH p AS (SELECT s_suppkey AS line_id, unnest([{'a': {'x': s_suppkey * 7 % 611 / 100.0 - 0.5003, 'y': s_suppkey * 11 % 617 / 100.0 - 0.5007}, 'b': {'x': s_suppkey * 13 % 611 / 100.0 - 0.5003, 'y': s_suppkey * 17 % 617 / 100.0 - 0.5007}},
+    {'a': {'x': s_suppkey * 13 % 611 / 100.0 - 0.5003, 'y': s_suppkey * 17 % 617 / 100.0 - 0.5007}, 'b': {'x': s_suppkey * 19 % 611 / 100.0 - 0.5003, 'y': s_suppkey * 23 % 617 / 100.0 - 0.5007}}]) AS s FROM supplier),
+  z AS (SELECT n_nationkey AS region, n_nationkey % 5 AS x0, n_nationkey // 5 AS y0 FROM nation),
+  c AS (SELECT line_id, region, s.a.x AS ax, s.a.y AS ay, s.b.x - s.a.x AS dx, s.b.y - s.a.y AS dy, x0, y0 FROM p, z),
+  t AS (SELECT *, CASE WHEN dx = 0 THEN CASE WHEN ax BETWEEN x0 AND x0 + 1 THEN 0.0 ELSE 2.0 END ELSE least((x0 - ax) / dx, (x0 + 1 - ax) / dx) END AS tx0, CASE WHEN dx = 0 THEN 1.0 ELSE greatest((x0 - ax) / dx, (x0 + 1 - ax) / dx) END AS tx1,
+    CASE WHEN dy = 0 THEN CASE WHEN ay BETWEEN y0 AND y0 + 1 THEN 0.0 ELSE 2.0 END ELSE least((y0 - ay) / dy, (y0 + 1 - ay) / dy) END AS ty0, CASE WHEN dy = 0 THEN 1.0 ELSE greatest((y0 - ay) / dy, (y0 + 1 - ay) / dy) END AS ty1 FROM c)
+  SELECT DISTINCT line_id, region FROM t WHERE greatest(tx0, ty0, 0) <= least(tx1, ty1, 1)""")
+def roads_in_zones(s, d):
+    cover = cut_lineage(proximity.cover_regions(px.unit_squares(s, d), "zone_id", "rings"))
+    return geo.lines_in_regions(_lines(s, d), cover)
+
+
+@query(sql("""SELECT zone_id, round(share, 6) AS share, round(pop * share, 6) AS pop FROM (SELECT zone_id, pop, greatest(least(x + 1, 3.5) - greatest(x, 0.5), 0) * greatest(least(y + 1, 4.6) - greatest(y, 0.25), 0)
+  - greatest(least(x + 1, 2.7) - greatest(x, 1.2), 0) * greatest(least(y + 1, 3.3) - greatest(y, 1.1), 0) AS share FROM (SELECT n_nationkey AS zone_id, n_nationkey % 5 AS x, n_nationkey // 5 AS y FROM nation) JOIN (SELECT zone_id, sum(pop) AS pop FROM pop GROUP BY 1) USING (zone_id)) WHERE share > 1e-9""", POP))
+def zones_clipped(s, d):
+    """Zones clipped to a town's outline with a hole, their people by the share of their area that stays."""
+    ring = lambda a, b, c, e: [(a, b), (c, b), (c, e), (a, e)]
+    zones = px.unit_squares(s, d).join(px.population(s, d).groupBy("zone_id").agg(F.sum("pop").cast("double").alias("pop")), "zone_id")
+    out = geo.clipped(zones, [ring(0.5, 0.25, 3.5, 4.6), ring(1.2, 1.1, 2.7, 3.3)], ["pop"])
+    return out.filter("share > 1e-9").select("zone_id", F.round("share", 6).alias("share"), F.round("pop", 6).alias("pop"))
 
 
 @query("SELECT n_nationkey AS region, count(*) AS n FROM nation, (SELECT c_custkey, (c_custkey * 7 % 1000) / 200.0 + 0.0005 AS x, (c_custkey * 13 % 1000) / 200.0 + 0.0005 AS y FROM customer) WHERE floor(x) = n_nationkey % 5 AND floor(y) = n_nationkey // 5 GROUP BY ALL")
@@ -536,7 +662,9 @@ def bbox_buffer(s, d):
     return sp.buffered_box(points, 20).select(*[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
-@query(sql("SELECT zone_id, CAST(CASE WHEN pop <= q[2] THEN 1 WHEN pop <= q[3] THEN 2 WHEN pop <= q[4] THEN 3 WHEN pop <= q[5] THEN 4 ELSE 5 END AS INTEGER) AS class FROM (SELECT zone_id, sum(pop) AS pop FROM pop GROUP BY 1), (SELECT quantile_cont(pop, [0, 0.2, 0.4, 0.6, 0.8, 1]) AS q FROM (SELECT sum(pop) AS pop FROM pop GROUP BY zone_id))", POP))
+@query(sql("""SELECT zone_id, CAST(CASE WHEN pop <= q[2] THEN 1 WHEN pop <= q[3] THEN 2 WHEN pop <= q[4] THEN 3 WHEN pop <= q[5] THEN 4 ELSE 5 END AS INTEGER) AS class FROM (SELECT zone_id, sum(pop) AS pop FROM pop GROUP BY 1),
+  (SELECT arg_min(r, n) AS q FROM (SELECT n, list_transform(q, lambda x: round(x, CAST(n - 1 - floor(log10(abs(x))) AS INTEGER))) AS r, q FROM (SELECT quantile_cont(pop, [0, 0.2, 0.4, 0.6, 0.8, 1]) AS q FROM (SELECT sum(pop) AS pop FROM pop GROUP BY zone_id)), range(3, 9) t(n))
+    WHERE len(list_distinct(r)) = len(list_distinct(q)))""", POP))
 def quantile_bins(s, d):
     totals = px.population(s, d).groupBy("zone_id").agg(F.sum("pop").alias("pop"))
     return totals.select("zone_id", brk.classed(F.col("pop"), brk.breaks(totals, "pop", "quantile", 5)).cast("int").alias("class"))
@@ -565,13 +693,14 @@ def fit_target_eff_src(s, d):
 
 @query(sql("SELECT 'minutes' AS table_name, count(*) - count(minutes) AS n_null, count(*) FILTER (isnan(minutes)) AS n_nan, count(*) FILTER (minutes < 0) AS n_negative FROM od", OD))
 def input_validation(s, d):
-    t = F.col("minutes")
-    return px.od(s, d).agg(F.count_if(t.isNull()).alias("n_null"), F.count_if(F.isnan(t)).alias("n_nan"), F.count_if(t < 0).alias("n_negative")).select(F.lit("minutes").alias("table_name"), "*")
+    od = px.od(s, d)
+    wt.check_od(od, "power", 1.0)
+    return wt.faults(od).select(F.lit("minutes").alias("table_name"), "n_null", "n_nan", "n_negative")
 
 
 @query(sql("SELECT zone_id, source_id, minutes + 1 AS minutes FROM od", OD))
 def offset_apply(s, d):
-    return px.od(s, d).select("zone_id", "source_id", (F.col("minutes") + 1.0).alias("minutes"))
+    return wt.with_offset(px.od(s, d), 1.0).select("zone_id", "source_id", "minutes")
 
 
 @query(sql("SELECT zone_id, name, round(sum(fitted), 4) AS fitted FROM fit JOIN zones USING (zone_id) GROUP BY ALL", OD, SRC, W, FIT, ZONES))

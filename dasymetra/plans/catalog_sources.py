@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dasymetra.functions import text
+from dasymetra.operators import population as pop
 from dasymetra.operators import result as res
 from dasymetra.operators import votes as vt
 from dasymetra.plans import proxies as px
@@ -141,10 +142,14 @@ def lookup_tables(s, d):
 
 # voter profiles
 
-BUCKETS = sorted(set(text.AGE_BUCKETS.values()))
-BUCKET_SQL = "CASE age " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.AGE_BUCKETS.items()) + " END"
+BUCKETS = [f"votantes_{a}" for a in ("18_19", "20", "21_24", "25_29", "30_34", "35_39", "40_44", "45_49", "50_54", "55_59", "60_64", "65_69")]
+BUCKET_SQL = """CASE age WHEN '18 anos' THEN 'votantes_18_19' WHEN '19 anos' THEN 'votantes_18_19' WHEN '20 anos' THEN 'votantes_20' WHEN '21 a 24 anos' THEN 'votantes_21_24' WHEN '25 a 29 anos' THEN 'votantes_25_29'
+  WHEN '30 a 34 anos' THEN 'votantes_30_34' WHEN '35 a 39 anos' THEN 'votantes_35_39' WHEN '40 a 44 anos' THEN 'votantes_40_44' WHEN '45 a 49 anos' THEN 'votantes_45_49' WHEN '50 a 54 anos' THEN 'votantes_50_54'
+  WHEN '55 a 59 anos' THEN 'votantes_55_59' WHEN '60 a 64 anos' THEN 'votantes_60_64' WHEN '65 a 69 anos' THEN 'votantes_65_69' END"""
 CROSS = [f"vot_{g}_{a}_{b[9:]}" for g in ("hom", "mul") for a in ("alf", "nalf") for b in BUCKETS]
-CROSS_SQL = f"'vot_' || CASE gender WHEN 'MASCULINO' THEN 'hom' ELSE 'mul' END || '_' || CASE WHEN schooling = 'ANALFABETO' THEN 'nalf' ELSE 'alf' END || '_' || substr({BUCKET_SQL}, 10)"
+SEX_SQL = "CASE gender WHEN 'MASCULINO' THEN 'hom' WHEN 'FEMININO' THEN 'mul' END"
+ABLE_SQL = "CASE WHEN schooling LIKE '%ANALFABETO%' THEN 'nalf' ELSE 'alf' END"
+CROSS_SQL = f"'vot_' || {SEX_SQL} || '_' || {ABLE_SQL} || '_' || substr({BUCKET_SQL}, 10)"
 
 
 def _pivot_sql(key, name, value, names, source, prefix=""):
@@ -158,26 +163,35 @@ def age_bucket_pivot(s, d):
 
 
 def _crosstab(s, d):
-    rows = px.profile(s, d).withColumn("bucket", text.age_bucket(F.col("age"))).filter(F.col("bucket").isNotNull())
+    rows = px.profile(s, d).withColumn("bucket", text.age_bucket(F.col("age"))).filter(F.col("bucket").isNotNull() & text.gender(F.col("gender")).isNotNull())
     name = F.concat_ws("_", F.lit("vot"), text.gender(F.col("gender")), text.literacy(F.col("schooling")), F.substr("bucket", F.lit(10)))
     return vt.wide(rows, ["section"], name, F.col("n"), CROSS)
 
 
-@query(sql(_pivot_sql("section", CROSS_SQL, "n", CROSS, f"(SELECT * FROM profile WHERE {BUCKET_SQL} IS NOT NULL)"), PROFILE))
+@query(sql(_pivot_sql("section", CROSS_SQL, "n", CROSS, f"(SELECT * FROM profile WHERE {BUCKET_SQL} IS NOT NULL AND gender IS NOT NULL)"), PROFILE))
 def gender_literacy_crosstab(s, d):
     return _crosstab(s, d)
 
 
-@query("""SELECT level, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'FUND_INC' WHEN 'MACHINERY' THEN 'MEDIO_COMP' WHEN 'FURNITURE' THEN 'SUP_INC'
-  WHEN 'HOUSEHOLD' THEN 'LE_E_ESCREVE' ELSE 'NAO_INFORMADO' END AS level, 1 AS n FROM customer) GROUP BY ALL""")
+LEVEL_SQL = """CASE schooling WHEN 'ANALFABETO' THEN 'ANALFABETO' WHEN 'LÊ E ESCREVE' THEN 'LE_ESCREVE' WHEN 'ENSINO FUNDAMENTAL INCOMPLETO' THEN 'FUND_INCOMP' WHEN 'ENSINO FUNDAMENTAL COMPLETO' THEN 'FUND_COMP'
+  WHEN 'Ensino Médio Incompleto' THEN 'MEDIO_INCOMP' WHEN ' ENSINO MÉDIO COMPLETO ' THEN 'MEDIO_COMP' WHEN 'SUPERIOR INCOMPLETO' THEN 'SUP_INCOMP' WHEN 'Superior Completo' THEN 'SUP_COMP'
+  WHEN 'NÃO INFORMADO' THEN 'NAO_INFORMADO' WHEN 'Pós-graduação: stricto' THEN 'POS_GRADUACAO__STRICTO' WHEN 'SEMI-ANALFABETO' THEN 'ANALFABETO' END"""
+LEVELS = ["ANALFABETO", "LE_ESCREVE", "FUND_INCOMP", "FUND_COMP", "MEDIO_INCOMP", "MEDIO_COMP", "SUP_INCOMP", "SUP_COMP", "NAO_INFORMADO", "POS_GRADUACAO__STRICTO"]
+
+
+@query(sql(f"SELECT {LEVEL_SQL} AS level, count(*) AS n FROM profile GROUP BY ALL", PROFILE))
 def education_normalise(s, d):
-    labels = {"BUILDING": "Ensino Fundamental Incompleto", "MACHINERY": " ENSINO MÉDIO COMPLETO", "FURNITURE": "superior incompleto", "HOUSEHOLD": "LÊ E ESCREVE", "AUTOMOBILE": "NÃO INFORMADO"}
-    level = text.education(text.lookup(F.col("c_mktsegment"), labels))
-    return table(s, d, "customer").groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    return px.profile(s, d).groupBy(text.education(F.col("schooling")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(sql("SELECT section, " + ", ".join(f"CAST(count(*) FILTER (gender = '{g}') AS BIGINT) AS GENERO_{g}" for g in ("MASCULINO", "FEMININO"))
+           + ", " + ", ".join(f"CAST(count(*) FILTER ({LEVEL_SQL} = '{e}') AS BIGINT) AS EDUC_{e}" for e in LEVELS) + " FROM profile GROUP BY ALL", PROFILE))
+def demographics(s, d):
+    return pop.demographics(px.profile(s, d), ["section"], ["MASCULINO", "FEMININO"], LEVELS)
 
 
 @query(sql("""SELECT a.section, a.men, a.women, b.literate FROM (SELECT section, count(*) FILTER (gender = 'MASCULINO') AS men, count(*) FILTER (gender = 'FEMININO') AS women FROM profile GROUP BY 1) a
-  LEFT JOIN (SELECT section, count(*) AS literate FROM profile WHERE schooling <> 'ANALFABETO' GROUP BY 1) b USING (section)""", PROFILE))
+  LEFT JOIN (SELECT section, count(*) AS literate FROM profile WHERE schooling NOT LIKE '%ANALFABETO%' GROUP BY 1) b USING (section)""", PROFILE))
 def demographics_join(s, d):
     p = px.profile(s, d)
     g = vt.wide(p, ["section"], text.gender(F.col("gender")), F.col("n"), ["hom", "mul"]).select("section", F.col("hom").alias("men"), F.col("mul").alias("women"))
@@ -185,7 +199,7 @@ def demographics_join(s, d):
     return g.join(e, "section", "left")
 
 
-@query(sql(f"SELECT age, gender, CAST(sum(n) AS BIGINT) AS n FROM (SELECT substr({BUCKET_SQL}, 10) AS age, CASE gender WHEN 'MASCULINO' THEN 'hom' ELSE 'mul' END AS gender, n FROM profile WHERE {BUCKET_SQL} IS NOT NULL) GROUP BY ALL", PROFILE))
+@query(sql(f"SELECT age, gender, CAST(sum(n) AS BIGINT) AS n FROM (SELECT substr({BUCKET_SQL}, 10) AS age, {SEX_SQL} AS gender, n FROM profile WHERE {BUCKET_SQL} IS NOT NULL AND gender IS NOT NULL) GROUP BY ALL", PROFILE))
 def pyramid(s, d):
     """Sex and age read back from the names of the crosstab's columns, folded over literacy."""
     long = _crosstab(s, d).unpivot("section", CROSS, "variable", "n")
@@ -193,14 +207,113 @@ def pyramid(s, d):
     return long.groupBy(age.alias("age"), sex.alias("gender")).agg(F.sum("n").alias("n")).filter("n > 0")
 
 
-FOLD = [("votantes_16", "16_20", 1.0), ("votantes_17", "16_20", 1.0), ("votantes_18_20", "16_20", 0.4), ("votantes_21_24", "21_29", 1.0), ("votantes_25_29", "21_29", 1.0), ("votantes_30_34", "30_39", 1.0), ("votantes_35_39", "30_39", 1.0)]
+# zones: each customer is a person, whose age, sex and literacy follow from the key
+
+PERSON = """person AS (SELECT c_nationkey AS code_tract, c_custkey % 101 AS age, CASE WHEN c_custkey // 101 % 2 = 0 THEN 'hom' ELSE 'mul' END AS sex, CASE WHEN c_custkey % 3 > 0 THEN 'alf' ELSE 'nalf' END AS able FROM customer)"""
+GROUPS = {"18_20": (18, 20), "21_24": (21, 24), "25_29": (25, 29), "30_39": (30, 39), "40_49": (40, 49), "50_59": (50, 59), "60_69": (60, 69)}
+GROUPS_2022 = {"18_19": (15, 19), "20_24": (20, 24), **{g: GROUPS[g] for g in ("25_29", "30_39", "40_49", "50_59", "60_69")}}
+
+
+def _census(s, d, names):
+    """A census table of one row per nation: a column for each (name, condition) of persons."""
+    k = F.col("c_custkey")
+    person = table(s, d, "customer").select(
+        F.col("c_nationkey").alias("code_tract"), (k % 101).alias("age"), F.when(F.floor(k / 101) % 2 == 0, "hom").otherwise("mul").alias("sex"), F.when(k % 3 > 0, "alf").otherwise("nalf").alias("able"))
+    return person.groupBy("code_tract").agg(*[F.count_if(F.expr(c)).alias(n) for n, c in names]).withColumn("code_muni", F.lit("1"))
+
+
+def _long(df, side="code_tract"):
+    columns = [c for c in df.columns if c.startswith(("pop_", "vot_"))]
+    return df.select(side, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(side, columns, "bracket", "value").withColumn("value", F.round("value", 4))
+
+
+def _census_sql(groups, spans):
+    total = " UNION ALL ".join(f"SELECT 'pop_{g}' AS bracket, {a} AS a, {b} AS b" for g, (a, b) in spans.items())
+    part = " UNION ALL ".join(f"SELECT '{g}' AS g, {a} AS a, {b} AS b" for g, (a, b) in groups.items())
+    share = "CASE WHEN g = '18_19' THEN 0.4 ELSE 1 END"
+    return f"""SELECT code_tract, bracket, CAST(count(*) FILTER (age BETWEEN a AND b) AS DOUBLE) AS value FROM person CROSS JOIN ({total}) GROUP BY ALL
+      UNION ALL SELECT code_tract, 'pop_' || x.sex || '_' || y.able || '_' || g, CAST(round(sum(CASE WHEN age BETWEEN a AND b AND person.sex = x.sex AND person.able = y.able THEN {share} ELSE 0 END), 4) AS DOUBLE)
+      FROM person CROSS JOIN ({part}) CROSS JOIN (VALUES ('hom'), ('mul')) x(sex) CROSS JOIN (VALUES ('alf'), ('nalf')) y(able) GROUP BY ALL"""
+
+
+SPANS_SQL = {"00_04": (0, 4), "05_09": (5, 9), "10_14": (10, 14), "15_17": (15, 17), **GROUPS, "70mais": (70, 100)}
+
+
+@query(sql(_census_sql(GROUPS, SPANS_SQL), PERSON))
+def census_2010(s, d):
+    """Single years in all, by sex, and of those that read; the rest do not."""
+    names = [(f"pessoa13_V{34 + a:03d}", f"age = {a}") for a in range(101)]
+    names += [(f"pessoa{t}_V{34 + a:03d}", f"age = {a} AND sex = '{x}'") for t, x in ((11, "hom"), (12, "mul")) for a in range(1, 101)]
+    names += [(f"pessoa02_V{a - 3 if x == 'hom' else a + 82:03d}", f"age = {a} AND sex = '{x}' AND able = 'alf'") for x in ("hom", "mul") for a in range(5, 80)]
+    return _long(pop.prepare_population(_census(s, d, names), 2010, "1"))
 
 
-@query(sql("SELECT section, bracket, sum(n * factor) AS value FROM profile JOIN (VALUES " + ", ".join(f"('{k}', '{b}', {f})" for v, b, f in FOLD for k, w in text.AGE_BUCKETS.items() if w == v) + ") m(age, bracket, factor) USING (age) GROUP BY ALL", PROFILE).replace("sum(n * factor)", "CAST(round(sum(n * factor), 4) AS DOUBLE)"))
+@query(sql(_census_sql(GROUPS, SPANS_SQL), PERSON))
+def census_2000(s, d):
+    """Whole groups, of which one takes a single year away; single years by sex and literacy."""
+    five = {1448: (0, 4), 1449: (5, 9), 1450: (10, 14), 1452: (20, 24), 1453: (25, 29), 1454: (30, 34), 1455: (35, 39), 1456: (40, 44), 1457: (45, 49), 1458: (50, 54), 1459: (55, 59), 1460: (60, 64),
+            1461: (65, 69), 1462: (70, 74), 1463: (75, 79), 1464: (80, 100), **{1347 + a: (a, a) for a in range(15, 21)}}
+    names = [(f"pessoa1_V{v}", f"age BETWEEN {a} AND {b}") for v, (a, b) in five.items()]
+    firsts = (("instrucao3_V", 2644, "hom", "alf"), ("instrucao3_V", 2736, "hom", "nalf"), ("instrucao5_V", 2929, "mul", "alf"), ("instrucao5_V", 3021, "mul", "nalf"))
+    names += [(f"{p}{v + a}", f"age = {a} AND sex = '{x}' AND able = '{l}'") for p, v, x, l in firsts for a in range(18, 70)]
+    return _long(pop.prepare_population(_census(s, d, names), 2000))
+
+
+@query(sql(_census_sql(GROUPS_2022, {"00_04": (0, 4), "05_09": (5, 9), "10_14": (10, 14), "15_19": (15, 19), "20_24": (20, 24), "25_29": (25, 29), "30_39": (30, 39), "40_49": (40, 49), "50_59": (50, 59), "60_69": (60, 69), "70mais": (70, 100)}), PERSON))
+def census_2022(s, d):
+    """Groups of five and ten years; two in five of those of 15 to 19 count as 18 or 19."""
+    tens = [(0, 4), (5, 9), (10, 14), (15, 19), (20, 24), (25, 29), (30, 39), (40, 49), (50, 59), (60, 69), (70, 100)]
+    names = [(f"demografia_V{1031 + k:05d}", f"age BETWEEN {a} AND {b}") for k, (a, b) in enumerate(tens)]
+    fives = [(15 + 5 * k, 19 + 5 * k) for k in range(11)]
+    for first, x, more in ((722, "hom", ""), (735, "mul", ""), (826, "hom", " AND able = 'alf'"), (839, "mul", " AND able = 'alf'")):
+        names += [(f"alfabetizacao_V{first + k:05d}", f"age BETWEEN {a} AND {b} AND sex = '{x}'{more}") for k, (a, b) in enumerate(fives)]
+    return _long(pop.prepare_population(_census(s, d, names), 2022))
+
+
+def _pairs_sql(groups, votes):
+    sides = " UNION ALL ".join(f"SELECT '{g}' AS g, {a} AS a, {b} AS b, {v} AS v" for (g, (a, b)), v in zip(groups.items(), votes))
+    return f"""SELECT 'pop' AS side, code_tract AS id, 'pop_' || x.sex || '_' || g AS bracket, CAST(round(sum(CASE WHEN age BETWEEN a AND b AND person.sex = x.sex THEN CASE WHEN g = '18_19' THEN 0.4 ELSE 1 END ELSE 0 END), 4) AS DOUBLE) AS value
+      FROM person CROSS JOIN ({sides}) CROSS JOIN (VALUES ('hom'), ('mul')) x(sex) GROUP BY ALL
+      UNION ALL SELECT 'vot', section, 'vot_' || x.sex || '_' || g, CAST(coalesce(sum(CASE WHEN list_contains(v, bucket) AND gender = x.sex THEN n END), 0) AS DOUBLE)
+      FROM (SELECT section, substr({BUCKET_SQL}, 10) AS bucket, {SEX_SQL} AS gender, n FROM profile WHERE {BUCKET_SQL} IS NOT NULL AND gender IS NOT NULL) CROSS JOIN ({sides}) CROSS JOIN (VALUES ('hom'), ('mul')) x(sex) GROUP BY ALL"""
+
+
+def _calibration(s, d, year):
+    groups = GROUPS if year == 2010 else {"15_19": (15, 19), **{g: x for g, x in GROUPS_2022.items() if g != "18_19"}}
+    names = [(f"pop_{x}_{l}_{g}", f"age BETWEEN {a} AND {b} AND sex = '{x}' AND able = '{l}'") for x in ("hom", "mul") for l in ("alf", "nalf") for g, (a, b) in groups.items()]
+    zones, sources, pairs = pop.match_calibration(_census(s, d, names), _crosstab(s, d), year)
+    mine = _long(zones.select("code_tract", *[z for z, _ in pairs])).withColumnRenamed("code_tract", "id").withColumn("side", F.lit("pop"))
+    theirs = _long(sources.select("section", *[v for _, v in pairs]), "section").withColumnRenamed("section", "id").withColumn("side", F.lit("vot"))
+    return mine.unionByName(theirs)
+
+
+@query(sql(_pairs_sql(GROUPS, ("['18_19', '20']", "['21_24']", "['25_29']", "['30_34', '35_39']", "['40_44', '45_49']", "['50_54', '55_59']", "['60_64', '65_69']")), PERSON, PROFILE))
 def calibration_pairs(s, d):
-    rows = px.profile(s, d).select("section", text.age_bucket(F.col("age")).alias("fine"), F.col("n").alias("value"))
-    mapping = s.createDataFrame(FOLD, "fine string, bracket string, factor double")
-    return vt.calibration_pairs(rows, ["section"], mapping).select("section", "bracket", F.round("value", 4).alias("value"))
+    return _calibration(s, d, 2010)
+
+
+@query(sql(_pairs_sql(GROUPS_2022, ("['18_19']", "['20', '21_24']", "['25_29']", "['30_34', '35_39']", "['40_44', '45_49']", "['50_54', '55_59']", "['60_64', '65_69']")), PERSON, PROFILE))
+def calibration_pairs_2022(s, d):
+    return _calibration(s, d, 2022)
+
+
+@query(sql(f"SELECT id AS zone_id, age, sum(value) AS value FROM (SELECT id, value, replace(substr(bracket, 9), '_', '-') AS age FROM ({_pairs_sql(GROUPS, [chr(91) + chr(93)] * 7).split('UNION ALL SELECT ' + chr(39) + 'vot')[0]})) GROUP BY ALL", PERSON))
+def age_fold(s, d):
+    """Fourteen brackets folded over sex into seven ages."""
+    rows = _calibration(s, d, 2010).filter("side = 'pop'").select(F.col("id").alias("zone_id"), "bracket", "value")
+    return pop.fold_ages(rows, "value")
+
+
+@query("""SELECT t.code_tract, t.code_muni, t.pop_total, CAST(coalesce(c.pop_18_20, 0) AS BIGINT) AS pop_people, c.income FROM tracts_sf t LEFT JOIN (
+  SELECT substr(code_tract, 1, 7) AS m, code_tract, length(code_tract) AS pop_18_20, pop_25_29 AS income FROM tracts_sf WHERE CAST(substr(code_tract, length(code_tract), 1) AS INTEGER) % 2 = 0) c ON t.code_tract = c.code_tract
+  WHERE t.code_muni IN (SELECT max(code_muni) FROM tracts_sf)""")
+def zones_prepared(s, d):
+    """The zones of one town with people and income; zones that the census lacks have none."""
+    t = table(s, d, "tracts_sf")
+    town = t.agg(F.max("code_muni")).first()[0]
+    some = t.filter(F.substring("code_tract", -1, 1).cast("int") % 2 == 0)
+    out = pop.prepare_zones(t, some.select("code_tract", F.length("code_tract").cast("bigint").alias("pop_people")), town, some.select("code_tract", F.col("pop_25_29").alias("income")))
+    return out.select("code_tract", "code_muni", "pop_total", "pop_people", "income")
 
 
 # votes
@@ -216,9 +329,9 @@ def candidate_filter_name(s, d):
     return vt.candidates(px.votes(s, d), ["13"], ["wídgêt"], name="name").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(sql("SELECT party, CAST(sum(votes) AS BIGINT) AS votes FROM votes WHERE party IN ('Brand#2', 'Brand#17') GROUP BY ALL", VOTES))
+@query(sql("SELECT party, CAST(sum(votes) AS BIGINT) AS votes FROM votes WHERE party IN ('Brand 2', 'Brand 17') GROUP BY ALL", VOTES))
 def party_filter(s, d):
-    return vt.parties(px.votes(s, d), [" brand#2", "BRAND#17 "]).groupBy("party").agg(F.sum("votes").alias("votes"))
+    return vt.parties(px.votes(s, d), [" brand 2", "BRAND 17 "]).groupBy("party").agg(F.sum("votes").alias("votes"))
 
 
 @query(sql(_pivot_sql("section", "CAST(ballot AS VARCHAR)", "votes", BALLOTS, "votes", "CAND_"), VOTES))
@@ -226,25 +339,26 @@ def candidate_pivot(s, d):
     return vt.wide(px.votes(s, d), ["section"], F.col("ballot").cast("string"), F.col("votes"), BALLOTS, "CAND_")
 
 
-MULTI = [f"{o}_CAND_{b}" for o in ("A", "R") for b in BALLOTS]
 EVERY_OFFICE = [f"{o}_CAND_{b}" for o in ("A", "N", "R") for b in BALLOTS]
 
 
-@query(sql(_pivot_sql("section", "office || '_CAND_' || CAST(ballot AS VARCHAR)", "votes", MULTI, "(SELECT * FROM votes WHERE office IN ('A', 'R'))"), VOTES))
+@query(sql(_pivot_sql("section", "office || '_CAND_' || CAST(ballot AS VARCHAR)", "votes", EVERY_OFFICE, "votes"), VOTES))
 def candidate_pivot_multi_office(s, d):
     """Several offices in one pivot over the rows of all, in place of one outer join for each."""
     return vt.wide(px.votes(s, d), ["section"], F.concat("office", F.lit("_CAND_"), F.col("ballot").cast("string")), F.col("votes"), EVERY_OFFICE)
 
 
-@query(sql(_pivot_sql("section", "replace(upper(party), '#', '_')", "votes", BRANDS, "(SELECT * FROM votes WHERE ballot NOT IN (95, 96))", "PARTY_"), VOTES))
+@query(sql(_pivot_sql("section", "replace(upper(party), ' ', '_')", "votes", BRANDS, "(SELECT * FROM votes WHERE ballot NOT IN (95, 96))", "PARTY_"), VOTES))
 def party_pivot(s, d):
-    rows = vt.no_blanks(px.votes(s, d))
-    return vt.wide(rows, ["section"], vt.party_key(F.col("party"), F.col("ballot")), F.col("votes"), BRANDS, "PARTY_")
+    rows = vt.with_party_key(vt.no_blanks(px.votes(s, d)))
+    return vt.wide(rows, ["section"], F.col("party_key"), F.col("votes"), BRANDS, "PARTY_")
 
 
 @query(sql("SELECT key, CAST(sum(votes) AS BIGINT) AS votes FROM (SELECT substr(CAST(ballot AS VARCHAR), 1, 2) AS key, votes FROM votes WHERE ballot NOT IN (95, 96)) GROUP BY ALL", VOTES))
 def party_fallback_prefix(s, d):
-    return vt.no_blanks(px.votes(s, d)).groupBy(vt.party_key(None, F.col("ballot")).alias("key")).agg(F.sum("votes").alias("votes"))
+    """A table in which no vote has an abbreviation: the first two digits of the ballot stand for it."""
+    rows = vt.no_blanks(px.votes(s, d)).withColumn("party", F.when(F.col("ballot") % 2 == 0, " "))
+    return vt.with_party_key(rows, name="key").groupBy("key").agg(F.sum("votes").alias("votes"))
 
 
 @query(sql("SELECT section, CAST(sum(votes) AS BIGINT) AS turnout FROM votes WHERE office = (SELECT min(office) FROM votes) GROUP BY ALL", VOTES))
@@ -284,7 +398,7 @@ def rollup_to_coordinates(s, d):
 
 DICT_SQL = """SELECT 'CAND_' || CAST(ballot AS VARCHAR) AS "column", 'candidate' AS type, 'prefeito' AS cargo, CAST(ballot AS VARCHAR) AS ballot_number,
   CASE ballot WHEN 95 THEN 'Votos em Branco' WHEN 96 THEN 'Votos Nulos' ELSE min(name) END AS candidate_name, CASE WHEN ballot NOT IN (95, 96) THEN min(party) END AS party FROM votes GROUP BY ballot"""
-PARTY_SQL = """SELECT DISTINCT 'PARTY_' || replace(upper(party), '#', '_') AS "column", 'party' AS type, 'prefeito' AS cargo, CAST(NULL AS VARCHAR) AS ballot_number, CAST(NULL AS VARCHAR) AS candidate_name, replace(upper(party), '#', '_') AS party
+PARTY_SQL = """SELECT DISTINCT 'PARTY_' || replace(upper(party), ' ', '_') AS "column", 'party' AS type, 'prefeito' AS cargo, CAST(NULL AS VARCHAR) AS ballot_number, CAST(NULL AS VARCHAR) AS candidate_name, replace(upper(party), ' ', '_') AS party
   FROM votes WHERE ballot NOT IN (95, 96)"""
 
 
@@ -331,7 +445,7 @@ def distinct_offices(s, d):
     return table(s, d, "lineitem").select(F.col("l_returnflag").alias("office")).distinct().orderBy("office")
 
 
-@query("SELECT 'BRAND#99' AS party")
+@query("SELECT party FROM (VALUES ('BRAND#2'), ('BRAND#17'), ('BRAND#99')) w(party) EXCEPT SELECT upper(p_brand) FROM part")
 def unmatched_parties(s, d):
     """Wanted parties that no vote has."""
     wanted = s.createDataFrame([("BRAND#2",), ("BRAND#17",), ("BRAND#99",)], "party string")
@@ -346,14 +460,26 @@ def census_year_map(s, d):
     return table(s, d, "merged").select("row_id", text.census_year(F.col("ano_eleicao")).alias("census"))
 
 
-@query("SELECT p_size AS code, CASE p_size " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in text.OFFICES.items()) + " ELSE 'CARGO' || p_size END AS label, count(*) AS n FROM part GROUP BY ALL")
+@query("""SELECT p_size AS code, CASE p_size WHEN 1 THEN 'presidente' WHEN 3 THEN 'governador' WHEN 5 THEN 'senador' WHEN 6 THEN 'deputado_federal' WHEN 7 THEN 'deputado_estadual' WHEN 8 THEN 'deputado_distrital'
+  WHEN 11 THEN 'prefeito' WHEN 13 THEN 'vereador' ELSE 'CARGO' || p_size END AS label, count(*) AS n FROM part GROUP BY ALL""")
 def office_label(s, d):
     return table(s, d, "part").groupBy(F.col("p_size").alias("code")).agg(F.count(F.lit(1)).alias("n")).select("code", text.office_label(F.col("code")).alias("label"), "n")
 
 
-@query("SELECT CASE " + " ".join(f"WHEN uf IN ({', '.join(repr(u) for u in us)}) THEN '{r}'" for r, us in text.REGIONS.items()) + " END AS region, count(*) AS n FROM muni_crosswalk GROUP BY ALL")
+UFS = "AC AM AP PA RO RR TO AL BA CE MA PB PE PI RN SE DF GO MS MT ES MG RJ SP PR RS SC XX".split()
+
+
+@query("""WITH e(uf, region, state) AS (VALUES ('AC', 'north', 'acre'), ('AM', 'north', 'amazonas'), ('AP', 'north', 'amapa'), ('PA', 'north', 'para'), ('RO', 'north', 'rondonia'), ('RR', 'north', 'roraima'), ('TO', 'north', 'tocantins'),
+  ('AL', 'northeast', 'alagoas'), ('BA', 'northeast', 'bahia'), ('CE', 'northeast', 'ceara'), ('MA', 'northeast', 'maranhao'), ('PB', 'northeast', 'paraiba'), ('PE', 'northeast', 'pernambuco'), ('PI', 'northeast', 'piaui'),
+  ('RN', 'northeast', 'rio-grande-do-norte'), ('SE', 'northeast', 'sergipe'), ('DF', 'central-west', 'distrito-federal'), ('GO', 'central-west', 'goias'), ('MS', 'central-west', 'mato-grosso-do-sul'),
+  ('MT', 'central-west', 'mato-grosso'), ('ES', 'southeast', 'espirito-santo'), ('MG', 'southeast', 'minas-gerais'), ('RJ', 'southeast', 'rio-de-janeiro'), ('SP', 'southeast', 'sao-paulo'),
+  ('PR', 'south', 'parana'), ('RS', 'south', 'rio-grande-do-sul'), ('SC', 'south', 'santa-catarina'), ('XX', NULL, NULL))
+  SELECT uf, region, state, count(*) AS n FROM customer JOIN (SELECT *, row_number() OVER () - 1 AS k FROM e) ON c_custkey % 28 = k GROUP BY ALL""")
 def uf_region(s, d):
-    return table(s, d, "muni_crosswalk").groupBy(text.region(F.col("uf")).alias("region")).agg(F.count(F.lit(1)).alias("n"))
+    """Region and state of every federative unit, and of one that is none."""
+    uf = F.element_at(F.array(*[F.lit(u) for u in UFS]), (F.col("c_custkey") % len(UFS) + 1).cast("int"))
+    rows = table(s, d, "customer").groupBy(uf.alias("uf")).agg(F.count(F.lit(1)).alias("n")).withColumn("e", text.extract(F.col("uf")))
+    return rows.select("uf", "e.region", "e.state", "n")
 
 
 @query(f"WITH k AS (SELECT code_ibge, upper({_plain_sql('trim(nome)')}) AS key, uf FROM muni_crosswalk WHERE nome IS NOT NULL) SELECT key, count(*) AS n, count(DISTINCT uf) AS n_uf FROM k GROUP BY ALL")
@@ -370,7 +496,7 @@ def election_date_fallback(s, d):
 
 
 @query("""SELECT code_ibge, array_to_string(list_transform(string_split_regex(lower(trim(nome)), '\\s+'), lambda w: CASE WHEN w IN ('de', 'da', 'do', 'das', 'dos', 'e') THEN w ELSE upper(substr(w, 1, 1)) || substr(w, 2) END), ' ') AS name
-  FROM muni_crosswalk WHERE regexp_full_match(nome, '[A-Za-zÀ-ÿ ]*')""")
+  FROM muni_crosswalk""")
 def title_case(s, d):
     return table(s, d, "muni_crosswalk").select("code_ibge", text.title_case(F.col("nome")).alias("name"))
 

@@ -121,7 +121,8 @@ def wide_values(result: res.Interpolation) -> DataFrame:
 
 def classes(result: res.Interpolation, wanted: str, method: str | list[float] = "quantile", n: int = 5) -> DataFrame:
     """(zone_id, value, class) of the variable that a name, number or party stands for."""
-    column = res.resolved(result.dictionary, wanted)[0] if result.dictionary is not None else wanted
+    there = result.values.select(F.col("variable").alias("column")).distinct()
+    column = res.resolved(result.dictionary, wanted, columns=there)[0]
     values = result.values.filter(F.col("variable") == column).select("zone_id", "value")
     return values.withColumn("class", brk.classed(F.col("value"), brk.breaks(values, "value", method, n)))
 

@@ -56,19 +56,26 @@ def votes(s, d):
     lines, parts, suppliers = table(s, d, "lineitem"), table(s, d, "part"), table(s, d, "supplier")
     sold = lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).join(suppliers, lines["l_suppkey"] == suppliers["s_suppkey"])
     return sold.select(
-        (F.col("l_partkey") % 97).alias("ballot"), F.col("l_quantity").cast("int").alias("votes"), F.col("p_brand").alias("party"), F.col("p_name").alias("name"),
+        (F.col("l_partkey") % 97).alias("ballot"), F.col("l_quantity").cast("int").alias("votes"), F.replace("p_brand", F.lit("#"), F.lit(" ")).alias("party"), F.col("p_name").alias("name"),
         F.col("l_returnflag").alias("office"), F.col("l_linestatus").alias("turn"), F.col("l_suppkey").alias("section"), F.col("s_nationkey").alias("place"))
 
 
-AGES = ["16 anos", "17 anos", "18 anos", "19 anos", "20 anos", "21 a 24 anos", "25 a 29 anos", "30 a 34 anos", "35 a 39 anos", "40 a 44 anos", "45 a 49 anos", "50 a 54 anos", "Inválido"]
+AGES = [
+    "16 anos", "17 anos", "18 anos", "19 anos", "20 anos", "21 a 24 anos", "25 a 29 anos", "30 a 34 anos", "35 a 39 anos", "40 a 44 anos", "45 a 49 anos",
+    "50 a 54 anos", "55 a 59 anos", "60 a 64 anos", "65 a 69 anos", "70 a 74 anos", "75 a 79 anos", "Superior a 79 anos", "Inválido",
+]
+SCHOOLS = [
+    "ANALFABETO", "LÊ E ESCREVE", "ENSINO FUNDAMENTAL INCOMPLETO", "ENSINO FUNDAMENTAL COMPLETO", "Ensino Médio Incompleto", " ENSINO MÉDIO COMPLETO ", "SUPERIOR INCOMPLETO", "Superior Completo",
+    "NÃO INFORMADO", "Pós-graduação: stricto", "SEMI-ANALFABETO",
+]
 
 
 def profile(s, d):
     k = F.col("c_custkey")
-    labels = F.array(*[F.lit(a) for a in AGES])
+    one_of = lambda labels: F.element_at(F.array(*[F.lit(a) for a in labels]), (k % len(labels) + 1).cast("int"))
     return table(s, d, "customer").select(
-        F.col("c_nationkey").alias("section"), F.element_at(labels, (k % 13 + 1).cast("int")).alias("age"),
-        F.when(k % 2 == 0, "MASCULINO").otherwise("FEMININO").alias("gender"), F.when(k % 5 == 0, "ANALFABETO").otherwise("ENSINO MÉDIO COMPLETO").alias("schooling"),
+        F.col("c_nationkey").alias("section"), one_of(AGES).alias("age"),
+        F.when(k % 7 == 0, None).when(k % 2 == 0, "MASCULINO").otherwise("FEMININO").alias("gender"), one_of(SCHOOLS).alias("schooling"),
         "c_mktsegment", F.lit(1).alias("n"))
 
 
@@ -88,11 +95,11 @@ SRC = """src AS (SELECT l_suppkey AS source_id, c_mktsegment AS bracket, sum(l_q
 ALPHA = "alpha AS (SELECT zone_id, bracket, CAST(1 + (zone_id % 3) * 0.5 + (length(bracket) % 4) * 0.25 AS DOUBLE) AS alpha FROM pop)"
 W = """w AS (SELECT zone_id, source_id, pow(minutes + 1, -2.0) / sum(pow(minutes + 1, -2.0)) OVER (PARTITION BY source_id) AS w FROM od WHERE minutes IS NOT NULL)"""
 FIT = "fit AS (SELECT zone_id, bracket, sum(w * voters) AS fitted FROM w JOIN src USING (source_id) GROUP BY ALL)"
-VOTES = """votes AS (SELECT l_partkey % 97 AS ballot, CAST(l_quantity AS INTEGER) AS votes, p_brand AS party, p_name AS name, l_returnflag AS office,
+VOTES = """votes AS (SELECT l_partkey % 97 AS ballot, CAST(l_quantity AS INTEGER) AS votes, replace(p_brand, '#', ' ') AS party, p_name AS name, l_returnflag AS office,
   l_linestatus AS turn, l_suppkey AS section, s_nationkey AS place FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"""
-PROFILE = f"""profile AS (SELECT c_nationkey AS section, ([{", ".join(f"'{a}'" for a in AGES)}])[c_custkey % 13 + 1] AS age,
-  CASE WHEN c_custkey % 2 = 0 THEN 'MASCULINO' ELSE 'FEMININO' END AS gender,
-  CASE WHEN c_custkey % 5 = 0 THEN 'ANALFABETO' ELSE 'ENSINO MÉDIO COMPLETO' END AS schooling, c_mktsegment, 1 AS n FROM customer)"""
+_listed = lambda labels: f"""([{", ".join(f"'{a}'" for a in labels)}])[c_custkey % {len(labels)} + 1]"""
+PROFILE = f"""profile AS (SELECT c_nationkey AS section, {_listed(AGES)} AS age,
+  CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 'MASCULINO' ELSE 'FEMININO' END AS gender, {_listed(SCHOOLS)} AS schooling, c_mktsegment, 1 AS n FROM customer)"""
 
 
 def sql(query: str, *parts: str) -> str:

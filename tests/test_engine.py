@@ -19,7 +19,7 @@ def _one(spark, value, f, kind="string"):
 
 @pytest.mark.parametrize("value, f, expected", [
     (" SÃO JOÃO ", text.name_key, "SAO JOAO"), ("RIO  DAS OSTRAS", text.title_case, "Rio das Ostras"), ("7", text.padded, "00007"), ("123456", text.padded, "123456"), ("0007 ", text.unpadded, "7"),
-    ("x", text.unpadded, None), ("1,5", text.decimal_comma, 1.5), ("Ensino Médio Incompleto", text.education, "MEDIO_INC"), ("Superior completo", text.education, "SUP_COMP"), ("Lê e escreve", text.education, "LE_E_ESCREVE"),
+    ("x", text.unpadded, None), ("1,5", text.decimal_comma, 1.5), ("Ensino Médio Incompleto", text.education, "MEDIO_INCOMP"), ("Superior completo", text.education, "SUP_COMP"), ("Lê e escreve", text.education, "LE_ESCREVE"),
     ("pop_hom_18_20", text.bracket_label, "Male 18-20"), ("votantes_60_mais", text.bracket_label, "60+"), ("11", text.office_label, "prefeito"), ("99", text.office_label, "CARGO99"), (None, text.name_key, None), ("", text.title_case, ""),
 ])
 def test_text_functions(spark, value, f, expected):
@@ -66,12 +66,21 @@ def test_resolver_priorities(spark):
     assert res.resolved(d, "sa", True) == ["CAND_13", "CAND_22"]
     with pytest.raises(KeyError):
         res.resolved(d, "nobody")
+    there = spark.createDataFrame([("CAND_13",), ("GOV_CAND_45",), ("PARTY_PSOL",), ("QT_APTOS",)], "column string")
+    assert res.resolved(None, 45, columns=there) == ["GOV_CAND_45"] and res.resolved(None, "psol", columns=there) == ["PARTY_PSOL"] and res.resolved(d, "QT_APTOS", columns=there) == ["QT_APTOS"]
+    with pytest.raises(KeyError, match="there are CAND_13"):
+        res.resolved(d, "nobody", columns=there)
+    many = spark.range(300).select(F.format_string("P%03d_CAND_7", "id").alias("column"))
+    assert len(res.resolved(None, "7", True, many)) == 300
+    with pytest.raises(KeyError, match="and 292 more"):
+        res.resolved(None, "7", columns=many)
 
 
 def test_quantities_do_not_divide_by_nothing(spark):
     row = spark.createDataFrame([(5.0, 0.0, 1.0, 2.0)], "v double, t double, b double, n double")
-    out = row.select(*[res.quantity(F.col("v"), k, F.col("t"), F.col("b"), F.col("n"), F.col("t"), F.col("t")).alias(k) for k in res.QUANTITIES]).first()
-    assert out.asDict() == {"absolute": 5.0, "pct_tract": None, "pct_muni": 100.0, "pct_valid": None, "pct_eligible": None, "density": None}
+    more = {"turnout": F.col("t"), "blank": F.col("b"), "null": F.col("n"), "eligible": F.col("t"), "km2": F.col("t")}
+    out = {k: res.with_quantity(row, "v", k, **more).first().quantity for k in res.QUANTITIES}
+    assert out == {"absolute": 5.0, "pct_tract": None, "pct_muni": 100.0, "pct_valid": None, "pct_eligible": None, "density": None}
 
 
 def test_breaks(spark):
@@ -81,7 +90,17 @@ def test_breaks(spark):
     assert brk.breaks(v.limit(0), "v") == [] and brk.breaks(v, "v", [3.0, 1.0]) == [1.0, 3.0]
     out = [r.c for r in v.select(brk.classed(F.col("v"), [1.0, 3.0, 12.0, 50.0]).alias("c")).collect()]
     assert out == [1, 1, 1, 2, 2, 2, 3, None]
-    assert brk.labels([0.0, 0.5, 1.0], "%") == ["0.0 – 0.5%", "0.5 – 1.0%"]
+    assert brk.labels([0.0, 0.5, 1.0], "pct_valid") == ["0.0–0.5%", "0.5–1.0%"] and brk.labels([0.0, 1234.4, 2000.0]) == ["0–1,234", "1,234–2,000"]
+    assert brk.labels([float("-inf"), 1.25, 1.26, float("inf")], "density") == ["<1.2/km²", "1.2–1.3/km²", ">1.3/km²"]
+    assert brk.clean([1.23456, 2.34567, 1.23456 + 1e-12]) == [1.23, 2.35] and brk.clean([1000.4, 1000.6, 1e-9]) == [0.0, 1000.4, 1000.6] and brk.clean([5.0]) == [5.0]
+
+
+def test_quantiles_equal_those_of_all_values(spark):
+    v = np.round(np.random.default_rng(3).normal(size=2001), 2)
+    shares = [0.0, 0.1, 0.33, 0.5, 0.999, 1.0]
+    rows = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
+    assert np.allclose(brk.quantiles(rows, "v", shares), np.quantile(v, shares))
+    assert brk.quantiles(rows.limit(0), "v", shares) == []
 
 
 def test_moran_on_a_chessboard_and_on_halves(spark):
@@ -155,12 +174,12 @@ def test_pipeline_fits(spark):
 
 
 def test_prepared_sources(spark):
-    profile = spark.createDataFrame([("01", "7", "1", "18 anos", 5), ("1", "007", "1", "nobody", 9), ("1", "8", "2", "16 anos", 4)], "zone string, place string, section string, age string, n int")
+    profile = spark.createDataFrame([("01", "7", "1", "18 anos", 5), ("1", "007", "1", "nobody", 9), ("1", "8", "2", "20 anos", 4), ("1", "8", "2", "16 anos", 7)], "zone string, place string, section string, age string, n int")
     votes = spark.createDataFrame([("1", "7", "01", "11", "13", "ANA", "PT", 3), ("1", "8", "2", "11", "22", "JO", "PL", 4), ("1", "8", "2", "13", "13", "ANA", "PT", 9)], "zone string, place string, section string, office string, ballot string, name string, party string, votes int")
     places = spark.createDataFrame([("1", "7", -9.0, -50.0), ("1", "8", None, None)], "zone string, place string, lat double, lon double")
     fallback = spark.createDataFrame([("1", "8", -8.0, -51.0)], "zone string, place string, lat double, lon double")
-    rows, dictionary = pipeline.prepare_sources(profile, votes, places, fallback, ["13", "22"], ["votantes_16", "votantes_18_20"])
-    got = [(r.source_id, r.lat, r.votantes_16, r.votantes_18_20, r.CAND_13, r.CAND_22, r.QT_COMPARECIMENTO) for r in rows.orderBy("source_id").collect()]
+    rows, dictionary = pipeline.prepare_sources(profile, votes, places, fallback, ["13", "22"], ["votantes_20", "votantes_18_19"])
+    got = [(r.source_id, r.lat, r.votantes_20, r.votantes_18_19, r.CAND_13, r.CAND_22, r.QT_COMPARECIMENTO) for r in rows.orderBy("source_id").collect()]
     assert got == [(1, -9.0, 0, 5, 3, 0, 3), (2, -8.0, 4, 0, 9, 4, 4)]
     assert {r.ballot_number for r in dictionary.collect()} == {"13", "22"}
 

@@ -100,9 +100,10 @@ def test_natural_breaks_are_the_least_of_all_groupings():
 
 def test_breaks_weigh_values_and_lose_no_small_group(spark):
     few = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 10, 11, 12, 50)], "v double")
-    assert brk.breaks(few, "v", "jenks", 3) == [1, 3, 12, 50]
+    assert brk.breaks(few, "v", "jenks", 3, tidy=False) == [1, 3, 12, 50]
     many = spark.range(50_000).select((F.col("id") / 50_000).alias("v")).union(spark.createDataFrame([(500.0,)] * 3 + [(1000.0,)] * 4, "v double"))
-    assert brk.breaks(many, "v", "jenks", 3) == [0.0, pytest.approx(49_999 / 50_000), 500.0, 1000.0]
+    assert brk.breaks(many, "v", "jenks", 3) == [0.0, 1.0, 500.0, 1000.0]
+    assert brk.breaks(many, "v", "jenks", 3, tidy=False) == [0.0, pytest.approx(49_999 / 50_000), 500.0, 1000.0]
 
 
 def test_too_many_distinct_values_are_an_error(spark, monkeypatch):
