@@ -84,15 +84,12 @@ def active_brackets(population: DataFrame, voters: DataFrame) -> DataFrame:
 def normalised(pairs: DataFrame, by: list[str], log_k: Column) -> DataFrame:
     """Pairs with w = exp(log_k) shared within ``by`` so that it sums to 1: the maximum is taken out first, so nothing underflows.
 
-    The greatest exponent and the sum scaled by it are one aggregate each task combines before its shuffle, so that a source with very many pairs is one row per
-    task; they are joined back to the pairs.
+    One shuffle and one pass over the pairs, which are far too many to be worked out again for an aggregate and its join. A group is the
+    pairs of one source and so has at most as many rows as there are zones; the window spills.
     """
-    pairs = pairs.withColumn("lk", log_k)
-    # log of the sum, by a maximum that is exact and a sum that is taken against it
-    top = pairs.groupBy(*by).agg(F.max("lk").alias("top"))
-    shifted = pairs.join(top, by).withColumn("e", F.exp(F.col("lk") - F.col("top"))).drop("lk", "top")
-    total = shifted.groupBy(*by).agg(F.sum("e").alias("total"))
-    return shifted.join(total, by).withColumn("w", F.col("e") / F.col("total")).drop("e", "total")
+    group = Window.partitionBy(*by)
+    shifted = pairs.withColumn("lk", log_k).withColumn("e", F.exp(F.col("lk") - F.max("lk").over(group)))
+    return shifted.withColumn("w", F.col("e") / F.sum("e").over(group)).drop("lk", "e")
 
 
 def bracket_weights(od: DataFrame, alpha: DataFrame | float, brackets: DataFrame, kernel: str = "power", offset: float = 1.0) -> DataFrame:
@@ -110,7 +107,7 @@ def bracket_weights(od: DataFrame, alpha: DataFrame | float, brackets: DataFrame
 
 
 def aggregate_weights(weights: DataFrame, voters: DataFrame, brackets: DataFrame) -> DataFrame:
-    """(zone_id, source_id, w): mean over active brackets weighted by the source's voters; a source without voters takes the plain mean."""
+    """(zone_id, source_id, w): mean over active brackets weighted by the source's voters; a source without voters takes the plain mean. Shares are taken over voters, which have one row for each source and bracket, not over weights."""
     held = voters.join(brackets.select("bracket"), "bracket", "left_semi")
     total = Window.partitionBy("source_id")
     share = held.withColumn("all", F.sum("voters").over(total)).withColumn("n", F.count(F.lit(1)).over(total)).select(
@@ -160,8 +157,8 @@ def log_barrier(fit: DataFrame, mu: float = 1.0) -> DataFrame:
 
 
 def row_entropy(weights: DataFrame) -> DataFrame:
-    """(zone_id, entropy, effective_n, herfindahl) of a zone's weights, made to sum to 1; a zone without weight has 0, 1 and 0."""
-    total = F.sum("w").over(Window.partitionBy("zone_id"))
-    p = weights.withColumn("p", F.col("w") / F.when(total == 0, F.lit(1.0)).otherwise(total))
-    h = F.sum(F.when(F.col("p") > 0, -F.col("p") * F.log(F.greatest(F.col("p"), F.lit(1e-300)))).otherwise(0.0))
-    return p.groupBy("zone_id").agg(h.alias("entropy"), F.exp(h).alias("effective_n"), F.sum(F.col("p") * F.col("p")).alias("herfindahl"))
+    """(zone_id, entropy, effective_n, herfindahl) of a zone's weights, made to sum to 1; a zone without weight has 0, 1 and 0. One aggregation: with s the sum, the entropy is ln s - sum(w ln w) / s."""
+    w = F.col("w")
+    sums = weights.groupBy("zone_id").agg(F.sum("w").alias("s"), F.sum(F.when(w > 0, w * F.log(w)).otherwise(0.0)).alias("q"), F.sum(w * w).alias("d"))
+    h = F.when(F.col("s") > 0, F.greatest(F.log("s") - F.col("q") / F.col("s"), F.lit(0.0))).otherwise(0.0)
+    return sums.select("zone_id", h.alias("entropy"), F.exp(h).alias("effective_n"), F.when(F.col("s") > 0, F.col("d") / (F.col("s") * F.col("s"))).otherwise(0.0).alias("herfindahl"))

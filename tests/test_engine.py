@@ -92,7 +92,7 @@ def test_breaks(spark):
     assert out == [1, 1, 1, 2, 2, 2, 3, None]
     assert brk.labels([0.0, 0.5, 1.0], "pct_valid") == ["0.0–0.5%", "0.5–1.0%"] and brk.labels([0.0, 1234.4, 2000.0]) == ["0–1,234", "1,234–2,000"]
     assert brk.labels([float("-inf"), 1.25, 1.26, float("inf")], "density") == ["<1.2/km²", "1.2–1.3/km²", ">1.3/km²"]
-    assert brk.clean([1.23456, 2.34567, 1.23456 + 1e-12]) == [1.23, 2.35] and brk.clean([1000.4, 1000.6, 1e-9]) == [0.0, 1000.4, 1000.6] and brk.clean([5.0]) == [5.0]
+    assert brk.clean([1.23456, 2.34567, 1.23456 + 1e-12]) == [1.23, 2.35] and brk.clean([1000.4, 1000.6, 1e-9]) == [0.0, 1000.0, 1001.0] and brk.clean([5.0]) == [5.0]
 
 
 def test_quantiles_equal_those_of_all_values(spark):
