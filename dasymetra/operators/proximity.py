@@ -42,51 +42,51 @@ def located(rows: DataFrame, key: str, lat: str, lon: str, missing: float | None
     )
 
 
-def near_pairs(points: DataFrame, metres: float, rows_per_salt: int = 20_000) -> DataFrame:
+def near_pairs(points: DataFrame, metres: float, rows_per_salt: int = 20_000, fineness: int = 2) -> DataFrame:
     """(id_a, id_b, distance_m): each pair of different ids at most ``metres`` apart once, id_a < id_b.
 
-    points: (id, lat, lon) as from ``located``. Rows of the grid are as high as the distance; in each the
-    columns are as wide as the distance at its widest, and their number is whole, so the grid closes at
-    180 degrees. A point is looked for in its own cell, the next cell of its row and the cells of the row
-    above that its disc can touch, so that every pair meets exactly once. Points in the same quadrant of
-    a cell are nearer than the distance and accepted without a test. Points at one position are pairs
-    too. A cell with very many points is split over salts; none is ever collected in one place.
+    points: (id, lat, lon) as from ``located``. The disc around each point is covered by cells ``fineness`` times narrower than the
+    distance: those that lie wholly inside the disc accept every point in them without a test, those that its edge crosses lead to an exact test, all
+    others are left out. A point looks for others in its own cell and in the cells of its disc that follow it in the order of rows and columns, so that every pair meets
+    once; two points of one cell are near without a test. Rows are as high as a cell and in each the columns are as wide at its widest; their number is whole,
+    so the grid closes at 180 degrees; next to the poles, where a row has few columns, all are tested. A cell with very many points is split over salts; none is ever collected in one place.
     """
     angle = metres / EARTH_M
-    height = math.degrees(angle) * (1 + 1e-9)
+    reach = math.degrees(angle) * (1 + 1e-9)
+    height = reach / fineness
     rows = math.ceil(180 / height)
 
     def columns(row: Column) -> Column:
         """Number of grid columns in a row: 1 next to the poles."""
-        widest = F.greatest(F.abs(row * height - 90), F.abs((row + 1) * height - 90)) + height
-        step = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(angle)) / F.cos(F.radians(F.least(widest, F.lit(89.9)))))))
+        widest = F.greatest(F.abs(row * height - 90), F.abs((row + 1) * height - 90)) + reach
+        step = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(angle)) / F.cos(F.radians(F.least(widest, F.lit(89.9))))))) / fineness
         n = F.floor(360 / (step * (1 + 1e-9)))
-        return F.when((widest >= 89.9) | (n < 8), F.lit(1)).otherwise(n).cast("bigint")
-
-    placed = (
-        points.withColumn("row", F.floor((F.col("lat") + 90) / height)).withColumn("n", columns(F.col("row")))
-        .withColumn("across", (F.col("lon") + 180) / 360 * F.col("n")).withColumn("col", F.floor("across") % F.col("n"))
-    )
-    quarter = (F.floor((F.col("lat") + 90) / height * 2) % 2 * 2 + F.floor(F.col("across") * 2) % 2).cast("int")
-    home = placed.select("row", "col", "id", "lat", "lon", F.when(F.col("n") > 1, quarter).otherwise(F.lit(-1)).alias("quarter"))
-
-    above = columns(F.col("row") + 1)
-    reach = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(angle)) / F.cos(F.radians(F.least(F.abs(F.col("lat")) + height, F.lit(89.9))))))) * (1 + 1e-9)
-    first, last = (F.floor((F.col("lon") + 180 + sign * reach) / 360 * F.col("m")) for sign in (-1, 1))
-    touched = F.when(F.col("m") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(
-        F.array_distinct(F.transform(F.sequence(first, F.least(last, first + F.col("m") - 1)), lambda c: F.pmod(c, F.col("m")))))
-    cells = F.concat(
-        F.array(F.struct(F.col("row").alias("row"), F.col("col").alias("col"), F.lit(True).alias("own"))),
-        F.when(F.col("n") > 1, F.array(F.struct(F.col("row").alias("row"), ((F.col("col") + 1) % F.col("n")).alias("col"), F.lit(False).alias("own")))).otherwise(F.array()),
-        F.when(F.col("row") + 1 < rows + 1, F.transform(touched, lambda c: F.struct((F.col("row") + 1).alias("row"), c.alias("col"), F.lit(False).alias("own")))).otherwise(F.array()))
-    cover = (
-        placed.withColumn("m", above).withColumn("cell", F.explode(cells))
-        .select("cell.row", "cell.col", "cell.own", F.col("id").alias("id2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"),
-                F.when(F.col("n") > 1, quarter).otherwise(F.lit(-2)).alias("quarter2"))
-    )
+        return F.when((widest >= 89.9) | (n < 8 * fineness), F.lit(1)).otherwise(n).cast("bigint")
+
+    placed = points.withColumn("home", F.floor((F.col("lat") + 90) / height)).withColumn("n", columns(F.col("home")))
+    placed = placed.withColumn("col", F.floor((F.col("lon") + 180) / 360 * F.col("n")) % F.col("n"))
+    home = placed.select(F.col("home").alias("row"), "col", "id", "lat", "lon")
+
+    # the rows from the point's own up to where its disc ends, and in each the columns between which the disc lies
+    disc = placed.withColumn("row", F.explode(F.sequence(F.col("home"), F.least(F.floor((F.col("lat") + 90 + reach) / height), F.greatest(F.lit(rows), F.col("home"))))))
+    disc = disc.withColumn("m", columns(F.col("row"))).withColumn("south", F.col("row") * height - 90)
+    away = F.radians(F.greatest(F.col("south") - F.col("lat"), F.lit(0.0)))
+    least_cos = F.cos(F.radians(F.least(F.greatest(F.abs("lat"), F.abs("south"), F.abs(F.col("south") + height)), F.lit(89.9))))
+    part = F.greatest(F.lit(math.sin(angle / 2) ** 2) - F.pow(F.sin(away / 2), 2), F.lit(0.0)) / (least_cos * F.cos(F.radians("lat")))
+    half = F.degrees(2 * F.asin(F.sqrt(F.least(F.lit(1.0), part)))) * (1 + 1e-6) + 1e-12
+    first, last = (F.floor((F.col("lon") + 180 + sign * half) / 360 * F.col("m")) for sign in (-1, 1))
+    own = F.col("row") == F.col("home")
+    begin = F.when(own, F.floor((F.col("lon") + 180) / 360 * F.col("m"))).otherwise(first)
+    span = F.when(F.col("m") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(begin, F.greatest(begin, F.least(last, begin + F.col("m") - 1))))
+    disc = disc.withColumn("at", F.explode(span))
+    west = F.col("at") * 360 / F.col("m") - 180
+    corners = [great_circle_m(F.col("lat"), F.col("lon"), F.col("south") + y * height, west + x * 360 / F.col("m")) for x in (0, 1) for y in (0, 1)]
+    here = own & (F.pmod(F.col("at"), F.col("m")) == F.col("col"))
+    whole = (F.col("m") > 1) & (here | (F.greatest(*corners) <= metres * (1 - 1e-9)))
+    cover = disc.select("row", F.pmod(F.col("at"), F.col("m")).alias("col"), here.alias("own"), whole.alias("inside"), F.col("id").alias("id2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
     metre = great_circle_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
     met = salted_join(home, cover, ["row", "col"], rows_per_salt).filter(~F.col("own") | (F.col("id") < F.col("id2")))
-    near = met.filter((F.col("own") & (F.col("quarter") == F.col("quarter2"))) | (metre <= metres))
+    near = met.filter(F.col("inside") | (metre <= metres))
     return near.select(F.least("id", "id2").alias("id_a"), F.greatest("id", "id2").alias("id_b"), metre.alias("distance_m"))
 
 
@@ -193,13 +193,13 @@ def cover_regions(regions: DataFrame, key: str, rings: str, finest: int = 4) ->
     return known.mapInArrow(cover, f"region {kind}, level int, ix bigint, iy bigint, inside boolean, edges array<array<double>>")
 
 
-def points_in_regions(points: DataFrame, cover: DataFrame) -> DataFrame:
+def points_in_regions(points: DataFrame, cover: DataFrame, rows_per_salt: int = 100_000) -> DataFrame:
     """(id, region, exact): each region that holds a point; ``exact`` tells that a border test decided.
 
     points: (id, lat, lon); x is lon and y is lat. cover: from cover_regions, and materialised, as it is
-    read twice. A point asks once at each level that the cover uses: at most a dozen numbers, read from
-    the cover first. Overlapping regions each give a row. An empty cover gives no rows. A cell that
-    holds much of all points is split by Spark's adaptive skew handling, which this inner join admits.
+    read more than once. A point asks once at each level that the cover uses: at most a dozen numbers, read from
+    the cover first. Overlapping regions each give a row. An empty cover gives no rows. The points of a cell that
+    holds very many of them are split over salts, and the cell's regions repeated for each.
     """
     levels = sorted(r.level for r in cover.select("level").distinct().collect())
     asked = points.withColumn("level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")))
@@ -210,6 +210,6 @@ def points_in_regions(points: DataFrame, cover: DataFrame) -> DataFrame:
     def crosses(e: Column) -> Column:
         return ((e[1] > y) != (e[3] > y)) & (x < (e[2] - e[0]) * (y - e[1]) / (e[3] - e[1]) + e[0])
 
-    met = asked.join(cover, ["level", "ix", "iy"])
+    met = salted_join(asked, cover, ["level", "ix", "iy"], rows_per_salt)
     held = met.filter(F.col("inside") | (F.size(F.filter("edges", crosses)) % 2 == 1))
     return held.select("id", "region", (~F.col("inside")).alias("exact"))
