@@ -19,9 +19,14 @@ from dasymetra.plans.common import salted_join
 EARTH_M = 6_371_008.8
 
 
+def _haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Squared sine of half the angle between two points: what distances are compared by."""
+    return F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+
+
 def great_circle_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Haversine distance in metres on a sphere of radius EARTH_M."""
-    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+    a = _haversine(lat1, lon1, lat2, lon2)
     return 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
@@ -78,15 +83,20 @@ def near_pairs(points: DataFrame, metres: float, rows_per_salt: int = 20_000, fi
     own = F.col("row") == F.col("home")
     begin = F.when(own, F.floor((F.col("lon") + 180) / 360 * F.col("m"))).otherwise(first)
     span = F.when(F.col("m") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(begin, F.greatest(begin, F.least(last, begin + F.col("m") - 1))))
-    disc = disc.withColumn("at", F.explode(span))
+    widest = F.cos(F.radians(F.when(F.col("south") * (F.col("south") + height) > 0, F.least(F.abs("south"), F.abs(F.col("south") + height))).otherwise(F.lit(0.0)))) * F.cos(F.radians("lat"))
+    disc = disc.withColumn("widest", widest).withColumn("at", F.explode(span))
     west = F.col("at") * 360 / F.col("m") - 180
-    corners = [great_circle_m(F.col("lat"), F.col("lon"), F.col("south") + y * height, west + x * 360 / F.col("m")) for x in (0, 1) for y in (0, 1)]
+    # no corner is further than by the greatest steps in latitude and longitude, the latter at its widest
+    limit = math.sin(angle / 2) ** 2
+    dy = F.greatest(F.abs(F.col("south") - F.col("lat")), F.abs(F.col("south") + height - F.col("lat")))
+    dx = F.greatest(F.abs(west - F.col("lon")), F.abs(west + 360 / F.col("m") - F.col("lon")))
+    furthest = F.pow(F.radians(dy) / 2, 2) + F.col("widest") * F.pow(F.radians(dx) / 2, 2)
     here = own & (F.pmod(F.col("at"), F.col("m")) == F.col("col"))
-    whole = (F.col("m") > 1) & (here | (F.greatest(*corners) <= metres * (1 - 1e-9)))
+    whole = (F.col("m") > 1) & (here | (furthest <= limit * (1 - 1e-9)))
     cover = disc.select("row", F.pmod(F.col("at"), F.col("m")).alias("col"), here.alias("own"), whole.alias("inside"), F.col("id").alias("id2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
     metre = great_circle_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
     met = salted_join(home, cover, ["row", "col"], rows_per_salt).filter(~F.col("own") | (F.col("id") < F.col("id2")))
-    near = met.filter(F.col("inside") | (metre <= metres))
+    near = met.filter(F.col("inside") | (_haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= limit))
     return near.select(F.least("id", "id2").alias("id_a"), F.greatest("id", "id2").alias("id_b"), metre.alias("distance_m"))
 
 
@@ -210,6 +220,12 @@ def points_in_regions(points: DataFrame, cover: DataFrame, rows_per_salt: int =
     def crosses(e: Column) -> Column:
         return ((e[1] > y) != (e[3] > y)) & (x < (e[2] - e[0]) * (y - e[1]) / (e[3] - e[1]) + e[0])
 
-    met = salted_join(asked, cover, ["level", "ix", "iy"], rows_per_salt)
+    # points are counted in the finest cells, and those counts summed for the coarser levels
+    on, finest = ["level", "ix", "iy"], max(levels, default=0)
+    fine = F.lit(360.0 / 2**finest)
+    held = points.groupBy(F.floor((x + 180) / fine).alias("fx"), F.floor((y + 180) / fine).alias("fy")).agg(F.count(F.lit(1)).alias("n"))
+    held = held.withColumn("level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>"))).withColumn("_step", F.pow(F.lit(2.0), F.lit(finest) - F.col("level")))
+    counts = held.groupBy("level", F.floor(F.col("fx") / F.col("_step")).alias("ix"), F.floor(F.col("fy") / F.col("_step")).alias("iy")).agg(F.sum("n").alias("n"))
+    met = salted_join(asked, cover, on, rows_per_salt, counts)
     held = met.filter(F.col("inside") | (F.size(F.filter("edges", crosses)) % 2 == 1))
     return held.select("id", "region", (~F.col("inside")).alias("exact"))

@@ -64,15 +64,17 @@ def p2_tract_counts(spark, sf_dir):
     return held.groupBy(F.col("region").alias("code_tract")).agg(F.count(F.lit(1)).alias("n_locations"), F.count_if("exact").alias("n_border_tests"))
 
 
-def _orphans(spark, sf_dir):
-    register, merged, places = (table(spark, sf_dir, t) for t in ("locais_votacao", "merged", "geocode_locs"))
+def _references(spark, sf_dir):
+    merged, places = (table(spark, sf_dir, t) for t in ("merged", "geocode_locs"))
     key = lambda: (F.col("cod_mun_tse"), integrity.whole_number(F.col("nr_zona")), integrity.whole_number(F.col("nr_local_votacao")))
     refer = lambda df: df.filter(F.col("nr_zona").isNotNull() & F.col("nr_local_votacao").isNotNull())
-    return integrity.orphan_references(
-        register, key(), F.col("loaded_at"), F.col("deleted_at"),
-        [integrity.Reference("merged", refer(merged), key(), F.col("row_id"), F.col("loaded_at"), F.col("ano_eleicao")),
-         integrity.Reference("geocode_locs", refer(places), key(), F.col("loc_id"), F.col("loaded_at"), F.col("ano"))],
-        "locais_votacao")
+    return key(), [integrity.Reference("merged", refer(merged), key(), F.col("row_id"), F.col("loaded_at"), F.col("ano_eleicao")),
+                   integrity.Reference("geocode_locs", refer(places), key(), F.col("loc_id"), F.col("loaded_at"), F.col("ano"))]
+
+
+def _orphans(spark, sf_dir):
+    key, references = _references(spark, sf_dir)
+    return integrity.orphan_references(table(spark, sf_dir, "locais_votacao"), key, F.col("loaded_at"), F.col("deleted_at"), references, "locais_votacao")
 
 
 def p4_found(spark, sf_dir):
@@ -80,7 +82,9 @@ def p4_found(spark, sf_dir):
 
 
 def p4_report(spark, sf_dir):
-    return integrity.orphan_report(_orphans(spark, sf_dir), "locais_votacao")
+    key, references = _references(spark, sf_dir)
+    missing = integrity.missing_counts(table(spark, sf_dir, "locais_votacao"), key, references, "locais_votacao")
+    return integrity.orphan_report(_orphans(spark, sf_dir), "locais_votacao", missing)
 
 
 def _definitions(spark, sf_dir) -> list[attr.Attribute]:
