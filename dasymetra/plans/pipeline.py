@@ -15,6 +15,7 @@ from dasymetra.functions import text
 from dasymetra.operators import diagnostics as dg
 from dasymetra.operators import fit as ft
 from dasymetra.operators import od as times
+from dasymetra.operators import population as pop
 from dasymetra.operators import result as res
 from dasymetra.operators import votes as vt
 from dasymetra.operators import weights as wt
@@ -108,12 +109,40 @@ def interpolate(zones: DataFrame, sources: DataFrame, od: DataFrame, calibration
     return res.Interpolation(wt.interpolated(weights, values, zones), weights, fit, fitted_alpha, dictionary, meta, history)
 
 
-def reinterpolate(result: res.Interpolation, sources: DataFrame, variables: list[str], source_id: str = "source_id") -> res.Interpolation:
-    """Other variables with the weights that are there: no fit."""
+def reinterpolate(result: res.Interpolation, sources: DataFrame, variables: list[str], source_id: str = "source_id", zones: DataFrame | None = None, od: DataFrame | None = None, control: ft.Control | None = None, **settings) -> res.Interpolation:
+    """Other variables with the weights that are there: no fit. Given zones and travel times, weights are fitted anew with the result's calibration, or the settings given."""
+    if od is not None:
+        if zones is None:
+            raise ValueError("a new fit needs zones and travel times")
+        calibration = settings.pop("calibration", None) or [tuple(c) for c in result.meta["calibration"]]
+        kept = control or ft.Control(kernel=result.meta["kernel"], offset=result.meta["offset"])
+        return interpolate(zones, sources, od, calibration, variables, source_id=source_id, control=kept, dictionary=settings.pop("dictionary", result.dictionary), **settings)
     values = long(sources.withColumnRenamed(source_id, "source_id"), "source_id", variables, "variable", "value")
     return replace(result, values=wt.interpolated(result.weights, values, result.values.select("zone_id").distinct()), meta={**result.meta, "variables": variables})
 
 
+def summarise(result: res.Interpolation) -> DataFrame:
+    """(type, variable, total, mean, least, most) of every variable, with its type from the dictionary or its name."""
+    out = res.summary(result.values)
+    read = res.from_columns(out.select(F.col("variable").alias("column")).distinct()).select(F.col("column").alias("variable"), F.col("type").alias("read"))
+    out = out.join(read, "variable", "left")
+    if result.dictionary is not None:
+        known = result.dictionary.groupBy(F.col("column").alias("variable")).agg(F.min("type").alias("known"))
+        out = out.join(known, "variable", "left").withColumn("read", F.coalesce("known", "read"))
+    return out.select(F.col("read").alias("type"), "variable", "total", "mean", "least", "most")
+
+
+def coefficients(result: res.Interpolation) -> DataFrame:
+    """One row per zone with its alpha in each bracket, named as they are calibrated."""
+    if result.alpha is None:
+        raise ValueError("an interpolation with given weights has no alpha")
+    return result.alpha.groupBy("zone_id").pivot("bracket", [z for z, _ in result.meta["calibration"]]).agg(F.first("alpha"))
+
+
+def residuals(result: res.Interpolation, population: DataFrame, kind: str = "raw") -> DataFrame:
+    return res.residuals(result.fitted, population, kind)
+
+
 def wide_values(result: res.Interpolation) -> DataFrame:
     """One row per zone, one column per variable, as they are named in the metadata."""
     return result.values.groupBy("zone_id").pivot("variable", list(result.meta["variables"])).agg(F.first("value"))
@@ -133,24 +162,101 @@ def diagnose(result: res.Interpolation, population: DataFrame, voters: DataFrame
     return dg.checks(result.fitted, population, voters, od, result.alpha, result.history)
 
 
-def prepare_sources(profile: DataFrame, votes: DataFrame, places: DataFrame, fallback: DataFrame | None, ballots: list[str], buckets: list[str], numbers: list[str] = (), names: list[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(sources, dictionary): one row per position of polling places, with voters by age bucket and votes by ballot.
+@dataclass(frozen=True)
+class Wanted:
+    """What prepared sources hold besides voters by age: ballots, parties, sexes and schooling by name; crosstab: voters by sex, literacy and age; offices: code to name, for several at once."""
+
+    ballots: tuple[str, ...] = ()
+    parties: tuple[str, ...] = ()
+    genders: tuple[str, ...] = ()
+    levels: tuple[str, ...] = ()
+    crosstab: bool = False
+    offices: dict[str, str] | None = None
+
+
+CROSSTAB = [f"vot_{s}_{a}_{g}" for s in pop.SEXES for a in pop.LITERACY for g in dict.fromkeys(b[9:] for b in text.AGE_BUCKETS.values())]
+
 
-    profile: (zone, place, section, age, n). votes: (zone, place, section, office, ballot, name, party, votes).
-    places and fallback: (zone, place, lat, lon). Keys are compared as whole numbers. The columns are those of the
-    given buckets and ballots, so that the plan is known before the data are read.
+def prepare_sources(profile: DataFrame, votes: DataFrame, places: DataFrame, fallback: DataFrame | None, ballots: list[str], buckets: list[str], numbers: list[str] = (), names: list[str] = (),
+                    wanted: Wanted | None = None, turnout: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sources, dictionary): one row per position of polling places, with voters by age bucket and votes by ballot, and what else is wanted.
+
+    profile: (zone, place, section, age, n, and for the rest gender and schooling). votes: (zone, place, section, office, ballot, name, party, votes).
+    places and fallback: (zone, place, lat, lon). turnout: (zone, place, section) and columns QT_..., in place of the votes of the first office. Keys are compared as whole numbers. The columns are
+    those asked for, so that the plan is known before the data are read; with several offices each column is led by its office's name in capitals.
     """
+    wanted = wanted or Wanted()
     keys = ["zone", "place", "section"]
     whole = lambda df, ks: df.withColumns({k: text.unpadded(F.col(k)) for k in ks})
     profile, votes, places = whole(profile, keys), whole(votes, keys), whole(places, keys[:2])
-    ages = vt.wide(profile.withColumn("bucket", text.age_bucket(F.col("age"))).filter(F.col("bucket").isNotNull()), keys, F.col("bucket"), F.col("n"), buckets)
+    adult = profile.withColumn("bucket", text.age_bucket(F.col("age"))).filter(F.col("bucket").isNotNull())
+    rows, columns = vt.wide(adult, keys, F.col("bucket"), F.col("n"), buckets), list(buckets)
+    if wanted.crosstab:
+        name = F.concat_ws("_", F.lit("vot"), text.gender(F.col("gender")), text.literacy(F.col("schooling")), F.substr("bucket", F.lit(10)))
+        rows = rows.join(vt.wide(adult.filter(text.gender(F.col("gender")).isNotNull()), keys, name, F.col("n"), CROSSTAB), keys, "left")
+        columns += CROSSTAB
+    if wanted.genders or wanted.levels:
+        rows = rows.join(pop.demographics(profile, keys, list(wanted.genders), list(wanted.levels)), keys, "left")
+        columns += [f"GENERO_{g}" for g in wanted.genders] + [f"EDUC_{e}" for e in wanted.levels]
     chosen = vt.candidates(votes, numbers, names, name="name") if numbers or names else votes
-    by_ballot = vt.wide(chosen, keys, F.col("ballot").cast("string"), F.col("votes"), ballots, "CAND_")
-    turnout = vt.turnout_of_first_office(votes, keys).withColumnRenamed("turnout", "QT_COMPARECIMENTO")
+    lead = lambda office: F.concat(F.upper(text.lookup(office.cast("string"), wanted.offices)), F.lit("_"))
+    leads = [""] if wanted.offices is None else [f"{o.upper()}_" for o in wanted.offices.values()]
+    named = lambda df, c: F.col(c).cast("string") if wanted.offices is None else F.concat(lead(F.col("office")), F.lit("CAND_" if c == "ballot" else "PARTY_"), F.col(c).cast("string"))
+    ballots = [*ballots, *[b for b in wanted.ballots if b not in ballots]]
+    if wanted.offices is None:
+        by_ballot = vt.wide(chosen, keys, named(chosen, "ballot"), F.col("votes"), ballots, "CAND_")
+    else:
+        by_ballot = vt.wide(chosen, keys, named(chosen, "ballot"), F.col("votes"), [f"{p}CAND_{b}" for p in leads for b in ballots])
+    columns += [f"{p}CAND_{b}" for p in leads for b in ballots]
+    rows = rows.join(by_ballot, keys, "left")
+    dictionary = _dictionary_of(chosen, votes, wanted)
+    if wanted.parties:
+        party = vt.with_party_key(vt.no_blanks(votes))
+        listed = [f"{p}PARTY_{k}" for p in leads for k in wanted.parties]
+        prefix = "PARTY_" if wanted.offices is None else ""
+        rows = rows.join(vt.wide(party, keys, named(party, "party_key"), F.col("votes"), list(wanted.parties) if prefix else listed, prefix), keys, "left")
+        columns += listed
+    if turnout is None:
+        rows = rows.join(vt.turnout_of_first_office(votes, keys).withColumnRenamed("turnout", "QT_COMPARECIMENTO"), keys, "left")
+        columns.append("QT_COMPARECIMENTO")
+    else:
+        counts = [c for c in turnout.columns if c.startswith("QT_")]
+        rows = rows.join(whole(turnout, keys).groupBy(*keys).agg(*[F.max(c).alias(c) for c in counts]), keys, "left")
+        columns += counts
     where = vt.with_fallback(places, places.limit(0) if fallback is None else whole(fallback, keys[:2]), keys[:2])
-    rows = ages.join(by_ballot, keys, "left").join(turnout, keys, "left").join(where, keys[:2], "left")
-    numbers_ = [*buckets, *[f"CAND_{b}" for b in ballots], "QT_COMPARECIMENTO"]
-    return vt.rolled_up(rows, numbers_).withColumnRenamed("id", "source_id"), vt.candidate_dictionary(chosen, F.lit(None).cast("string"))
+    return vt.rolled_up(rows.join(where, keys[:2], "left"), columns).withColumnRenamed("id", "source_id"), dictionary
+
+
+def _dictionary_of(chosen: DataFrame, votes: DataFrame, wanted: Wanted) -> DataFrame:
+    """Dictionary rows of ballots, and of parties if any are wanted, for each office on its own if there are several."""
+    parts = []
+    for code, office in (wanted.offices or {None: None}).items():
+        mine = lambda df: df if code is None else df.filter(F.col("office").cast("string") == code)  # noqa: B023, E731
+        cargo, lead = F.lit(office).cast("string"), "" if office is None else f"{office.upper()}_"
+        parts.append(vt.candidate_dictionary(mine(chosen), cargo, lead))
+        if wanted.parties:
+            parts.append(vt.party_dictionary(mine(votes), cargo).withColumn("column", F.concat(F.lit(lead), "column")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def interpolate_election(wanted: str, crosswalk: DataFrame, tracts: DataFrame, census: DataFrame, sources: DataFrame, od: DataFrame, year: int, census_year: int | None = None, kinds: list[str] = ("candidates",), uf: str | None = None,
+                         clip: list | None = None, income: DataFrame | None = None, **settings) -> res.Interpolation:
+    """Interpolate one town's election: zones from tracts and the census of the year, calibration by sex and age, sources as prepared with a crosstab.
+
+    census_year: by default the census that belongs to the year of the election. clip: rings of an outline; zones are cut to it and their people
+    reduced by the share of their area that stays.
+    """
+    from dasymetra.operators import geometry  # noqa: PLC0415
+
+    town = resolve_town(crosswalk, wanted, uf)
+    counted = census_year or (2000 if year <= 2004 else 2010 if year <= 2016 else 2022)
+    zones = pop.prepare_zones(tracts, pop.prepare_population(census, counted, town.code_ibge), town.code_ibge, income)
+    if clip is not None:
+        zones = geometry.clipped(zones, clip, [c for c in zones.columns if c.startswith("pop_")]).drop("share")
+    mine = sources.filter(text.padded(F.col("cod_mun_tse")) == town.code_tse) if "cod_mun_tse" in sources.columns else sources
+    zones, mine, pairs = pop.match_calibration(zones, mine, counted)
+    out = interpolate(zones, mine, od, pairs, columns_by_kind(sources.columns, list(kinds)), zone_id="code_tract", **settings)
+    return replace(out, meta={**out.meta, "town": town.asDict(), "kinds": list(kinds), "year": year, "census_year": counted})
 
 
 #: What a kind of result consists of, by the names of its columns (fixed values).
