@@ -48,14 +48,44 @@ MOST_ELEMENTS = 50_000_000
 HISTORY = ["epoch", "loss", "deviance", "gradient", "sources", "entropy", "converged"]
 
 
+def weights_of(alpha: np.ndarray, phi: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Weights (bracket, zone, source) that sum to 1 over zones; 0 where a pair has no time."""
+    w = np.multiply(-alpha.T[:, :, None], phi)
+    if not mask.all():
+        w[:, ~mask] = -np.inf
+    top = w.max(axis=1, keepdims=True)
+    np.subtract(w, np.where(np.isfinite(top), top, 0.0), out=w)
+    np.exp(w, out=w)
+    total = w.sum(axis=1, keepdims=True)
+    np.divide(w, np.where(total > 0, total, 1.0), out=w)
+    return w
+
+
+def times_sources(w: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """(zone, bracket) sums over sources of weights times a number for each (bracket, source)."""
+    return np.matmul(w, c[:, :, None])[:, :, 0].T
+
+
 def forward(alpha: np.ndarray, phi: np.ndarray, mask: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights (bracket, zone, source) that sum to 1 over zones, and fitted (zone, bracket)."""
-    lk = np.where(mask, -alpha.T[:, :, None] * phi, -np.inf)
-    top = lk.max(axis=1, keepdims=True)
-    e = np.exp(lk - np.where(np.isfinite(top), top, 0.0))
-    total = e.sum(axis=1, keepdims=True)
-    w = np.divide(e, total, out=np.zeros_like(e), where=total > 0)
-    return w, np.einsum("bij,bj->ib", w, c)
+    w = weights_of(alpha, phi, mask)
+    return w, times_sources(w, c)
+
+
+def backward(w: np.ndarray, phi: np.ndarray, c: np.ndarray, dv: np.ndarray, share: np.ndarray | None = None, dagg: np.ndarray | None = None) -> np.ndarray:
+    """Gradient by alpha (zone, bracket) of a loss that changes by dv (zone, bracket) with what is fitted, and by dagg (zone, source) with the weights aggregated by share.
+
+    A weight's change spreads over its source as w (d - mean d), so the sums over sources are products of matrices; no array of the weights' changes is made.
+    """
+    mean = np.matmul(dv.T[:, None, :], w)[:, 0, :] * c
+    if dagg is not None:
+        mean = mean + np.einsum("bij,ij->bj", w, dagg, optimize=True) * share
+    np.multiply(w, phi, out=w)
+    both = np.matmul(w, np.stack([c, mean], axis=2))
+    grad = dv * both[:, :, 0].T - both[:, :, 1].T
+    if dagg is not None:
+        grad = grad + np.einsum("bij,ij,bj->ib", w, dagg, share, optimize=True)
+    return -grad
 
 
 def loss_and_gradient(alpha, phi, mask, c, pop, barrier, entropy, pull=None):
@@ -71,22 +101,16 @@ def loss_and_gradient(alpha, phi, mask, c, pop, barrier, entropy, pull=None):
     rows = np.maximum(v.sum(axis=1), 1e-30)
     loss = deviance - barrier * np.log(rows).sum()
     dv = 2 * (1 - pop / f) - (barrier / rows)[:, None]
-    # dW[b,i,j]: what the loss changes with each weight
-    dw = dv.T[:, :, None] * c[:, None, :]
     share = c / np.maximum(c.sum(axis=0), 1e-30)
-    agg = np.einsum("bij,bj->ij", w, share)
+    agg = (w * share[:, None, :]).sum(axis=0)
     sums = agg.sum(axis=1, keepdims=True)
     p = np.divide(agg, sums, out=np.zeros_like(agg), where=sums > 0)
     logp = np.log(np.maximum(p, 1e-300))
     h = -(p * logp).sum(axis=1)
     penalty, entropy = _entropy_penalty(h, entropy, pull)
     loss += penalty
-    if entropy:
-        dagg = np.divide(-entropy * (logp + h[:, None]), sums, out=np.zeros_like(agg), where=sums > 0)
-        dw = dw + dagg[None] * share[:, None, :]
-    mean = (w * dw).sum(axis=1, keepdims=True)
-    grad = -(np.where(mask, phi, 0.0) * w * (dw - mean)).sum(axis=2).T
-    return loss, deviance, grad, float(np.exp(h.mean()))
+    dagg = np.divide(-entropy * (logp + h[:, None]), sums, out=np.zeros_like(agg), where=sums > 0) if entropy else None
+    return loss, deviance, backward(w, phi, c, dv, share, dagg), float(np.exp(h.mean()))
 
 
 def _entropy_penalty(h: np.ndarray, entropy: float, pull) -> tuple[float, float]:
@@ -203,14 +227,28 @@ def fit_problems(od: DataFrame, population: DataFrame, voters: DataFrame, contro
     """(problem_id, zone_id, bracket, alpha, epochs, deviance, converged): each problem fitted in a task of its own, all problems at once.
 
     od, population and voters carry problem_id besides their keys. Zones without a reachable source have no alpha.
-    A problem of more than MOST_ELEMENTS is an error that names it, before any task runs out of memory. With ``trace``
+    A problem of more than MOST_ELEMENTS is not given to one task but spread, see ``fit_large``. With ``trace``
     rows of HISTORY follow, one per epoch, without a zone.
     """
     counts = lambda df, c: df.groupBy("problem_id").agg(F.count_distinct(c).alias(c))
     sizes = counts(od, "zone_id").join(counts(od, "source_id"), "problem_id").join(counts(population, "bracket"), "problem_id")
-    large = sizes.filter(F.col("zone_id") * F.col("source_id") * F.col("bracket") > MOST_ELEMENTS).limit(1).collect()
+    large = [r.problem_id for r in sizes.filter(F.col("zone_id") * F.col("source_id") * F.col("bracket") > MOST_ELEMENTS).select("problem_id").collect()]
     if large:
-        raise ValueError(f"problem {large[0].problem_id} is too large for one task")
+        # each is spread over sources and all cores; the others follow as ever
+        parts = []
+        for k in large:
+            alpha, history, converged = fit_large(*[t.filter(F.col("problem_id") == F.lit(k)).drop("problem_id") for t in (od, population, voters)], control)
+            last = history[-1][2] if history else 0.0
+            one = alpha.select(F.lit(k).alias("problem_id"), F.col("zone_id").cast("string"), F.col("bracket").cast("string"), "alpha", F.lit(len(history)).alias("epochs"), F.lit(float(last)).alias("deviance"), F.lit(converged).alias("converged"))
+            if trace and history:
+                rows = od.sparkSession.createDataFrame(_history(history, converged)[["epoch", "loss", "deviance", "gradient", "sources", "entropy", "converged"]].astype({"epoch": int}))
+                one = one.unionByName(rows.withColumn("problem_id", F.lit(k)), allowMissingColumns=True)
+            parts.append(one)
+        rest = F.col("problem_id").isin(large) == F.lit(False)
+        small = fit_problems(od.filter(rest), population.filter(rest), voters.filter(rest), control, trace)
+        for one in parts:
+            small = small.unionByName(one.select([F.col(c).cast(small.schema[c].dataType) if c in one.columns else F.lit(None).cast(small.schema[c].dataType).alias(c) for c in small.columns]))
+        return small
     s, d = "string", "double"
     rows = od.select("problem_id", F.lit("t").alias("kind"), F.col("zone_id").cast(s).alias("a"), F.col("source_id").cast(s).alias("b"), F.col("minutes").cast(d).alias("x"))
     rows = rows.unionByName(population.select("problem_id", F.lit("p").alias("kind"), F.col("zone_id").cast(s).alias("a"), F.col("bracket").cast(s).alias("b"), F.col("pop").cast(d).alias("x")))
@@ -295,7 +333,7 @@ def fit_large(od: DataFrame, population: DataFrame, voters: DataFrame, control:
 
     def aggregate(w, c):
         share = c / np.maximum(c.sum(axis=0), 1e-30)
-        return share, np.einsum("bij,bj->ij", w, share)
+        return share, (w * share[:, None, :]).sum(axis=0)
 
     def evaluate(alpha, entropy, pull):
         sent = spark.sparkContext.broadcast(alpha)
@@ -317,14 +355,12 @@ def fit_large(od: DataFrame, population: DataFrame, voters: DataFrame, control:
         def gradient(b):
             phi, mask, c = b
             dv, rows, h = change.value
-            w, _ = forward(sent.value, *b)
-            dw = dv.T[:, :, None] * c[:, None, :]
-            if entropy:
-                share, agg = aggregate(w, c)
-                part = np.where(rows[:, None] > 0, agg / np.maximum(rows[:, None], 1e-300), 0.0)
-                dw = dw + (-entropy * (np.log(np.maximum(part, 1e-300)) + h[:, None]) / np.maximum(rows[:, None], 1e-300))[None] * share[:, None, :]
-            mean = (w * dw).sum(axis=1, keepdims=True)
-            return -(np.where(mask, phi, 0.0) * w * (dw - mean)).sum(axis=2).T
+            w = weights_of(sent.value, phi, mask)
+            if not entropy:
+                return backward(w, phi, c, dv)
+            share, agg = aggregate(w, c)
+            part = np.where(rows[:, None] > 0, agg / np.maximum(rows[:, None], 1e-300), 0.0)
+            return backward(w, phi, c, dv, share, -entropy * (np.log(np.maximum(part, 1e-300)) + h[:, None]) / np.maximum(rows[:, None], 1e-300))
 
         grad = blocks.map(gradient).treeReduce(np.add)
         sent.unpersist()
