@@ -71,7 +71,8 @@ def thresholds(sizes: DataFrame, plan: list[Budget]) -> dict[str, int]:
 
     Level by level, tokens are summed by source and bucket of the hash within the range that is still
     open, at first all of it; the first bucket that the rest cannot pay in full is the next range. A level
-    reads only the records of its range and returns one row per source.
+    scans ids, sources and sizes, of which only the records of its range are summed, and returns one row per source; ranges are narrowed until
+    one hash is left, mostly after two levels.
     """
     spark = sizes.sparkSession
     low, rest = {b.source: 0 for b in plan}, {b.source: b.rest for b in plan}
