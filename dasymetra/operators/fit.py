@@ -44,7 +44,7 @@ class Control:
 
 
 #: Numbers of zones times sources times brackets that one problem may have in a single task.
-MOST_ELEMENTS = 50_000_000
+MOST_ELEMENTS = 25_000_000
 HISTORY = ["epoch", "loss", "deviance", "gradient", "sources", "entropy", "converged"]
 
 

@@ -96,16 +96,7 @@ _WIDE = ", ".join(f"max(CASE WHEN ok AND attr_name = '{n}' THEN {_READ[k]} END)
 
 _USABLE = "lat IS NOT NULL AND long IS NOT NULL AND lat <> -1 AND long <> -1 AND loc_id IS NOT NULL"
 
-ORACLES = {
-    "p1_found": f"WITH {_valid_lines()} SELECT line_id FROM judged WHERE NOT ok",
-    "p1_report": f"""WITH {_valid_lines()}
-        SELECT feed, file_name, count(*) AS n_lines, count(*) FILTER (ok) AS n_loaded, count(*) FILTER (NOT ok) AS n_rejected FROM judged GROUP BY ALL""",
-    "p1_loaded_geocode": f"""WITH {_valid_lines()} SELECT line_id, {_typed("ano cod_mun_tse nr_zona nr_local_votacao nm_local lat long", "iiiitdd")}
-        FROM judged WHERE ok AND feed = 'geocode_locs'""",
-    "p1_loaded_merged": f"""WITH {_valid_lines()}
-        SELECT line_id, {_typed("ano_eleicao nr_turno cod_mun_tse nr_zona nr_secao nr_local_votacao qt_aptos qt_comparecimento qt_abstencoes", "iiiiiiiii")}
-        FROM judged WHERE ok AND feed = 'merged'""",
-    "p2_found": f"""WITH pts AS (SELECT loc_id, min(lat) AS y, min(long) AS x FROM geocode_locs WHERE {_USABLE} GROUP BY 1),
+_HELD = f"""WITH pts AS (SELECT loc_id, min(lat) AS y, min(long) AS x FROM geocode_locs WHERE {_USABLE} GROUP BY 1),
         banded AS (SELECT *, CAST(floor(y / 0.00091) AS BIGINT) AS band FROM pts),
         edges AS (
           SELECT code_tract, unnest(list_transform(range(1, len(r) + 1), lambda i: {{'a': r[i], 'b': r[CASE WHEN i = len(r) THEN 1 ELSE i + 1 END]}})) AS e
@@ -117,11 +108,23 @@ ORACLES = {
           SELECT p.loc_id, b.code_tract
           FROM pts p JOIN boxed b ON p.x BETWEEN b.x0 AND b.x1 AND p.y BETWEEN b.y0 AND b.y1 JOIN edges ON edges.code_tract = b.code_tract
           WHERE (e.a.y > p.y) <> (e.b.y > p.y) AND p.x < (e.b.x - e.a.x) * (p.y - e.a.y) / (e.b.y - e.a.y) + e.a.x
-          GROUP BY 1, 2 HAVING count(*) % 2 = 1)
+          GROUP BY 1, 2 HAVING count(*) % 2 = 1)"""
+
+ORACLES = {
+    "p1_found": f"WITH {_valid_lines()} SELECT line_id FROM judged WHERE NOT ok",
+    "p1_report": f"""WITH {_valid_lines()}
+        SELECT feed, file_name, count(*) AS n_lines, count(*) FILTER (ok) AS n_loaded, count(*) FILTER (NOT ok) AS n_rejected FROM judged GROUP BY ALL""",
+    "p1_loaded_geocode": f"""WITH {_valid_lines()} SELECT line_id, {_typed("ano cod_mun_tse nr_zona nr_local_votacao nm_local lat long", "iiiitdd")}
+        FROM judged WHERE ok AND feed = 'geocode_locs'""",
+    "p1_loaded_merged": f"""WITH {_valid_lines()}
+        SELECT line_id, {_typed("ano_eleicao nr_turno cod_mun_tse nr_zona nr_secao nr_local_votacao qt_aptos qt_comparecimento qt_abstencoes", "iiiiiiiii")}
+        FROM judged WHERE ok AND feed = 'merged'""",
+    "p2_found": f"""{_HELD}
         SELECT a.loc_id, 'near' AS kind, CAST(b.loc_id AS VARCHAR) AS other_key
         FROM banded a JOIN (SELECT *, unnest([band - 1, band, band + 1]) AS near_band FROM banded) b ON a.band = b.near_band AND a.loc_id < b.loc_id AND abs(a.x - b.x) < 0.01
         WHERE 2 * 6371008.8 * asin(sqrt(pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2))) <= 100
         UNION ALL SELECT loc_id, 'in', code_tract FROM held""",
+    "p2_tract_counts": f"{_HELD} SELECT code_tract, count(*) AS n_locations FROM held GROUP BY 1",
     "p4_found": f"WITH {_ORPHANS} SELECT DISTINCT tab_name, rec_id, state FROM orphans",
     "p4_report": f"WITH {_ORPHANS} SELECT 'locais_votacao' AS parent_table, tab_name, period, state, count(*) AS n_rows FROM orphans GROUP BY ALL",
     "p5_found": f"WITH {_CELLS} SELECT ent_id, attr_name FROM cells WHERE ok",

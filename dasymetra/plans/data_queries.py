@@ -58,10 +58,10 @@ def p2_found(spark, sf_dir):
 
 
 def p2_tract_counts(spark, sf_dir):
-    """Locations in each tract, and how many of them needed the border test."""
+    """Locations in each tract."""
     cover = cut_lineage(proximity.cover_regions(table(spark, sf_dir, "tracts_sf"), "code_tract", "rings"))
     held = proximity.points_in_regions(_locations(spark, sf_dir), cover)
-    return held.groupBy(F.col("region").alias("code_tract")).agg(F.count(F.lit(1)).alias("n_locations"), F.count_if("exact").alias("n_border_tests"))
+    return held.groupBy(F.col("region").alias("code_tract")).agg(F.count(F.lit(1)).alias("n_locations"))
 
 
 def _references(spark, sf_dir):
