@@ -20,7 +20,7 @@ ORDER = 5
 BUCKETS, SHAPES = 1 << 21, 1 << 18
 SEED_WEIGHT = 3.0
 #: Characters that are judged at a time, which bounds a task's memory; a longer text is judged in blocks.
-BLOCK = 250_000
+BLOCK = 100_000
 CLASSES = ("filler", "notice")
 
 _TAGS = re.compile(r"</?(?:p|br|b|i|u|em|strong|div|span|h[1-6]|ul|ol|li|tr|td|table)\b[^<>\0]*>", re.I)
@@ -243,15 +243,20 @@ class Stream:
             for k, o in enumerate(orders):
                 limits[self.place, k] = o
         context = np.broadcast_to(np.array(totals, np.float32), p.shape)
+        least = np.empty_like(p)
         for n, g in enumerate(self.grams):
             have = rows[g].view(np.float32).reshape(self.size, models)
             # an unseen character costs a context at most a factor of 33, whatever the context's count
-            shorter = np.float32(0.03) * context + np.float32(1)
-            now = (np.minimum(have, context) + shorter * p) / (context + shorter)
-            p = now if limits is None else np.where(limits > n, now, p)
+            shorter = context * np.float32(0.03)
+            shorter += np.float32(1)
+            now = p * shorter if limits is not None else np.multiply(p, shorter, out=p)
+            now += np.minimum(have, context, out=least)
+            shorter += context
+            now /= shorter
+            if limits is not None:
+                p = np.where(limits > n, now, p)
             # what stands before each character
-            context = np.empty_like(have)
-            context[0], context[1:] = 0, have[:-1]
+            context = np.concatenate([np.zeros((1, models), np.float32), have[:-1]])
         return np.log(p[self.place])
 
 
