@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dasymetra.functions import text
+from dasymetra.operators import labels
 from dasymetra.operators import population as pop
 from dasymetra.operators import result as res
 from dasymetra.operators import votes as vt
@@ -79,9 +80,12 @@ def legend_scan(s, d):
     return staged.legends(raw)
 
 
-@query(sql("SELECT age, gender, count(*) AS n FROM profile WHERE section = 7 GROUP BY ALL", PROFILE))
+@query(sql("SELECT age, gender, CAST(sum(n) AS BIGINT) AS n FROM profile WHERE section = 7 GROUP BY ALL", PROFILE))
 def profile_scan(s, d):
-    return px.profile(s, d).filter("section = 7").groupBy("age", "gender").agg(F.count(F.lit(1)).alias("n"))
+    """Profiles as they are delivered: all text, labels with spaces around, codes without their zeros."""
+    raw = px.profile(s, d).select(F.col("section").cast("string").alias("COD_MUN_TSE"), F.lit("1").alias("NUM_ZONA"), F.lit("1").alias("NUM_SECAO"), F.concat(F.lit(" "), "age", F.lit(" ")).alias("DS_FAIXA_ETARIA"),
+                                  F.col("gender").alias("DS_GENERO"), F.concat(F.lit(" "), F.col("n").cast("string")).alias("QT_ELEITORES_PERFIL"))
+    return staged.profile(raw, "00007").groupBy(F.col("DS_FAIXA_ETARIA").alias("age"), F.col("DS_GENERO").alias("gender")).agg(F.sum("QT_ELEITORES_PERFIL").alias("n"))
 
 
 @query("SELECT DISTINCT cod_mun_tse, nr_zona, nr_secao, qt_comparecimento FROM merged WHERE nr_turno = 1 AND ano_eleicao = 2020")
@@ -119,8 +123,7 @@ def zone_population_join(s, d):
 @query("SELECT code_muni, count(*) AS n FROM tracts_sf WHERE substr(code_tract, 1, 7) IN (SELECT code_ibge FROM muni_crosswalk WHERE uf = 'SC') GROUP BY ALL")
 def neighbourhood_prefix(s, d):
     towns = table(s, d, "muni_crosswalk").filter("uf = 'SC'").select(F.col("code_ibge").alias("prefix"))
-    t = table(s, d, "tracts_sf").withColumn("prefix", F.substring("code_tract", 1, 7))
-    return t.join(towns, "prefix", "left_semi").groupBy("code_muni").agg(F.count(F.lit(1)).alias("n"))
+    return staged.within(table(s, d, "tracts_sf"), towns, "code_tract").groupBy("code_muni").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT count(*) AS n FROM geocode_locs WHERE long BETWEEN -50.01 AND -45.99 AND lat BETWEEN -20.01 AND -14.99")
@@ -131,7 +134,7 @@ def raster_crop(s, d):
 
 @query("SELECT source, count(*) AS n FROM geocode_locs WHERE source IS NOT NULL GROUP BY ALL")
 def road_nonnull(s, d):
-    return table(s, d, "geocode_locs").filter(F.col("source").isNotNull()).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return staged.roads(table(s, d, "geocode_locs"), "source").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT uf, count(*) AS n FROM muni_crosswalk JOIN (SELECT DISTINCT cod_mun_tse FROM geocode_locs) ON code_tse = cod_mun_tse GROUP BY ALL")
@@ -515,6 +518,32 @@ def plot_labels(s, d):
     return t.select("dict_id", F.concat("candidate_name", F.coalesce(F.concat(F.lit(" ("), "party", F.lit(")")), F.lit("")), F.lit(" – "), F.col("ano_eleicao").cast("string")).alias("label"))
 
 
+_TITLE = """CASE WHEN entry_type = 'candidate' AND candidate_name IS NOT NULL THEN {title} || CASE WHEN party IS NOT NULL AND ballot_number IS NOT NULL THEN ' (' || party || ' — ' || ballot_number || ')'
+  WHEN coalesce(party, ballot_number) IS NOT NULL THEN ' (' || coalesce(party, ballot_number) || ')' ELSE '' END
+  ELSE coalesce(nullif(CASE WHEN entry_type = 'candidate' THEN coalesce(' (' || party || ')', '') WHEN entry_type = 'party' THEN coalesce(party, '') ELSE entry_type END, ''), column_name) END""".format(
+    title="array_to_string(list_transform(string_split_regex(lower(trim(candidate_name)), '\\s+'), lambda w: CASE WHEN w IN ('de', 'da', 'do', 'das', 'dos', 'e') THEN w ELSE upper(substr(w, 1, 1)) || substr(w, 2) END), ' ')")
+
+
+@query(f"SELECT dict_id, {_TITLE} AS title FROM dictionary")
+def column_titles(s, d):
+    """What a map of each column is headed with."""
+    return table(s, d, "dictionary").select("dict_id", labels.title(F.col("column_name"), F.col("entry_type"), F.col("candidate_name"), F.col("party"), F.col("ballot_number")).alias("title"))
+
+
+@query(sql(f"""SELECT "column", type, cargo, ballot_number, candidate_name, party FROM ({DICT_SQL} UNION ALL ({PARTY_SQL})) WHERE "column" IN ('CAND_13', 'CAND_95', 'PARTY_BRAND_17') UNION ALL
+  SELECT c, t, NULL, NULL, NULL, NULL FROM (VALUES ('QT_APTOS', 'turnout'), ('GENERO_FEMININO', 'demographics'), ('votantes_20', 'calibration'), ('QT_COMPARECIMENTO', 'calibration')) v(c, t)""", VOTES))
+def dictionary_assembly(s, d):
+    """The dictionary of a few interpolated columns: what is known of votes first, then calibration, which wins over turnout, and demographics."""
+    one = lambda *names: s.createDataFrame([(n,) for n in names], "column string")
+    columns = one("CAND_13", "CAND_95", "PARTY_BRAND_17", "QT_APTOS", "QT_COMPARECIMENTO", "GENERO_FEMININO", "votantes_20", "unknown")
+    return labels.assemble(_dictionary(s, d), columns, one("votantes_20", "QT_COMPARECIMENTO", "votantes_99"))
+
+
+@query("SELECT CAST(cod_mun_tse AS VARCHAR) AS cod_mun_tse FROM geocode_locs INTERSECT SELECT CAST(cod_mun_tse AS VARCHAR) FROM locais_votacao")
+def common_ids(s, d):
+    return labels.common(table(s, d, "geocode_locs"), table(s, d, "locais_votacao"), "cod_mun_tse")
+
+
 @query("SELECT row_id, coalesce(qt_comparecimento, qt_aptos - qt_abstencoes, 0) AS turnout FROM merged")
 def null_coalesce(s, d):
     return table(s, d, "merged").select("row_id", F.coalesce("qt_comparecimento", F.col("qt_aptos") - F.col("qt_abstencoes"), F.lit(0)).alias("turnout"))

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+import struct
 
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +27,94 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> Da
     return spark.read.option("sep", ";").option("header", True).option("encoding", encoding).csv(path)
 
 
+def preferred(files: list[str], suffix: str = "_BRASIL.csv") -> list[str]:
+    """Of the files of an archive the one for the whole country, if there is one, else all; case aside."""
+    whole = [f for f in files if f.upper().endswith(suffix.upper())]
+    return sorted(whole)[:1] if whole else sorted(files)
+
+
+def read_optional(spark: SparkSession, path: str, read=None) -> DataFrame | None:
+    """A staged table, or None where it is not there, empty of columns or not readable: a year that was never delivered is no error."""
+    try:
+        out = (read or (lambda s, p: s.read.parquet(p)))(spark, path)
+    except AnalysisException:
+        return None
+    except Py4JJavaError as e:
+        if "FAILED_READ_FILE" not in str(e):
+            raise
+        return None
+    return out if out.columns else None
+
+
+def profile(df: DataFrame, municipality: str | None = None) -> DataFrame:
+    """Voter profiles: the needed columns checked, labels trimmed, counts cast, codes padded and filtered."""
+    out = require(with_aliases(df), ["CD_MUNICIPIO", "NR_ZONA", "NR_SECAO", "DS_FAIXA_ETARIA", "QT_ELEITORES_PERFIL"])
+    labels = [c for c in ("DS_FAIXA_ETARIA", "DS_GENERO", "DS_GRAU_ESCOLARIDADE") if c in out.columns]
+    out = out.withColumns({c: F.trim(c) for c in labels} | {"QT_ELEITORES_PERFIL": F.trim("QT_ELEITORES_PERFIL").try_cast("int"), "CD_MUNICIPIO": padded(F.col("CD_MUNICIPIO"))})
+    return _picked(out, municipality, None, None)
+
+
+def within(df: DataFrame, towns: DataFrame, key: str, digits: int = 7) -> DataFrame:
+    """Boundaries of the given towns (prefix): those whose key begins with the town's code."""
+    return df.withColumn("_prefix", F.substring(key, 1, digits)).join(towns.select(F.col("prefix").alias("_prefix")).distinct(), "_prefix", "left_semi").drop("_prefix")
+
+
+def roads(df: DataFrame, highway: str = "highway") -> DataFrame:
+    """Road lines that have a kind; the filter reaches the scan."""
+    return df.filter(F.col(highway).isNotNull())
+
+
+def wkb_rings(data: bytes | None) -> list | None:
+    """The rings of a polygon or multipolygon in well-known binary, with or without Z, M and a reference system; None for anything else or what is cut short.
+
+    Rings are made valid as even-odd rings: repeated points go, and rings of fewer than three different points.
+    """
+
+    def geometry(at):
+        order = "<" if data[at] == 1 else ">"
+        (kind,) = struct.unpack_from(order + "I", data, at + 1)
+        at += 5 + (4 if kind & 0x20000000 else 0)
+        width = 2 + bool(kind & 0x80000000) + bool(kind & 0x40000000)
+        kind &= 0x0FFFFFFF
+        width, kind = width + (0, 1, 1, 2)[kind // 1000] if kind >= 1000 else width, kind % 1000
+        if kind not in (3, 6):
+            raise ValueError(kind)
+        (n,) = struct.unpack_from(order + "I", data, at)
+        at, rings = at + 4, []
+        for _ in range(n):
+            if kind == 6:
+                more, at = geometry(at)
+                rings += more
+                continue
+            (size,) = struct.unpack_from(order + "I", data, at)
+            numbers = struct.unpack_from(f"{order}{size * width}d", data, at + 4)
+            at += 4 + 8 * size * width
+            points = list(zip(numbers[::width], numbers[1::width]))
+            kept = [p for k, p in enumerate(points) if k == 0 or p != points[k - 1]]
+            if len(set(kept)) >= 3:
+                rings.append([{"x": x, "y": y} for x, y in kept])
+        return rings, at
+
+    try:
+        return geometry(0)[0] if data else None
+    except (struct.error, ValueError, IndexError):
+        return None
+
+
+def with_rings(df: DataFrame, wkb: str = "geometry", name: str = "rings") -> DataFrame:
+    """Zones with their rings in place of well-known binary; null where it cannot be read. No shuffle."""
+    keep = [c for c in df.columns if c != wkb]
+    packed = df.select(F.struct(*keep).alias("kept"), F.col(wkb).alias("wkb"))
+
+    def run(batches):
+        kind = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wkb_rings(b) for b in batch.column(1).to_pylist()], kind)], names=["kept", "rings"])
+
+    out = packed.mapInArrow(run, f"kept {packed.schema['kept'].dataType.simpleString()}, rings array<array<struct<x: double, y: double>>>")
+    return out.select("kept.*", F.col("rings").alias(name))
+
+
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"columns missing: {', '.join(missing)}")
