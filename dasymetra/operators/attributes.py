@@ -53,16 +53,31 @@ def as_date(t: Column) -> Column:
     return iso.try_cast("date")
 
 
-def typed(value: Column, kind: str) -> Column:
-    """The value of a usable text; null for a whole number beyond 38 digits, which no column type holds."""
-    t = F.trim(value)
+def _text(name: str) -> str:
+    """A string as SQL writes it."""
+    return "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _column(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def typed(value: str, kind: str) -> str:
+    """SQL for the value of a usable text (also SQL); null for a whole number beyond 38 digits, which no column type holds.
+
+    A wide table has very many columns: as text each is one call of the session, not dozens.
+    """
+    t = f"trim({value})"
     if kind == "int":
-        return F.regexp_replace(t, r"\.", "").try_cast("decimal(38,0)")
+        return f"try_cast(replace({t}, '.', '') AS DECIMAL(38,0))"
     if kind == "decimal":
-        return F.regexp_replace(t, ",", ".").try_cast("double")
+        return f"try_cast(replace({t}, ',', '.') AS DOUBLE)"
     if kind == "boolean":
-        return F.lower(t).isin(*TRUE_WORDS)
-    return as_date(t) if kind == "date" else t
+        return f"lower({t}) IN ({', '.join(map(_text, TRUE_WORDS))})"
+    if kind == "date":
+        day = f"CASE WHEN length({t}) = 8 THEN concat_ws('-', left({t}, 4), substr({t}, 5, 2), right({t}, 2)) WHEN substr({t}, 5, 1) = '-' THEN {t} ELSE concat_ws('-', right({t}, 4), substr({t}, 4, 2), left({t}, 2)) END"
+        return f"try_cast({day} AS DATE)"
+    return t
 
 
 def resolve(rows: DataFrame, entity: str, attribute: str, value: str, at: str, attributes: list[Attribute]) -> DataFrame:
@@ -94,19 +109,18 @@ def widen(resolved: DataFrame, attributes: list[Attribute], entity: str = "entit
     A text of the right form whose value no column holds (a whole number beyond 38 digits) stays in ``failures`` too,
     so that no value is lost. An attribute called like the entity or ``failures`` gets a trailing underscore.
     """
-    columns = [F.col("entity").alias(entity)]
-    beyond = []
+    columns, beyond = [f"entity AS {_column(entity)}"], []
     for a, name in zip(attributes, column_names(attributes, entity)):
-        text = F.element_at("values", a.name)
-        columns.append(typed(text, a.kind).alias(name))
+        text = f"element_at(values, {_text(a.name)})"
+        columns.append(f"{typed(text, a.kind)} AS {_column(name)}")
         if a.kind == "int":
-            beyond.append(F.when(text.isNotNull() & typed(text, a.kind).isNull(), F.struct(F.lit(a.name).alias("name"), text.alias("v"))))
-    failures = F.col("failures")
+            beyond.append(f"if({text} IS NOT NULL AND {typed(text, a.kind)} IS NULL, struct({_text(a.name)} AS name, {text} AS v), NULL)")
+    failures = "failures"
     if beyond:
         # most rows have none, and the map is not built anew for those
-        long = F.exists(F.map_values("values"), lambda v: F.length(v) > 38)
-        failures = F.when(long, F.map_concat("failures", F.map_from_entries(F.filter(F.array(*beyond), lambda e: e.isNotNull())))).otherwise(failures)
-    return resolved.select(*columns, failures.alias("failures"))
+        more = f"map_from_entries(filter(array({', '.join(beyond)}), e -> e IS NOT NULL))"
+        failures = f"if(exists(map_values(values), v -> length(v) > 38), map_concat(failures, {more}), failures)"
+    return resolved.selectExpr(*columns, f"{failures} AS failures")
 
 
 def column_names(attributes: list[Attribute], entity: str = "entity") -> list[str]:
@@ -119,8 +133,8 @@ def column_names(attributes: list[Attribute], entity: str = "entity") -> list[st
 
 def filled_cells(wide: DataFrame, attributes: list[Attribute], entity: str = "entity") -> DataFrame:
     """(entity, attr_name) of the filled cells of a wide table: its typed columns that are not null, and the values of the right form that no column holds."""
-    named = zip(attributes, column_names(attributes, entity))
-    cells = F.array(*[F.when(F.col(f"`{c}`").isNotNull(), F.lit(a.name)) for a, c in named])
+    cells = ", ".join(f"if({_column(c)} IS NOT NULL, {_text(a.name)}, NULL)" for a, c in zip(attributes, column_names(attributes, entity)))
+    cells = F.expr(f"array({cells})").cast("array<string>")
     whole = [a.name for a in attributes if a.kind == "int"]
     beyond = F.map_filter("failures", lambda k, v: k.isin(*whole) & usable(v, "int")) if whole else F.create_map().cast("map<string,string>")
     names = F.when(F.size("failures") > 0, F.concat(cells, F.map_keys(beyond))).otherwise(cells)

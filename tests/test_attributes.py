@@ -51,3 +51,13 @@ def test_values_that_no_column_holds_are_kept(spark):
     assert out[3].qt_a is None and out[3].failures == {"qt_a": rows[4][2]} and out[4].failures == {}
     assert {(r.ent, r.attr_name) for r in filled_cells(wide, DEFS, "ent").collect()} == {(1, "qt_a"), (2, "qt_a"), (3, "qt_a"), (4, "pct")}
     assert filled_cells(wide.limit(0), DEFS, "ent").count() == 0
+
+
+def test_names_with_signs_of_sql_in_them(spark):
+    odd = [Attribute("it's", "string"), Attribute("a`b", "int"), Attribute("back\\slash", "decimal"), Attribute("ent", "date")]
+    rows = [(1, a.name, v, T1) for a, v in zip(odd, ("x", "5", "1,5", "20200229"))]
+    resolved = resolve(spark.createDataFrame(rows, "ent bigint, name string, value string, at timestamp"), "ent", "name", "value", "at", odd)
+    wide = widen(resolved, odd, "ent")
+    assert wide.columns == ["ent", "it's", "a`b", "back\\slash", "ent_", "failures"]
+    assert tuple(wide.first())[:5] == (1, "x", 5, 1.5, datetime.date(2020, 2, 29))
+    assert {r.attr_name for r in filled_cells(wide, odd, "ent").collect()} == {a.name for a in odd}
