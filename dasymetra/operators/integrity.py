@@ -95,14 +95,15 @@ def _ended(lasting: DataFrame, started: DataFrame, parts: list[str]) -> DataFram
 
     Rows of one key and time are one before anything is put in order, so a window holds at most the different times of one key in one slice.
     """
-    times = lasting.select(*parts, "at", "until").unionByName(started.select(*parts, "at", "until")).groupBy(*parts, "at").agg(F.max("until").alias("until"))
+    both = lasting.select(*parts, "at", "until", F.lit(0).alias("c")).unionByName(started.select(*parts, "at", "until", F.lit(1).alias("c")))
+    times = both.groupBy(*parts, "at").agg(F.max("until").alias("until"), F.sum("c").alias("n"))
     times = times.withColumn("slice", F.floor(F.col("at") / SLICE))
     before = Window.partitionBy(*parts).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = times.groupBy(*parts, "slice").agg(F.max("until").alias("own")).withColumn("carried", F.max("own").over(before)).select(*parts, "slice", "carried")
     within = Window.partitionBy(*parts, "slice").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     met = times.withColumn("here", F.max("until").over(within)).join(slices, [*parts, "slice"])
-    gone = met.filter(F.greatest(F.col("here"), F.col("carried")) <= F.col("at")).select(*parts, "at")
-    return salted_join(started, gone, [*parts, "at"], ROWS_PER_SALT).withColumn("state", F.lit("deleted"))
+    gone = cut_lineage(met.filter((F.greatest(F.col("here"), F.col("carried")) <= F.col("at")) & (F.col("n") > 0)).select(*parts, "at", "n"))
+    return salted_join(started, gone.drop("n"), [*parts, "at"], ROWS_PER_SALT, gone).withColumn("state", F.lit("deleted"))
 
 
 def missing_counts(parents: DataFrame, key: tuple[Column, ...], references: list[Reference], parent_table: str) -> DataFrame:
