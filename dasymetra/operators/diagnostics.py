@@ -117,6 +117,12 @@ def top_zones(weights: DataFrame, od: DataFrame, k: int = 10) -> DataFrame:
     return weights.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).join(od, ["zone_id", "source_id"], "left").select("source_id", "rank", "zone_id", "w", "minutes")
 
 
+def default_zone(weights: DataFrame, digits: int = 9) -> DataFrame:
+    """(zone_id): the zone whose weight is spread most, by entropy to so many digits, the lower id among equals; none without weights. One aggregate over zones, no sort."""
+    h = row_entropy(weights)
+    return h.agg(F.min(F.struct((-F.round("entropy", digits)).alias("h"), "zone_id")).alias("b")).filter(F.col("b").isNotNull()).select("b.zone_id")
+
+
 def best_epoch(history: DataFrame) -> DataFrame:
     """(epoch, loss) of least loss, the first among equals."""
     return history.agg(F.min(F.struct("loss", "epoch")).alias("b")).select("b.epoch", "b.loss")

@@ -69,6 +69,12 @@ def histogram(values: DataFrame, value: Column, bins: int) -> DataFrame:
     return v.join(F.broadcast(ends), how="cross").groupBy(place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def extremes(od: DataFrame, margin: float = 0.1) -> DataFrame:
+    """(n_null, most, n_near_most): one row with the pairs without a time, the longest time and how many come within ``margin`` of it, as a time cut off at a limit would."""
+    top = od.agg(F.max("minutes").alias("top"))
+    return od.crossJoin(F.broadcast(top)).agg(F.count_if(F.col("minutes").isNull()).alias("n_null"), F.max("minutes").alias("most"), F.count_if(F.col("minutes") >= F.col("top") - margin).alias("n_near_most"))
+
+
 def spread(values: DataFrame, value: Column, by: list[str] = ()) -> DataFrame:
     """(by, n, q0, q25, q50, q75, q100, low, high, n_outside): what a box plot shows; whiskers end at the furthest values within one and a half times the quartiles' distance."""
     v = values.select(*by, value.cast("double").alias("v")).filter(F.col("v").isNotNull())

@@ -399,9 +399,7 @@ def travel_time_histogram(s, d):
 
 @query(sql("SELECT count(*) - count(minutes) AS n_null, max(minutes) AS most, count(*) FILTER (minutes >= (SELECT max(minutes) FROM od) - 0.1) AS n_near_most FROM od", OD))
 def travel_time_stats(s, d):
-    o = px.od(s, d)
-    top = o.agg(F.max("minutes").alias("top"))
-    return o.join(F.broadcast(top), how="cross").agg(F.count_if(F.col("minutes").isNull()).alias("n_null"), F.max("minutes").alias("most"), F.count_if(F.col("minutes") >= F.col("top") - 0.1).alias("n_near_most"))
+    return times.extremes(px.od(s, d))
 
 
 def _rounded_weights(s, d):
@@ -466,7 +464,7 @@ def station_summary(s, d):
 
 @query(sql("SELECT zone_id FROM ent ORDER BY round(h, 9) DESC, zone_id LIMIT 1", OD, W, ENTROPY))
 def default_catchment(s, d):
-    return wt.row_entropy(px.source_weights(s, d)).orderBy(F.desc(F.round("entropy", 9)), "zone_id").limit(1).select("zone_id")
+    return dg.default_zone(px.source_weights(s, d))
 
 
 @query(sql("""SELECT zone_id, '{"source_id":' || source_id || ',"w":"' || printf('%.6f', w) || '","minutes":' || CASE WHEN minutes IS NULL THEN 'null' ELSE '"' || printf('%.1f', minutes) || '"' END || ',"rank":' || rank || '}' AS json

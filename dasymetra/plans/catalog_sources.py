@@ -381,6 +381,37 @@ def section_left_joins(s, d):
     return p.join(v.groupBy("section").agg(F.sum("votes").alias("votes")), "section", "left").join(vt.turnout_of_first_office(v, ["section"]), "section", "left")
 
 
+_WHOLE = "CAST(try_cast(trim({0}) AS BIGINT) AS VARCHAR)"
+
+
+@query(f"""WITH sections AS (SELECT ano_eleicao, cod_mun_tse AS m, {_WHOLE.format('nr_zona')} AS z, {_WHOLE.format('nr_local_votacao')} AS l, {_WHOLE.format('nr_secao')} AS s, CAST(max(coalesce(qt_aptos, 0)) AS BIGINT) AS aptos FROM merged WHERE nr_turno = 1 GROUP BY ALL),
+  places AS (SELECT ano, cod_mun_tse, {_WHOLE.format('nr_zona')} AS zona, {_WHOLE.format('nr_local_votacao')} AS place, min(lat) AS lat FROM geocode_locs WHERE lat <> -1 AND long <> -1 GROUP BY ALL)
+  SELECT ano_eleicao, count(*) AS n, count(lat) AS n_placed, CAST(sum(aptos) AS BIGINT) AS aptos FROM sections LEFT JOIN places ON ano = ano_eleicao AND cod_mun_tse = m AND zona = z AND place = l GROUP BY ALL""")
+def section_key_join(s, d):
+    """Sections with the position of their place: four keys, called otherwise on either side and written as whole numbers first; each side is one row per key before they meet."""
+    whole = lambda c: text.unpadded(F.col(c))
+    sections = table(s, d, "merged").filter("nr_turno = 1").groupBy("ano_eleicao", F.col("cod_mun_tse").alias("m"), whole("nr_zona").alias("z"), whole("nr_local_votacao").alias("l"), whole("nr_secao").alias("s")).agg(F.max(F.coalesce("qt_aptos", F.lit(0))).alias("aptos"))
+    places = table(s, d, "geocode_locs").filter("lat <> -1 AND long <> -1").groupBy("ano", F.col("cod_mun_tse").alias("town"), whole("nr_zona").alias("zona"), whole("nr_local_votacao").alias("place")).agg(F.min("lat").alias("lat"))
+    on = (F.col("ano") == F.col("ano_eleicao")) & (F.col("town") == F.col("m")) & (F.col("zona") == F.col("z")) & (F.col("place") == F.col("l"))
+    return sections.join(places, on, "left").groupBy("ano_eleicao").agg(F.count(F.lit(1)).alias("n"), F.count("lat").alias("n_placed"), F.sum("aptos").alias("aptos"))
+
+
+FIVE = ["town", "code", "zone", "section", "place"]
+FIVE_SQL = "'T' || section AS town, lpad(CAST(section AS VARCHAR), 5, '0') AS code, length(age) AS zone, length(schooling) AS section, CASE WHEN c_mktsegment < 'C' THEN 1 ELSE 2 END AS place"
+
+
+@query(sql(f"""WITH_ROWS SELECT a.*, b.men, b.women FROM (SELECT town, code, zone, section, place, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY ALL) a LEFT JOIN (
+  SELECT town, code, zone, section, place, CAST(count(*) FILTER (gender = 'MASCULINO') AS BIGINT) AS men, CAST(count(*) FILTER (gender = 'FEMININO') AS BIGINT) AS women FROM r WHERE gender IS NOT NULL GROUP BY ALL) b USING (town, code, zone, section, place)""",
+  PROFILE, f"r AS (SELECT {FIVE_SQL}, gender, n FROM profile)").replace("WITH_ROWS ", ""))
+def crosstab_join(s, d):
+    """The crosstab joined to all voters on five keys; sections in which no sex is known keep nulls."""
+    p = px.profile(s, d)
+    rows = p.select(F.concat(F.lit("T"), F.col("section").cast("string")).alias("town"), text.padded(F.col("section")).alias("code"), F.length("age").cast("bigint").alias("zone"), F.length("schooling").cast("bigint").alias("section"),
+                    F.when(F.col("c_mktsegment") < "C", 1).otherwise(2).alias("place"), "gender", "n")
+    cross = vt.wide(rows.filter(F.col("gender").isNotNull()), FIVE, text.gender(F.col("gender")), F.col("n"), ["hom", "mul"])
+    return rows.groupBy(*FIVE).agg(F.sum("n").alias("n")).join(cross.select(*FIVE, F.col("hom").alias("men"), F.col("mul").alias("women")), FIVE, "left")
+
+
 @query("""WITH a AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 > 0 THEN s_acctbal END AS lat FROM supplier WHERE s_suppkey % 7 > 0), b AS (SELECT s_suppkey AS k, s_acctbal + 1 AS lat FROM supplier WHERE s_suppkey % 3 > 0)
   SELECT k, lat, lat * 2 AS lon, 'primary' AS source FROM a WHERE lat IS NOT NULL UNION ALL SELECT k, b.lat, b.lat * 2, 'filled' FROM a JOIN b USING (k) WHERE a.lat IS NULL
   UNION ALL SELECT k, lat, lat * 2, 'extra' FROM b WHERE k NOT IN (SELECT k FROM a)""")

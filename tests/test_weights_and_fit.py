@@ -142,3 +142,31 @@ def test_the_spread_fit_is_the_same_fit(spark, settings):
     assert [h[1] for h in history] == pytest.approx([h[1] for h in known])
     got = {(r.zone_id, r.bracket): r.alpha for r in table.collect()}
     assert got == pytest.approx({(i, b): expected[i, b] for i in range(7) for b in range(3)})
+
+
+@pytest.mark.parametrize("target", [3.0, 5.0])
+def test_a_target_of_effective_sources_is_met(target):
+    r = np.random.default_rng(8)
+    z, s = r.uniform(0, 40, (30, 2)), r.uniform(0, 40, (12, 2))
+    t = np.sqrt(((z[:, None] - s[None]) ** 2).sum(2)) + 1
+    pop = r.gamma(2, 40, (30, 3)).round() + 1
+    w = np.exp(-2 * np.log(t + 1))
+    src = ((w / w.sum(1, keepdims=True)).T @ pop).round()
+    alpha, history, _ = ft.fit_arrays(t, pop, src, ft.Control(target_sources=target, max_epochs=6_000))
+    reached = ft.loss_and_gradient(alpha, np.log(t + 1), np.isfinite(t), src.T.astype(float), pop, 1.0, 0.0)[3]
+    free = ft.fit_arrays(t, pop, src, ft.Control())[1][-1][4]
+    assert abs(reached - target) <= 0.05 * target and abs(free - target) > 0.05 * target
+
+
+def test_problems_too_large_for_a_task_are_spread_among_others(spark, monkeypatch):
+    od = spark.createDataFrame([(p, z, s, float(1 + (z * 7 + s * 3) % 11)) for p, n in ((1, 3), (2, 6)) for z in range(n) for s in range(n)], "problem_id int, zone_id int, source_id int, minutes double")
+    pop = spark.createDataFrame([(p, z, b, 20.0 + z * 5 + k) for p, n in ((1, 3), (2, 6)) for z in range(n) for k, b in enumerate("ab")], "problem_id int, zone_id int, bracket string, pop double")
+    voters = spark.createDataFrame([(p, s, b, 25.0 + s * 3 + k) for p, n in ((1, 3), (2, 6)) for s in range(n) for k, b in enumerate("ab")], "problem_id int, source_id int, bracket string, voters double")
+    control = ft.Control(max_epochs=60)
+    rows = lambda df: {(r.problem_id, r.zone_id, r.bracket): r.alpha for r in df.collect()}
+    whole = rows(ft.fit_problems(od, pop, voters, control))
+    monkeypatch.setattr(ft, "MOST_ELEMENTS", 50)
+    parts = rows(ft.fit_problems(od, pop, voters, control))
+    assert parts.keys() == whole.keys() and len(whole) == 18 and all(abs(parts[k] - a) < 1e-6 for k, a in whole.items())
+    traced = ft.fit_problems(od, pop, voters, control, trace=True).filter("zone_id IS NULL").groupBy("problem_id").count().collect()
+    assert {r.problem_id: r["count"] for r in traced} == {1: 60, 2: 60}
