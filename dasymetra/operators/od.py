@@ -80,7 +80,7 @@ def spread(values: DataFrame, value: Column, by: list[str] = ()) -> DataFrame:
     v = values.select(*by, value.cast("double").alias("v")).filter(F.col("v").isNotNull())
     q = v.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile("v", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("q"))
     q = q.select(*by, "n", *[F.col("q")[k].alias(f"q{p}") for k, p in enumerate((0, 25, 50, 75, 100))])
-    both = v.join(F.broadcast(q), list(by)) if by else v.crossJoin(F.broadcast(q))
+    both = v.join(q, list(by)) if by else v.crossJoin(F.broadcast(q))
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     inside = (F.col("v") >= F.col("q25") - reach) & (F.col("v") <= F.col("q75") + reach)
     names = ["n", "q0", "q25", "q50", "q75", "q100"]
