@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks and the plain letters they stand for.
-MARKED = "ÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑáàâãäåéèêëíìîïóòôõöúùûüçñ"
-UNMARKED = "AAAAAAEEEEIIIIOOOOOUUUUCNaaaaaaeeeeiiiiooooouuuucn"
+
+
+def _marked() -> tuple[str, str]:
+    """Latin letters with marks and the plain letters they stand for, by the canonical decomposition."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and d[0].isascii() and d[0].isalpha() and all(map(unicodedata.combining, d[1:]))]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+MARKED, UNMARKED = _marked()
 PARTICLES = ("de", "da", "do", "das", "dos", "e")
 
 #: Office codes and their names.
@@ -38,8 +47,8 @@ SCHOOLING = (
 
 
 def plain(c: Column) -> Column:
-    """Marks on letters left out; anything else stays."""
-    return F.translate(c, MARKED, UNMARKED)
+    """Marks on Latin letters left out, also those that stand behind their letter; anything else stays."""
+    return F.regexp_replace(F.translate(c, MARKED, UNMARKED), "[\u0300-\u036f]+", "")
 
 
 def name_key(c: Column) -> Column:

@@ -32,10 +32,6 @@ def query(oracle: str | None = None):
     return add
 
 
-def _plain_sql(c):
-    return f"translate({c}, '{text.MARKED}', '{text.UNMARKED}')"
-
-
 # scans
 
 
@@ -516,7 +512,7 @@ def uf_region(s, d):
     return rows.select("uf", "e.region", "e.state", "n")
 
 
-@query(f"WITH k AS (SELECT code_ibge, upper({_plain_sql('trim(nome)')}) AS key, uf FROM muni_crosswalk WHERE nome IS NOT NULL) SELECT key, count(*) AS n, count(DISTINCT uf) AS n_uf FROM k GROUP BY ALL")
+@query(f"WITH k AS (SELECT code_ibge, upper(strip_accents(trim(nome))) AS key, uf FROM muni_crosswalk WHERE nome IS NOT NULL) SELECT key, count(*) AS n, count(DISTINCT uf) AS n_uf FROM k GROUP BY ALL")
 def muni_resolve(s, d):
     """How many towns a name stands for, in all states and by state."""
     return table(s, d, "muni_crosswalk").filter(F.col("nome").isNotNull()).groupBy(text.name_key(F.col("nome")).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("uf").alias("n_uf"))

@@ -66,6 +66,11 @@ def test_labels_of_every_group(spark):
     assert [r.b for r in rows] == [None, None, "votantes_18_19", "votantes_18_19", "votantes_20", "votantes_21_24", "votantes_65_69", None, None]
 
 
+def test_marks_of_any_latin_letter(spark):
+    rows = spark.createDataFrame([("Ǎçãőṩ ñ Šž",), ("Sa\u0303o",), ("ª º ß ø 日",), (None,)], "t string")
+    assert [r.p for r in rows.select(text.plain(F.col("t")).alias("p")).collect()] == ["Acaos n Sz", "Sao", "ª º ß ø 日", None]
+
+
 def test_party_keys_are_settled_for_the_whole_table(spark):
     votes = spark.createDataFrame([(" Pc do B ", 65123), (None, 13), ("PT#1", 13)], "party string, ballot int")
     assert [r.party_key for r in vt.with_party_key(votes).collect()] == ["PC_DO_B", "NA", "PT#1"]
