@@ -45,6 +45,8 @@ class Control:
 
 #: Numbers of zones times sources times brackets that one problem may have in a single task.
 MOST_ELEMENTS = 25_000_000
+#: Problems whose sizes the driver holds; of more, the smaller ones go to tasks by a hash.
+MOST_APART = 10_000
 HISTORY = ["epoch", "loss", "deviance", "gradient", "sources", "entropy", "converged"]
 
 
@@ -93,24 +95,78 @@ def loss_and_gradient(alpha, phi, mask, c, pop, barrier, entropy, pull=None):
 
     pull: (strength, target) of a quadratic penalty on the mean entropy's distance from the target.
     """
-    w, v = forward(alpha, phi, mask, c)
-    f = np.maximum(v, 1e-30)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        const = 2 * np.where(pop > 0, pop * np.log(np.maximum(pop, 1e-300)) - pop, 0.0).sum()
-    deviance = 2 * (f - pop * np.log(f)).sum() + const
-    rows = np.maximum(v.sum(axis=1), 1e-30)
-    loss = deviance - barrier * np.log(rows).sum()
-    dv = 2 * (1 - pop / f) - (barrier / rows)[:, None]
-    share = c / np.maximum(c.sum(axis=0), 1e-30)
-    agg = (w * share[:, None, :]).sum(axis=0)
-    sums = agg.sum(axis=1, keepdims=True)
-    p = np.divide(agg, sums, out=np.zeros_like(agg), where=sums > 0)
-    logp = np.log(np.maximum(p, 1e-300))
-    h = -(p * logp).sum(axis=1)
-    penalty, entropy = _entropy_penalty(h, entropy, pull)
-    loss += penalty
-    dagg = np.divide(-entropy * (logp + h[:, None]), sums, out=np.zeros_like(agg), where=sums > 0) if entropy else None
-    return loss, deviance, backward(w, phi, c, dv, share, dagg), float(np.exp(h.mean()))
+    return evaluator(phi, mask, c, pop, barrier)(alpha, entropy, pull)
+
+
+def _columns(phi: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(column, slot) of each source, how many columns, how many slots each has: a column holds sources with the same times to all zones.
+
+    The number of slots is the one that makes columns, of which each has weights of its own, and empty slots cheap together.
+    """
+    place = np.unique(np.vstack([phi, mask]), axis=1, return_inverse=True)[1].ravel()
+    sizes = np.bincount(place)
+    width = min({int(k) for k in np.geomspace(1, sizes.max(initial=1), 100)}, key=lambda k: (int(-(-sizes // k).sum()) * (8 + k), k))
+    order, taken = np.argsort(place, kind="stable"), -(-sizes // width)
+    rank = np.empty(len(place), dtype=int)
+    rank[order] = np.arange(len(place)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return (np.cumsum(taken) - taken)[place] + rank // width, rank % width, int(taken.sum()), width
+
+
+def evaluator(phi: np.ndarray, mask: np.ndarray, c: np.ndarray, pop: np.ndarray, barrier: float):
+    """``evaluate(alpha, entropy, pull)`` of one problem, see ``loss_and_gradient``.
+
+    Sources with the same times have the same weights, so weights (zone, bracket, column) are made once for each column of
+    such sources, and voters are added up in it. The entropy is of the single sources: what a zone takes of each is a product
+    of weights with the source's shares, and sums over sources with its logarithm are products with the shares again.
+    """
+    open_ = mask.any(axis=0)
+    phi, mask, c = phi[:, open_], mask[:, open_], c[:, open_]
+    column, slot, n, width = _columns(phi, mask)
+    first = np.zeros(n, dtype=int)
+    first[column[slot == 0]] = np.flatnonzero(slot == 0)
+    minus = np.ascontiguousarray(-phi[:, first])
+    closed = None if mask.all() else np.where(mask[:, first], 0.0, -np.inf)[:, None, :]
+    shares = np.zeros((n, len(c), width))
+    shares[column, :, slot] = (c / np.maximum(c.sum(axis=0), 1e-30)).T
+    back, total = np.ascontiguousarray(shares.transpose(0, 2, 1)), np.ascontiguousarray(shares.sum(axis=2).T)
+    c = np.stack([np.bincount(column, weights=row, minlength=n) for row in c])
+    const = 2 * np.where(pop > 0, pop * np.log(np.maximum(pop, 1e-300)) - pop, 0.0).sum()
+
+    def evaluate(alpha, entropy, pull):
+        w = np.multiply(alpha[:, :, None], minus[:, None, :])
+        if closed is not None:
+            w += closed
+        w -= w.max(axis=0)
+        np.exp(w, out=w)
+        w /= w.sum(axis=0)
+        v = np.einsum("ibj,bj->ib", w, c)
+        f = np.maximum(v, 1e-30)
+        rows = np.maximum(v.sum(axis=1), 1e-30)
+        deviance = 2 * (f - pop * np.log(f)).sum() + const
+        agg = np.matmul(np.ascontiguousarray(w.transpose(2, 0, 1)), shares) if width > 1 else np.einsum("ibj,bj->ij", w, total)
+        np.log(np.maximum(agg, 1e-300, out=agg), out=agg)
+        d = np.ascontiguousarray(np.matmul(agg, back).transpose(1, 2, 0)) if width > 1 else agg[:, None, :] * total
+        sums = np.einsum("ibj,bj->i", w, total)
+        held = np.where(sums > 0, sums, 1.0)
+        logs = np.log(held)
+        h = np.where(sums > 0, logs - np.einsum("ibj,ibj->i", w, d) / held, 0.0)
+        penalty, entropy = _entropy_penalty(h, entropy, pull)
+        loss = deviance - barrier * np.log(rows).sum() + penalty
+        dv = 2 * (1 - pop / f) - (barrier / rows)[:, None]
+        if entropy:
+            pulled = np.where(sums > 0, -entropy / held, 0.0)
+            d *= pulled[:, None, None]
+            pulled *= h - logs
+        for b in range(len(c)):
+            own = np.multiply.outer(dv[:, b], c[b])
+            d[:, b] = d[:, b] + own + np.multiply.outer(pulled, total[b]) if entropy else own
+        # a weight's change spreads over its source as w (d - mean d)
+        d *= w
+        w *= d.sum(axis=0)
+        d -= w
+        return loss, deviance, np.einsum("ibj,ij->ib", d, minus), float(np.exp(h.mean()))
+
+    return evaluate
 
 
 def _entropy_penalty(h: np.ndarray, entropy: float, pull) -> tuple[float, float]:
@@ -133,7 +189,7 @@ def fit_arrays(t: np.ndarray, pop: np.ndarray, src: np.ndarray, control: Control
     phi = np.where(mask, _phi(np.where(mask, t, 0.0), control), 0.0)
     active = _prepared(pop, src.sum(axis=0))
     c, p = src[:, active].T.astype(float), pop[:, active].astype(float)
-    return _descend(pop, active, control, lambda alpha, entropy, pull: loss_and_gradient(alpha, phi, mask, c, p, control.barrier, entropy, pull), len(src))
+    return _descend(pop, active, control, evaluator(phi, mask, c, p, control.barrier) if active.any() else None, len(src))
 
 
 def _phi(t: np.ndarray, control: Control) -> np.ndarray:
@@ -230,9 +286,10 @@ def fit_problems(od: DataFrame, population: DataFrame, voters: DataFrame, contro
     A problem of more than MOST_ELEMENTS is not given to one task but spread, see ``fit_large``. With ``trace``
     rows of HISTORY follow, one per epoch, without a zone.
     """
-    counts = lambda df, c: df.groupBy("problem_id").agg(F.count_distinct(c).alias(c))
-    sizes = counts(od, "zone_id").join(counts(od, "source_id"), "problem_id").join(counts(population, "bracket"), "problem_id")
-    large = [r.problem_id for r in sizes.filter(F.col("zone_id") * F.col("source_id") * F.col("bracket") > MOST_ELEMENTS).select("problem_id").collect()]
+    counts = lambda df, *c: df.groupBy("problem_id").agg(*[F.count_distinct(x).alias(x) for x in c])
+    sizes = counts(od, "zone_id", "source_id").join(counts(population, "bracket"), "problem_id")
+    sizes = sizes.select("problem_id", (F.col("zone_id") * F.col("source_id") * F.col("bracket")).alias("n")).orderBy(F.desc("n"), "problem_id").limit(MOST_APART).collect()
+    large = [r.problem_id for r in sizes if r.n > MOST_ELEMENTS]
     if large:
         # each is spread over sources and all cores; the others follow as ever
         parts = []
@@ -274,7 +331,12 @@ def fit_problems(od: DataFrame, population: DataFrame, voters: DataFrame, contro
             out = pd.concat([out, _history(history, converged).assign(problem_id=key[0])]) if history else out
         return out.reindex(columns=names)
 
-    return rows.groupBy("problem_id").applyInPandas(solve, fields)
+    # dealt out from the largest on: few problems would meet in a task by their hashes, or when small partitions are put together
+    session = od.sparkSession
+    tasks = max(min(len(sizes), max(8 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))), 1)
+    places = session.createDataFrame([(r.problem_id, k % tasks) for k, r in enumerate(sizes)], f"problem_id {kind}, task int")
+    rows = rows.join(F.broadcast(places), "problem_id", "left").withColumn("task", F.coalesce("task", F.pmod(F.hash("problem_id"), F.lit(tasks))))
+    return rows.repartitionById(tasks, "task").groupBy("problem_id", "task").applyInPandas(solve, fields)
 
 
 def _history(history: list[tuple], converged: bool) -> pd.DataFrame:

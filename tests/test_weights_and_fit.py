@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -170,3 +172,66 @@ def test_problems_too_large_for_a_task_are_spread_among_others(spark, monkeypatc
     assert parts.keys() == whole.keys() and len(whole) == 18 and all(abs(parts[k] - a) < 1e-6 for k, a in whole.items())
     traced = ft.fit_problems(od, pop, voters, control, trace=True).filter("zone_id IS NULL").groupBy("problem_id").count().collect()
     assert {r.problem_id: r["count"] for r in traced} == {1: 60, 2: 60}
+
+
+def _few_times(m, distinct, seed=4, n=5, k=5):
+    """m sources of which many have the same times to all n zones, some pairs without a time, one source without any."""
+    r = np.random.default_rng(seed)
+    kinds = r.integers(1, 40, (n, distinct)).astype(float)
+    kinds[r.random((n, distinct)) < 0.1] = np.nan
+    kinds[:, 0] = np.nan
+    t = kinds[:, r.integers(0, distinct, m)]
+    return t, r.gamma(2, 40, (n, k)).round() + 1, r.gamma(2, 40, (m, k)).round()
+
+
+@pytest.mark.parametrize("m,distinct", [(60, 7), (60, 60), (400, 3)])
+def test_entropy_is_of_single_sources_even_if_their_times_are_equal(m, distinct):
+    t, pop, src = _few_times(m, distinct)
+    mask = np.isfinite(t)
+    phi = np.where(mask, np.log(np.where(mask, t, 0) + 1), 0)
+    strength, target = 9.0, np.log(4.0)
+
+    def plain(alpha):
+        k = np.where(mask[:, None, :], np.exp(-alpha[:, :, None] * phi[:, None, :]), 0.0)
+        w = k / np.maximum(k.sum(axis=0), 1e-300)
+        v = (w * src.T).sum(axis=2)
+        agg = (w * (src.T / np.maximum(src.sum(axis=1), 1e-30))).sum(axis=1)
+        p = agg / agg.sum(axis=1, keepdims=True)
+        h = -(p * np.log(np.maximum(p, 1e-300))).sum(axis=1)
+        deviance = 2 * (v - pop * np.log(v) + pop * np.log(pop) - pop).sum()
+        return deviance - np.log(v.sum(axis=1)).sum() + 3.0 * h.sum() + strength / 2 * len(h) * (h.mean() - target) ** 2, deviance, np.exp(h.mean())
+
+    a = np.random.default_rng(1).uniform(1, 3, pop.shape)
+    loss, deviance, gradient, sources = ft.loss_and_gradient(a, phi, mask, src.T, pop, 1.0, 3.0, (strength, target))
+    assert (loss, deviance, sources) == pytest.approx(plain(a))
+    for i, b in ((0, 0), (2, 1), (4, 4)):
+        e = np.zeros_like(a)
+        e[i, b] = 1e-5
+        assert (plain(a + e)[0] - plain(a - e)[0]) / 2e-5 == pytest.approx(gradient[i, b], rel=1e-4, abs=1e-3)
+
+
+def test_an_epoch_costs_by_different_times_not_by_sources():
+    def seconds(distinct):
+        t, pop, src = _few_times(12_000, distinct)
+        began = time.process_time()
+        assert len(ft.fit_arrays(t, pop, src, ft.Control(target_sources=4.0, max_epochs=60))[1]) == 60
+        return time.process_time() - began
+
+    seconds(200)
+    # without a common column for equal times both take as long
+    assert min(seconds(200) for _ in range(3)) < 0.5 * seconds(12_000)
+
+
+def test_few_problems_have_a_task_each(spark):
+    rows = lambda c, n: [(p, i, j, float(1 + (i * 7 + j * 3 + p) % 11)) for p in range(5) for i in range(n) for j in range(3)]
+    od = spark.createDataFrame(rows("t", 4), "problem_id int, zone_id int, source_id int, minutes double")
+    population = spark.createDataFrame(rows("p", 4), "problem_id int, zone_id int, bracket int, pop double")
+    voters = spark.createDataFrame(rows("s", 3), "problem_id int, source_id int, bracket int, voters double")
+    out = ft.fit_problems(od, population, voters, ft.Control(max_epochs=5)).select("problem_id", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len({r.problem_id for r in out}) == len({r.task for r in out}) == len(out) == 5
+
+
+@pytest.mark.parametrize("t,src", [(np.full((3, 2), np.nan), np.ones((2, 2))), (np.ones((3, 2)), np.zeros((2, 2)))])
+def test_nothing_to_reach_or_to_hand_out_is_no_error(t, src):
+    alpha, history, _ = ft.fit_arrays(t, np.ones((3, 2)), src, ft.Control(max_epochs=5, target_sources=2.0))
+    assert np.isfinite(alpha).all() and len(history) in (0, 5)
